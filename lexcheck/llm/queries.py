@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name: (module, name of its SQL or None)
 _PLACES = {
     "op1_chat_formatting": ("chat", "OP1_SQL"),
+    "op3_media_columns": ("media", None),
+    "op5_byte_level_bpe": ("bpe", None),
     "op7_url_filters": ("url_filters", "OP7_SQL"),
 }
 
