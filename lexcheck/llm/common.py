@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexcheck.shipping import ship
+
 #: ASCII white space that separates words: 0x20 and 0x09-0x0D, the set ``bytes.split()`` uses.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
@@ -60,7 +62,9 @@ def blocks_for(df: DataFrame, bytes_each: int, least: int = 48) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that very long texts do not meet in one batch."""
+    """Before Python stages: the package goes to the workers, and Arrow batches have few rows, so that
+    very long texts do not meet in one batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -13,6 +13,8 @@ _PLACES = {
     "op3_media_columns": ("media", None),
     "op5_byte_level_bpe": ("bpe", None),
     "op7_url_filters": ("url_filters", "OP7_SQL"),
+    "op8_token_counts": ("token_counts", None),
+    "op10_nearest_neighbours": ("ann", None),
 }
 
 
