@@ -14,6 +14,7 @@ _PLACES = {
     "op5_byte_level_bpe": ("bpe", None),
     "op7_url_filters": ("url_filters", "OP7_SQL"),
     "op8_token_counts": ("token_counts", None),
+    "op9_toxicity": ("toxicity", None),
     "op10_nearest_neighbours": ("ann", None),
 }
 
