@@ -12,6 +12,7 @@ _PLACES = {
     "op1_chat_formatting": ("chat", "OP1_SQL"),
     "op3_media_columns": ("media", None),
     "op5_byte_level_bpe": ("bpe", None),
+    "op6_best_fit_packing": ("packing", None),
     "op7_url_filters": ("url_filters", "OP7_SQL"),
     "op8_token_counts": ("token_counts", None),
     "op9_toxicity": ("toxicity", None),
