@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name: (module, name of its SQL or None)
 _PLACES = {
     "op1_chat_formatting": ("chat", "OP1_SQL"),
+    "op2_minhash_near_dedup": ("minhash", None),
     "op3_media_columns": ("media", None),
     "op5_byte_level_bpe": ("bpe", None),
     "op6_best_fit_packing": ("packing", None),
