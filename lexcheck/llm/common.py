@@ -53,7 +53,7 @@ def discard(*frames: DataFrame) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate (file sizes for plain scans); no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def blocks_for(df: DataFrame, bytes_each: int, least: int = 48) -> int:

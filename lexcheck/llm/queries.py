@@ -12,6 +12,7 @@ _PLACES = {
     "op1_chat_formatting": ("chat", "OP1_SQL"),
     "op2_minhash_near_dedup": ("minhash", None),
     "op3_media_columns": ("media", None),
+    "op4_substring_dedup": ("substrings", None),
     "op5_byte_level_bpe": ("bpe", None),
     "op6_best_fit_packing": ("packing", None),
     "op7_url_filters": ("url_filters", "OP7_SQL"),
