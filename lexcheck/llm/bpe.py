@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexcheck.llm.common import small_batches, table, text_or_empty
 
-MEMO_PIECES = 400_000  # entries of a worker's memo; it is emptied when full
+MEMO_PIECES = 1_000_000  # entries of a worker's memo; it is emptied when full
 MEMO_BYTES = 64  # longer pieces are not kept
 
 NO_RANK = 1 << 60
