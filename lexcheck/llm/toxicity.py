@@ -8,7 +8,7 @@ Training. Labelled sentences give bags of words; a toxic text needs one toxic wo
 fitted with witnesses (multiple-instance learning): start from the words whose subsequences are most over-
 represented in toxic texts, fit, choose the witnesses again, add the clean words that score highest, repeat.
 Words are compared with ``landmarks`` only; the Nystroem map turns that into a linear problem (squared
-hinge). A text's raw score is the maximum over its words; a logistic fit makes it a probability.
+hinge). A logistic fit makes a probability of a text's three highest word scores.
 
 Scoring. Landmark expansions are linear in the subsequence features, so the fitted machine folds into one
 weight per subsequence: the kernel expansion is evaluated exactly, at a cost that does not depend on the
@@ -17,14 +17,16 @@ number of landmarks. Runs of single characters between blanks are also read as o
 The model is fitted on a bounded sample (``most_texts`` per class, each at most ``most_chars`` long, both
 parameters); scoring covers every row and the whole text and shuffles nothing.
 
-Defined cases: null and empty texts have no word and get the score of raw value ``NO_WORD``; with one class
+Defined cases: null and empty texts have no word and count as words of value ``NO_WORD``; with one class
 only, every score is the class's smoothed rate; null labels are ignored; equal texts get equal scores;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +41,8 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 ALPHABET = 128
 MEMO_WORDS = 400_000
 NO_WORD = -2.0
-EDGE = ".,;:!?\"'()[]{}<>-_*|/\\"
+TOP = 3
+EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -90,31 +93,66 @@ class Model:
     codes: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
-    def raw(self, words: list[str]) -> np.ndarray:
-        owner, feature, value = features(words)
+    def table(self) -> np.ndarray:
+        out = np.zeros(ALPHABET**3)
+        out[self.codes] = self.weights
+        return out
+
+    def raw(self, words: list[str], table: np.ndarray | None = None) -> np.ndarray:
         if not len(self.codes):
             return np.full(len(words), NO_WORD)
-        at = np.minimum(np.searchsorted(self.codes, feature), len(self.codes) - 1)
-        hit = np.where(self.codes[at] == feature, self.weights[at], 0.0)
-        return np.bincount(owner, hit * value, minlength=len(words)) + self.bias
+        owner, feature, value = features(words)
+        table = self.table() if table is None else table
+        return np.bincount(owner, table[feature] * value, minlength=len(words)) + self.bias
+
+    def probability(self, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top @ self.slopes + self.shift, -50, 50)))
+
+
+def highest(scores) -> list[float]:
+    """The TOP highest word scores of a text, padded with NO_WORD."""
+    return (heapq.nlargest(TOP, scores) + [NO_WORD] * TOP)[:TOP]
 
-    def probability(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -50, 50)))
 
+class Scorer:
+    """Probabilities of whole texts; remembers words up to a bound."""
 
-def _dense(words: list[str], columns: dict[int, int]) -> np.ndarray:
-    """Rows of words over the given subsequences."""
+    def __init__(self, model: Model) -> None:
+        self.model, self.weights = model, model.table()
+        self.memo: dict[str, float] = {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        bags = [words_of(t) for t in texts]
+        fresh = list(set().union(*bags) - self.memo.keys()) if bags else []
+        if len(self.memo) + len(fresh) > MEMO_WORDS:
+            self.memo.clear()
+            fresh = list(set().union(*bags))
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
+            self.memo.update(zip(part, self.model.raw(part, self.weights).tolist(), strict=True))
+        return self.model.probability(np.array([highest(map(self.memo.__getitem__, b)) for b in bags]).reshape(-1, TOP))
+
+
+def _dense(words: list[str], columns: np.ndarray) -> np.ndarray:
+    """Rows of words over the given subsequences (sorted codes)."""
     owner, feature, value = features(words)
-    at = np.array([columns.get(f, -1) for f in feature.tolist()], np.int64)
+    at = np.minimum(np.searchsorted(columns, feature), len(columns) - 1)
     out = np.zeros((len(words), len(columns)))
-    ok = at >= 0
+    ok = columns[at] == feature
     out[owner[ok], at[ok]] = value[ok]
     return out
 
 
+def _compact(words: list[str], step: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of many words in 12 bytes a triple, made in slabs so that the driver stays small."""
+    parts = [features(words[k : k + step]) for k in range(0, len(words), step)]
+    owner = np.concatenate([p[0].astype(np.int32) + np.int32(k * step) for k, p in enumerate(parts)])
+    return owner, np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2].astype(np.float32) for p in parts])
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
     """Linear squared-hinge machine by Newton steps on its active set."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -132,27 +170,47 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np
     return w[:-1], float(w[-1])
 
 
-def _logistic(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps with Platt's smoothed targets."""
+def _logistic(top: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift by damped Newton steps with Platt's smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([raw, np.ones(len(raw))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    x = np.concatenate([top, np.ones((len(top), 1))], 1)
+    w = np.zeros(x.shape[1])
+    ridge = np.eye(len(w)) * 0.1
+    ridge[-1, -1] = 1e-6
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - p))
-        w = w + np.clip(step, -5, 5)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ w)
+        w = w + np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return np.maximum(w[:-1], 0), float(w[-1])
+
+
+def distinct_bags(rows: list[np.ndarray], share: float = 0.3) -> np.ndarray:
+    """False for bags that share at least ``share`` of their words with one earlier bag beyond what common
+    words explain: copies would make chance words look like evidence."""
+    often = np.bincount(np.concatenate(rows)) if rows and sum(map(len, rows)) else np.zeros(1, np.int64)
+    most = max(20, len(rows) // 50)
+    places: dict[int, list[int]] = {}
+    out = np.ones(len(rows), bool)
+    for k, r in enumerate(rows):
+        rare = r[often[r] <= most].tolist()
+        met = Counter(j for w in rare for j in places.get(w, ()))
+        if rare and met and max(met.values()) >= max(2, share * len(rare)):
+            out[k] = False
+            continue
+        for w in rare:
+            places.setdefault(w, []).append(k)
+    return out
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: int = 6_000, rounds: int = 4, c: float = 10.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: int = 3_000, rounds: int = 4, c: float = 10.0, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, np.zeros(TOP), float(np.log(rate / (1 - rate))))
     # bags are the texts' sentences pooled: a label says that some sentence holds a witness
     bags = [sorted(set().union(*map(words_of, SENTENCE.split(t)), words_of(t))) for t in texts]
     vocabulary = sorted(set().union(*bags))
@@ -160,26 +218,43 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
     rows = [np.array([index[w] for w in b], np.int64) for b in bags]
     clean = np.zeros(len(vocabulary), np.int64)
     toxic = np.zeros(len(vocabulary), np.int64)
-    for r, label in zip(rows, y, strict=True):
-        (toxic if label else clean)[r] += 1
-    owner, feature, value = features(vocabulary)
-    codes, place = np.unique(feature, return_inverse=True)
-    # start: mean log-odds of a word's subsequences between toxic and clean texts, by distinct words seen
-    pos = np.bincount(place, value * (toxic[owner] > 0) * toxic[owner], minlength=len(codes)) / max(1, y.sum())
-    neg = np.bincount(place, value * clean[owner], minlength=len(codes)) / max(1, len(y) - y.sum())
-    odds = np.log((pos + 1e-3) / (neg + 1e-3))
-    score = np.bincount(owner, odds[place] * value * value, minlength=len(vocabulary))
-    score = score - 2.0 * (clean > 0)  # seen in clean texts: an unlikely witness
-    never = np.flatnonzero(clean > 0)
+    single = distinct_bags(rows)
+    for r, label, first in zip(rows, y, single, strict=True):
+        if first:
+            (toxic if label else clean)[r] += 1
+    owner, feature, value = _compact(vocabulary)
+    every = ALPHABET**3
+
+    def scored(weights: np.ndarray, power: int = 1) -> np.ndarray:
+        return np.bincount(owner, weights[feature] * value**power, minlength=len(vocabulary))
+
+    # start: mean log-odds of a word's subsequences by the texts they are seen in, one text of either kind added
+    ratio = (single & (y == 1)).sum() / max(1, (single & (y == 0)).sum())
+    pos = np.bincount(feature, value * toxic[owner], minlength=every)
+    neg = np.bincount(feature, value * clean[owner], minlength=every) * ratio
+    score = scored(np.log((pos + 1) / (neg + 1)), 2) + np.log((toxic + 1) / (ratio * clean + 1))
+    # words that toxic texts use several times as often; the rest, seen in clean texts, are the negatives.
+    # A few wrong labels on either side change neither set much.
+    eligible = toxic > 5 * ratio * clean + 2 * (clean > 0)
+    never = np.flatnonzero((clean > 0) & ~eligible)
+    own = [r[eligible[r]] for r, label in zip(rows, y, strict=True) if label]
+    own = [r for r in own if len(r)]
+    best = [score[r].max() for r in own]
+    # texts in which no word stands out are doubted: they give no witness and do not calibrate
+    least = 0.4 * float(np.median(best)) if own else 0.0
+    sure = np.zeros(len(vocabulary), bool)
+    for r in own:
+        sure[r[score[r] >= least]] = True
     hard = np.zeros(0, np.int64)
-    weights, bias = np.zeros(len(codes)), 0.0
+    weights, bias = np.zeros(every), 0.0
     for turn in range(rounds):
-        witness: set[int] = set()
-        for r, label in zip(rows, y, strict=True):
-            if label and len(r):
-                best = score[r].max()
-                take = r[score[r] >= (best - 1e-9 if turn == 0 else min(best, 0.5))]
-                witness.update(int(i) for i in take if turn == 0 or clean[i] * 4 <= toxic[i] or score[i] >= best)
+        witness = set(np.flatnonzero(sure).tolist())
+        for r in own:  # texts without a sure word put their best forward, if it stands out a little
+            if not sure[r].any() and (score[r].max() >= least / 3 if turn == 0 else score[r].max() >= 0):
+                witness.add(int(r[score[r].argmax()]))
+        if turn:
+            for r in own:
+                witness.update(r[score[r] >= 0.5].tolist())
         chosen = np.array(sorted(witness), np.int64)
         if len(chosen) > most_words:
             chosen = rng.choice(chosen, most_words, replace=False)
@@ -189,25 +264,27 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
             break
         marks = np.concatenate([rng.choice(chosen, min(len(chosen), landmarks // 2), replace=False), rng.choice(negative, min(len(negative), landmarks - landmarks // 2), replace=False)])
         mark_words = [vocabulary[i] for i in marks]
-        columns = {int(f): k for k, f in enumerate(np.unique(features(mark_words)[1]))}
+        columns = np.unique(features(mark_words)[1])
         m = _dense(mark_words, columns)
         values, vectors = np.linalg.eigh(m @ m.T)
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
         train = np.concatenate([chosen, negative])
-        phi = (_dense([vocabulary[i] for i in train], columns) @ m.T) @ root
+        slabs = [_dense([vocabulary[i] for i in train[k : k + 1_000]], columns) @ m.T for k in range(0, len(train), 1_000)]
+        phi = np.concatenate(slabs) @ root
         sign = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
         balance = np.concatenate([np.full(len(chosen), 0.5 / len(chosen)), np.full(len(negative), 0.5 / len(negative))]) * len(train)
         w, bias = _svm(phi, sign, balance, c)
         folded = m.T @ (root @ w)
-        weights = np.zeros(len(codes))
-        weights[np.searchsorted(codes, np.array(sorted(columns)))] = folded
-        score = np.bincount(owner, weights[place] * value, minlength=len(vocabulary)) + bias
+        weights = np.zeros(every)
+        weights[columns] = folded
+        score = scored(weights) + bias
         hard = never[np.argsort(-score[never], kind="stable")[: most_words // 2]]
-    used = weights != 0
-    raw = np.array([score[r].max() if len(r) else NO_WORD for r in rows])
-    slope, shift = _logistic(raw, y)
-    return Model(codes[used], weights[used], bias, slope, shift)
+    used = np.flatnonzero(weights)
+    top = np.array([highest(score[r].tolist()) for r in rows])
+    certain = (y == 0) | np.array([bool(len(r)) and bool(sure[r].any() or score[r].max() >= 0.5) for r in rows])
+    slopes, shift = _logistic(top[certain], y[certain])
+    return Model(used, weights[used], bias, slopes, shift)
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -218,40 +295,44 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        m, memo = shared.value, {}
+        score = Scorer(shared.value)
         for batch in batches:
-            bags = [words_of(t) for t in batch.column(1).to_pylist()]
-            fresh = list(set().union(*bags) - memo.keys()) if bags else []
-            if len(memo) + len(fresh) > MEMO_WORDS:
-                memo.clear()
-                fresh = list(set().union(*bags))
-            for k in range(0, len(fresh), 50_000):
-                part = fresh[k : k + 50_000]
-                memo.update(zip(part, m.raw(part).tolist(), strict=True))
-            raw = np.array([max(map(memo.__getitem__, b)) if b else NO_WORD for b in bags])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.probability(raw), pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], [key, "score"])
 
     return docs.select(F.col(f"`{key}`"), text_or_empty().alias("text")).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, all columns, judged where they are: no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        score = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(score(texts) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train_on(docs: DataFrame, labels: DataFrame, most_texts: int = 2_000, most_chars: int = 6_000) -> Model:
-    """Fit on at most ``most_texts`` labelled texts per class, picked by a hash of their ids, none of them
-    held out. The two samples, at most 2 * most_texts * most_chars characters, go to the driver."""
+def train_on(docs: DataFrame, labels: DataFrame, most_texts: int = 2_000, most_chars: int = 4_000) -> Model:
+    """Fit on at most ``most_texts`` labelled ids per class, picked by a hash of the ids, none of them held
+    out, as far as their texts have at most ``most_chars`` characters. The picked ids (a fixed number) are
+    broadcast, so texts are not shuffled; the sample itself is bounded by the two parameters."""
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     use = use.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = [use.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts) for label in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.char_length("text").between(1, most_chars))
-    joined = rows.join(use, "doc_id")
-    texts, marks = [], []
-    for label in (0, 1):
-        sample = joined.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts)
-        for r in sample.select("text").collect():
-            texts.append(r["text"])
-            marks.append(label)
-    return fit(texts, marks)
+    sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in sample.collect())
+    return fit([t for _, _, t in found], [y for _, y, _ in found])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
