@@ -18,6 +18,7 @@ from lexcheck.shipping import ship
 #: ASCII white space that separates words: 0x20 and 0x09-0x0D, the set ``bytes.split()`` uses.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +35,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. The write's own shuffle files go when it is over."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 

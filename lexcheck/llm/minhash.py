@@ -355,5 +355,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are first of their group; a row repeated with its id and
+    text stays once."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
