@@ -4,17 +4,17 @@ The decision is made by an FM-index per shard. Filters bring to a shard only wha
 
 1.  Every window has an anchor, the least hash among its 15 six-word grams. Blocks of documents post their
     distinct anchors to ranges of the hash space; the ranges answer which ones repeat. Only the
-    neighbourhoods of repeating anchors go on (documents without any are finished here).
+    neighbourhoods of repeating anchors (spans) go on.
 2.  In them the same exchange is made for every six-word gram. A window can repeat only inside a run of
-    repeating grams, so runs are cut to what is common; contexts that differ are gone, which bounds how
-    many different pieces a very frequent passage can leave.
-3.  A run is cut into pieces, each the windows of one anchor. Equal pieces are one class with its first
-    place in the corpus; later members are repeats of it. Classes are dealt to shards by their anchor, so
-    all occurrences of a window meet in one shard.
+    repeating grams, so spans are cut to runs; contexts that differ are gone, which bounds how
+    many different pieces a very frequent passage can leave. Equal runs are a class: all but the first in
+    corpus order are repeats of it as a whole.
+3.  A first run is cut into pieces, each the windows of one anchor, and equal pieces are a class again.
+    Classes are dealt to shards by their anchor, so all occurrences of a window meet in one shard.
 4.  A shard builds the FM-index of its classes and streams every window of every class through backward
     search. Where matching statistics reach the window's length, the least place in the suffix range says
     whether the window starts earlier elsewhere.
-5.  The class's first place gets that verdict, all later places are repeats; covered words are removed.
+5.  The intervals found are joined to the texts and the covered words are removed.
 
 Exchanges carry packed arrays, a block's answer each: a hash that a third of all documents share costs
 every block eight bytes. Blocks, ranges and shards grow in number with the input, not in size.
@@ -28,15 +28,17 @@ ignored; empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty
 from lexcheck.llm.fm_index import FMIndex, range_minima
-from lexcheck.llm.minhash import WordHashes, gram_hashes
+from lexcheck.llm.minhash import WordHashes, mixed
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams of a window
@@ -44,37 +46,47 @@ BLOCK_BYTES = 4 << 20
 SHARD_PIECES = 20_000
 
 _LOW = np.uint64(1)
+_ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+_MEMO = WordHashes()  # one per Python worker, bounded
 
 
 class Words:
-    """The word hashes of a block's documents on end. ``doc`` is the document of each word."""
+    """The word hashes of some texts on end. ``doc`` is the text of each word."""
 
     def __init__(self, texts: list[str]) -> None:
-        memo = WordHashes()
         self.split = [t.encode().split() for t in texts]
         self.lengths = np.array([len(s) for s in self.split], np.int64)
         total = int(self.lengths.sum())
-        self.hashes = np.fromiter((memo[w] for s in self.split for w in s), np.uint64, total)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.hashes = np.fromiter(map(_MEMO.__getitem__, chain.from_iterable(self.split)), np.uint64, total)
         self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        self.grams = gram_hashes(self.hashes, GRAM) & ~_LOW  # the low bit marks repeats in postings
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        grams = np.zeros(max(0, total - GRAM + 1), np.uint64)
+        for j, odd in enumerate(_ODDS):  # word hashes are uniform, so a weighted sum and one mixing do
+            grams += self.hashes[j : j + len(grams)] * odd
+        self.grams = mixed(grams) & ~_LOW  # the low bit marks repeats in postings
         n = max(0, total - WINDOW + 1)
-        self.whole = self.doc[:n] == self.doc[WINDOW - 1 : WINDOW - 1 + n]  # windows inside one document
-        self.gram_whole = self.doc[: len(self.grams)] == self.doc[GRAM - 1 : GRAM - 1 + len(self.grams)]
-
-    def anchors_of(self, windows: np.ndarray) -> np.ndarray:
-        """The gram position of each window's least hash, the leftmost on ties."""
-        out = np.empty(len(windows), np.int64)
-        for k in range(0, len(windows), 1 << 17):
-            part = windows[k : k + (1 << 17)]
-            best, at = self.grams[part], np.zeros(len(part), np.int64)
-            for j in range(1, SPAN):
-                other = self.grams[part + j]
-                less = other < best
-                at[less] = j
-                best = np.minimum(best, other)
-            out[k : k + len(part)] = part + at
-        return out
+        self.whole = self.doc[:n] == self.doc[WINDOW - 1 : WINDOW - 1 + n]  # windows inside one text
+        self.gram_whole = self.doc[: len(grams)] == self.doc[GRAM - 1 : GRAM - 1 + len(grams)]
+
+    def anchors(self) -> np.ndarray:
+        """The gram position of every window's least hash, the leftmost on ties: minima over 2, 4, 8 grams
+        give those over 15."""
+        n = len(self.whole)
+        if not n:
+            return np.zeros(0, np.int64)
+        low, at = self.grams, np.arange(len(self.grams))
+        for step in (1, 2, 4, SPAN - 8):
+            right = low[step:] < low[:-step]
+            low = np.where(right, low[step:], low[:-step])
+            at = np.where(right, at[step:], at[:-step])
+        return at[:n]
+
+    def chosen(self) -> np.ndarray:
+        """The distinct anchor positions of all windows."""
+        at = self.anchors()[self.whole]
+        return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
 
 def _post(hashes: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
@@ -132,41 +144,49 @@ def _known(replies: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _text_key(text: str) -> int:
+    """Spark's ``xxhash64(text)``: tells rows that repeat an id apart."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64))
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return edges[::2], edges[1::2]
+def _runs(flags: np.ndarray, border: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags; a run also ends where ``border`` is set."""
+    if not len(flags):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends = flags.copy(), flags.copy()
+    starts[1:] &= ~flags[:-1]
+    ends[:-1] &= ~flags[1:]
+    if border is not None:
+        starts |= flags & border[: len(flags)]
+        ends |= flags & border[1 : len(flags) + 1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-FOUND = [("kind", pa.int32()), ("b", pa.int32()), ("p", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("spans", pa.binary()), ("blob", pa.binary())]
-FOUND_SQL = "kind int, b int, p int, doc_id long, n_words long, kept_sha256 string, text string, spans binary, blob binary"
-CUT = [("kind", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("starts", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("key", pa.binary()), ("start", pa.int32()), ("anchor", pa.int64())]
-CUT_SQL = "kind int, b int, doc_id long, text string, starts binary, counts binary, keys binary, key binary, start int, anchor long"
-DONE, SUSPECT, POSTED, PIECE = 0, 1, 2, 3
-RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+FOUND = [("b", pa.int32()), ("p", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("text", pa.string())]
+FOUND_SQL = "b int, p int, blob binary, doc_id long, text_key long, start int, text string"
+RUN = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("text", pa.string())]
+RUN_SQL = "doc_id long, text_key long, start int, n int, key binary, text string"
+PIECE_SQL = "doc_id long, text_key long, start int, n int, key binary, anchor long, words binary"
+RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text_key", pa.int64()), ("kept_text", pa.string())]
+RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_key long, kept_text string"
 
 
 def _post_anchors(blocked: DataFrame, ranges: int) -> DataFrame:
     def post(key: tuple, rows: pa.Table) -> pa.Table:
         words = Words(rows.column("text").to_pylist())
-        anchors = np.unique(words.anchors_of(np.flatnonzero(words.whole)))
         b = key[0].as_py()
-        return _table([("p", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())], [(p, b, blob) for p, blob in _post(words.grams[anchors], ranges)])
+        return _table([("p", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())], [(p, b, blob) for p, blob in _post(words.grams[words.chosen()], ranges)])
 
     return blocked.groupBy("b").applyInArrow(post, "p int, b int, blob binary")
 
 
-def _find_suspects(blocked: DataFrame, replies: DataFrame, ranges: int) -> DataFrame:
-    """Finished documents, documents with repeating anchors and the grams around these, by ``kind``."""
+def _find_spans(blocked: DataFrame, replies: DataFrame, ranges: int) -> DataFrame:
+    """The spans around repeating anchors with their words (p is null) and the posted grams in them."""
 
     def find(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
         b, ids, texts = key[0].as_py(), rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
         words = Words(texts)
-        anchors = np.unique(words.anchors_of(np.flatnonzero(words.whole)))
+        anchors = words.chosen()
         hits = anchors[_member(words.grams[anchors], _known(answered))]
         near = np.zeros(len(words.hashes) + 1, np.int64)
         begin = words.begin[words.doc[hits]]
@@ -174,88 +194,74 @@ def _find_suspects(blocked: DataFrame, replies: DataFrame, ranges: int) -> DataF
         np.add.at(near, np.maximum(begin, hits - (WINDOW - GRAM)), 1)
         np.add.at(near, np.minimum(end, hits + WINDOW), -1)
         near = np.cumsum(near)[:-1] > 0
-        touched = np.zeros(len(texts), bool)
-        touched[words.doc[hits]] = True
+        border = np.zeros(len(near) + 1, bool)
+        border[words.begin[words.begin < len(near)]] = True  # a span ends with its text
+        lo, hi = _runs(near, border)
         out: list[tuple] = []
-        for k, text in enumerate(texts):
-            if touched[k]:
-                lo, hi = _runs(near[words.begin[k] : words.begin[k] + words.lengths[k]])
-                out.append((SUSPECT, b, None, ids[k], int(words.lengths[k]), None, text, np.stack([lo, hi]).astype("<i4").tobytes(), None))
-            else:
-                out.append((DONE, b, None, ids[k], int(words.lengths[k]), _digest(words.split[k]), None, None, None))
+        hashed: dict[int, int] = {}
+        for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+            k = int(words.doc[x])
+            if k not in hashed:
+                hashed[k] = _text_key(texts[k])
+            first = x - int(words.begin[k])
+            out.append((b, None, None, ids[k], hashed[k], first, b" ".join(words.split[k][first : first + y - x]).decode()))
         n = len(words.grams)
         inside = words.gram_whole & near[:n] & near[GRAM - 1 : GRAM - 1 + n]
-        out.extend((POSTED, b, p, None, None, None, None, None, blob) for p, blob in _post(words.grams[inside], ranges))
+        out.extend((b, p, blob, None, None, None, None) for p, blob in _post(words.grams[inside], ranges))
         return _table(FOUND, out)
 
     return blocked.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(find, FOUND_SQL)
 
 
-def _cut_pieces(suspects: DataFrame, replies: DataFrame) -> DataFrame:
-    """Documents with the places and keys of their pieces, and the first place of each key in the block."""
+def _cut_runs(spans: DataFrame, replies: DataFrame) -> DataFrame:
+    """Runs of at least a window in which every gram repeats, keyed by their words."""
 
     def cut(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
-        b, ids, texts = key[0].as_py(), rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
-        words, known = Words(texts), _known(answered)
-        flags = np.zeros(len(words.grams) + 1, bool)
-        for k, spans in enumerate(_numbers(rows.column("spans"), "<i4")):
-            for lo, hi in spans.reshape(2, -1).T.tolist():
-                flags[words.begin[k] + lo : words.begin[k] + hi - GRAM + 1] = True
-        flags = flags[: len(words.grams)] & words.gram_whole
+        words, known = Words(rows.column("text").to_pylist()), _known(answered)
+        flags = words.gram_whole.copy()
         at = np.flatnonzero(flags)
         flags[at] = _member(words.grams[at], known)
-        lo, hi = _runs(flags)
+        border = np.zeros(len(flags) + 1, bool)
+        border[words.begin[words.begin < len(flags)]] = True
+        lo, hi = _runs(flags, border)
         long = hi - lo >= SPAN
-        lo, hi = lo[long], hi[long] - SPAN + 1  # window starts
-        windows = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)]) if len(lo) else np.zeros(0, np.int64)
-        windows = windows[words.whole[windows]]
-        anchors = words.anchors_of(windows)
-        new = np.ones(len(windows), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (windows[1:] != windows[:-1] + 1)
-        first = np.flatnonzero(new)
-        counts = np.diff(np.concatenate((first, [len(windows)])))
-        starts, anchor = windows[first], words.grams[anchors[first]]
-        raw = words.hashes.tobytes()
-        keys = [hashlib.blake2b(raw[8 * s : 8 * (s + c + WINDOW - 1)], digest_size=16).digest() for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
-        doc = words.doc[starts]
-        local = (starts - words.begin[doc]).astype("<i4")
-        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        out: list[tuple] = []
-        least: dict[bytes, tuple] = {}
-        for k in range(len(texts)):
-            x, y = int(cuts[k]), int(cuts[k + 1])
-            out.append((SUSPECT, b, ids[k], texts[k], local[x:y].tobytes(), counts[x:y].astype(np.uint8).tobytes(), b"".join(keys[x:y]), None, None, None))
-            for i in range(x, y):
-                place = (ids[k], int(local[i]))
-                if keys[i] not in least or place < least[keys[i]][0]:
-                    least[keys[i]] = (place, i)
-        signed = anchor.astype(np.int64)
-        out.extend((PIECE, b, place[0], None, None, None, None, k, place[1], int(signed[i])) for k, (place, i) in least.items())
-        return _table(CUT, out)
-
-    return suspects.select("b", "doc_id", "text", "spans").groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(cut, CUT_SQL)
-
-
-def _contents(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The words of each class, taken from the block of its first place."""
-
-    def read(key: tuple, rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        want = {(d, s): (k, a) for d, s, k, a in zip(*(wanted.column(c).to_pylist() for c in ("doc_id", "start", "key", "shard")), strict=True)}
-        texts = rows.column("text").to_pylist()
-        words = Words(texts)
+        ids, keys, starts = (rows.column(c).to_pylist() for c in ("doc_id", "text_key", "start"))
         raw = words.hashes.tobytes()
         out = []
-        for k, (doc, starts, counts, keys) in enumerate(zip(rows.column("doc_id").to_pylist(), *(rows.column(c).to_pylist() for c in ("starts", "counts", "keys")), strict=True)):
-            places = np.frombuffer(starts, "<i4").tolist()
-            for i, (s, c) in enumerate(zip(places, counts, strict=True)):
-                found = want.get((doc, s))
-                if found and found[0] == keys[16 * i : 16 * i + 16]:
-                    del want[doc, s]
-                    at = 8 * (int(words.begin[k]) + s)
-                    out.append((found[1], found[0], doc, s, raw[at : at + 8 * (c + WINDOW - 1)]))
-        return _table([("shard", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())], out)
-
-    return documents.groupBy("b").cogroup(classes.groupBy("b")).applyInArrow(read, "shard int, key binary, doc_id long, start int, words binary")
+        for x, y in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
+            k, y = int(words.doc[x]), y + GRAM - 1
+            first = x - int(words.begin[k])
+            made = hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest()
+            out.append((ids[k], keys[k], starts[k] + first, y - x, made, b" ".join(words.split[k][first : first + y - x]).decode()))
+        return _table(RUN, out)
+
+    return spans.select("b", "doc_id", "text_key", "start", "text").groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(cut, RUN_SQL)
+
+
+def _cut_pieces(runs: DataFrame) -> DataFrame:
+    """The pieces of runs: the windows of one anchor, keyed by their words."""
+    names = [x.split()[0] for x in PIECE_SQL.split(", ")]
+
+    def cut(batches):
+        for batch in batches:
+            words = Words(batch.column(3).to_pylist())
+            windows = np.flatnonzero(words.whole)
+            anchors = words.anchors()[windows]
+            new = np.ones(len(windows), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (windows[1:] != windows[:-1] + 1)
+            first = np.flatnonzero(new)
+            counts = np.diff(np.concatenate((first, [len(windows)]))).astype(np.int32) + (WINDOW - 1)
+            starts = windows[first]
+            raw = words.hashes.tobytes()
+            parts = [raw[8 * s : 8 * (s + c)] for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+            run = words.doc[starts]
+            place = batch.column(2).to_numpy()[run] + (starts - words.begin[run])
+            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in parts]
+            made = [pa.array(batch.column(0).to_numpy()[run]), pa.array(batch.column(1).to_numpy()[run]), pa.array(place.astype(np.int32)), pa.array(counts)]
+            made += [pa.array(keys, pa.binary()), pa.array(words.grams[anchors[first]].astype(np.int64)), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names)
+
+    return runs.select("doc_id", "text_key", "start", "text").mapInArrow(cut, PIECE_SQL)
 
 
 def judge_shard(words: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> list[int]:
@@ -279,67 +285,98 @@ def judge_shard(words: list[np.ndarray], doc: np.ndarray, start: np.ndarray) ->
     return masks.tolist()
 
 
-def _judged(contents: DataFrame) -> DataFrame:
+def _judged(classes: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, stop: intervals of windows that start earlier elsewhere."""
+
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         doc, start = rows.column("doc_id").to_numpy(), rows.column("start").to_numpy().astype(np.int64)
         masks = judge_shard(_numbers(rows.column("words")), doc, start)
-        return pa.table({"doc_id": rows.column("doc_id"), "start": rows.column("start"), "key": rows.column("key"), "mask": pa.array(masks, pa.int64())})
-
-    return contents.groupBy("shard").applyInArrow(judge, "doc_id long, start int, key binary, mask long")
-
-
-def _removed(documents: DataFrame, verdicts: DataFrame, keep_text: bool) -> DataFrame:
-    def remove(key: tuple, rows: pa.Table, judged: pa.Table) -> pa.Table:
-        first = {(d, s, k): m for d, s, k, m in zip(*(judged.column(c).to_pylist() for c in ("doc_id", "start", "key", "mask")), strict=True)}
-        out = []
-        for doc, text, starts, counts, keys in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "starts", "counts", "keys")), strict=True):
-            words = text.encode().split()
-            edges = np.zeros(len(words) + 1, np.int32)
-            for i, (s, c) in enumerate(zip(np.frombuffer(starts, "<i4").tolist(), counts, strict=True)):
-                mask = first.get((doc, s, keys[16 * i : 16 * i + 16]))
-                if mask is None:  # a later member of its class
-                    edges[s] += 1
-                    edges[s + c + WINDOW - 1] -= 1
-                    continue
-                while mask:
-                    o = (mask & -mask).bit_length() - 1
-                    mask &= mask - 1
-                    edges[s + o] += 1
-                    edges[s + o + WINDOW] -= 1
-            gone = np.cumsum(edges)[:-1] > 0
-            n = int(gone.sum())
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words
-            out.append((doc, len(words), n, _digest(kept), b" ".join(kept).decode() if keep_text and n else None))
-        return _table(RESULT, out)
-
-    return documents.groupBy("b").cogroup(verdicts.groupBy("b")).applyInArrow(remove, RESULT_SQL)
+        at, lo, hi = [], [], []
+        for k, mask in enumerate(masks):
+            if mask:
+                x, y = _runs(np.array([mask >> o & 1 for o in range(SPAN)], bool))
+                at += [k] * len(x)
+                lo += (start[k] + x).tolist()
+                hi += (start[k] + y + WINDOW - 1).tolist()
+        texts = rows.column("text_key").to_numpy()[at] if at else np.zeros(0, np.int64)
+        return pa.table({"doc_id": pa.array(doc[at] if at else np.zeros(0, np.int64)), "text_key": pa.array(texts), "start": pa.array(lo, pa.int32()), "stop": pa.array(hi, pa.int32())})
+
+    return classes.groupBy("shard").applyInArrow(judge, "doc_id long, text_key long, start int, stop int")
+
+
+def _removed(joined: DataFrame, keep_text: bool) -> DataFrame:
+    names = [n for n, _ in RESULT]
+
+    def remove(batches):
+        for batch in batches:
+            out = []
+            for doc, text, key, gone in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.encode().split()
+                n, kept = 0, words
+                if gone:
+                    edges = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(edges, [g["start"] for g in gone], 1)
+                    np.add.at(edges, [g["stop"] for g in gone], -1)
+                    keep = np.cumsum(edges)[:-1] == 0
+                    n = len(words) - int(keep.sum())
+                    kept = list(compress(words, keep.tolist()))
+                changed = (key, b" ".join(kept).decode()) if keep_text and n else (None, None)
+                out.append((doc, len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest(), *changed))
+            table = _table(RESULT, out)
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], names)
+
+    return joined.mapInArrow(remove, RESULT_SQL)
+
+
+def repeated_intervals(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, stop in words, for ``rows(doc_id, text)`` without nulls."""
+    spark = rows.sparkSession
+    blocks = blocks_for(rows, BLOCK_BYTES)
+    blocked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b"), "doc_id", "text")
+    anchors = materialise(_answers(_post_anchors(blocked, blocks)))
+    found = materialise(_find_spans(blocked, anchors, blocks))
+    discard(anchors)
+    grams = _answers(found.filter("p is not null"))
+    runs = materialise(_cut_runs(found.filter("p is null"), grams))
+    discard(found)
+    place = F.min(F.struct("doc_id", "start", "text_key")).alias("at")
+    own = F.struct("doc_id", "start", "text_key")
+    first_runs = runs.groupBy("key").agg(place)
+    marked = runs.join(first_runs, "key").withColumn("first", own == F.col("at"))
+    small_batches(spark, 4_096)
+    pieces = materialise(_cut_pieces(marked.filter("first")))
+    classes = materialise(pieces.groupBy("key").agg(place, F.any_value("anchor").alias("anchor"), F.any_value("words").alias("words")))
+    shards = max(1, -(-classes.count() // SHARD_PIECES))
+    dealt = classes.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "at.doc_id", "at.start", "at.text_key", "words")
+    later_runs = marked.filter("not first").select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop"))
+    later_pieces = pieces.join(classes.select("key", "at"), "key").filter(own != F.col("at")).select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop"))
+    intervals = materialise(_judged(dealt).unionByName(later_pieces).unionByName(later_runs))
+    discard(runs, pieces, classes)
+    small_batches(spark)
+    return intervals
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (null: nothing was removed)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = blocks_for(docs, BLOCK_BYTES)
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text with text_key, the
+    ``xxhash64`` of the text it replaces (both null where nothing was removed)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b")
-    blocked = rows.select(block, "doc_id", "text")
-    anchors = materialise(_answers(_post_anchors(blocked, blocks)))
-    found = materialise(_find_suspects(blocked, anchors, blocks))
-    grams = _answers(found.filter(F.col("kind") == POSTED))
-    cut = materialise(_cut_pieces(found.filter(F.col("kind") == SUSPECT), grams))
-    documents = cut.filter(F.col("kind") == SUSPECT).select("b", "doc_id", "text", "starts", "counts", "keys")
-    place = F.min(F.struct("doc_id", "start", "b", "anchor")).alias("at")
-    classes = materialise(cut.filter(F.col("kind") == PIECE).groupBy("key").agg(place).select("key", "at.*"))
-    shards = max(1, -(-classes.count() // SHARD_PIECES))
-    dealt = classes.select("key", "doc_id", "start", "b", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"))
-    verdicts = materialise(_judged(_contents(documents, dealt)))
-    verdicts_by_block = verdicts.select(block, "doc_id", "start", "key", "mask")
-    removed = _removed(documents, verdicts_by_block, keep_text)
-    done = found.filter(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    discard(anchors, classes)
-    out = done.unionByName(removed)
+    by_text = repeated_intervals(rows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    joined = rows.withColumn("text_key", F.xxhash64("text")).join(by_text.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
+    out = _removed(joined.select("doc_id", "text", "text_key", "gone"), keep_text)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, same columns: covered words are gone from ``text`` (what is left is joined by
+    single blanks), ``n_chars`` follows, every row stays, texts that nothing covers stay as they are."""
+    changed = remove_repeats(docs, keep_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept_text").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key"))
+    made = docs.join(changed, same, "left").withColumn("text", F.coalesce("kept_text", "text"))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    return made.select(docs.columns)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
