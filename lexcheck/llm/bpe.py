@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import small_batches, table, text_or_empty
+from lexcheck.llm.common import small_batches, table, text_or_empty, worker_memo
 
 MEMO_PIECES = 1_000_000  # entries of a worker's memo; it is emptied when full
 MEMO_BYTES = 64  # longer pieces are not kept
@@ -137,14 +137,9 @@ class Codec:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per Python worker; it lives as long as the worker."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """The worker's codec."""
+    return worker_memo(f"codec {path} {pattern}", lambda: Codec(load_ranks(path), pattern))
 
 
 def vocabulary(spark: SparkSession, path: str) -> str:

@@ -1,4 +1,4 @@
-"""Chat formatting with DataFrame expressions only.
+r"""Chat formatting with DataFrame expressions only.
 
 Turns are sorted inside collected structs, adjacent turns of one role are merged under a single
 header by array aggregation, and the template text is concatenated::

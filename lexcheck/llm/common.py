@@ -74,6 +74,18 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_MEMO: dict[str, object] = {}
+
+
+def worker_memo(name: str, make):
+    """A Python worker's memo. Workers are reused by later stages, so it outlives a task, but a worker holds
+    only one: asking for another drops what the stage before remembered."""
+    if name not in _MEMO:
+        _MEMO.clear()
+        _MEMO[name] = make()
+    return _MEMO[name]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

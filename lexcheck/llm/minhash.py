@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty
+from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty, worker_memo
 from lexcheck.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 75  # per cent
 SKETCH, KEYS, COLD_KEYS, HOT_KEYS = 64, 32, 12, 10
-HOT, BLOCK = 200, 2_048
+HOT, BLOCK = 200, 1_024
 LEAST_ESTIMATE = 0.48
 MEMO_WORDS = 500_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        memo = WordHashes()
+        memo = worker_memo("word hashes", WordHashes)
         for batch in batches:
             n, sig, keys, low = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -210,7 +210,7 @@ def cold_pairs(lists: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def verified_forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Verified links that span the similarity graph of full sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -227,10 +227,12 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray |
         x = np.zeros((len(sets), 1_024), np.float32)
         x[owner[at], column[at] - lo] = 1
         both += x @ x.T
-    inter = np.triu(both.astype(np.int64), 1)
-    i, j = np.nonzero(is_link(inter, sizes[:, None] + sizes[None, :] - inter) & (inter > 0))
-    forest = Forest(len(ids))
-    return [(int(ids[p]), int(ids[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True) if forest.join(p, q)]
+    forest, out = Forest(len(ids)), []
+    for p in range(len(ids)):
+        inter = both[p, p + 1 :].astype(np.int64)
+        linked = np.flatnonzero(is_link(inter, sizes[p] + sizes[p + 1 :] - inter) & (inter > 0))
+        out += [(int(ids[p]), int(ids[q])) for q in (linked + p + 1).tolist() if forest.join(p, q)]
+    return out
 
 
 def hot_links(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -263,7 +265,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class_id, set (packed sorted hashes) for ``classes(class_id, sig)``, read again from the texts."""
 
     def run(batches):
-        memo = WordHashes()
+        memo = worker_memo("word hashes", WordHashes)
         for batch in batches:
             ids, made = [], []
             for i, (text, sig) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):

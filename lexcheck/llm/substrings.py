@@ -36,22 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty
+from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty, worker_memo
 from lexcheck.llm.fm_index import FMIndex, range_minima
 from lexcheck.llm.minhash import WordHashes, mixed
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams of a window
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SHARD_PIECES = 20_000
 
 _LOW = np.uint64(1)
 _ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-_MEMO = WordHashes()  # one per Python worker, bounded
-
-
 class Words:
     """The word hashes of some texts on end. ``doc`` is the text of each word."""
 
@@ -59,7 +56,7 @@ class Words:
         self.split = [t.encode().split() for t in texts]
         self.lengths = np.array([len(s) for s in self.split], np.int64)
         total = int(self.lengths.sum())
-        self.hashes = np.fromiter(map(_MEMO.__getitem__, chain.from_iterable(self.split)), np.uint64, total)
+        self.hashes = np.fromiter(map(worker_memo("word hashes", WordHashes).__getitem__, chain.from_iterable(self.split)), np.uint64, total)
         self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
         grams = np.zeros(max(0, total - GRAM + 1), np.uint64)
@@ -370,11 +367,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, same columns: covered words are gone from ``text`` (what is left is joined by
     single blanks), ``n_chars`` follows, every row stays, texts that nothing covers stay as they are."""
-    changed = remove_repeats(docs, keep_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept_text").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key"))
-    made = docs.join(changed, same, "left").withColumn("text", F.coalesce("kept_text", "text"))
+    changed = remove_repeats(docs, keep_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept_text").alias("__kept")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
+    made = docs.join(changed, same, "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+        made = made.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("__kept").cast("long")).otherwise(F.col("n_chars")))
     return made.select(docs.columns)
 
 

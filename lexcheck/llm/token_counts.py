@@ -23,8 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.bpe import MEMO_BYTES, MEMO_PIECES, codec, merge_piece, vocabulary
-from lexcheck.llm.common import small_batches, table, text_or_empty
+from lexcheck.llm.bpe import MEMO_BYTES, MEMO_PIECES, Codec, load_ranks, merge_piece, vocabulary
+from lexcheck.llm.common import small_batches, table, text_or_empty, worker_memo
 
 RULES = ("most", "first", "split")
 SCHEMA = "doc_id long, n_tokens long, n_sections long, section_tokens array<double>, boundary_tokens long"
@@ -34,7 +34,7 @@ class OffsetMapper:
     """Token byte lengths of a text, with a bounded memo of pieces (lengths as packed bytes)."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.codec = codec(path, pattern)
+        self.codec = Codec(load_ranks(path), pattern)
         self.memo: dict[str, bytes] = {}
 
     def _lengths(self, piece: str) -> bytes:
@@ -53,6 +53,10 @@ class OffsetMapper:
         return np.cumsum(np.frombuffer(packed, "<u4"), dtype=np.int64)
 
 
+def _mapper(path: str, pattern: str) -> OffsetMapper:
+    return worker_memo(f"offsets {path} {pattern}", lambda: OffsetMapper(path, pattern))
+
+
 def line_ends(raw: bytes) -> np.ndarray:
     """Byte ends of the lines, each with its line feed; an empty text is one empty line."""
     ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10).astype(np.int64) + 1
@@ -93,7 +97,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "most") -
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        mapper = OffsetMapper(SparkFiles.get(name), pattern)
+        mapper = _mapper(SparkFiles.get(name), pattern)
         for batch in batches:
             total, sections, counts, crossed = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -122,7 +126,7 @@ def count_field_tokens(rows: DataFrame, key: str, fields: list[str], path: str,
     schema = f"`{key}` {kind}, n_tokens long, " + ", ".join(f"`tokens_{f}` double" for f in fields)
 
     def run(batches):
-        mapper = OffsetMapper(SparkFiles.get(name), pattern)
+        mapper = _mapper(SparkFiles.get(name), pattern)
         for batch in batches:
             texts = [batch.column(1 + i).to_pylist() for i in range(len(fields))]
             made = []

@@ -209,7 +209,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
+        rate = (y.sum() + 0.5) / (len(y) + 2)  # nothing known: not toxic
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, np.zeros(TOP), float(np.log(rate / (1 - rate))))
     # bags are the texts' sentences pooled: a label says that some sentence holds a witness
     bags = [sorted(set().union(*map(words_of, SENTENCE.split(t)), words_of(t))) for t in texts]
