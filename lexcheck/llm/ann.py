@@ -66,34 +66,38 @@ class VantageTree:
         self.vantages = {n: points[node[0]] for n, node in enumerate(self.nodes) if len(node) == 5}
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers (into the points as given; -1: none) and distances of each query's k nearest.
-
-        Queries descend together; at a node each goes to its nearer half first."""
+        """Row numbers (into the points as given; -1: none) and negative inner products of each query's k
+        nearest, ties to smaller rows. Queries descend together, each into its nearer half first."""
         n = len(queries)
-        found, dist = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
+        found, cost, dist = np.full((n, k), -1, np.int64), np.full((n, k), np.inf), np.full(n, np.inf)
         if not self.nodes:
-            return found, dist
+            return found, cost
         square = (queries * queries).sum(1)
-        norms = (self.points * self.points).sum(1)
+        radius = float((self.points * self.points).sum(1).max())  # all augmented points have this norm
         # an allowance for rounding keeps factor 1 exact
-        slack = 1e-9 * (1 + np.sqrt(square.max(initial=0)) + np.sqrt(norms.max(initial=0)))
+        slack = 1e-9 * (1 + np.sqrt(square.max(initial=0)) + np.sqrt(radius))
 
         def visit(node: int, active: np.ndarray) -> None:
             entry = self.nodes[node]
             if len(entry) == 2:
                 lo, hi = entry
-                d = np.sqrt(np.maximum(square[active, None] + norms[None, lo:hi] - 2 * queries[active] @ self.points[lo:hi].T, 0))
-                hit = d.min(1) <= dist[active, -1]
-                active, d = active[hit], d[hit]
+                c = -(queries[active] @ self.points[lo:hi].T)
+                hit = c.min(1) <= cost[active, -1]
+                active, c = active[hit], c[hit]
                 if not len(active):
                     return
-                all_d = np.concatenate([dist[active], d], 1)
-                all_i = np.concatenate([found[active], np.broadcast_to(self.order[lo:hi], d.shape)], 1)
-                best = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(all_d, best, 1)
+                every_c = np.concatenate([cost[active], c], 1)
+                every_i = np.concatenate([found[active], np.broadcast_to(self.order[lo:hi], c.shape)], 1)
+                best = np.argpartition(every_c, k - 1, axis=1)[:, :k]
+                top = np.take_along_axis(every_c, best, 1)
+                tied = np.flatnonzero((every_c <= top.max(1)[:, None]).sum(1) > k)
+                for t in tied.tolist():  # more equal ones than places: the smaller rows
+                    best[t] = np.lexsort((every_i[t], every_c[t]))[:k]
+                top[tied] = np.take_along_axis(every_c[tied], best[tied], 1)
                 rank = np.argsort(top, 1, kind="stable")
-                dist[active] = np.take_along_axis(top, rank, 1)
-                found[active] = np.take_along_axis(np.take_along_axis(all_i, best, 1), rank, 1)
+                cost[active] = np.take_along_axis(top, rank, 1)
+                found[active] = np.take_along_axis(np.take_along_axis(every_i, best, 1), rank, 1)
+                dist[active] = np.sqrt(np.maximum(square[active] + radius + 2 * cost[active, -1], 0))
                 return
             _, near, far, left, right = entry
             d = np.linalg.norm(queries[active] - self.vantages[node], axis=1)
@@ -102,12 +106,12 @@ class VantageTree:
             inner = d <= (near[1] + far[0]) / 2
             for first, child_a, gap_a, child_b, gap_b in ((inner, left, gap_near, right, gap_far), (~inner, right, gap_far, left, gap_near)):
                 for child, gap in ((child_a, gap_a), (child_b, gap_b)):
-                    go = active[first][factor * gap[first] <= dist[active[first], -1] + slack]
+                    go = active[first][factor * gap[first] <= dist[active[first]] + slack]
                     if len(go):
                         visit(child, go)
 
         visit(0, np.arange(n))
-        return found, dist
+        return found, cost
 
 
 def augment(vectors: np.ndarray, most: float) -> np.ndarray:
@@ -121,9 +125,11 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, keep: int) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
-        by = np.argsort(group.reshape(-1), kind="stable")
-        self.ids = [x[:keep] for x in np.split(ids[by], np.cumsum(np.bincount(group.reshape(-1)))[:-1])]
+        distinct, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        by_id = np.argsort(first)  # rows in the order of their smallest ids
+        self.vectors, group = distinct[by_id], np.argsort(by_id)[group.reshape(-1)]
+        by = np.argsort(group, kind="stable")
+        self.ids = [x[:keep] for x in np.split(ids[by], np.cumsum(np.bincount(group))[:-1])]
         self.tree = VantageTree(augment(self.vectors, most))
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[list, list, list]:
