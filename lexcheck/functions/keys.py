@@ -19,6 +19,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexcheck.functions.patterns import min_alpha
+
 # The tracked characters, the counted alphabet, the character sets and their sizes.
 TRACKED = "+-_/AzZqQXx"
 VOWELS = "aeiouAEIOU"
@@ -135,7 +137,7 @@ def is_key(s: str, model: Model, weight: int = 5, least: int = 6, min_word: int
         return False
     if len(s) > LONGEST:
         return True
-    if not re.search(f"[A-Z][a-z]{{{max(min_word - 1, 0)}}}|[a-z]{{{min_word}}}|[A-Z]{{{min_word}}}", s):
+    if not re.search(min_alpha(min_word), s):
         return False
     return classify(s, model, weight)
 

@@ -94,6 +94,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-d", "--dry-run", action="store_true", help="list the files")
     parser.add_argument("-f", "--suppress-file-rules", action="store_true")
     parser.add_argument("-c", "--config")
+    parser.add_argument("--parallel", action=argparse.BooleanOptionalAction, default=True, help="accepted for compatibility: Spark's master decides")
     parser.add_argument("--words", help="folder of bundled word lists")
     parser.add_argument("--project-words", default=".lexcheck_wordlists")
     parser.add_argument("--key-model", help="YAML file of the key classifier")
