@@ -65,11 +65,12 @@ def file_list(spark: SparkSession, patterns: list[str], settings: Settings, fold
 
 
 def read_files(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False) -> DataFrame:
-    """path, content. Lines that are no UTF-8 are emptied, so that offsets after them stay true."""
+    """path, content. A line that is no UTF-8 is blanked, character by character, so that what follows it
+    keeps its place."""
     found = file_list(spark, patterns, settings, folder, suppress_file_rules)
-    return found.select("path", F.decode(F.col("content"), "UTF-8").alias("_text"), F.is_valid_utf8(F.col("content").cast("string")).alias("_valid"), "content").select(
-        "path", F.when(F.col("_valid"), F.col("content").cast("string")).otherwise(F.col("_text")).alias("content")
-    )
+    raw = F.col("content").cast("string")
+    blanked = F.transform(F.split(F.make_valid_utf8(raw), "\n", -1), lambda line: F.when(line.contains("\ufffd"), F.regexp_replace(line, ".", " ")).otherwise(line))
+    return found.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(F.array_join(blanked, "\n")).alias("content"))
 
 
 def first_line(content: Column) -> Column:

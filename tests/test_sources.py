@@ -116,3 +116,9 @@ def test_decisions_add_words(spark, tree):
     words = wordlists.read(spark, str(tree / "words"), "english")
     decided = spark.createDataFrame([("add", "english", "Wurld"), ("skip", None, "Helo")], "action string, name string, value string")
     assert sorted(r["word"] for r in plan.add_words(words, decided).collect()) == ["hello", "there", "world", "wurld"]
+
+
+def test_lines_that_are_no_text(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes(b"good line\nbad \xff\xfe line\nlast h\xc3\xa9\n")
+    got = files.read_files(spark, [], CONFIG, str(tmp_path)).first()["content"]
+    assert got.split("\n")[0] == "good line" and got.split("\n")[1].strip() == "" and got.split("\n")[2] == "last hé"
