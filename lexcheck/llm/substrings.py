@@ -28,7 +28,7 @@ ignored; empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty, worker_memo
+from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty
 from lexcheck.llm.fm_index import FMIndex, range_minima
-from lexcheck.llm.minhash import WordHashes, mixed
+from lexcheck.llm.words import WordArrays, gram_hashes
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams of a window
@@ -46,34 +46,27 @@ BLOCK_BYTES = 2 << 20
 SHARD_PIECES = 20_000
 
 _LOW = np.uint64(1)
-_ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-class Words:
-    """The word hashes of some texts on end. ``doc`` is the text of each word."""
+class Words(WordArrays):
+    """The words of some texts on end, and their six-word grams. ``doc`` is the text of each word."""
 
     def __init__(self, texts: list[str]) -> None:
-        self.split = [t.encode().split() for t in texts]
-        self.lengths = np.array([len(s) for s in self.split], np.int64)
-        total = int(self.lengths.sum())
-        self.hashes = np.fromiter(map(worker_memo("word hashes", WordHashes).__getitem__, chain.from_iterable(self.split)), np.uint64, total)
-        self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        grams = np.zeros(max(0, total - GRAM + 1), np.uint64)
-        for j, odd in enumerate(_ODDS):  # word hashes are uniform, so a weighted sum and one mixing do
-            grams += self.hashes[j : j + len(grams)] * odd
-        self.grams = mixed(grams) & ~_LOW  # the low bit marks repeats in postings
+        super().__init__([t.encode() for t in texts])
+        total = len(self.hashes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        self.grams = gram_hashes(self.hashes, GRAM) & ~_LOW  # the low bit marks repeats in postings
         n = max(0, total - WINDOW + 1)
         self.whole = self.doc[:n] == self.doc[WINDOW - 1 : WINDOW - 1 + n]  # windows inside one text
-        self.gram_whole = self.doc[: len(grams)] == self.doc[GRAM - 1 : GRAM - 1 + len(grams)]
+        self.gram_whole = self.doc[: len(self.grams)] == self.doc[GRAM - 1 : GRAM - 1 + len(self.grams)]
 
     def anchors(self) -> np.ndarray:
         """The gram position of every window's least hash, the leftmost on ties: minima over 2, 4, 8 grams
         give those over 15."""
         n = len(self.whole)
         if not n:
-            return np.zeros(0, np.int64)
-        low, at = self.grams, np.arange(len(self.grams))
+            return np.zeros(0, np.int32)
+        low, at = self.grams, np.arange(len(self.grams), dtype=np.int32)
         for step in (1, 2, 4, SPAN - 8):
             right = low[step:] < low[:-step]
             low = np.where(right, low[step:], low[:-step])
@@ -192,7 +185,7 @@ def _find_spans(blocked: DataFrame, replies: DataFrame, ranges: int) -> DataFram
         np.add.at(near, np.minimum(end, hits + WINDOW), -1)
         near = np.cumsum(near)[:-1] > 0
         border = np.zeros(len(near) + 1, bool)
-        border[words.begin[words.begin < len(near)]] = True  # a span ends with its text
+        border[words.begin] = True  # a span ends with its text
         lo, hi = _runs(near, border)
         out: list[tuple] = []
         hashed: dict[int, int] = {}
@@ -201,7 +194,7 @@ def _find_spans(blocked: DataFrame, replies: DataFrame, ranges: int) -> DataFram
             if k not in hashed:
                 hashed[k] = _text_key(texts[k])
             first = x - int(words.begin[k])
-            out.append((b, None, None, ids[k], hashed[k], first, b" ".join(words.split[k][first : first + y - x]).decode()))
+            out.append((b, None, None, ids[k], hashed[k], first, words.text(x, y)))
         n = len(words.grams)
         inside = words.gram_whole & near[:n] & near[GRAM - 1 : GRAM - 1 + n]
         out.extend((b, p, blob, None, None, None, None) for p, blob in _post(words.grams[inside], ranges))
@@ -219,7 +212,7 @@ def _cut_runs(spans: DataFrame, replies: DataFrame) -> DataFrame:
         at = np.flatnonzero(flags)
         flags[at] = _member(words.grams[at], known)
         border = np.zeros(len(flags) + 1, bool)
-        border[words.begin[words.begin < len(flags)]] = True
+        border[words.begin[words.begin <= len(flags)]] = True
         lo, hi = _runs(flags, border)
         long = hi - lo >= SPAN
         ids, keys, starts = (rows.column(c).to_pylist() for c in ("doc_id", "text_key", "start"))
@@ -229,7 +222,7 @@ def _cut_runs(spans: DataFrame, replies: DataFrame) -> DataFrame:
             k, y = int(words.doc[x]), y + GRAM - 1
             first = x - int(words.begin[k])
             made = hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest()
-            out.append((ids[k], keys[k], starts[k] + first, y - x, made, b" ".join(words.split[k][first : first + y - x]).decode()))
+            out.append((ids[k], keys[k], starts[k] + first, y - x, made, words.text(x, y)))
         return _table(RUN, out)
 
     return spans.select("b", "doc_id", "text_key", "start", "text").groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(cut, RUN_SQL)
