@@ -225,14 +225,17 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
     owner, feature, value = _compact(vocabulary)
     every = ALPHABET**3
 
+    parts = [slice(k, k + 500_000) for k in range(0, len(owner), 500_000)]  # bounds what sums need at a time
+
     def scored(weights: np.ndarray, power: int = 1) -> np.ndarray:
-        return np.bincount(owner, weights[feature] * value**power, minlength=len(vocabulary))
+        return sum(np.bincount(owner[x], weights[feature[x]] * value[x] ** power, minlength=len(vocabulary)) for x in parts)
+
+    def seen_in(counts: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(feature[x], value[x] * counts[owner[x]], minlength=every) for x in parts)
 
     # start: mean log-odds of a word's subsequences by the texts they are seen in, one text of either kind added
     ratio = (single & (y == 1)).sum() / max(1, (single & (y == 0)).sum())
-    pos = np.bincount(feature, value * toxic[owner], minlength=every)
-    neg = np.bincount(feature, value * clean[owner], minlength=every) * ratio
-    score = scored(np.log((pos + 1) / (neg + 1)), 2) + np.log((toxic + 1) / (ratio * clean + 1))
+    score = scored(np.log((seen_in(toxic) + 1) / (seen_in(clean) * ratio + 1)), 2) + np.log((toxic + 1) / (ratio * clean + 1))
     # words that toxic texts use several times as often; the rest, seen in clean texts, are the negatives.
     # A few wrong labels on either side change neither set much.
     eligible = toxic > 5 * ratio * clean + 2 * (clean > 0)
