@@ -105,17 +105,24 @@ def default_model(size: int = 400, seed: int = 11) -> Model:
         return "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "st"]) for _ in range(rng.randint(1, 3)))
 
     def number() -> str:
-        return str(rng.randint(0, 10 ** rng.randint(1, 3) - 1))
+        return str(rng.randint(0, 10 ** rng.choice([1, 1, 1, 2, 3]) - 1))
 
     def key(letters: str, tail: str = "") -> str:
-        return "".join(rng.choice(letters) for _ in range(rng.choice([7, 9, 12, 16, 20, 24, 32, 40, 64]))) + tail
+        return "".join(rng.choice(letters) for _ in range(rng.choice([8, 12, 16, 20, 24, 32, 40, 64]))) + tail
+
+    def name() -> str:
+        """Words and numbers in turn, mostly a word first."""
+        parts = [f() for f in ((word, number) if rng.random() < 0.8 else (number, word)) * 3]
+        return "".join(parts[: rng.randint(2, 6)])
+
+    def hex_word() -> str:
+        return "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 2)))
 
-    joined = lambda sep: sep.join(rng.choice([word(), number()]) for _ in range(rng.randint(2, 4)))
     examples = {
-        "not_key_lower36": [joined("") for _ in range(size)],
-        "not_key_base64": [rng.choice([str.title, str])(word() + number() + joined(rng.choice(["", "_", "-", "/"]))) for _ in range(size)],
-        "not_key_hex": [rng.choice(["face", "bad", "dad", "cafe", "bed"]) + number() + rng.choice(["a", "bee", "fade", "ad"]) for _ in range(size)],
-        "not_key_upper36": [joined("").upper() for _ in range(size)],
+        "not_key_lower36": [name() for _ in range(size)],
+        "not_key_base64": [rng.choice([str.title, str])(name() + rng.choice(["_", "-", "/", ""]) + rng.choice([word(), name()])) for _ in range(size)],
+        "not_key_hex": [hex_word() + str(rng.randint(0, 9)) + rng.choice(["", hex_word()]) for _ in range(size)],
+        "not_key_upper36": [name().upper() for _ in range(size)],
         "key_base64": [key(both, rng.choice(["", "", "=", "=="])) for _ in range(size)],
         "key_hex": [key(hexa) for _ in range(size)],
         "key_lower36": [key(low) for _ in range(size)],

@@ -52,9 +52,9 @@ def test_features_as_columns(spark):
 
 def test_classifier_and_gates():
     model = keys.default_model()
-    for s in ("deadbeef12ab34", "h1h2h3", "abc1def2==="):
+    for s in ("deadbeef12ab34", "h1h2h3", "abc1def2===", "abc123def"):
         assert keys.classify(s, model), s
-    for s in ("utf8mb4_unicode", "ipv4address", "base64encode", "x86_64-linux"):
+    for s in ("utf8mb4_unicode", "ipv4address", "base64encode", "x86_64-linux", "test1test2", "foo1bar2baz3"):
         assert not keys.classify(s, model), s
     assert not keys.is_key("h1h2", model) and keys.is_key("a1" * 101, model) and not keys.is_key("12-34-56", model)
 
