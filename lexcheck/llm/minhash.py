@@ -28,56 +28,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty, worker_memo
+from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty
 from lexcheck.llm.graph import components
+from lexcheck.llm.words import WordArrays, gram_hashes
 
 WORDS = 5
 THRESHOLD = 75  # per cent
 SKETCH, KEYS, COLD_KEYS, HOT_KEYS = 64, 32, 12, 10
 HOT, BLOCK = 200, 1_024
 LEAST_ESTIMATE = 0.48
-MEMO_WORDS = 500_000
-_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word)
-        return made
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` word hashes."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = mixed(h * _ODD + words[j : j + n])
-    return h
-
-
-def shingle_set(text: str, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the document's shingles."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    return np.unique(gram_hashes(h, min(WORDS, len(h))) + np.uint64(min(WORDS, len(h)) % WORDS))
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    words = WordArrays([t.encode().lower() for t in texts])
+    grams = gram_hashes(words.hashes, WORDS)
+    out = []
+    for begin, n in zip(words.begin.tolist(), words.lengths.tolist(), strict=True):
+        if n >= WORDS:
+            out.append(np.unique(grams[begin : begin + n - WORDS + 1]))
+        else:  # the whole sequence, told apart by its length
+            out.append(gram_hashes(words.hashes[begin : begin + n], n) + np.uint64(n) if n else np.zeros(0, np.uint64))
+    return out
 
 
 def is_link(intersection: int | np.ndarray, union: int | np.ndarray) -> bool | np.ndarray:
@@ -98,11 +73,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        memo = worker_memo("word hashes", WordHashes)
         for batch in batches:
             n, sig, keys, low = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, memo)
+            for s in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(_fits(s[:KEYS]))
@@ -265,11 +238,10 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class_id, set (packed sorted hashes) for ``classes(class_id, sig)``, read again from the texts."""
 
     def run(batches):
-        memo = worker_memo("word hashes", WordHashes)
         for batch in batches:
             ids, made = [], []
-            for i, (text, sig) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                s = shingle_set(text, memo).tobytes()
+            for i, (values, sig) in enumerate(zip(shingle_sets(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)):
+                s = values.tobytes()
                 if hashlib.blake2b(s, digest_size=16).digest() == sig:
                     ids.append(batch.column(0)[i].as_py())
                     made.append(s)
