@@ -27,7 +27,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))  # doubles go below
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(root, "hi")
         small = hung.select("hi", F.col("m").alias("lo")).unionByName(hung.filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
