@@ -57,14 +57,11 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate (file sizes for plain scans); no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def blocks_for(df: DataFrame, bytes_each: int, least: int = 48) -> int:
-    """Number of blocks that keeps a block near ``bytes_each``; it grows with the input."""
-    return int(min(1 << 20, max(least, estimated_bytes(df) // bytes_each + 1)))
+def blocks_for(rows: DataFrame, bytes_each: int, least: int = 48) -> int:
+    """Number of blocks that keeps a block's texts near ``bytes_each``; it grows with the input. The sum is
+    taken, not estimated: estimates of joined inputs can be off by any factor."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(least, total // bytes_each + 1))
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -42,7 +42,8 @@ from lexcheck.llm.words import WordArrays, gram_hashes
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams of a window
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 7 << 19  # of text
+BLOCKS_A_RANGE = 16  # a range of the hash space answers what so many blocks post: about 10 MB
 SHARD_PIECES = 20_000
 
 _LOW = np.uint64(1)
@@ -84,8 +85,8 @@ def _post(hashes: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
     values, counts = np.unique(hashes, return_counts=True)
     values |= (counts > 1).astype(np.uint64)
     place = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    cuts = np.searchsorted(place, np.arange(ranges + 1))
-    return [(p, values[cuts[p] : cuts[p + 1]].tobytes()) for p in range(ranges) if cuts[p] < cuts[p + 1]]
+    used, first = np.unique(place, return_index=True)
+    return [(p, values[x:y].tobytes()) for p, x, y in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(values)], strict=True)]
 
 
 def _numbers(column: pa.ChunkedArray, kind=np.uint64) -> list[np.ndarray]:
@@ -323,8 +324,9 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     blocks = blocks_for(rows, BLOCK_BYTES)
     blocked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b"), "doc_id", "text")
-    anchors = materialise(_answers(_post_anchors(blocked, blocks)))
-    found = materialise(_find_spans(blocked, anchors, blocks))
+    ranges = max(48, blocks // BLOCKS_A_RANGE)
+    anchors = materialise(_answers(_post_anchors(blocked, ranges)))
+    found = materialise(_find_spans(blocked, anchors, ranges))
     discard(anchors)
     grams = _answers(found.filter("p is not null"))
     runs = materialise(_cut_runs(found.filter("p is null"), grams))
