@@ -86,7 +86,8 @@ def _post(hashes: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
     values |= (counts > 1).astype(np.uint64)
     place = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     used, first = np.unique(place, return_index=True)
-    return [(p, values[x:y].tobytes()) for p, x, y in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(values)], strict=True)]
+    cuts = np.append(first, len(values)).tolist()
+    return [(p, values[x:y].tobytes()) for p, x, y in zip(used.tolist(), cuts[:-1], cuts[1:], strict=True)]
 
 
 def _numbers(column: pa.ChunkedArray, kind=np.uint64) -> list[np.ndarray]:
