@@ -6,10 +6,14 @@ executors on a cluster); a machine-local folder is used only where that setting
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +82,26 @@ def worker_memo(name: str, make):
     """A Python worker's memo. Workers are reused by later stages, so it outlives a task, but a worker holds
     only one: asking for another drops what the stage before remembered."""
     if name not in _MEMO:
-        _MEMO.clear()
+        forget()
         _MEMO[name] = make()
     return _MEMO[name]
 
 
+def forget() -> None:
+    """Drop the memo of a stage before and hand free memory back to the system: an idle worker's pages count
+    against its executor."""
+    if _MEMO:
+        _MEMO.clear()
+        release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

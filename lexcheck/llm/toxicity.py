@@ -25,6 +25,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import small_batches, table, text_or_empty
+from lexcheck.llm.common import forget, release_memory, small_batches, table, text_or_empty
 
 SPAN, DECAY = 5, 0.6
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -121,6 +122,7 @@ class Scorer:
     """Probabilities of whole texts; remembers words up to a bound."""
 
     def __init__(self, model: Model) -> None:
+        forget()
         self.model, self.weights = model, model.table()
         self.memo: dict[str, float] = {}
 
@@ -301,6 +303,8 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame
         score = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], [key, "score"])
+        score.memo.clear()
+        release_memory()
 
     return docs.select(F.col(f"`{key}`"), text_or_empty().alias("text")).mapInArrow(run, f"`{key}` {kind}, score double")
 
@@ -317,6 +321,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(score(texts) < threshold, pa.bool_()))
+        score.memo.clear()
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -328,14 +334,25 @@ def held_out(doc_id: Column) -> Column:
 def train_on(docs: DataFrame, labels: DataFrame, most_texts: int = 2_000, most_chars: int = 4_000) -> Model:
     """Fit on at most ``most_texts`` labelled ids per class, picked by a hash of the ids, none of them held
     out, as far as their texts have at most ``most_chars`` characters. The picked ids (a fixed number) are
-    broadcast, so texts are not shuffled; the sample itself is bounded by the two parameters."""
+    broadcast, so texts are not shuffled; the sample itself is bounded by the two parameters and goes to one
+    task, which returns the folded model, some kilobytes."""
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     use = use.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [use.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts) for label in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.char_length("text").between(1, most_chars))
     sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
-    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in sample.collect())
-    return fit([t for _, _, t in found], [y for _, y, _ in found])
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        found = sorted(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        forget()
+        model = pickle.dumps(fit([t for _, _, t in found], [y for _, y, _ in found]))
+        found.clear()
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    made = sample.select("doc_id", "toxic", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lexcheck.llm.common import forget
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -39,6 +41,7 @@ class WordArrays:
     bytes, mixed with the length), ``lengths`` the number of words of each text and ``begin`` its first."""
 
     def __init__(self, texts: list[bytes]) -> None:
+        forget()
         self.raw = b" ".join([b"", *texts, b""])
         data = np.frombuffer(self.raw, np.uint8)
         space = _SPACE[data]
