@@ -2,12 +2,14 @@
 
 The dictionary is derived from data: the normal forms of ``benchmark.text``. Queries over "prose lines"
 take the lines without digits, URL, escape and mail characters; on those, words can also be said in SQL.
+Each has a ``whole_*`` query, the same over whole texts and the dictionary of whole texts, without SQL.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,15 @@ CONFIG = settings.build(settings.DEFAULTS)
 PROSE = r"[0-9/%#\\@]"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """``whole``: registered over whole texts as well."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
+        if whole:
+            QUERIES["whole_" + f.__name__.removeprefix("prose_")] = partial(f, words=_tokens)
         return f
 
     return add
@@ -53,8 +59,13 @@ def _prose_tokens(spark: SparkSession, sf_dir: str, name: str = "documents", key
     return tokenize(rows, "place", "line", CONFIG).select(f"place.{key}", F.col("place.at").alias("line_number"), "pos", "value")
 
 
-def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised(_prose_tokens(spark, sf_dir, "benchmark", "item_id")).select(F.lit("benchmark").alias("name"), F.col("norm").alias("word")).distinct()
+def _tokens(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """The words of whole texts."""
+    return tokenize(_table(spark, sf_dir, name), key, "text", CONFIG)
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return normalised(words(spark, sf_dir, "benchmark", "item_id")).select(F.lit("benchmark").alias("name"), F.col("norm").alias("word")).distinct()
 
 
 def _words_sql(name: str, table: str, key: str) -> str:
@@ -107,44 +118,44 @@ def prose_tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prose_tokens(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(langs, "doc_id").groupBy("lang").agg(F.sum("n").alias("tokens"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT doc_id, count(*)::BIGINT AS tokens, count(DISTINCT value)::BIGINT AS distinct_tokens FROM t GROUP BY doc_id")
-def prose_tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prose_tokens(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("value").alias("distinct_tokens"))
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, count(*)::BIGINT AS tokens, count(DISTINCT value)::BIGINT AS distinct_tokens FROM t GROUP BY doc_id", whole=True)
+def prose_tokens_per_doc(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return words(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("value").alias("distinct_tokens"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT length(value)::INT AS chars, count(*)::BIGINT AS tokens FROM t GROUP BY 1")
-def prose_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prose_tokens(spark, sf_dir).groupBy(F.char_length("value").alias("chars")).agg(F.count(F.lit(1)).alias("tokens"))
+@query(f"WITH {TOKENS_SQL} SELECT length(value)::INT AS chars, count(*)::BIGINT AS tokens FROM t GROUP BY 1", whole=True)
+def prose_token_lengths(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return words(spark, sf_dir).groupBy(F.char_length("value").alias("chars")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query(f"""WITH {TOKENS_SQL} SELECT CASE WHEN regexp_full_match(value, '\\p{{Ll}}*') THEN 'lowercase' WHEN regexp_full_match(value, '\\p{{Lu}}*') THEN 'uppercase'
-  WHEN regexp_full_match(value, '\\p{{Lu}}\\p{{Ll}}*') THEN 'capitalize' ELSE 'as_is' END AS style, count(*)::BIGINT AS tokens FROM t GROUP BY 1""")
-def prose_case_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prose_tokens(spark, sf_dir).groupBy(case_style(F.col("value")).alias("style")).agg(F.count(F.lit(1)).alias("tokens"))
+  WHEN regexp_full_match(value, '\\p{{Lu}}\\p{{Ll}}*') THEN 'capitalize' ELSE 'as_is' END AS style, count(*)::BIGINT AS tokens FROM t GROUP BY 1""", whole=True)
+def prose_case_styles(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return words(spark, sf_dir).groupBy(case_style(F.col("value")).alias("style")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query(f"""WITH {TOKENS_SQL}, v AS (SELECT DISTINCT value FROM t) SELECT value, CASE WHEN regexp_full_match(value, '\\p{{Ll}}*') THEN 'lexicon'
-  WHEN regexp_full_match(value, '\\p{{Lu}}*') THEN 'LEXICON' WHEN regexp_full_match(value, '\\p{{Lu}}\\p{{Ll}}*') THEN 'Lexicon' ELSE 'lexicon' END AS recased FROM v""")
-def apply_case_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _prose_tokens(spark, sf_dir).select("value").distinct()
-    return words.select("value", apply_case(case_style(F.col("value")), F.lit("lexicon")).alias("recased"))
+  WHEN regexp_full_match(value, '\\p{{Lu}}*') THEN 'LEXICON' WHEN regexp_full_match(value, '\\p{{Lu}}\\p{{Ll}}*') THEN 'Lexicon' ELSE 'lexicon' END AS recased FROM v""", whole=True)
+def apply_case_styles(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    found = words(spark, sf_dir).select("value").distinct()
+    return found.select("value", apply_case(case_style(F.col("value")), F.lit("lexicon")).alias("recased"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT nfc_normalize(lower(value)) AS norm, count(*)::BIGINT AS n FROM t GROUP BY 1")
-def normalised_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised(_prose_tokens(spark, sf_dir)).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {TOKENS_SQL} SELECT nfc_normalize(lower(value)) AS norm, count(*)::BIGINT AS n FROM t GROUP BY 1", whole=True)
+def normalised_terms(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return normalised(words(spark, sf_dir)).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT doc_id, string_agg(DISTINCT nfc_normalize(lower(value)), ' ' ORDER BY nfc_normalize(lower(value))) AS terms FROM t GROUP BY doc_id")
-def distinct_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_terms(_prose_tokens(spark, sf_dir), "doc_id").select("doc_id", F.array_join("terms", " ").alias("terms"))
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, string_agg(DISTINCT nfc_normalize(lower(value)), ' ' ORDER BY nfc_normalize(lower(value))) AS terms FROM t GROUP BY doc_id", whole=True)
+def distinct_terms_per_doc(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return distinct_terms(words(spark, sf_dir), "doc_id").select("doc_id", F.array_join("terms", " ").alias("terms"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT lang, round(avg(length(value)), 6) AS mean, round(var_pop(length(value)), 6) AS variance, max(length(value))::INT AS longest FROM t JOIN documents USING (doc_id) GROUP BY lang")
-def token_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {TOKENS_SQL} SELECT lang, round(avg(length(value)), 6) AS mean, round(var_pop(length(value)), 6) AS variance, max(length(value))::INT AS longest FROM t JOIN documents USING (doc_id) GROUP BY lang", whole=True)
+def token_length_stats(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
     langs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
     n = F.char_length("value")
-    return _prose_tokens(spark, sf_dir).join(langs, "doc_id").groupBy("lang").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.var_pop(n), 6).alias("variance"), F.max(n).alias("longest"))
+    return words(spark, sf_dir).join(langs, "doc_id").groupBy("lang").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.var_pop(n), 6).alias("variance"), F.max(n).alias("longest"))
 
 
 @query()
@@ -177,39 +188,39 @@ def customer_name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Unknown words and reports.
 
 
-def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.unknown(normalised(_prose_tokens(spark, sf_dir)), _dictionary(spark, sf_dir))
+def _errors(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return check.unknown(normalised(words(spark, sf_dir)), _dictionary(spark, sf_dir, words))
 
 
-@query(f"{ERRORS_SQL} SELECT lang, count(*)::BIGINT AS errors, count(DISTINCT norm)::BIGINT AS words FROM e JOIN documents USING (doc_id) GROUP BY lang")
-def unknown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{ERRORS_SQL} SELECT lang, count(*)::BIGINT AS errors, count(DISTINCT norm)::BIGINT AS words FROM e JOIN documents USING (doc_id) GROUP BY lang", whole=True)
+def unknown_counts(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
     langs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return _errors(spark, sf_dir).join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("errors"), F.countDistinct("norm").alias("words"))
+    return _errors(spark, sf_dir, words).join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("errors"), F.countDistinct("norm").alias("words"))
 
 
-@query(f"{ERRORS_SQL} SELECT DISTINCT norm FROM e")
-def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.word_report(_errors(spark, sf_dir))
+@query(f"{ERRORS_SQL} SELECT DISTINCT norm FROM e", whole=True)
+def unknown_words(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return check.word_report(_errors(spark, sf_dir, words))
 
 
-@query(f"{ERRORS_SQL} SELECT (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS files, count(DISTINCT doc_id)::BIGINT AS files_with_errors, count(*)::BIGINT AS errors, (count(*) > 0)::INT AS exit_code FROM e")
-def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.summary(_table(spark, sf_dir, "documents").select("doc_id"), _errors(spark, sf_dir), "doc_id")
+@query(f"{ERRORS_SQL} SELECT (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS files, count(DISTINCT doc_id)::BIGINT AS files_with_errors, count(*)::BIGINT AS errors, (count(*) > 0)::INT AS exit_code FROM e", whole=True)
+def check_summary(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return check.summary(_table(spark, sf_dir, "documents").select("doc_id"), _errors(spark, sf_dir, words), "doc_id")
 
 
-@query(f"{ERRORS_SQL} SELECT doc_id, count(*)::BIGINT AS errors FROM e GROUP BY doc_id")
-def errors_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"))
+@query(f"{ERRORS_SQL} SELECT doc_id, count(*)::BIGINT AS errors FROM e GROUP BY doc_id", whole=True)
+def errors_per_doc(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return _errors(spark, sf_dir, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"))
 
 
-@query(f"{ERRORS_SQL} SELECT quality, toxic, count(*)::BIGINT AS errors, count(DISTINCT doc_id)::BIGINT AS docs FROM e JOIN labels USING (doc_id) GROUP BY quality, toxic")
-def errors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("errors"), F.countDistinct("doc_id").alias("docs"))
+@query(f"{ERRORS_SQL} SELECT quality, toxic, count(*)::BIGINT AS errors, count(DISTINCT doc_id)::BIGINT AS docs FROM e JOIN labels USING (doc_id) GROUP BY quality, toxic", whole=True)
+def errors_by_label(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return _errors(spark, sf_dir, words).join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("errors"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(f"WITH {TOKENS_SQL},{DICT_SQL} SELECT doc_id, count(*)::BIGINT AS known FROM t WHERE nfc_normalize(lower(value)) IN (SELECT word FROM d) GROUP BY doc_id")
-def known_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.known(normalised(_prose_tokens(spark, sf_dir)), _dictionary(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
+@query(f"WITH {TOKENS_SQL},{DICT_SQL} SELECT doc_id, count(*)::BIGINT AS known FROM t WHERE nfc_normalize(lower(value)) IN (SELECT word FROM d) GROUP BY doc_id", whole=True)
+def known_per_doc(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
+    return check.known(normalised(words(spark, sf_dir)), _dictionary(spark, sf_dir, words)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
 
 
 @query()
@@ -217,16 +228,16 @@ def error_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tokens = normalised(tokenize(docs, "doc_id", "text", CONFIG, offsets=True))
     lines = explode_lines(docs, "doc_id", "text")
-    return check.error_lines(check.unknown(tokens, _dictionary(spark, sf_dir)), lines, "doc_id")
+    return check.error_lines(check.unknown(tokens, _dictionary(spark, sf_dir, _tokens)), lines, "doc_id")
 
 
 # Dictionaries.
 
 
-@query(f"WITH {TOKENS_SQL},{DICT_SQL} SELECT DISTINCT word FROM (SELECT word FROM d UNION ALL SELECT lower(n_name) FROM nation)")
-def dictionary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {TOKENS_SQL},{DICT_SQL} SELECT DISTINCT word FROM (SELECT word FROM d UNION ALL SELECT lower(n_name) FROM nation)", whole=True)
+def dictionary_union(spark: SparkSession, sf_dir: str, words: Callable[..., DataFrame] = _prose_tokens) -> DataFrame:
     names = _table(spark, sf_dir, "nation").select(F.lit("nation").alias("name"), normalise(F.col("n_name")).alias("word"))
-    return wordlists.merge(_dictionary(spark, sf_dir).withColumn("name", F.lit("all")), names.withColumn("name", F.lit("all"))).select("word")
+    return wordlists.merge(_dictionary(spark, sf_dir, words).withColumn("name", F.lit("all")), names.withColumn("name", F.lit("all"))).select("word")
 
 
 @query("SELECT DISTINCT lower(trim(r_name)) AS word FROM region")
