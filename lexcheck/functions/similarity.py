@@ -73,3 +73,74 @@ def candidates(term: str, counts: np.ndarray, lengths: np.ndarray, first: np.nda
     need = np.where(first == (ord(term[0]) if term else -1), (t - 0.4) / 0.6, t)
     common = np.minimum(counts, letter_counts([term])[0]).sum(1)
     return np.flatnonzero(common * (lengths + len(term)) >= (3 * need - 1) * lengths * len(term) - 1e-9)
+
+
+class Words:
+    """Words of a block, ready to be scored against many terms: the pairs and scores of ``jaro_winkler``."""
+
+    MOST = 63  # characters in a machine word; longer ones are scored one by one
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.size = words, len(words)
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.first = np.array([ord(w[0]) for w in words])
+        self.counts = np.ascontiguousarray(letter_counts(words).T)
+        letters = sorted({c for w in words for c in w})
+        self.code = {c: i for i, c in enumerate(letters, 1)}
+        self.codes = np.zeros((min(self.MOST, int(self.lengths.max(initial=0))), self.size), np.int32)
+        for k, w in enumerate(words):
+            if len(w) <= self.MOST:
+                self.codes[: len(w), k] = [self.code[c] for c in w]
+        self.least: dict[tuple[int, int], np.ndarray] = {}
+
+    def candidates(self, term: str) -> np.ndarray:
+        """As the function of this name; the bound depends on the term's length and first letter only."""
+        key = (len(term), ord(term[0]))
+        if key not in self.least:
+            if len(self.least) >= 500:
+                self.least.clear()
+            t = threshold(len(term))
+            need = np.where(self.first == key[1], (t - 0.4) / 0.6, t)
+            self.least[key] = np.ceil((3 * need - 1) * self.lengths * len(term) / (self.lengths + len(term)) - 1e-9).astype(np.int16)
+        common = np.zeros(self.size, np.int16)
+        row = letter_counts([term])[0]
+        for c in np.flatnonzero(row).tolist():
+            common += np.minimum(self.counts[c], row[c])
+        return np.flatnonzero(common >= self.least[key])
+
+    def scores(self, term: str, at: np.ndarray) -> np.ndarray:
+        """Jaro-Winkler of the words ``at`` with the term: each letter takes the first free equal one in reach,
+        found as the lowest bit of a set of positions."""
+        n = len(term)
+        if n > self.MOST or (self.lengths[at] > self.MOST).any():
+            return np.array([jaro_winkler(self.words[i], term) for i in at.tolist()], np.float64)
+        place = np.zeros(len(self.code) + 1, np.uint64)
+        for j, c in enumerate(term):
+            if c in self.code:
+                place[self.code[c]] |= np.uint64(1 << j)
+        size = self.lengths[at]
+        codes = self.codes[: int(size.max(initial=0)), at]
+        masks = place[codes]
+        reach = np.maximum(np.maximum(size, n) // 2 - 1, 0)
+        one, taken = np.uint64(1), np.zeros(len(at), np.uint64)
+        hit = np.zeros(codes.shape, bool)
+        for i in range(len(codes)):
+            up = (one << np.minimum(reach + i + 1, self.MOST).astype(np.uint64)) - one
+            window = up & ~((one << np.clip(i - reach, 0, self.MOST).astype(np.uint64)) - one)
+            free = masks[i] & window & ~taken
+            low = free & (~free + one)
+            taken |= low
+            hit[i] = low != 0
+        m = hit.sum(0)
+        off = np.zeros(len(at), np.int64)
+        for i in range(len(codes)):
+            low = taken & (~taken + one)
+            off += hit[i] & ((masks[i] & low) == 0)
+            taken = np.where(hit[i], taken ^ low, taken)
+        some = np.maximum(m, 1)
+        base = np.where(m > 0, (m / size + m / n + (m - off // 2) / some) / 3, 0.0)
+        prefix, equal = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for i in range(min(PREFIX_MOST, n, len(codes))):
+            equal &= (masks[i] >> np.uint64(i)) & one == one
+            prefix += equal
+        return np.where(base <= GATE, base, base + PREFIX_WEIGHT * prefix * (1 - base))

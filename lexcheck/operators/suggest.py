@@ -7,7 +7,6 @@ pair is emitted that does not reach the threshold.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +35,20 @@ def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
     pairs = terms.withColumn("_word_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(words, "_word_block")
 
     def run(batches):
+        last, index = None, None
         for batch in batches:
             for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                right = [w for w in right if w]
-                counts, lengths = similarity.letter_counts(right), np.array([len(w) for w in right])
-                first = np.array([ord(w[0]) for w in right])
+                if right != last:
+                    last, index = right, similarity.Words([w for w in right if w])
                 out: tuple[list, list, list] = ([], [], [])
-                for term in left:
-                    least = similarity.threshold(len(term))
-                    for i in similarity.candidates(term, counts, lengths, first).tolist():
-                        score = similarity.jaro_winkler(right[i], term)
-                        if score >= least:
-                            out[0].append(term)
-                            out[1].append(right[i])
-                            out[2].append(round(score, 12))  # ties are ties, whatever the last bit
+                for term in filter(None, left):
+                    at = index.candidates(term)
+                    scores = index.scores(term, at)
+                    enough = scores >= similarity.threshold(len(term))
+                    for i, score in zip(at[enough].tolist(), scores[enough].tolist(), strict=True):
+                        out[0].append(term)
+                        out[1].append(index.words[i])
+                        out[2].append(round(score, 12))  # ties are ties, whatever the last bit
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["term", "word", "jw"])
 
     return pairs.select("term", "word").repartition("term").mapInArrow(run, "term string, word string, jw double")

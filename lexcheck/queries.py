@@ -464,6 +464,38 @@ def suggest_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggestions(_ascii_terms(spark, sf_dir), _ascii_words(spark, sf_dir), 5)
 
 
+def _unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct unknown words of all documents and conversations, whole texts, any letters."""
+    talk = _table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    words = normalised(_tokens(spark, sf_dir).select("value").unionByName(tokenize(talk, "key", "text", CONFIG).select("value"))).select("norm").distinct()
+    return check.unknown(words, _dictionary(spark, sf_dir, _tokens)).select(F.col("norm").alias("term"))
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.similar(_unknown_terms(spark, sf_dir), _dictionary(spark, sf_dir, _tokens))
+
+
+@query()
+def whole_suggest_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("jw").alias("best"))
+
+
+@query()
+def whole_suggest_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suggest.tiers(_similar(spark, sf_dir))
+    return rows.groupBy(F.element_at(F.array(*map(F.lit, suggest.TIERS)), F.col("tier") + 1).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"))
+
+
+@query()
+def whole_suggest_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.suggestions(_unknown_terms(spark, sf_dir), _dictionary(spark, sf_dir, _tokens), 1)
+
+
+@query()
+def whole_suggest_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.suggestions(_unknown_terms(spark, sf_dir), _dictionary(spark, sf_dir, _tokens), 5)
+
+
 @query()
 def autocorrect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts corrected with the words that at least two of them hold."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from lexcheck import queries
-from lexcheck.functions import keys
+from lexcheck.functions import keys, similarity
 from lexcheck.functions.text import normalise_text
 from lexcheck.operators.tokenize import Scanner
 
@@ -20,7 +21,8 @@ DOCUMENTS = [
     (6, "", "fr"),
     (7, None, "fr"),
 ]
-BENCHMARK = [(1, "plain prose of tail 2"), (2, "lonely\nworld and alpha"), (3, "see 3 back")]
+BENCHMARK = [(1, "plain prose of tail 2"), (2, "lonely\nworld and alpha"), (3, "see 3 back"), (4, "Döner #4 日本語")]
+CONVERSATIONS = [(1, 0, "lonly wörld 7"), (1, 1, "dönr alfa 日本"), (2, 0, None)]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,7 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("whole"))
     for name, rows, schema in [
         ("documents", DOCUMENTS, "doc_id long, text string, lang string"),
+        ("conversations", CONVERSATIONS, "conv_id long, turn int, text string"),
         ("benchmark", BENCHMARK, "item_id long, text string"),
         ("labels", [(i, i % 2, 0) for i in range(1, 6)], "doc_id long, quality int, toxic int"),
         ("nation", [(1, "Atlantis")], "n_nationkey int, n_name string"),
@@ -80,3 +83,33 @@ def test_whole_errors(spark, tables):
     assert run(spark, tables, "whole_known_per_doc") == sorted(Counter(i for i, w in found if normalise_text(w) in known).items())
     assert run(spark, tables, "whole_dictionary_union") == sorted((w,) for w in known | {"atlantis"})
     assert sorted((r[0], normalise_text(r[3])) for r in run(spark, tables, "error_listing")) == sorted(errors)
+
+
+def test_whole_suggestions(spark, tables):
+    known = {normalise_text(w) for _, w in words(BENCHMARK)}
+    terms = {normalise_text(w) for _, w in [*words(DOCUMENTS), *words([((i, k), t) for i, k, t in CONVERSATIONS])]} - known
+    assert {"döne", "dönr", "wordx"} <= terms
+    want = defaultdict(list)
+    for t in terms:
+        for w in known:
+            if (score := similarity.jaro_winkler(w, t)) >= similarity.threshold(len(t)):
+                want[t].append((-round(score, 12), w))
+    assert "döner" in {w for _, w in want["dönr"]}
+    assert run(spark, tables, "whole_suggest_similar") == sorted((t, len(v), -min(v)[0]) for t, v in want.items())
+    best = {r[0]: (-r[3], r[2]) for r in run(spark, tables, "whole_suggest_top1")}
+    assert best["dönr"][1] == "döner" and set(best) <= set(want) and all(v in want[t] for t, v in best.items())
+    top = run(spark, tables, "whole_suggest_top5")
+    assert {r[0] for r in top} == set(best) and sum(r[2] for r in run(spark, tables, "whole_suggest_tiers")) == len(best)
+
+
+def test_block_scores_equal_single_ones():
+    rng = random.Random(8)
+    found = ["".join(rng.choice("abcdéß日") for _ in range(rng.choice((1, 2, 3, 5, 8, 13, 30, 70)))) for _ in range(400)]
+    short = similarity.Words([w for w in found if len(w) < 64])
+    for block in (short, similarity.Words(found)):
+        for term in [*found[:80], "x", "abcdx日"]:
+            at = block.candidates(term)
+            scores = dict(zip(at.tolist(), block.scores(term, at).tolist(), strict=True))
+            for i, w in enumerate(block.words):
+                one = similarity.jaro_winkler(w, term)
+                assert scores[i] == one if i in scores else one < similarity.threshold(len(term))
