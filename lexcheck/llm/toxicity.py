@@ -14,8 +14,8 @@ Scoring. Landmark expansions are linear in the subsequence features, so the fitt
 weight per subsequence: the kernel expansion is evaluated exactly, at a cost that does not depend on the
 number of landmarks. Runs of single characters between blanks are also read as one word.
 
-The model is fitted on a bounded sample (``most_texts`` per class, each at most ``most_chars`` long, both
-parameters); scoring covers every row and the whole text and shuffles nothing.
+The model is fitted on a bounded sample (``most_texts`` per class, of longer texts whole sentences of at most
+``most_chars``, both parameters); scoring covers every row and the whole text and shuffles nothing.
 
 Defined cases: null and empty texts have no word and count as words of value ``NO_WORD``; with one class
 only, every score is the class's smoothed rate; null labels are ignored; equal texts get equal scores;
@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 import pickle
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -331,16 +332,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def excerpt(text: str, most: int) -> str:
+    """Whole sentences of a longer text, at most ``most`` characters, picked by a hash so that they come from all
+    over the text; blank-separated words if no sentence fits."""
+    for pieces in (re.findall(r"[^.!?\n]+[.!?\n]*", text), text.split()):
+        room, kept = most, []
+        for k in sorted(range(len(pieces)), key=lambda k: (zlib.crc32(f"{k} {pieces[k]}".encode("utf-8", "replace")), k)):
+            if len(pieces[k]) + 1 <= room:
+                room -= len(pieces[k]) + 1
+                kept.append(k)
+        if kept:
+            return " ".join(pieces[k] for k in sorted(kept))
+    return text[:most]
+
+
 def train_on(docs: DataFrame, labels: DataFrame, most_texts: int = 2_000, most_chars: int = 4_000) -> Model:
-    """Fit on at most ``most_texts`` labelled ids per class, picked by a hash of the ids, none of them held
-    out, as far as their texts have at most ``most_chars`` characters. The picked ids (a fixed number) are
-    broadcast, so texts are not shuffled; the sample itself is bounded by the two parameters and goes to one
-    task, which returns the folded model, some kilobytes."""
+    """Fit on at most ``most_texts`` labelled ids per class that have a text, none of them held out: those with a
+    text of at most ``most_chars`` characters first, by a hash of the ids, then longer ones, of which whole
+    sentences of that size are taken. The picked ids (a fixed number) are broadcast, so only ids and lengths
+    are shuffled; the sample itself is bounded by the two parameters and goes to one task, which returns
+    the folded model, some kilobytes."""
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     use = use.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [use.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts) for label in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.char_length("text").between(1, most_chars))
-    sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.char_length("text") > 0).withColumn("long", F.char_length("text") > most_chars)
+    known = use.join(rows.groupBy("doc_id").agg(F.min("long").alias("long")), "doc_id")
+    picked = [known.filter(F.col("toxic") == label).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(most_texts) for label in (0, 1)]
+    found = rows.join(F.broadcast(picked[0].unionByName(picked[1])), ["doc_id", "long"]).select("doc_id", "toxic", "text")
+
+    def shorten(batches):
+        for batch in batches:
+            texts = [t if len(t) <= most_chars else excerpt(t, most_chars) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "toxic", "text"])
+
+    short = found.mapInArrow(shorten, "doc_id long, toxic int, text string")
+    sample = short.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     small_batches(docs.sparkSession)
 
     def run(batches):

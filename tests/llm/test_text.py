@@ -239,6 +239,21 @@ def test_toxicity_operator(spark, docs, clashing, nothing):
     assert (toxicity.Scorer(only)(["x"]) > 0.5).all()
 
 
+def test_long_toxic_texts_are_learnt_from(spark, docs):
+    made, marks = labelled(300)
+    most = max(map(len, made))
+    texts = [". ".join([t] * 3) if y else t for t, y in zip(made, marks, strict=True)]
+    texts = [t + ". " + made[0] * (most // len(made[0]) + 1) if y and len(t) <= most else t for t, y in zip(texts, marks, strict=True)]
+    assert all((len(t) > most) == bool(y) for t, y in zip(texts, marks, strict=True))
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], docs.schema)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(table, toxicity.train_on(table, labels, most_chars=most)).collect()}
+    assert np.mean([(got[k] >= 0.5) == bool(y) for k, y in enumerate(marks)]) >= 0.95
+    piece = toxicity.excerpt("One two. Three four five! " * 50 + "six", 100)
+    assert 0 < len(piece) <= 100 and set(piece.split()) <= set("One two. Three four five! six".split())
+    assert 0 < len(toxicity.excerpt("x" * 500, 100)) <= 100
+
+
 def test_copies_are_no_evidence():
     rows = [np.arange(30), np.arange(30), np.arange(28), np.arange(100, 130)]
     assert toxicity.distinct_bags(rows).tolist() == [True, False, False, True]
