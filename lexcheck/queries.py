@@ -334,6 +334,15 @@ def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", *[F.regexp_count("html", F.lit(p)).alias(n) for n, p in SKIPPED.items()])
 
 
+ALL_SKIPPED = SKIPPED | {f"key_literal_{i}": p for i, p in enumerate(patterns.KEY_LITERALS)} | {"urls": patterns.url(), "colour_hex": patterns.HEX, "repeated": patterns.REPEATED_LETTER, "alphabet": patterns.alphabet_run("iu")}
+
+
+@query()
+def whole_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns of skipped text, those with a look-ahead too."""
+    return _table(spark, sf_dir, "pages").select("page_id", *[F.regexp_count("html", F.lit(p)).alias(n) for n, p in ALL_SKIPPED.items()])
+
+
 @query()
 def skip_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

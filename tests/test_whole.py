@@ -6,9 +6,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 from lexcheck import queries
-from lexcheck.functions import keys, similarity
+from lexcheck.functions import keys, patterns, similarity
 from lexcheck.functions.text import normalise_text
 from lexcheck.operators.tokenize import Scanner
 
@@ -113,3 +114,11 @@ def test_block_scores_equal_single_ones():
             for i, w in enumerate(block.words):
                 one = similarity.jaro_winkler(w, term)
                 assert scores[i] == one if i in scores else one < similarity.threshold(len(term))
+
+
+def test_whole_skip_counts(spark, tmp_path):
+    html = "see https://a.bc/d and //e.fg/h abc zzz #ff0000 data:image/png;base64,iVBORw0KGgo= end"
+    spark.createDataFrame([(1, html), (2, "plain")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    one, two = sorted(queries.QUERIES["whole_skip_counts"](spark, str(tmp_path)).collect())
+    assert [one[c] for c in ("key_literal_5", "urls", "alphabet", "repeated", "colour_hex")] == [1, len(regex.findall(patterns.url(), html)), len(regex.findall(patterns.alphabet_run("i"), html)), len(regex.findall(patterns.REPEATED_LETTER, html)), 1]
+    assert one["urls"] >= 2 and one["alphabet"] >= 1 and two["key_literal_5"] == two["urls"] == 0
