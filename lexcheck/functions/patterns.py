@@ -14,6 +14,8 @@ APOSTROPHE = "[\u2018\u2019']"
 TITLE = rf"\p{{Lu}}\p{{Ll}}+(?:{APOSTROPHE}\p{{Ll}}+(?<!{APOSTROPHE}s))*"
 UPPER = rf"\p{{Lu}}+(?:{APOSTROPHE}\p{{Lu}}+(?<!{APOSTROPHE}[Ss]))*(?:(?!\p{{Ll}})|(?=s(?!\p{{Ll}})))"
 LOWER = rf"\p{{Ll}}+(?:{APOSTROPHE}\p{{Ll}}+(?<!{APOSTROPHE}s))*"
+# Letters that are neither lower nor upper case; said with a look-ahead because Java and Python write the
+# intersection of classes differently.
 OTHER_CASE = r"(?:(?![\p{Ll}\p{Lu}])\p{L})+"
 
 NON_WORDS = r"[^\p{L}/%#0-9\\]+"
@@ -44,18 +46,19 @@ ALPHA_CHUNK = r"[A-Za-z][A-Za-z\-_/+]*"
 DIGIT_CHUNK = r"\p{Nd}[\p{Nd}\-_/+]*"
 POSSIBLE_KEY = rf"(?:{ALPHA_CHUNK}{DIGIT_CHUNK}{ALPHA_CHUNK}|{DIGIT_CHUNK}{ALPHA_CHUNK}{DIGIT_CHUNK})[A-Za-z0-9+/\-_]*=*(?![A-Za-z0-9])"
 
-#: Name in front of ``:disable``, ``:enable`` and ``:disable-line``; by default any lower-case name.
-ANY_NAME = "[a-z]+"
+#: Name in front of ``:disable``, ``:enable`` and ``:disable-line``: this tool's own. Another name, or several
+#: as a pattern (``lexcheck|othertool``), can be given; markers of other tools are words.
+OWN_NAME = "lexcheck"
 
 TERM = f"{TITLE}|{UPPER}|{LOWER}|{OTHER_CASE}"
 
 
-def marker(word: str, name: str = ANY_NAME) -> str:
-    return f"{name}:{word}"
+def marker(word: str, name: str = OWN_NAME) -> str:
+    return f"(?:{name}):{word}"
 
 
-def line_marker(name: str = ANY_NAME) -> str:
-    return rf"{name}:disable[-:]line"
+def line_marker(name: str = OWN_NAME) -> str:
+    return rf"(?:{name}):disable[-:]line"
 
 
 @lru_cache
@@ -96,6 +99,9 @@ def min_alpha(n: int) -> str:
     return f"[A-Z][a-z]{{{max(n - 1, 0)}}}|[a-z]{{{n}}}|[A-Z]{{{n}}}"
 
 
-def needs_scanner(name: str = ANY_NAME) -> str:
-    """Texts that the tiling alone cannot do: possible keys and region markers, anywhere (a superset)."""
-    return rf"{POSSIBLE_KEY}|{name}:(?:disable|enable)"
+#: Every possible key has a digit, perhaps separators, and a letter in this order; cheap to search for.
+MAYBE_KEY = r"\p{Nd}[\-_/+]*[A-Za-z]"
+
+
+def any_marker(name: str = OWN_NAME) -> str:
+    return rf"(?:{name}):(?:disable|enable)"

@@ -66,65 +66,85 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return out
 
 
-def candidates(term: str, counts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of the dictionary that can reach the threshold: with J the least Jaro similarity that leads
-    there, the letters in common number at least (3 J - 1) |a| |b| / (|a| + |b|)."""
-    t = threshold(len(term))
-    need = np.where(first == (ord(term[0]) if term else -1), (t - 0.4) / 0.6, t)
-    common = np.minimum(counts, letter_counts([term])[0]).sum(1)
-    return np.flatnonzero(common * (lengths + len(term)) >= (3 * need - 1) * lengths * len(term) - 1e-9)
-
-
 class Words:
-    """Words of a block, ready to be scored against many terms: the pairs and scores of ``jaro_winkler``."""
+    """Words of a block, ready to be scored against blocks of terms: the pairs and scores of ``jaro_winkler``."""
 
-    MOST = 63  # characters in a machine word; longer ones are scored one by one
+    MOST = 63  # characters in a machine word; pairs with longer ones are scored one by one
+    TERMS, PAIRS = 64, 200_000  # bounds of what is held at a time: terms against all words, scored pairs
 
     def __init__(self, words: list[str]) -> None:
         self.words, self.size = words, len(words)
         self.lengths = np.array([len(w) for w in words], np.int64)
         self.first = np.array([ord(w[0]) for w in words])
-        self.counts = np.ascontiguousarray(letter_counts(words).T)
+        counts = letter_counts(words)
+        #: letters by how often: (c, k) says that a word has the letter c at least k times
+        self.least = [(c, k) for c in range(counts.shape[1]) for k in range(1, int(counts[:, c].max(initial=0)) + 1)]
+        self.unary = self._unary(counts)
         letters = sorted({c for w in words for c in w})
         self.code = {c: i for i, c in enumerate(letters, 1)}
         self.codes = np.zeros((min(self.MOST, int(self.lengths.max(initial=0))), self.size), np.int32)
         for k, w in enumerate(words):
             if len(w) <= self.MOST:
                 self.codes[: len(w), k] = [self.code[c] for c in w]
-        self.least: dict[tuple[int, int], np.ndarray] = {}
-
-    def candidates(self, term: str) -> np.ndarray:
-        """As the function of this name; the bound depends on the term's length and first letter only."""
-        key = (len(term), ord(term[0]))
-        if key not in self.least:
-            if len(self.least) >= 500:
-                self.least.clear()
-            t = threshold(len(term))
-            need = np.where(self.first == key[1], (t - 0.4) / 0.6, t)
-            self.least[key] = np.ceil((3 * need - 1) * self.lengths * len(term) / (self.lengths + len(term)) - 1e-9).astype(np.int16)
-        common = np.zeros(self.size, np.int16)
-        row = letter_counts([term])[0]
-        for c in np.flatnonzero(row).tolist():
-            common += np.minimum(self.counts[c], row[c])
-        return np.flatnonzero(common >= self.least[key])
-
-    def scores(self, term: str, at: np.ndarray) -> np.ndarray:
-        """Jaro-Winkler of the words ``at`` with the term: each letter takes the first free equal one in reach,
-        found as the lowest bit of a set of positions."""
-        n = len(term)
-        if n > self.MOST or (self.lengths[at] > self.MOST).any():
-            return np.array([jaro_winkler(self.words[i], term) for i in at.tolist()], np.float64)
-        place = np.zeros(len(self.code) + 1, np.uint64)
-        for j, c in enumerate(term):
-            if c in self.code:
-                place[self.code[c]] |= np.uint64(1 << j)
-        size = self.lengths[at]
-        codes = self.codes[: int(size.max(initial=0)), at]
-        masks = place[codes]
+
+    def _unary(self, counts: np.ndarray) -> np.ndarray:
+        if not self.least:
+            return np.zeros((len(counts), 0), np.float32)
+        return np.stack([counts[:, c] >= k for c, k in self.least], 1).astype(np.float32)
+
+    def candidates(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(term, word) of the pairs that can reach the term's threshold: with J the least Jaro similarity that
+        leads there, the letters in common number at least (3 J - 1) |a| |b| / (|a| + |b|). Letters in
+        common are a product of the unary counts."""
+        n = np.array([len(t) for t in terms], np.float64)[:, None]
+        limit = np.where(n > 4, threshold(5), threshold(4))
+        need = np.where(np.array([ord(t[0]) for t in terms])[:, None] == self.first, (limit - 0.4) / 0.6, limit)
+        least = np.ceil((3 * need - 1) * self.lengths * n / (self.lengths + n) - 1e-9)
+        return np.nonzero(self._unary(letter_counts(terms)) @ self.unary.T >= least)
+
+    def matches(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, word, score) of all pairs at or over the term's threshold."""
+        found = []
+        for k in range(0, len(terms), self.TERMS):
+            part = terms[k : k + self.TERMS]
+            t, w = self.candidates(part)
+            limit = np.array([threshold(len(x)) for x in part])
+            for lo in range(0, len(t), self.PAIRS):
+                mine, theirs = t[lo : lo + self.PAIRS], w[lo : lo + self.PAIRS]
+                score = self.scores(part, mine, theirs)
+                enough = score >= limit[mine]
+                found.append((mine[enough] + k, theirs[enough], score[enough]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def scores(self, terms: list[str], t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Jaro-Winkler of the pairs (t, w)."""
+        out = np.zeros(len(t))
+        sizes = np.array([len(x) for x in terms])
+        long = (sizes[t] > self.MOST) | (self.lengths[w] > self.MOST)
+        for p in np.flatnonzero(long).tolist():
+            out[p] = jaro_winkler(self.words[w[p]], terms[t[p]])
+        short = np.flatnonzero(~long)
+        if len(short):
+            out[short] = self._short_scores(terms, sizes, t[short], w[short])
+        return out
+
+    def _short_scores(self, terms: list[str], sizes: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Each letter of the word takes the first free equal one of the term in reach, found as the lowest bit
+        of a set of positions; one step per letter serves all pairs."""
+        place = np.zeros((len(terms), len(self.code) + 1), np.uint64)
+        for k, term in enumerate(terms):
+            for j, c in enumerate(term[: self.MOST]):
+                if c in self.code:
+                    place[k, self.code[c]] |= np.uint64(1 << j)
+        n, size = sizes[t], self.lengths[w]
+        steps = int(size.max())
+        masks = place[t, self.codes[:steps, w]]
         reach = np.maximum(np.maximum(size, n) // 2 - 1, 0)
-        one, taken = np.uint64(1), np.zeros(len(at), np.uint64)
-        hit = np.zeros(codes.shape, bool)
-        for i in range(len(codes)):
+        one, taken = np.uint64(1), np.zeros(len(t), np.uint64)
+        hit = np.zeros(masks.shape, bool)
+        for i in range(steps):
             up = (one << np.minimum(reach + i + 1, self.MOST).astype(np.uint64)) - one
             window = up & ~((one << np.clip(i - reach, 0, self.MOST).astype(np.uint64)) - one)
             free = masks[i] & window & ~taken
@@ -132,15 +152,15 @@ class Words:
             taken |= low
             hit[i] = low != 0
         m = hit.sum(0)
-        off = np.zeros(len(at), np.int64)
-        for i in range(len(codes)):
+        off = np.zeros(len(t), np.int64)
+        for i in range(steps):
             low = taken & (~taken + one)
             off += hit[i] & ((masks[i] & low) == 0)
             taken = np.where(hit[i], taken ^ low, taken)
         some = np.maximum(m, 1)
         base = np.where(m > 0, (m / size + m / n + (m - off // 2) / some) / 3, 0.0)
-        prefix, equal = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-        for i in range(min(PREFIX_MOST, n, len(codes))):
+        prefix, equal = np.zeros(len(t), np.int64), np.ones(len(t), bool)
+        for i in range(min(PREFIX_MOST, steps)):
             equal &= (masks[i] >> np.uint64(i)) & one == one
             prefix += equal
         return np.where(base <= GATE, base, base + PREFIX_WEIGHT * prefix * (1 - base))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,46 @@ CASES = ("lowercase", "uppercase", "capitalize", "as_is")
 RED, RESET = "\x1b[31m", "\x1b[0m"
 
 
+@lru_cache
+def _composition() -> tuple[str, str, dict[str, str]]:
+    """What composition does to single letters: (letters, their one-letter forms, {letter: longer form})."""
+    forms = {c: unicodedata.normalize("NFC", c) for c in map(chr, range(0x300, 0x30000)) if unicodedata.category(c)[0] == "L"}
+    ones = {c: f for c, f in forms.items() if f != c and len(f) == 1}
+    return "".join(ones), "".join(ones.values()), {c: f for c, f in forms.items() if len(f) > 1}
+
+
+# Fixed values of the Hangul composition rule: leading consonants, vowels, trailing consonants, syllables.
+JAMO = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"
+
+
+def _syllable(piece: Column) -> Column:
+    """A run of conjoining letters as one syllable; other pieces as they are."""
+    code = lambda k: F.ascii(F.substr(piece, F.lit(k), F.lit(1)))
+    n = F.char_length(piece)
+    tail = F.when(n == 3, code(3) - 0x11A7).otherwise(0)
+    joined = F.when(code(1) < 0x1113, 0xAC00 + ((code(1) - 0x1100) * 21 + (code(2) - 0x1161)) * 28 + tail).otherwise(code(1) + code(2) - 0x11A7)
+    open_end = (code(1) < 0x1113) | ((code(1) - 0xAC00) % 28 == 0)
+    return F.when((n > 1) & open_end, F.decode(F.unhex(F.hex(joined)), "UTF-16BE")).otherwise(piece)
+
+
+def compose_letters(value: Column) -> Column:
+    """NFC of text without combining marks, in built-in expressions: letters that composition replaces by
+    another, letters it takes apart, and conjoining Hangul letters, which are the only letters that meet."""
+    before, after, longer = _composition()
+    ones = F.translate(value, before, after)
+    pairs = F.create_map(*[F.lit(x) for item in longer.items() for x in item])
+    apart = F.array_join(F.transform(F.split(ones, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    split = F.when(ones.rlike("[" + "".join(longer) + "]"), apart).otherwise(ones)
+    pieces = F.regexp_extract_all(split, F.lit(rf"({JAMO}|[\s\S])"), F.lit(1))
+    return F.when(split.rlike(JAMO), F.array_join(F.transform(pieces, _syllable), "")).otherwise(split)
+
+
+def normalise_word(low: Column) -> Column:
+    """``normalise`` for lower-case words (letters and apostrophes only) without leaving the JVM: composed,
+    curly quotes straight. Latin words are composed already; only others go on."""
+    return F.when(low.rlike("[^\\x00-\u02ff]"), F.translate(compose_letters(low), "\u2018\u2019", "''")).otherwise(low)
+
+
 def _compose(value: Column) -> Column:
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -21,23 +62,15 @@ def _compose(value: Column) -> Column:
 
 
 def normalise(value: Column) -> Column:
-    """Trimmed, lower case, composed, curly quotes straight. Composition runs in Python only for words with
-    letters beyond Latin and its accents; others are composed already."""
-    low = F.lower(F.trim(value))
-    composed = F.when(low.rlike("[\u0300-\uffff\\x{10000}-\\x{10ffff}&&[^\u2018\u2019]]"), _compose(low)).otherwise(low)
-    return F.translate(composed, "\u2018\u2019", "''")
-
-
-def normalise_simple(value: Column) -> Column:
-    """``normalise`` for text known to be composed; built-in expressions only."""
-    return F.translate(F.lower(F.trim(value)), "\u2018\u2019", "''")
+    """Trimmed, lower case, composed, curly quotes straight, for any text. Every value goes through Python, so
+    this is for dictionary entries and short lists; tokens take ``normalise_word``."""
+    return F.translate(_compose(F.lower(F.trim(value))), "\u2018\u2019", "''")
 
 
 def normalise_text(value: str) -> str:
     return unicodedata.normalize("NFC", value.strip().lower()).replace("\u2018", "'").replace("\u2019", "'")
 
 
-
 def case_style(value: Column) -> Column:
     """How the letters of a word are cased; caseless scripts are ``as_is`` unless nothing distinguishes."""
     letters = F.regexp_replace(value, r"[^\p{L}]", "")

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.operators.suggest import recased, suggestions
+from lexcheck.storage import materialise, small_batches
 
 
-def splice(content: Column, edits: Column) -> Column:
-    """The text with ``edits`` (array of start, length, replacement; starts from 0, no overlaps) applied.
+EDIT = "struct<start:int,length:int,replacement:string>"
 
-    The edits are sorted and the text between them is cut out by position, so the cost is one pass."""
-    ordered = F.array_sort(edits)
-    last = F.element_at(ordered, -1)
-    pieces = F.transform(
-        ordered,
-        lambda e, i: F.concat(
-            F.substr(content, F.when(i == 0, 1).otherwise(F.get(ordered, i - 1)["start"] + F.get(ordered, i - 1)["length"] + 1), e["start"] - F.when(i == 0, 0).otherwise(F.get(ordered, i - 1)["start"] + F.get(ordered, i - 1)["length"])),
-            e["replacement"],
-        ),
-    )
-    return F.when(F.coalesce(F.size(edits), F.lit(0)) == 0, content).otherwise(F.concat(F.array_join(pieces, ""), F.substr(content, last["start"] + last["length"] + 1)))
+
+def spliced(content: str, edits: list[dict]) -> str:
+    """The text with the edits (start from 0, length, replacement; no overlaps, any order) applied."""
+    pieces, at = [], 0
+    for e in sorted(edits, key=lambda e: e["start"]):
+        pieces += [content[at : e["start"]], e["replacement"]]
+        at = e["start"] + e["length"]
+    return "".join([*pieces, content[at:]])
+
+
+def splice(rows: DataFrame, content: str, edits: str) -> DataFrame:
+    """``rows`` with ``content`` edited and without the ``edits`` column (array of EDIT, or null).
+
+    Rows without edits stay in the JVM. The others are cut and joined in Python, one pass a text: Spark's
+    substr walks the text from its start for every edit, which is quadratic for long texts."""
+    small_batches(rows.sparkSession)
+    kept = [c for c in rows.columns if c != edits]
+    place, at = kept.index(content), len(kept)
+    some = F.coalesce(F.size(edits), F.lit(0)) > 0
+
+    def run(batches):
+        for batch in batches:
+            made = pa.array([spliced(t, e) for t, e in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([made if i == place else batch.column(i) for i in range(at)], kept)
+
+    plain = rows.filter(~some | F.col(content).isNull()).select(kept)
+    return plain.unionByName(rows.filter(some & F.col(content).isNotNull()).select(*kept, edits).mapInArrow(run, plain.schema))
 
 
 def planned(errors: DataFrame, words: DataFrame) -> DataFrame:
-    """Errors with their best suggestion, re-cased, or null."""
+    """Errors with ``suggestion``, their best one, re-cased, or null."""
     best = suggestions(errors.select(F.col("norm").alias("term")), words, 1).select(F.col("term").alias("norm"), "word")
     return recased(errors.join(best, "norm", "left"))
 
@@ -41,8 +58,8 @@ def autocorrect(texts: DataFrame, errors: DataFrame, words: DataFrame, key: str,
         F.count_if(F.col("suggestion").isNull()).alias("unfixed"),
     )
     joined = texts.select(key, content).join(edits, key, "left")
-    none = F.array().cast("array<struct<start:int,length:int,replacement:string>>")
-    return joined.select(key, splice(F.col(content), F.coalesce("_edits", none)).alias(content), F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"))
+    rows = joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), F.col("_edits"))
+    return splice(materialise(rows), content, "_edits")
 
 
 def decide(errors: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
@@ -56,5 +73,22 @@ def decide(errors: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     return rows.select(*errors.columns, action.alias("action"), F.col("_replacement").alias("replacement"), F.col("_name").alias("name"))
 
 
+def list_for(addable: Column, letter: Column) -> Column:
+    """The list a word is added to: that of the first addable language of the file (as ``addable_of`` gives them)
+    with this letter; null if there is none."""
+    return F.get(F.filter(addable, lambda x: x["key"] == letter), 0)["name"]
+
+
+def with_lists(decisions: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Decisions to add a word, ``decisions(action, <key>, letter, ...)``, with the ``name`` of the list of the file
+    they were made in; those that no list of the file takes become ``refused``, which ``decide`` leaves reported."""
+    takes = files.select(F.col(key).alias("_key"), "addable")
+    rows = decisions.join(takes, decisions[key] == F.col("_key"), "left")
+    name = F.when(F.col("action") == "add", list_for(F.col("addable"), F.col("letter")))
+    action = F.when((F.col("action") == "add") & name.isNull(), "refused").otherwise(F.col("action"))
+    kept = [c for c in decisions.columns if c not in ("action", "letter", "name")]
+    return rows.select(action.alias("action"), *kept, name.alias("name"))
+
+
 def action_counts(decided: DataFrame) -> DataFrame:
     return decided.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("skip", "replace", "add", "report")])

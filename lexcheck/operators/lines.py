@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexcheck.functions.patterns import ANY_NAME, line_marker
+from lexcheck.functions.patterns import OWN_NAME, line_marker
 
 
 def split_lines(content: Column) -> Column:
@@ -26,15 +26,15 @@ def line_offsets(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("line_char_offset", add(F.char_length)).withColumn("line_byte_offset", add(F.octet_length))
 
 
-def without_disabled_lines(lines: DataFrame, name: str = ANY_NAME) -> DataFrame:
+def without_disabled_lines(lines: DataFrame, name: str = OWN_NAME) -> DataFrame:
     return lines.filter(~F.col("line").rlike(line_marker(name)))
 
 
-def active_lines(lines: DataFrame, key: str, name: str = ANY_NAME) -> DataFrame:
+def active_lines(lines: DataFrame, key: str, name: str = OWN_NAME) -> DataFrame:
     """Lines outside disabled regions, for markers that fill a line of their own or end one: the state is
     the last marker of the lines before. Only texts that hold a marker are sorted by line."""
     usable = without_disabled_lines(lines, name)
-    last = F.regexp_extract(F.col("line"), rf"(?s)^.*{name}:(disable|enable)", 1)
+    last = F.regexp_extract(F.col("line"), rf"(?s)^.*(?:{name}):(disable|enable)", 1)
     marked = usable.filter(last != "").select(key).distinct()
     plain = usable.join(marked, key, "left_anti")
     order = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)

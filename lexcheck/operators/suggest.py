@@ -7,6 +7,7 @@ pair is emitted that does not reach the threshold.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lexcheck.functions import similarity
 from lexcheck.functions.text import apply_case, case_style
 from lexcheck.shipping import ship
+from lexcheck.storage import materialise, small_batches
 
 TERM_BLOCK, WORD_BLOCK = 2_000, 20_000
 TIERS = ("mistype", "misspell", "wild")
@@ -28,10 +30,11 @@ def _blocks(df: DataFrame, column: str, size: int, name: str) -> tuple[DataFrame
 
 def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
     """term, word, jw for all pairs at or over the term's threshold; ``terms(term)`` and ``words(word)``
-    are made distinct."""
+    are made distinct and written once, since both are counted and then read."""
     ship(terms.sparkSession)
-    terms, _ = _blocks(terms.select("term").distinct(), "term", TERM_BLOCK, "_term_block")
-    words, n = _blocks(words.select("word").distinct(), "word", WORD_BLOCK, "_word_block")
+    small_batches(terms.sparkSession)
+    terms, _ = _blocks(materialise(terms.select("term").distinct()), "term", TERM_BLOCK, "_term_block")
+    words, n = _blocks(materialise(words.select("word").distinct()), "word", WORD_BLOCK, "_word_block")
     pairs = terms.withColumn("_word_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(words, "_word_block")
 
     def run(batches):
@@ -40,16 +43,11 @@ def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
             for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if right != last:
                     last, index = right, similarity.Words([w for w in right if w])
-                out: tuple[list, list, list] = ([], [], [])
-                for term in filter(None, left):
-                    at = index.candidates(term)
-                    scores = index.scores(term, at)
-                    enough = scores >= similarity.threshold(len(term))
-                    for i, score in zip(at[enough].tolist(), scores[enough].tolist(), strict=True):
-                        out[0].append(term)
-                        out[1].append(index.words[i])
-                        out[2].append(round(score, 12))  # ties are ties, whatever the last bit
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["term", "word", "jw"])
+                terms = [t for t in left if t]
+                t, w, score = index.matches(terms)
+                # rounded: ties are ties, whatever the last bit
+                columns = [pa.array(terms, pa.string()).take(pa.array(t)), pa.array(index.words, pa.string()).take(pa.array(w)), pa.array(np.round(score, 12))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "word", "jw"])
 
     return pairs.select("term", "word").repartition("term").mapInArrow(run, "term string, word string, jw double")
 

@@ -1,32 +1,46 @@
 """Words of texts with their positions.
 
 Most texts take the built-in path: one regular expression tiles each line, its second group being the
-words. Texts that hold a possible key or a region marker anywhere go through a scanner in Python (Arrow
-batches), because a rejected key resumes inside itself and markers carry state from line to line; both
-paths give the same rows. A text is scanned whole by either, so state needs no sort and no shuffle.
+words. Texts that hold a possible key or a region marker anywhere go, whole, through a scanner in Python
+(Arrow batches), because a rejected key resumes inside itself and markers carry state from line to line.
+Both paths give the same rows (``pos`` numbers the words of a line), and neither shuffles; where offsets are
+asked for, the lengths of the built-in path's tiles are summed over Arrow columns. The two are
+branches of a union over the same scan; the test that tells them apart is a literal or digit search, cheap
+beside the tiling, so the text column is read twice and tiled once.
+
+Counting needs less: outside marked texts no pattern looks past a blank, so words can be counted from the
+distinct blank-separated pieces (``token_counts``), which are far fewer than the pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.functions import keys, patterns
-from lexcheck.functions.text import normalise
-from lexcheck.operators.lines import explode_lines
+from lexcheck.functions.text import normalise_word
+from lexcheck.operators.lines import split_lines
 from lexcheck.shipping import ship
 from lexcheck.sources.settings import Settings
 
 TOKENS = ["line_number", "pos", "value", "char_offset", "byte_offset"]
+KEY = "__key"
+#: Blanks no pattern crosses.
+BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
 class Scanner:
-    """The sequential scanner: skips, keys, leftovers, markers, words, one character at a time otherwise."""
+    """The sequential scanner: skips, keys, leftovers, markers, words, one character at a time otherwise.
 
-    def __init__(self, settings: Settings, model: keys.Model, skip_keys: bool = True, name: str = patterns.ANY_NAME) -> None:
+    Look-behinds of the patterns stay inside their match, so matching at a position is matching the rest of
+    the line: one pass, whatever the line's length."""
+
+    def __init__(self, settings: Settings, model: keys.Model, skip_keys: bool = True, name: str = patterns.OWN_NAME) -> None:
         import regex
 
         compiled = lambda p: regex.compile(p).match
@@ -44,24 +58,22 @@ class Scanner:
         """(offset, word) of one line, and whether the region is disabled after it."""
         out, pos = [], 0
         while pos < len(line):
-            # patterns see what is left of the line only, as if it began here
-            rest = line[pos:] if pos else line
-            m = self.skip(rest)
-            if not m and self.key and (m := self.key(rest)) and not self._is_key(m.group()):
+            m = self.skip(line, pos)
+            if not m and self.key and (m := self.key(line, pos)) and not self._is_key(m.group()):
                 m = None
-            m = m or self.after(rest)
+            m = m or self.after(line, pos)
             if m:
-                pos += m.end()
+                pos = m.end()
                 continue
-            m = (self.enable if disabled else self.disable)(rest)
+            m = (self.enable if disabled else self.disable)(line, pos)
             if m:
-                disabled, pos = not disabled, pos + m.end()
+                disabled, pos = not disabled, m.end()
                 continue
-            m = self.term(rest)
+            m = self.term(line, pos)
             if m:
-                if not disabled and m.end() >= self.settings.word_minimum_length:
+                if not disabled and m.end() - pos >= self.settings.word_minimum_length:
                     out.append((pos, m.group()))
-                pos += m.end()
+                pos = m.end()
             else:
                 pos += 1
         return out, disabled
@@ -82,50 +94,98 @@ class Scanner:
                 yield number, k, word, at, size
 
 
-def _scanned(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model, name: str) -> DataFrame:
-    ship(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
+def _scanned(rows: DataFrame, settings: Settings, model: keys.Model, name: str) -> DataFrame:
+    """The scanner over ``rows(KEY, content)``."""
+    ship(rows.sparkSession)
+    kind = rows.schema[KEY].dataType.simpleString()
 
     def run(batches):
         scanner = Scanner(settings, model, name=name)
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for row in scanner.text(text):
-                    at.append(i)
-                    rows.append(row)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], [key, *TOKENS])
+            for i in range(batch.num_rows):  # a text at a time: memory holds one text's words
+                found = list(scanner.text(batch.column(1)[i].as_py()))
+                if found:
+                    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+                    made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                    key = batch.column(0).take(pa.array([i] * len(found), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([key, *made], [KEY, *TOKENS])
+
+    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int")
 
-    schema = f"`{key}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int"
-    return df.select(key, content).mapInArrow(run, schema)
 
+def _placed(lines: DataFrame, least: int) -> DataFrame:
+    """The words of ``lines(KEY, line_number, line)`` with their offsets: running sums over the tiles' lengths,
+    taken over whole Arrow columns, a line's sums starting from its first tile."""
+    ship(lines.sparkSession)
+    kind = lines.schema[KEY].dataType.simpleString()
 
-def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, offsets: bool = False, name: str = patterns.ANY_NAME) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            tiles, words = batch.column(3), batch.column(2).flatten()
+            sizes = pc.list_value_length(tiles).to_numpy(zero_copy_only=False)
+            flat = tiles.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            keep = pc.utf8_length(words).to_numpy(zero_copy_only=False) >= least
+            offsets = []
+            for length in (pc.utf8_length(flat), pc.binary_length(flat)):
+                ahead = np.concatenate(([0], np.cumsum(length.to_numpy(zero_copy_only=False), dtype=np.int64)))
+                first = ahead[np.cumsum(sizes) - sizes]
+                offsets.append(pa.array((ahead[:-1] - first[row])[keep], pa.int32()))
+            row = row[keep]
+            pos = np.arange(len(row)) - np.searchsorted(row, row, "left")
+            picked = pa.array(row)
+            columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), words.filter(pa.array(keep)), *offsets]
+            yield pa.RecordBatch.from_arrays(columns, [KEY, *TOKENS])
+
+    rows = lines.select(KEY, "line_number", F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2)).alias("words"), F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(0)).alias("tiles"))
+    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int")
+
+
+def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows(KEY, content)`` without and with a possible key or a region marker."""
+    text = F.col("content")
+    hard = (text.rlike(patterns.MAYBE_KEY) & text.rlike(patterns.POSSIBLE_KEY)) | text.rlike(patterns.any_marker(name))
+    return rows.filter(~hard), rows.filter(hard)
+
+
+def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, offsets: bool = False, name: str = patterns.OWN_NAME) -> DataFrame:
     """key, line_number, pos, value and, with ``offsets``, char_offset and byte_offset in the line.
 
-    ``pos`` orders the words of a line. Without offsets nothing is shuffled. Null texts have no words."""
-    df = df.select(key, content).filter(F.col(content).isNotNull())
-    hard = F.col(content).rlike(patterns.needs_scanner(name))
-    lines = explode_lines(df.filter(~hard), key, content)
-    tiles = F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2))
+    ``pos`` numbers the words of a line from 0. Nothing is shuffled. Null and empty texts have no words; rows
+    that repeat a key give their words each; the key may have any name but those of the result's columns."""
+    if key in TOKENS:
+        raise ValueError(f"a key column cannot be called {key}: the result has a column of that name")
+    rows = df.select(F.col(f"`{key}`").alias(KEY), F.col(f"`{content}`").alias("content")).filter("content is not null")
+    easy, hard = _split(rows, name)
+    least = max(1, settings.word_minimum_length)
+    # outer generators: for plain ones Spark adds a size filter below, which would tile every line once more
+    lines = easy.select(KEY, F.posexplode_outer(split_lines(F.col("content"))).alias("at", "line")).filter("line is not null").select(KEY, (F.col("at") + 1).alias("line_number"), "line")
     if offsets:
-        zipped = F.arrays_zip(F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(0)).alias("tile"), tiles.alias("value"))
-        rows = lines.select(key, "line_number", F.posexplode(zipped).alias("pos", "_t")).select(key, "line_number", "pos", "_t.tile", "_t.value")
-        before = Window.partitionBy(key, "line_number").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = lambda size: F.coalesce(F.sum(size("tile")).over(before), F.lit(0)).cast("int")
-        rows = rows.select(key, "line_number", "pos", "value", ahead(F.char_length).alias("char_offset"), ahead(F.octet_length).alias("byte_offset"))
+        made = _placed(lines, least)
     else:
-        rows = lines.select(key, "line_number", F.posexplode(tiles).alias("pos", "value"))
-    rows = rows.filter(F.char_length("value") >= max(1, settings.word_minimum_length))
-    scanned = _scanned(df.filter(hard), key, content, settings, model or keys.default_model(), name)
-    return rows.unionByName(scanned.select(rows.columns))
+        words = F.filter(F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2)), lambda w: F.char_length(w) >= least)
+        made = lines.select(KEY, "line_number", F.posexplode_outer(words).alias("pos", "value")).filter("pos is not null")
+    scanned = _scanned(hard, settings, model or keys.default_model(), name)
+    return made.unionByName(scanned.select(made.columns)).withColumnRenamed(KEY, key)
+
+
+def token_counts(df: DataFrame, groups: list[str], content: str, settings: Settings, model: keys.Model | None = None, name: str = patterns.OWN_NAME) -> DataFrame:
+    """``groups``, value, n: how often each word stands in the texts of each group.
+
+    Texts without a region marker are split at blanks and the pieces counted by group (partial sums before
+    the shuffle); only distinct pieces are scanned. Marked texts are scanned whole."""
+    rows = df.select(F.struct(*[F.col(f"`{g}`") for g in groups] or [F.lit(0).alias("all")]).alias("group"), F.col(f"`{content}`").alias("content")).filter("content is not null")
+    marked = F.col("content").rlike(patterns.any_marker(name))
+    pieces = rows.filter(~marked).select("group", F.explode_outer(F.split("content", BLANKS)).alias("piece")).filter("piece != ''")
+    counted = pieces.groupBy("group", "piece").agg(F.count(F.lit(1)).alias("n")).select(F.struct("group", "n").alias("of"), "piece")
+    whole = rows.filter(marked).select(F.struct("group", F.lit(1).cast("long").alias("n")).alias("of"), F.col("content").alias("piece"))
+    found = tokenize(counted, "of", "piece", settings, model, name=name).unionByName(tokenize(whole, "of", "piece", settings, model, name=name))
+    return found.groupBy(*[F.col(f"of.group.{g}").alias(g) for g in groups], "value").agg(F.sum("of.n").alias("n"))
 
 
 def normalised(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn("norm", normalise(F.col("value")))
+    """Adds ``norm``. The lower-case form is a column of its own, so that it is made once."""
+    return tokens.withColumn("_low", F.lower("value")).withColumn("norm", normalise_word(F.col("_low"))).drop("_low")
 
 
 def distinct_terms(tokens: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """The whole check: files, languages, dictionaries, tokens, unknown words, a report, an exit code.
 
-    python -m lexcheck.plans.check [-w | -q | -a] [-d] [-f] [-c FILE] [--words DIR] [files ...]
+    python -m lexcheck.plans.check [-w | -q | -a | -i FILE] [-d] [-f] [-c FILE] [--words DIR] [--output DIR] [files ...]
+
+Corrected files are written to a new folder, never over the checked ones. Prompts of an interactive check are
+replaced by a file of decisions: a CSV with the columns action (skip, replace, add), path, norm, value,
+replacement, letter.
 """
 
 from __future__ import annotations
@@ -13,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck.functions import keys
-from lexcheck.functions.text import normalise
 from lexcheck.operators import check, correct
-from lexcheck.operators.languages import languages_of
+from lexcheck.operators.languages import addable_of, languages_of
 from lexcheck.operators.lines import explode_lines, line_offsets
 from lexcheck.operators.tokenize import normalised, tokenize
 from lexcheck.sources import files, settings, wordlists
+from lexcheck.storage import materialise
 
-MODES = ("default", "wordlist", "quiet", "autocorrect")
+MODES = ("default", "wordlist", "quiet", "autocorrect", "decisions")
+DECISIONS = "action string, path string, norm string, value string, replacement string, letter string"
 
 
 @dataclass
@@ -45,11 +50,23 @@ def build(texts: DataFrame, config: settings.Settings, words: DataFrame, model:
     return Check(known, tokens, errors, words)
 
 
-def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mode: str = "default", folder: str = ".", bundled: str | None = None, project: str | None = None, suppress_file_rules: bool = False, model: keys.Model | None = None, out=sys.stdout, err=sys.stderr) -> int:
-    """Runs a check and prints its report; 0 if clean, else 1 (also when everything was corrected)."""
+def _show(errors: DataFrame, made: Check, out, note: str = "") -> None:
+    lines = explode_lines(made.files, "path", "content")
+    for r in check.error_lines(errors, lines, "path").orderBy("path", "line_number", "char_offset").toLocalIterator():
+        print(r["shown"] + note, file=out)
+
+
+def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mode: str = "default", folder: str = ".", bundled: str | None = None, project: str | None = None, suppress_file_rules: bool = False, model: keys.Model | None = None, out=sys.stdout, err=sys.stderr, output: str | None = None, decisions: str | None = None) -> int:
+    """Runs a check and prints its report; 0 if clean, else 1 (also when everything was corrected).
+
+    ``output`` is the folder that corrected texts are written to; ``decisions`` the file of a decided check."""
     texts = files.read_files(spark, patterns, config, folder, suppress_file_rules)
-    words = wordlists.of_languages(spark, list(config.languages), bundled, project)
-    made = build(texts, config, words, model, offsets=mode in ("default", "autocorrect"))
+    languages = list(config.languages)
+    if not any(wordlists.paths_for(spark, x, bundled, project) for x in languages):
+        print(f"no word list found in {bundled or 'the package'} or {project or 'the project'}: give their folder with --words", file=err)
+        return 1
+    words = wordlists.of_languages(spark, languages, bundled, project)
+    made = build(texts, config, words, model, offsets=mode not in ("wordlist", "quiet"))
     if mode == "quiet":
         return int(check.any_error(made.errors))
     if mode == "wordlist":
@@ -60,19 +77,47 @@ def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mod
             n += 1
         return int(n > 0)
     if mode == "autocorrect":
-        fixed = corrected(made)
+        made.errors = materialise(made.errors)
+        hopeless = correct.planned(made.errors, made.words).filter("suggestion is null").select(made.errors.columns)
+        _show(hopeless, made, err, " (no suggestion)")
+        fixed = materialise(corrected(made))
         totals = fixed.agg(F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"), F.coalesce(F.sum("unfixed"), F.lit(0)).alias("unfixed")).first()
         print(f"{totals['fixed']} fixed, {totals['unfixed']} unfixed", file=err)
+        if output:
+            files.write_files(fixed.filter("fixed > 0"), output)
         return int(totals["fixed"] + totals["unfixed"] > 0)
-    lines = explode_lines(made.files, "path", "content")
-    for r in check.error_lines(made.errors, lines, "path").orderBy("path", "line_number", "char_offset").toLocalIterator():
-        print(r["shown"], file=err)
+    if mode == "decisions":
+        return _decided(spark, made, config, decisions, project, output, err)
+    _show(made.errors, made, err)
     report = made.summary()
     row = check.summary_lines(report).first()
     print("\n" + " checked\n".join(row["lines"]) + " found", file=err)
     return report.first()["exit_code"]
 
 
+def _decided(spark: SparkSession, made: Check, config: settings.Settings, path: str, project: str | None, output: str | None, err) -> int:
+    """Applies a file of decisions: words are added to the project's lists, replacements written to ``output``, what
+    no decision covers is reported."""
+    given = spark.read.csv(path, header=True, schema=DECISIONS)
+    takes = addable_of(made.files, list(config.languages))
+    known = correct.with_lists(given, takes, "path")
+    for r in known.filter("action = 'refused'").select("path", "norm").orderBy("path", "norm").toLocalIterator():
+        print(f"{r['path']}: no list takes {r['norm']}", file=err)
+    rows = materialise(correct.decide(made.errors, known, "path"))
+    _show(rows.filter("action = 'report'").select(made.errors.columns), made, err)
+    for r in rows.filter("action = 'add'").select("name").distinct().collect():  # a handful of languages
+        wordlists.store(add_words(made.words, rows).filter(F.col("name") == r["name"]), project or ".", r["name"])
+    if output:
+        base = line_offsets(explode_lines(made.files, "path", "content"), "path").select("path", "line_number", "line_char_offset")
+        placed = rows.filter("action = 'replace'").join(base, ["path", "line_number"])
+        edit = F.struct((F.col("line_char_offset") + F.col("char_offset")).cast("int").alias("start"), F.char_length("value").alias("length"), "replacement")
+        edits = placed.groupBy("path").agg(F.collect_list(edit).alias("_edits"))
+        files.write_files(correct.splice(made.files.select("path", "content").join(edits, "path"), "content", "_edits"), output)
+    counts = correct.action_counts(rows).first()
+    print(f"{counts['skip']} skipped, {counts['replace']} replaced, {counts['add']} added, {counts['report']} left", file=err)
+    return int(sum(counts) > 0)
+
+
 def corrected(made: Check) -> DataFrame:
     """path, content, fixed, unfixed for every file, to be written to a new place."""
     base = line_offsets(explode_lines(made.files, "path", "content"), "path").select("path", "line_number", "line_char_offset")
@@ -82,7 +127,7 @@ def corrected(made: Check) -> DataFrame:
 
 def add_words(words: DataFrame, decided: DataFrame) -> DataFrame:
     """The lists with the words that decisions add."""
-    return wordlists.push(words, decided.filter("action = 'add'").select("name", normalise(F.col("value")).alias("word")))
+    return wordlists.push(words, decided.filter("action = 'add'").select("name", F.col("value").alias("word")).distinct())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -90,12 +135,14 @@ def main(argv: list[str] | None = None) -> int:
     mode = parser.add_mutually_exclusive_group()
     mode.add_argument("-w", "--wordlist", dest="mode", action="store_const", const="wordlist", help="print the unknown words")
     mode.add_argument("-q", "--quiet", dest="mode", action="store_const", const="quiet", help="exit code only")
-    mode.add_argument("-a", "--autocorrect", dest="mode", action="store_const", const="autocorrect", help="count what corrections would do")
+    mode.add_argument("-a", "--autocorrect", dest="mode", action="store_const", const="autocorrect", help="correct what has a suggestion")
+    mode.add_argument("-i", "--interactive", dest="decisions", metavar="FILE", help="apply the decisions of a CSV file")
     parser.add_argument("-d", "--dry-run", action="store_true", help="list the files")
     parser.add_argument("-f", "--suppress-file-rules", action="store_true")
     parser.add_argument("-c", "--config")
     parser.add_argument("--parallel", action=argparse.BooleanOptionalAction, default=True, help="accepted for compatibility: Spark's master decides")
-    parser.add_argument("--words", help="folder of bundled word lists")
+    parser.add_argument("--words", help="folder of word lists: <language>.txt and <language>/<locale>.txt")
+    parser.add_argument("--output", help="folder for corrected files")
     parser.add_argument("--project-words", default=".lexcheck_wordlists")
     parser.add_argument("--key-model", help="YAML file of the key classifier")
     parser.add_argument("files", nargs="*")
@@ -111,7 +158,8 @@ def main(argv: list[str] | None = None) -> int:
             print(r["path"])
         return 0
     model = keys.load_model(args.key_model) if args.key_model else None
-    return run(spark, args.files, config, args.mode or "default", ".", args.words, args.project_words, args.suppress_file_rules, model)
+    mode = "decisions" if args.decisions else args.mode or "default"
+    return run(spark, args.files, config, mode, ".", args.words, args.project_words, args.suppress_file_rules, model, output=args.output, decisions=args.decisions)
 
 
 if __name__ == "__main__":

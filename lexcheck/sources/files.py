@@ -1,54 +1,51 @@
-"""Files as a DataFrame (path, content): Spark lists and reads them; rules are filters on the path."""
+"""Files as a DataFrame (path, content): Spark lists and reads them; rules are filters on the file's path,
+which Spark applies to its listing, so files that are left out are never opened."""
 
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexcheck import storage
+from lexcheck.sources import ignore
 from lexcheck.sources.globs import any_of, exclude_globs, glob_regex
 from lexcheck.sources.settings import Settings
 
 
-def split_patterns(patterns: list[str], folder: str) -> tuple[list[str], list[str]]:
-    """Arguments that exist are roots, the others globs; without roots the folder is the root."""
-    roots = [p for p in patterns if os.path.exists(os.path.join(folder, p))]
-    globs = [p for p in patterns if p not in roots]
-    return (roots or ["."]), globs
+def absolute(folder: str) -> str:
+    return folder.rstrip("/") or "/" if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", folder) else os.path.abspath(folder)
 
 
-def ignore_rules(folder: str) -> list[str]:
-    """Patterns of the folder's .gitignore and .ignore (comments, blanks and negations left out)."""
-    out = []
-    for name in (".gitignore", ".ignore"):
-        path = os.path.join(folder, name)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8", errors="replace") as f:
-                out += [x.strip() for x in f if x.strip() and x[0] not in "#!"]
-    return out
+def split_patterns(spark: SparkSession, patterns: list[str], folder: str) -> tuple[list[str], list[str]]:
+    """Arguments that exist are roots, the others globs; without roots the folder is the root."""
+    roots = [p for p in patterns if storage.exists(spark, storage.join(absolute(folder), p))]
+    return (roots or ["."]), [p for p in patterns if p not in roots]
 
 
-def _gitignore_globs(rule: str) -> list[str]:
-    body = rule.strip("/")
-    prefix = "" if "/" in rule.rstrip("/") else "**/"
-    return [f"{prefix}{body}/**"] + ([] if rule.endswith("/") else [f"{prefix}{body}"])
+def distinct_roots(roots: list[str], folder: str) -> list[str]:
+    """Roots as full paths, none inside another: every file is listed once."""
+    full = sorted({os.path.normpath(r) if r.startswith("/") else r.rstrip("/") for r in (absolute(folder) if r == "." else storage.join(absolute(folder), r) for r in roots)})
+    return [r for r in full if not any(r != other and r.startswith(other.rstrip("/") + "/") for other in full)]
 
 
 def relative(path: Column, folder: str) -> Column:
-    full = os.path.abspath(folder).rstrip("/") + "/"
-    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*(?=/)", "")
+    scheme = r"^[a-z0-9]+:/*(?=/)"
+    full = re.sub(scheme, "", absolute(folder)).rstrip("/") + "/"
+    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), scheme, "")
     return F.when(plain.startswith(full), F.substr(plain, F.lit(len(full) + 1))).otherwise(plain)
 
 
-def keep_path(rel: Column, settings: Settings, globs: list[str], suppress_file_rules: bool, rules: list[str]) -> Column:
+def keep_path(rel: Column, settings: Settings, globs: list[str], suppress_file_rules: bool, rules: list[ignore.Rule]) -> Column:
     """Hidden files never; excludes and ignore rules unless suppressed; given globs select; the settings'
     own ``includes`` select if there are any."""
     keep = ~rel.rlike(r"(^|/)\.(?!\.?(/|$))")
     if not suppress_file_rules:
         keep &= ~rel.rlike(any_of([g for p in settings.excludes for g in exclude_globs(p)]))
         if rules:
-            keep &= ~rel.rlike(any_of([g for p in rules for g in _gitignore_globs(p)]))
+            keep &= ~ignore.ignored(rel, rules)
     for selection in (globs, list(settings.includes)):
         if selection:
             keep &= rel.rlike("|".join(glob_regex(g) for p in selection for g in (p, f"**/{p}")))
@@ -56,12 +53,14 @@ def keep_path(rel: Column, settings: Settings, globs: list[str], suppress_file_r
 
 
 def file_list(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False) -> DataFrame:
-    """path (relative), length: the dry run."""
-    roots, globs = split_patterns(patterns, folder)
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([os.path.abspath(os.path.join(folder, r)) for r in roots])
-    rel = relative(F.col("path"), folder)
-    rules = [] if suppress_file_rules else ignore_rules(folder)
-    return scan.select(rel.alias("path"), "length", "content").filter(keep_path(F.col("path"), settings, globs, suppress_file_rules, rules)).dropDuplicates(["path"])
+    """path (relative), length and content, which is read only where a query asks for it. Files that cannot be
+    read are left out; so are empty ones, which Spark does not list (they hold no words)."""
+    roots, globs = split_patterns(spark, patterns, folder)
+    options = {"recursiveFileLookup": True, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    scan = spark.read.format("binaryFile").options(**options).load(distinct_roots(roots, folder))
+    rules = [] if suppress_file_rules else ignore.rules_of(spark, absolute(folder))
+    rel = relative(F.col("_metadata.file_path"), folder)
+    return scan.filter(keep_path(rel, settings, globs, suppress_file_rules, rules)).select(rel.alias("path"), "length", "content")
 
 
 def read_files(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False) -> DataFrame:
@@ -75,5 +74,37 @@ def read_files(spark: SparkSession, patterns: list[str], settings: Settings, fol
 
 def first_line(content: Column) -> Column:
     """The first line without its line end; null if the text is empty."""
-    line = F.regexp_replace(F.element_at(F.split(content, "\n"), 1), "\r$", "")
+    line = F.regexp_replace(F.substring_index(content, "\n", 1), "\r$", "")
     return F.when(F.length(content) > 0, line)
+
+
+def write_files(texts: DataFrame, folder: str, key: str = "path", content: str = "content") -> int:
+    """One file per row of ``texts`` at its relative path under ``folder`` (on a cluster a shared one); returns
+    how many. A file appears under its name when it is whole, so a task that runs again does no harm. Paths
+    that lead out of the folder are refused."""
+    target = absolute(folder)
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        for batch in batches:
+            n = 0
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"{path} is not inside the folder")
+                whole = f"{root}/{path}"
+                system.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                part = f"{whole}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(text.encode())
+                system.move(part, whole)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    storage.small_batches(texts.sparkSession)
+    written = texts.select(F.col(key).cast("string"), F.coalesce(F.col(content), F.lit(""))).mapInArrow(run, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

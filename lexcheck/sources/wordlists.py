@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck.functions.text import normalise
 from lexcheck.sources.settings import Language
+from lexcheck.storage import children, exists, file_system, hadoop_path, join
 
 SCHEMA = "name string, word string"
 
@@ -20,28 +22,37 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, name: str, file: str | None = None) -> DataFrame:
     """``<folder>/<name>.txt``; a missing file is an empty list."""
-    path = os.path.join(folder, file or f"{name}.txt")
-    if not os.path.exists(path):
+    path = join(folder, file or f"{name}.txt")
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
     return parse(spark.read.text(path).select(F.lit(name).alias("name"), F.col("value").alias("word")))
 
 
-def paths_for(language: Language, bundled: str | None, project: str | None) -> list[str]:
+def bundled_folder() -> str:
+    """Where the package's own lists lie; there need not be any."""
+    return os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "wordlists")
+
+
+def paths_for(spark: SparkSession, language: Language, bundled: str | None, project: str | None) -> list[str]:
     """Existing word list files of a language: its own, one per locale, the project's."""
-    places = []
-    if bundled:
-        places += [os.path.join(bundled, f"{language.name}.txt")]
-        places += [os.path.join(bundled, language.name, f"{x}.txt") for x in language.locales]
+    bundled = bundled or bundled_folder()
+    places = [join(bundled, f"{language.name}.txt"), *(join(bundled, f"{language.name}/{x}.txt") for x in language.locales)]
     if project:
-        places += [os.path.join(project, f"{language.name}.txt")]
-    return [p for p in places if os.path.exists(p)]
+        places += [join(project, f"{language.name}.txt")]
+    return [p for p in places if exists(spark, p)]
+
+
+def bundled_list(spark: SparkSession, name: str, locale: str | None = None, bundled: str | None = None) -> DataFrame | None:
+    """A language's list, or that of one locale; None if there is none."""
+    path = join(bundled or bundled_folder(), f"{name}/{locale}.txt" if locale else f"{name}.txt")
+    return parse(spark.read.text(path).select(F.lit(name).alias("name"), F.col("value").alias("word"))) if exists(spark, path) else None
 
 
 def of_languages(spark: SparkSession, languages: list[Language], bundled: str | None = None, project: str | None = None) -> DataFrame:
     """(name, word) of all languages; lists that several languages name are read once each."""
     out = spark.createDataFrame([], SCHEMA)
     for language in languages:
-        files = paths_for(language, bundled, project)
+        files = paths_for(spark, language, bundled, project)
         if files:
             out = out.unionByName(spark.read.text(files).select(F.lit(language.name).alias("name"), F.col("value").alias("word")))
     return parse(out)
@@ -65,6 +76,18 @@ def contains(words: DataFrame, terms: DataFrame, column: str = "word") -> DataFr
     return terms.join(known, normalise(terms[column]) == F.col("_known"), "left_semi")
 
 
+def store(words: DataFrame, folder: str, name: str) -> None:
+    """The words as ``<folder>/<name>.txt``: written beside it, then moved to its place."""
+    spark = words.sparkSession
+    beside, target = join(folder, f"{name}.{uuid.uuid4().hex}"), hadoop_path(spark, join(folder, f"{name}.txt"))
+    write(words, beside)
+    system = file_system(spark, target)
+    part = next(n for n, _ in children(spark, beside) if n.startswith("part-"))
+    system.delete(target, False)
+    system.rename(hadoop_path(spark, f"{beside}/{part}"), target)
+    system.delete(hadoop_path(spark, beside), True)
+
+
 def write(words: DataFrame, folder: str) -> None:
     """One sorted text file of words, in a new folder."""
     words.select("word").distinct().orderBy("word").coalesce(1).write.text(folder)

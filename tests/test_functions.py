@@ -83,14 +83,12 @@ def test_jaro_winkler():
 def test_pruning_loses_nothing():
     import random
 
-    import numpy as np
-
     rng = random.Random(2)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    counts, lengths, first = similarity.letter_counts(words), np.array([len(w) for w in words]), np.array([ord(w[0]) for w in words])
-    for term in words[:60]:
-        kept = set(similarity.candidates(term, counts, lengths, first).tolist())
-        assert all(i in kept for i, w in enumerate(words) if similarity.jaro_winkler(w, term) >= similarity.threshold(len(term)))
+    block = similarity.Words(words)
+    t, w = block.candidates(words[:60])
+    kept = set(zip(t.tolist(), w.tolist(), strict=True))
+    assert all((k, i) in kept for k, term in enumerate(words[:60]) for i, x in enumerate(words) if similarity.jaro_winkler(x, term) >= similarity.threshold(len(term)))
 
 
 def test_suggestions(spark):
@@ -102,7 +100,28 @@ def test_suggestions(spark):
 
 
 def test_splice(spark):
-    kind = "a string, e array<struct<start:int,length:int,replacement:string>>"
-    rows = [("Teh cta sat", [(4, 3, "cat"), (0, 3, "The")]), ("same", []), ("é x", [(2, 1, "yy")]), ("ab", [(0, 1, ""), (1, 1, "Z")])]
-    got = [r[0] for r in spark.createDataFrame(rows, kind).select(correct.splice(F.col("a"), F.col("e"))).collect()]
-    assert got == ["The cat sat", "same", "é yy", "Z"]
+    kind = f"n int, a string, e array<{correct.EDIT}>, odd string"
+    rows = [(1, "Teh cta sat", [(4, 3, "cat"), (0, 3, "The")], "x"), (2, "same", [], None), (3, "é x", [(2, 1, "yy")], "y"), (4, "ab", [(0, 1, ""), (1, 1, "Z")], ""), (5, None, [(0, 1, "q")], ""), (6, "kept", None, "")]
+    got = correct.splice(spark.createDataFrame(rows, kind), "a", "e")
+    assert got.columns == ["n", "a", "odd"]
+    assert [r["a"] for r in sorted(got.collect())] == ["The cat sat", "same", "é yy", "Z", None, "kept"]
+    long = "word " * 200_000
+    edits = [(5 * k, 4, "w") for k in range(200_000)]
+    assert correct.spliced(long, [{"start": s, "length": n, "replacement": r} for s, n, r in edits]) == "w " * 200_000
+
+
+def test_words_are_composed_in_the_jvm(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x41, 0x30000) if unicodedata.category(chr(c))[0] == "L"]
+    meeting = [chr(c) for r in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3), (0xAC00, 0xAC60)) for c in range(*r)]
+    texts = rng.sample(letters, 8_000) + ["".join(rng.choice(rng.choice([meeting, letters])) for _ in range(rng.randint(2, 8))) for _ in range(4_000)] + ["it’s", "ﬁn", "\u0958"]
+    df = spark.createDataFrame([(x,) for x in texts], "value string")
+    made = df.select("value", text.compose_letters(F.col("value")).alias("nfc"), text.normalise_word(F.lower("value")).alias("norm"), F.lower("value").alias("low"))
+    for r in made.collect():
+        assert r["nfc"] == unicodedata.normalize("NFC", r["value"])
+        assert r["norm"] == unicodedata.normalize("NFC", r["low"]).replace("\u2018", "'").replace("\u2019", "'")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -72,16 +72,50 @@ def test_file_rules(spark, tree):
 
 
 def test_whole_check(spark, tree):
-    def run(mode):
+    def run(mode, **given):
         out, err = io.StringIO(), io.StringIO()
-        code = plan.run(spark, [], CONFIG, mode, str(tree), bundled=str(tree / "words"), out=out, err=err)
+        code = plan.run(spark, [], CONFIG, mode, str(tree), bundled=str(tree / "words"), out=out, err=err, **given)
         return code, out.getvalue(), err.getvalue()
 
     assert run("wordlist")[:2] == (1, "helo\nwurld\n")
     code, _, err = run("default")
     assert code == 1 and "src/a.rb:1:6 hello \x1b[31mwurld\x1b[0m" in err and "2 files checked" in err and "2 errors found" in err
     assert run("quiet") == (1, "", "")
-    assert run("autocorrect")[2] == "2 fixed, 0 unfixed\n"
+    (tree / "src" / "d.txt").write_text("hello qqqqzz\n")
+    code, _, err = run("autocorrect", output=str(tree / "out"))
+    assert code == 1 and "src/d.txt:1:6" in err and err.endswith("2 fixed, 1 unfixed\n") and "(no suggestion)" in err
+    assert (tree / "out" / "src" / "a.rb").read_text() == "hello world\nHello there\n" and not (tree / "out" / "src" / "b.txt").exists()
+    assert sorted(p.name for p in (tree / "out" / "src").iterdir()) == ["a.rb"] and (tree / "src" / "a.rb").read_text().startswith("hello wurld")
+
+
+def test_no_word_list_is_an_error(spark, tree):
+    err = io.StringIO()
+    assert plan.run(spark, [], CONFIG, "quiet", str(tree), bundled=str(tree / "nowhere"), err=err) == 1 and "no word list found" in err.getvalue()
+    assert wordlists.bundled_list(spark, "rust", bundled=str(tree / "words")) is None
+    assert wordlists.bundled_list(spark, "english", bundled=str(tree / "words")).count() == 3
+
+
+def test_decided_check(spark, tree):
+    (tree / "src" / "e.rb").write_text("Helo again\n")
+    path = tree / "words" / "decisions.csv"
+    path.write_text("action,path,norm,value,replacement,letter\nskip,src/e.rb,helo,,,\nreplace,,,wurld,world,\nadd,src/e.rb,again,,,r\nadd,src/b.txt,there,,,x\n")
+    err = io.StringIO()
+    code = plan.run(spark, [], CONFIG, "decisions", str(tree), bundled=str(tree / "words"), project=str(tree / "mine"), err=err, output=str(tree / "out"), decisions=str(path))
+    assert code == 1 and "src/b.txt: no list takes there" in err.getvalue() and err.getvalue().endswith("1 skipped, 1 replaced, 1 added, 1 left\n")
+    assert (tree / "mine" / "ruby.txt").read_text() == "again\n" and (tree / "out" / "src" / "a.rb").read_text() == "hello world\nHelo there\n"
+
+
+def test_ignore_files(spark, tmp_path):
+    for path, text in {
+        "a.log": "", "keep.log": "", "b.txt": "", "sub/x.log": "", "sub/x.txt": "", "sub/deep/y.txt": "", "sub/deep/z.md": "", "build/out.txt": "", "top.md": "", "docs/top.md": "",
+        ".gitignore": "*.log\n!keep.log\nbuild/\n/top.md\n# note\n", "sub/.gitignore": "!x.log\ndeep/*.txt\n", "sub/deep/.ignore": "!y.txt\n", "build/.gitignore": "!out.txt\n", ".git/info/exclude": "b.txt\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text or "x")
+    scan = files.file_list(spark, [], CONFIG, str(tmp_path)).select("path")
+    assert sorted(r["path"] for r in scan.collect()) == ["docs/top.md", "keep.log", "sub/deep/y.txt", "sub/deep/z.md", "sub/x.log", "sub/x.txt"]
+    twice = files.file_list(spark, ["sub", "sub/deep", "."], CONFIG, str(tmp_path)).select("path")
+    assert twice.count() == 6 and "Exchange" not in twice._jdf.queryExecution().executedPlan().toString()
 
 
 def test_autocorrected_text_has_nothing_left_to_fix(spark, tree):

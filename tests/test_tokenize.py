@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexcheck.functions import keys
 from lexcheck.operators.lines import active_lines, explode_lines, line_offsets
-from lexcheck.operators.tokenize import Scanner, distinct_terms, tokenize
+from lexcheck.operators.tokenize import Scanner, distinct_terms, normalised, token_counts, tokenize
 from lexcheck.sources import settings
 
 CONFIG = settings.build(settings.DEFAULTS)
@@ -18,7 +20,7 @@ LINES = [
     ("HelloWorld", [("Hello", 0), ("World", 5)]),
     ("#ff0000 color", [("color", 8)]),
     ("visit https://example.com for info", [("visit", 0), ("for", 26), ("info", 30)]),
-    ("before tool:disable secret tool:enable after", [("before", 0), ("after", 39)]),
+    ("before lexcheck:disable secret lexcheck:enable after", [("before", 0), ("after", 47)]),
     ("xxxxxxxx hello", [("hello", 9)]),
     ("abcdef hello", [("hello", 7)]),
     ("IOString", [("String", 2)]),
@@ -41,8 +43,9 @@ LINES = [
     ("Customer#000000001", [("Customer", 0)]),
     ("1-URGENT 4-NOT SPECIFIED", [("URGENT", 2), ("NOT", 11), ("SPECIFIED", 15)]),
     ('{"k": 69} <p>Hello&amp;</p>', [("Hello", 13), ("amp", 19)]),
-    ("tool:disabletool:enable word", [("word", 24)]),
-    ("tool:enable word", [("tool", 0), ("enable", 5), ("word", 12)]),
+    ("lexcheck:disablelexcheck:enable word", [("word", 32)]),
+    ("lexcheck:enable word", [("lexcheck", 0), ("enable", 9), ("word", 16)]),
+    ("# rubocop:disable Metrics", [("rubocop", 2), ("disable", 10), ("Metrics", 18)]),
     ("", []),
 ]
 
@@ -63,12 +66,30 @@ def test_both_paths_agree(spark):
     parts = ["Hello", "WORLD", "don't", " ", "_", "-", "/", "#", "%2F", "0x1f", "http://a.bc/d?e=f", "\\n", "aaaa", "abc", "é", "日本", "1", "22", "'s", "’", "\n", "x@y.zz", ".", "Ids", "IOs"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG, offsets=True).select("id", "line_number", "char_offset", "byte_offset", "value").collect())
+    got = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG, offsets=True).select("id", "line_number", "pos", "char_offset", "byte_offset", "value").collect())
     scanner = Scanner(CONFIG, keys.default_model())
-    want = sorted((i, n, c, b, v) for i, t in enumerate(texts) for n, _, v, c, b in scanner.text(t))
+    want = sorted((i, n, k, c, b, v) for i, t in enumerate(texts) for n, k, v, c, b in scanner.text(t))
     assert got == want
-    plain = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG).select("id", "line_number", "value").collect())
-    assert plain == sorted((i, n, v) for i, n, _, _, v in want)
+    plain = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG).select("id", "line_number", "pos", "value").collect())
+    assert plain == sorted((i, n, k, v) for i, n, k, _, _, v in want)
+    counts = token_counts(df.withColumn("half", F.col("id") % 2), ["half"], "text", CONFIG)
+    assert {(r["half"], r["value"]): r["n"] for r in counts.collect()} == Counter((i % 2, v) for i, _, _, _, _, v in want)
+    assert {r["value"]: r["n"] for r in token_counts(df, [], "text", CONFIG).collect()} == Counter(v for *_, v in want)
+
+
+def test_any_key_name_and_empty_tables(spark):
+    rows = spark.createDataFrame([("k", "alpha a1b2c3 beta"), (None, "gamma"), ("k", ""), ("z", None)], "line string, __key string")
+    got = sorted((str(r["line"]), r["pos"], r["value"]) for r in tokenize(rows, "line", "__key", CONFIG, offsets=True).collect())
+    assert got == [("None", 0, "gamma"), ("k", 0, "alpha"), ("k", 1, "beta")]
+    assert tokenize(rows.limit(0), "line", "__key", CONFIG).isEmpty() and token_counts(rows.limit(0), [], "__key", CONFIG).isEmpty()
+    with pytest.raises(ValueError, match="cannot be called pos"):
+        tokenize(rows.withColumnRenamed("line", "pos"), "pos", "__key", CONFIG)
+
+
+def test_a_long_line_is_scanned_once():
+    began = time.time()
+    found, _ = Scanner(CONFIG, keys.default_model()).line("function(abc)d1e2f;" * 50_000)
+    assert len(found) == 50_000 and time.time() - began < 20
 
 
 def test_long_url_is_skipped(spark):
@@ -77,10 +98,12 @@ def test_long_url_is_skipped(spark):
 
 
 def test_region_state_carries_over_lines(spark):
-    text = "alpha\ntool:disable\nbeta\ngamma tool:disable-line tool:enable\ndelta\ntool:enable\nepsilon"
+    text = "alpha\nlexcheck:disable\nbeta\ngamma lexcheck:disable-line lexcheck:enable\ndelta\nlexcheck:enable\nepsilon\nother:disable x"
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    assert sorted(r["value"] for r in tokenize(df, "id", "text", CONFIG).collect()) == ["alpha", "epsilon"]
-    assert sorted(r["line"] for r in active_lines(explode_lines(df, "id", "text"), "id").collect()) == ["alpha", "epsilon"]
+    assert sorted(r["value"] for r in tokenize(df, "id", "text", CONFIG).collect()) == ["alpha", "disable", "epsilon", "other"]
+    assert sorted(r["line"] for r in active_lines(explode_lines(df, "id", "text"), "id").collect()) == ["alpha", "epsilon", "other:disable x"]
+    named = tokenize(df, "id", "text", CONFIG, name="lexcheck|other")
+    assert sorted(r["value"] for r in named.collect()) == ["alpha", "epsilon"]
 
 
 def test_line_offsets_and_terms(spark):
@@ -92,10 +115,13 @@ def test_line_offsets_and_terms(spark):
 
 
 def test_native_path_has_no_python(spark):
-    df = spark.createDataFrame([(1, "plain words")], "id long, text string").filter(F.length("text") > 0)
-    plan = tokenize(df, "id", "text", CONFIG)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan  # only on the branch of texts with keys or markers
-    assert "rlike" in plan.lower()
+    """Python is only on the branch of texts with keys or markers; nothing is shuffled, offsets included."""
+    df = spark.range(1).select("id", F.concat(F.lit("plain words "), F.col("id").cast("string")).alias("text"))
+    plan = normalised(tokenize(df, "id", "text", CONFIG))._jdf.queryExecution().executedPlan().toString()
+    easy, hard = plan.split("MapInArrow", 1)
+    assert "Python" not in plan and "Arrow" not in easy and "Exchange" not in plan and "Project" in hard
+    placed = tokenize(df, "id", "text", CONFIG, offsets=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in placed and "Window" not in placed
 
 
 @pytest.mark.parametrize(("word", "least"), [("ab", 2), ("abc", 4)])

@@ -1,4 +1,4 @@
-"""The queries over whole texts against the Python scanner on a small fixture."""
+"""The queries against the Python scanner on a small fixture, region markers and odd letters included."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ DOCUMENTS = [
     (1, "lonely wordx 1", "en"),
     (2, "plain prose\nsee https://a.bc/d for 50% of Fooo", "en"),
     (3, "token be64439e3e49cf46b2d7c90f3602a3d0b907ff Döne", "de"),
-    (4, "alpha\ntool:disable\nsecrett 9\ntool:enable\nomegaa #1", "de"),
+    (4, "alpha\nlexcheck:disable\nsecrett 9\nlexcheck:enable\nomegaa #1", "de"),
     (5, "WORLD don't abc1def2=== tail\\nback", "fr"),
     (6, "", "fr"),
     (7, None, "fr"),
@@ -53,17 +53,17 @@ def test_whole_words(spark, tables):
     found = words(DOCUMENTS)
     assert {i for i, _ in found} == {1, 2, 3, 4, 5} and (4, "secrett") not in found
     per = Counter(i for i, _ in found)
-    assert run(spark, tables, "whole_tokens_per_doc") == sorted((i, n, len({w for j, w in found if j == i})) for i, n in per.items())
-    assert run(spark, tables, "whole_token_lengths") == sorted(Counter(len(w) for _, w in found).items())
-    assert run(spark, tables, "whole_normalised_terms") == sorted(Counter(normalise_text(w) for _, w in found).items())
-    assert run(spark, tables, "whole_distinct_terms_per_doc") == sorted((i, " ".join(sorted({normalise_text(w) for j, w in found if j == i}))) for i in per)
-    assert sum(n for _, n in run(spark, tables, "whole_case_styles")) == len(found)
-    assert {r[0] for r in run(spark, tables, "whole_apply_case_styles")} == {w for _, w in found}
+    assert run(spark, tables, "tokens_per_doc") == sorted((i, n, len({w for j, w in found if j == i})) for i, n in per.items())
+    assert run(spark, tables, "token_lengths") == sorted(Counter(len(w) for _, w in found).items())
+    assert run(spark, tables, "normalised_terms") == sorted(Counter(normalise_text(w) for _, w in found).items())
+    assert run(spark, tables, "distinct_terms_per_doc") == sorted((i, " ".join(sorted({normalise_text(w) for j, w in found if j == i}))) for i in per)
+    assert sum(n for _, n in run(spark, tables, "case_styles")) == len(found)
+    assert {r[0] for r in run(spark, tables, "apply_case_styles")} == {w for _, w in found}
     lengths = defaultdict(list)
     for i, w in found:
         lengths[{d[0]: d[2] for d in DOCUMENTS}[i]].append(len(w))
     means = {k: round(sum(v) / len(v), 6) for k, v in lengths.items()}
-    assert [(r[0], r[1], r[3]) for r in run(spark, tables, "whole_token_length_stats")] == sorted((k, means[k], max(v)) for k, v in lengths.items())
+    assert [(r[0], r[1], r[3]) for r in run(spark, tables, "token_length_stats")] == sorted((k, means[k], max(v)) for k, v in lengths.items())
 
 
 def test_whole_errors(spark, tables):
@@ -76,13 +76,13 @@ def test_whole_errors(spark, tables):
     by_lang = defaultdict(list)
     for i, w in errors:
         by_lang[lang[i]].append(w)
-    assert run(spark, tables, "whole_unknown_counts") == sorted((k, len(v), len(set(v))) for k, v in by_lang.items())
-    assert run(spark, tables, "whole_unknown_words") == sorted({(w,) for _, w in errors})
-    assert run(spark, tables, "whole_check_summary") == [(len(DOCUMENTS), len({i for i, _ in errors}), len(errors), 1)]
-    assert run(spark, tables, "whole_errors_per_doc") == sorted(Counter(i for i, _ in errors).items())
-    assert run(spark, tables, "whole_errors_by_label") == sorted((q, 0, sum(i % 2 == q for i, _ in errors), len({i for i, _ in errors if i % 2 == q})) for q in {i % 2 for i, _ in errors})
-    assert run(spark, tables, "whole_known_per_doc") == sorted(Counter(i for i, w in found if normalise_text(w) in known).items())
-    assert run(spark, tables, "whole_dictionary_union") == sorted((w,) for w in known | {"atlantis"})
+    assert run(spark, tables, "unknown_counts") == sorted((k, len(v), len(set(v))) for k, v in by_lang.items())
+    assert run(spark, tables, "unknown_words") == sorted({(w,) for _, w in errors})
+    assert run(spark, tables, "check_summary") == [(len(DOCUMENTS), len({i for i, _ in errors}), len(errors), 1)]
+    assert run(spark, tables, "errors_per_doc") == sorted(Counter(i for i, _ in errors).items())
+    assert run(spark, tables, "errors_by_label") == sorted((q, 0, sum(i % 2 == q for i, _ in errors), len({i for i, _ in errors if i % 2 == q})) for q in {i % 2 for i, _ in errors})
+    assert run(spark, tables, "known_per_doc") == sorted(Counter(i for i, w in found if normalise_text(w) in known).items())
+    assert run(spark, tables, "dictionary_union") == sorted((w,) for w in known | {"atlantis"})
     assert sorted((r[0], normalise_text(r[3])) for r in run(spark, tables, "error_listing")) == sorted(errors)
 
 
@@ -96,29 +96,34 @@ def test_whole_suggestions(spark, tables):
             if (score := similarity.jaro_winkler(w, t)) >= similarity.threshold(len(t)):
                 want[t].append((-round(score, 12), w))
     assert "döner" in {w for _, w in want["dönr"]}
-    assert run(spark, tables, "whole_suggest_similar") == sorted((t, len(v), -min(v)[0]) for t, v in want.items())
-    best = {r[0]: (-r[3], r[2]) for r in run(spark, tables, "whole_suggest_top1")}
+    assert run(spark, tables, "suggest_similar") == sorted((t, len(v), -min(v)[0]) for t, v in want.items())
+    best = {r[0]: (-r[3], r[2]) for r in run(spark, tables, "suggest_top1")}
     assert best["dönr"][1] == "döner" and set(best) <= set(want) and all(v in want[t] for t, v in best.items())
-    top = run(spark, tables, "whole_suggest_top5")
-    assert {r[0] for r in top} == set(best) and sum(r[2] for r in run(spark, tables, "whole_suggest_tiers")) == len(best)
+    top = run(spark, tables, "suggest_top5")
+    assert {r[0] for r in top} == set(best) and sum(r[2] for r in run(spark, tables, "suggest_tiers")) == len(best)
 
 
 def test_block_scores_equal_single_ones():
     rng = random.Random(8)
     found = ["".join(rng.choice("abcdéß日") for _ in range(rng.choice((1, 2, 3, 5, 8, 13, 30, 70)))) for _ in range(400)]
-    short = similarity.Words([w for w in found if len(w) < 64])
-    for block in (short, similarity.Words(found)):
-        for term in [*found[:80], "x", "abcdx日"]:
-            at = block.candidates(term)
-            scores = dict(zip(at.tolist(), block.scores(term, at).tolist(), strict=True))
-            for i, w in enumerate(block.words):
-                one = similarity.jaro_winkler(w, term)
-                assert scores[i] == one if i in scores else one < similarity.threshold(len(term))
+    terms = [*found[:80], "x", "abcdx日"]
+    for block in (similarity.Words([w for w in found if len(w) < 64]), similarity.Words(found)):
+        t, w, score = block.matches(terms)
+        got = dict(zip(zip(t.tolist(), w.tolist(), strict=True), score.tolist(), strict=True))
+        for k, term in enumerate(terms):
+            for i, word in enumerate(block.words):
+                one = similarity.jaro_winkler(word, term)
+                assert got[k, i] == one if (k, i) in got else one < similarity.threshold(len(term))
 
 
 def test_whole_skip_counts(spark, tmp_path):
     html = "see https://a.bc/d and //e.fg/h abc zzz #ff0000 data:image/png;base64,iVBORw0KGgo= end"
     spark.createDataFrame([(1, html), (2, "plain")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    one, two = sorted(queries.QUERIES["whole_skip_counts"](spark, str(tmp_path)).collect())
+    one, two = sorted(queries.QUERIES["skip_counts"](spark, str(tmp_path)).collect())
     assert [one[c] for c in ("key_literal_5", "urls", "alphabet", "repeated", "colour_hex")] == [1, len(regex.findall(patterns.url(), html)), len(regex.findall(patterns.alphabet_run("i"), html)), len(regex.findall(patterns.REPEATED_LETTER, html)), 1]
     assert one["urls"] >= 2 and one["alphabet"] >= 1 and two["key_literal_5"] == two["urls"] == 0
+
+
+def test_skip_sequences(spark, tables):
+    want = [(i, *(None if t is None else len(regex.findall(p, t)) for p in (patterns.REPEATED_LETTER, patterns.HEX))) for i, t, _ in DOCUMENTS]
+    assert run(spark, tables, "skip_sequences") == sorted(want)
