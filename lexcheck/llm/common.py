@@ -1,66 +1,30 @@
-"""Helpers shared by the training-data operators.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and
-executors on a cluster); a machine-local folder is used only where that setting is absent.
-"""
+"""Helpers shared by the training-data operators; ``lexcheck.storage`` keeps their intermediate tables."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexcheck import storage
 from lexcheck.shipping import ship
+from lexcheck.storage import discard, materialise, scratch_dir
+
+__all__ = ["discard", "materialise", "scratch_dir"]
 
 #: ASCII white space that separates words: 0x20 and 0x09-0x0D, the set ``bytes.split()`` uses.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexcheck-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost
-    executor costs a re-read, not a recomputation. The write's own shuffle files go when it is over."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``materialise`` that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if re.fullmatch(r"[0-9a-f]{32}", path.getName()):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def blocks_for(rows: DataFrame, bytes_each: int, least: int = 48) -> int:
     """Number of blocks that keeps a block's texts near ``bytes_each``; it grows with the input. The sum is
     taken, not estimated: estimates of joined inputs can be off by any factor."""
@@ -68,11 +32,11 @@ def blocks_for(rows: DataFrame, bytes_each: int, least: int = 48) -> int:
     return int(max(least, total // bytes_each + 1))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Before Python stages: the package goes to the workers, and Arrow batches have few rows, so that
-    very long texts do not meet in one batch."""
+    very long texts do not meet in one batch. The setting is one for all operators."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    storage.small_batches(spark)
 
 
 _MEMO: dict[str, object] = {}

@@ -1,20 +1,24 @@
 """Substring dedup: words covered by a 20-word window that also starts earlier in the corpus are removed.
 
-The decision is made by an FM-index per shard. Filters bring to a shard only what can repeat there:
+Every removal is an answer of an FM-index search. Filters bring to the indexes only what can repeat:
 
 1.  Every window has an anchor, the least hash among its 15 six-word grams. Blocks of documents post their
     distinct anchors to ranges of the hash space; the ranges answer which ones repeat. Only the
     neighbourhoods of repeating anchors (spans) go on.
 2.  In them the same exchange is made for every six-word gram. A window can repeat only inside a run of
     repeating grams, so spans are cut to runs; contexts that differ are gone, which bounds how
-    many different pieces a very frequent passage can leave. Equal runs are a class: all but the first in
-    corpus order are repeats of it as a whole.
-3.  A first run is cut into pieces, each the windows of one anchor, and equal pieces are a class again.
-    Classes are dealt to shards by their anchor, so all occurrences of a window meet in one shard.
-4.  A shard builds the FM-index of its classes and streams every window of every class through backward
-    search. Where matching statistics reach the window's length, the least place in the suffix range says
-    whether the window starts earlier elsewhere.
-5.  The intervals found are joined to the texts and the covered words are removed.
+    many different pieces a very frequent passage can leave.
+3.  A run is cut into pieces, each the windows of one anchor. Patterns are searched once: equal runs are cut
+    once, equal pieces are one pattern. Patterns are dealt to shards by their anchor, so all texts that
+    hold a window meet in one shard; an anchor with very many different pieces is cut into single windows,
+    which are dealt by their words.
+4.  A shard builds the FM-index of its patterns, each at the least place it has in the corpus, and streams them
+    through it. Where the matching statistic reaches the window's length, the suffix range's window group
+    tells the earliest place of that window.
+5.  Every place of a pattern is held against these answers: a window whose earliest place is before its own is
+    removed. A run that repeats another is removed where the latest of its windows' earliest places is
+    before it. Without an answer from the search nothing is removed.
+6.  The intervals found are joined to the texts and the covered words are removed.
 
 Exchanges carry packed arrays, a block's answer each: a hash that a third of all documents share costs
 every block eight bytes. Blocks, ranges and shards grow in number with the input, not in size.
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty
-from lexcheck.llm.fm_index import FMIndex, range_minima
+from lexcheck.llm.fm_index import FMIndex
 from lexcheck.llm.words import WordArrays, gram_hashes
 
 WINDOW, GRAM = 20, 6
@@ -45,6 +49,7 @@ SPAN = WINDOW - GRAM + 1  # grams of a window
 BLOCK_BYTES = 7 << 19  # of text
 BLOCKS_A_RANGE = 16  # a range of the hash space answers what so many blocks post: about 10 MB
 SHARD_PIECES = 20_000
+HOT_ANCHOR = 2_000  # an anchor with more different pieces is cut into single windows
 
 _LOW = np.uint64(1)
 
@@ -158,7 +163,9 @@ FOUND = [("b", pa.int32()), ("p", pa.int32()), ("blob", pa.binary()), ("doc_id",
 FOUND_SQL = "b int, p int, blob binary, doc_id long, text_key long, start int, text string"
 RUN = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("text", pa.string())]
 RUN_SQL = "doc_id long, text_key long, start int, n int, key binary, text string"
-PIECE_SQL = "doc_id long, text_key long, start int, n int, key binary, anchor long, words binary"
+PIECE = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("anchor", pa.int64()), ("words", pa.binary()), ("run", pa.binary()), ("run_start", pa.int32())]
+PIECE_SQL = "doc_id long, text_key long, start int, n int, key binary, anchor long, words binary, run binary, run_start int"
+TAKEN_SQL = "doc_id long, text_key long, start int, stop int, run binary, late_doc long, late_start int"
 RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text_key", pa.int64()), ("kept_text", pa.string())]
 RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_key long, kept_text string"
 
@@ -230,9 +237,13 @@ def _cut_runs(spans: DataFrame, replies: DataFrame) -> DataFrame:
     return spans.select("b", "doc_id", "text_key", "start", "text").groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(cut, RUN_SQL)
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _cut_pieces(runs: DataFrame) -> DataFrame:
     """The pieces of runs: the windows of one anchor, keyed by their words."""
-    names = [x.split()[0] for x in PIECE_SQL.split(", ")]
+    names = [n for n, _ in PIECE]
 
     def cut(batches):
         for batch in batches:
@@ -247,53 +258,102 @@ def _cut_pieces(runs: DataFrame) -> DataFrame:
             raw = words.hashes.tobytes()
             parts = [raw[8 * s : 8 * (s + c)] for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
             run = words.doc[starts]
-            place = batch.column(2).to_numpy()[run] + (starts - words.begin[run])
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in parts]
+            begun = batch.column(2).to_numpy()[run]
+            place = begun + (starts - words.begin[run])
             made = [pa.array(batch.column(0).to_numpy()[run]), pa.array(batch.column(1).to_numpy()[run]), pa.array(place.astype(np.int32)), pa.array(counts)]
-            made += [pa.array(keys, pa.binary()), pa.array(words.grams[anchors[first]].astype(np.int64)), pa.array(parts, pa.binary())]
+            made += [pa.array([_digest(x) for x in parts], pa.binary()), pa.array(words.grams[anchors[first]].astype(np.int64)), pa.array(parts, pa.binary())]
+            made += [batch.column(4).take(pa.array(run)), pa.array(begun.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(made, names)
 
-    return runs.select("doc_id", "text_key", "start", "text").mapInArrow(cut, PIECE_SQL)
+    return runs.select("doc_id", "text_key", "start", "text", "key").mapInArrow(cut, PIECE_SQL)
 
 
-def judge_shard(words: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> list[int]:
-    """For each class, at its first place: a bit mask of the windows that also start earlier in the shard."""
+def _cut_windows(pieces: DataFrame) -> DataFrame:
+    """Single windows of pieces, anchored by their own words."""
+    names = [n for n, _ in PIECE]
+
+    def cut(batches):
+        for batch in batches:
+            at, starts, parts = [], [], []
+            for i, (start, n, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                for o in range(n - WINDOW + 1):
+                    at.append(i)
+                    starts.append(start + o)
+                    parts.append(words[8 * o : 8 * (o + WINDOW)])
+            keys = [_digest(x) for x in parts]
+            same = batch.take(pa.array(at, pa.int64()))
+            anchors = [int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            made = [same.column(0), same.column(1), pa.array(starts, pa.int32()), pa.array([WINDOW] * len(at), pa.int32()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(anchors, pa.int64()), pa.array(parts, pa.binary()), same.column(7), same.column(8)], names)
+
+    return pieces.select(*names).mapInArrow(cut, PIECE_SQL)
+
+
+def search_shard(words: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For patterns at their first places: the document and the start (-1: not found) of each window's earliest
+    place, all patterns on end, and the number of each one's windows."""
     lengths = np.array([len(w) for w in words], np.int64)
-    index = FMIndex(np.concatenate(words), lengths)
-    owner = np.repeat(np.arange(len(words)), lengths - WINDOW + 1)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(lengths - WINDOW + 1) - (lengths - WINDOW + 1), lengths - WINDOW + 1)
-    at = index.starts[owner] + offset
-    matched, low, high = index.repeated(at + WINDOW, WINDOW)
-    # places in corpus order; text positions that begin no window are never in a full match
-    order = np.lexsort((start[owner] + offset, doc[owner]))
-    same = np.concatenate(([0], np.cumsum((np.diff(doc[owner][order]) != 0) | (np.diff((start[owner] + offset)[order]) != 0))))
-    rank = np.full(len(index.text), len(owner) + 1, np.int64)
-    rank[at[order]] = same
-    full = np.flatnonzero(matched == WINDOW)
-    earliest = range_minima(rank[index.order], low[full], high[full])
-    earlier = full[earliest < rank[at[full]]]
-    masks = np.zeros(len(words), np.int64)
-    np.bitwise_or.at(masks, owner[earlier], np.int64(1) << offset[earlier])
-    return masks.tolist()
-
-
-def _judged(classes: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, stop: intervals of windows that start earlier elsewhere."""
-
-    def judge(key: tuple, rows: pa.Table) -> pa.Table:
+    every = np.concatenate(words)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    offset = np.arange(len(every)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    begins = offset <= lengths[owner] - WINDOW
+    docs, starts = doc[owner], start[owner] + offset
+    order = np.lexsort((starts, docs))
+    fresh = np.concatenate(([True], (np.diff(docs[order]) != 0) | (np.diff(starts[order]) != 0)))
+    rank = np.empty(len(every), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    index = FMIndex(every, lengths, np.where(begins, rank, FMIndex.NOWHERE), WINDOW)
+    _, place = index.stream(every, lengths)
+    place = place[begins]
+    found = place != FMIndex.NOWHERE
+    at = order[fresh][np.where(found, place, 0)]  # a word at that place
+    return docs[at], np.where(found, starts[at], -1).astype(np.int32), lengths - WINDOW + 1
+
+
+def _searched(patterns: DataFrame) -> DataFrame:
+    """key, docs, starts: the earliest place of each window of each pattern of ``patterns(shard, key, doc_id, start,
+    words)``."""
+
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
         doc, start = rows.column("doc_id").to_numpy(), rows.column("start").to_numpy().astype(np.int64)
-        masks = judge_shard(_numbers(rows.column("words")), doc, start)
-        at, lo, hi = [], [], []
-        for k, mask in enumerate(masks):
-            if mask:
-                x, y = _runs(np.array([mask >> o & 1 for o in range(SPAN)], bool))
-                at += [k] * len(x)
-                lo += (start[k] + x).tolist()
-                hi += (start[k] + y + WINDOW - 1).tolist()
-        texts = rows.column("text_key").to_numpy()[at] if at else np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(doc[at] if at else np.zeros(0, np.int64)), "text_key": pa.array(texts), "start": pa.array(lo, pa.int32()), "stop": pa.array(hi, pa.int32())})
+        docs, starts, counts = search_shard(_numbers(rows.column("words")), doc, start)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (docs, starts)]
+        return pa.table({"key": rows.column("key"), "docs": lists[0], "starts": lists[1]})
+
+    return patterns.groupBy("shard").applyInArrow(search, "key binary, docs array<long>, starts array<int>")
+
 
-    return classes.groupBy("shard").applyInArrow(judge, "doc_id long, text_key long, start int, stop int")
+def earlier_windows(doc: int, start: int, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which windows of a piece at (doc, start) start earlier elsewhere, by the search's answers."""
+    own = start + np.arange(len(docs))
+    return (starts >= 0) & ((docs < doc) | ((docs == doc) & (starts < own)))
+
+
+def _taken(placed: DataFrame) -> DataFrame:
+    """The intervals of pieces at their places and, for each piece's run, the latest of the earliest places of its
+    windows, moved back to the run's start (none if a window was not found)."""
+
+    def take(batches):
+        for batch in batches:
+            rows = []
+            docs, starts = batch.column(5), batch.column(6)
+            for i, (doc, text, start, run, run_start) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                d, s = docs[i].values.to_numpy(), starts[i].values.to_numpy()
+                lo, hi = _runs(earlier_windows(doc, start, d, s))
+                rows += [(doc, text, start + x, start + y + WINDOW - 1, None, None, None) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                if (s < 0).any():
+                    rows.append((None, None, None, None, run, NO_ID, 0))
+                    continue
+                last = d == d.max()
+                moved = s - np.arange(len(s)) - (start - run_start)
+                rows.append((None, None, None, None, run, int(d.max()), int(moved[last].max())))
+            names = [x.split()[0] for x in TAKEN_SQL.split(", ")]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return placed.select("doc_id", "text_key", "start", "run", "run_start", "docs", "starts").mapInArrow(take, TAKEN_SQL)
 
 
 def _removed(joined: DataFrame, keep_text: bool) -> DataFrame:
@@ -332,23 +392,36 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
     grams = _answers(found.filter("p is not null"))
     runs = materialise(_cut_runs(found.filter("p is null"), grams))
     discard(found)
-    place = F.min(F.struct("doc_id", "start", "text_key")).alias("at")
-    own = F.struct("doc_id", "start", "text_key")
-    first_runs = runs.groupBy("key").agg(place)
-    marked = runs.join(first_runs, "key").withColumn("first", own == F.col("at"))
-    small_batches(spark, 4_096)
+    first_runs = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    marked = runs.join(first_runs, "key").withColumn("first", F.struct("doc_id", "start") == F.col("at"))
     pieces = materialise(_cut_pieces(marked.filter("first")))
-    classes = materialise(pieces.groupBy("key").agg(place, F.any_value("anchor").alias("anchor"), F.any_value("words").alias("words")))
-    shards = max(1, -(-classes.count() // SHARD_PIECES))
-    dealt = classes.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "at.doc_id", "at.start", "at.text_key", "words")
-    later_runs = marked.filter("not first").select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop"))
-    later_pieces = pieces.join(classes.select("key", "at"), "key").filter(own != F.col("at")).select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop"))
-    intervals = materialise(_judged(dealt).unionByName(later_pieces).unionByName(later_runs))
-    discard(runs, pieces, classes)
-    small_batches(spark)
+    patterns = _patterns(pieces)
+    hot = materialise(patterns.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ANCHOR).select("anchor"))
+    if not hot.isEmpty():
+        cut = materialise(pieces.join(hot, "anchor", "left_anti").select(pieces.columns).unionByName(_cut_windows(pieces.join(hot, "anchor", "left_semi"))))
+        discard(pieces, patterns)
+        pieces, patterns = cut, _patterns(cut)
+    shards = max(1, -(-patterns.count() // SHARD_PIECES))
+    dealt = patterns.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "key", "at.doc_id", "at.start", "words")
+    answers = materialise(_searched(dealt))
+    taken = materialise(_taken(pieces.drop("words").join(answers, "key")))
+    late = F.max(F.struct("late_doc", "late_start")).alias("late")
+    by_run = taken.filter("run is not null").groupBy(F.col("run").alias("key")).agg(late)
+    later = marked.filter("not first").select("key", "doc_id", "text_key", "start", "n").join(by_run, "key")
+    later = later.filter(F.col("late") < F.struct(F.col("doc_id").alias("late_doc"), F.col("start").alias("late_start")))
+    columns = ["doc_id", "text_key", "start", "stop"]
+    found = taken.filter("run is null").select(columns).unionByName(later.withColumn("stop", F.col("start") + F.col("n")).select(columns))
+    intervals = materialise(found)
+    discard(runs, pieces, patterns, hot, answers, taken)
     return intervals
 
 
+def _patterns(pieces: DataFrame) -> DataFrame:
+    """key, at (the first place), anchor, words: one row per different piece."""
+    place = F.min(F.struct("doc_id", "start")).alias("at")
+    return materialise(pieces.groupBy("key").agg(place, F.any_value("anchor").alias("anchor"), F.any_value("words").alias("words")))
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text with text_key, the
     ``xxhash64`` of the text it replaces (both null where nothing was removed)."""

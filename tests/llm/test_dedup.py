@@ -91,7 +91,10 @@ def test_estimate_is_close():
     assert abs(guess[0, 1] - 1_800 / 2_200) < 0.2 and abs(guess[0, 2] - 500 / 3_000) < 0.2
 
 
-def test_substrings_equal_brute_force(docs, clashing):
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_substrings_equal_brute_force(docs, clashing, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)  # 1 cuts nearly all pieces into windows
+    monkeypatch.setattr(substrings, "SHARD_PIECES", 300)
     want = repeats_brute(pairs(docs))
     got = substrings.remove_repeats(clashing, keep_text=True).collect()
     assert len(got) == docs.count() and sum(r["n_removed"] for r in got) > 500
@@ -120,25 +123,65 @@ def test_substring_stage(docs, clashing):
             assert r["n_chars"] == len(r["text"])
 
 
-def test_fm_index_counts_and_ranks():
-    rng = np.random.default_rng(4)
-    lengths = np.array([7, 1, 30, 12, 30])
-    words = rng.integers(0, 4, lengths.sum()).astype(np.uint64)
-    index = fm_index.FMIndex(words, lengths)
-    text = index.text.tolist()
-    suffixes = sorted(range(len(text)), key=lambda i: [(x, 0) if x else (-1, i + k) for k, x in enumerate(text[i:])])
-    assert sorted(index.order.tolist()) == list(range(len(text)))
-    assert [text[i] for i in index.order] == [text[i] for i in suffixes]
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    ends, want = [], []
-    strings = [words[b : b + n].tolist() for b, n in zip(begins, lengths, strict=True)]
-    for s, start in zip(strings, index.starts.tolist(), strict=True):
-        for e in range(4, len(s) + 1):
-            ends.append(start + e)
-            want.append(sum(s[e - 4 : e] == t[k : k + 4] for t in strings for k in range(len(t) - 3)))
-    matched, low, high = index.repeated(np.array(ends), 4)
-    for m, lo, hi, n in zip(matched, low, high, want, strict=True):
-        assert (m == 4) == (n > 1) and (n == 1 or hi - lo == n)
+def collection(seed, letters=4):
+    rng = np.random.default_rng(seed)
+    lengths = np.array([7, 1, 30, 12, 30, 3])
+    words = rng.integers(0, letters, lengths.sum()).astype(np.uint64)
+    cuts = np.cumsum(lengths)[:-1]
+    return words, lengths, [x.tolist() for x in np.split(words, cuts)]
+
+
+def holds(text, part):
+    return any(text[k : k + len(part)] == part for k in range(len(text) - len(part) + 1))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics_equal_brute_force(seed):
+    """Of patterns of the collection, and of others, whose matches fail and are shortened."""
+    words, lengths, strings = collection(seed)
+    places = np.concatenate([np.where(np.arange(n) <= n - 4, 1_000 * k + np.arange(n), fm_index.FMIndex.NOWHERE) for k, n in enumerate(lengths.tolist())])
+    index = fm_index.FMIndex(words, lengths, places, 4)
+    assert not hasattr(index, "text") and not hasattr(index, "order")
+    rng = np.random.default_rng(seed + 50)
+    patterns = [*strings, *(rng.integers(0, 6, n).tolist() for n in (1, 5, 40, 60))]
+    matched, place = index.stream(np.concatenate(patterns).astype(np.uint64), np.array([len(p) for p in patterns]))
+    at = 0
+    for p in patterns:
+        for k in range(len(p)):
+            longest = max((n for n in range(1, len(p) - k + 1) if any(holds(t, p[k : k + n]) for t in strings)), default=0)
+            assert matched[at] == longest
+            if longest >= 4:
+                want = min(1_000 * i + j for i, t in enumerate(strings) for j in range(len(t) - 3) if t[j : j + 4] == p[k : k + 4])
+                assert place[at] == want
+            else:
+                assert place[at] == fm_index.FMIndex.NOWHERE
+            at += 1
+
+
+def test_common_prefixes():
+    words, lengths, _ = collection(3, 2)
+    text = np.concatenate([np.append(x, 100 + k) for k, x in enumerate(np.split(words, np.cumsum(lengths)[:-1]))]).astype(np.int64)
+    _, dense = np.unique(text, return_inverse=True)
+    order, common = fm_index.suffix_array(dense)
+    texts = [dense[i:].tolist() for i in order]
+    assert texts == sorted(texts)
+    for x, y, n in zip(texts, texts[1:], common[1:].tolist(), strict=False):
+        assert x[:n] == y[:n] and (len(x) == n or len(y) == n or x[n] != y[n])
+
+
+def test_nothing_is_removed_without_an_answer_of_the_search(monkeypatch):
+    """Windows that the search does not find are never earlier ones, whatever their digests say."""
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 2**60, 30).astype(np.uint64)
+    words, doc, start = [one, one[5:28], rng.integers(0, 2**60, 20).astype(np.uint64)], np.array([4, 2, 3]), np.array([0, 7, 0])
+    docs, starts, counts = substrings.search_shard(words, doc, start)
+    assert counts.tolist() == [11, 4, 1]
+    first = substrings.earlier_windows(4, 0, docs[:11], starts[:11])
+    assert first.tolist() == [False] * 5 + [True] * 4 + [False] * 2
+    assert substrings.earlier_windows(9, 0, docs[:11], starts[:11]).all()
+    monkeypatch.setattr(fm_index.FMIndex, "stream", lambda self, w, n: (np.zeros(len(w), np.int32), np.full(len(w), self.NOWHERE)))
+    docs, starts, _ = substrings.search_shard(words, doc, start)
+    assert (starts == -1).all() and not substrings.earlier_windows(9, 50, docs[:11], starts[:11]).any()
 
 
 def test_wavelet_matrix():
@@ -150,14 +193,6 @@ def test_wavelet_matrix():
     assert wavelet.occurrences(which, at).tolist() == [int((symbols[:i] == s).sum()) for s, i in zip(which, at, strict=True)]
 
 
-def test_range_minima():
-    rng = np.random.default_rng(3)
-    values = rng.integers(0, 1_000, 100)
-    low = rng.integers(0, 99, 200)
-    high = np.array([rng.integers(x + 1, 101) for x in low])
-    assert fm_index.range_minima(values, low, high).tolist() == [int(values[x:y].min()) for x, y in zip(low, high, strict=True)]
-
-
 def test_text_key_is_sparks(spark):
     texts = ["", "a", "é" * 100]
     got = [r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()]
