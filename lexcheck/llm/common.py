@@ -39,6 +39,21 @@ def small_batches(spark: SparkSession) -> None:
     storage.small_batches(spark)
 
 
+def gathered(batches, rows: int = 4_096, size: int = 8 << 20):
+    """The batches of a ``mapInArrow``, joined until they have so many rows or bytes: array operations pay from some
+    thousand short rows on, while batches of long texts stay as small as they come."""
+    held: list[pa.RecordBatch] = []
+    n = total = 0
+    for batch in batches:
+        if held and (n + batch.num_rows > rows or total + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held, n, total = [], 0, 0
+        held.append(batch)
+        n, total = n + batch.num_rows, total + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 _MEMO: dict[str, object] = {}
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import NO_ID, blocks_for, discard, materialise, small_batches, table, text_or_empty
+from lexcheck.llm.common import NO_ID, blocks_for, discard, gathered, materialise, small_batches, table, text_or_empty
 from lexcheck.llm.fm_index import FMIndex
 from lexcheck.llm.words import WordArrays, gram_hashes
 
@@ -48,7 +48,7 @@ WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams of a window
 BLOCK_BYTES = 7 << 19  # of text
 BLOCKS_A_RANGE = 16  # a range of the hash space answers what so many blocks post: about 10 MB
-SHARD_PIECES = 20_000
+SHARD_PIECES = 6_000
 HOT_ANCHOR = 2_000  # an anchor with more different pieces is cut into single windows
 
 _LOW = np.uint64(1)
@@ -246,7 +246,7 @@ def _cut_pieces(runs: DataFrame) -> DataFrame:
     names = [n for n, _ in PIECE]
 
     def cut(batches):
-        for batch in batches:
+        for batch in gathered(batches, size=2 << 20):
             words = Words(batch.column(3).to_pylist())
             windows = np.flatnonzero(words.whole)
             anchors = words.anchors()[windows]
@@ -324,34 +324,54 @@ def _searched(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("shard").applyInArrow(search, "key binary, docs array<long>, starts array<int>")
 
 
-def earlier_windows(doc: int, start: int, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which windows of a piece at (doc, start) start earlier elsewhere, by the search's answers."""
-    own = start + np.arange(len(docs))
-    return (starts >= 0) & ((docs < doc) | ((docs == doc) & (starts < own)))
+def earlier_windows(doc, start, offset: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which windows, ``offset`` words into a piece at (doc, start), start earlier elsewhere, by the search's
+    answers."""
+    return (starts >= 0) & ((docs < doc) | ((docs == doc) & (starts < start + offset)))
+
+
+def take_intervals(doc: np.ndarray, start: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window, last window) of the runs of windows that start earlier elsewhere, for pieces at (doc,
+    start) with the answers of their windows on end."""
+    begin = np.cumsum(counts) - counts
+    piece = np.repeat(np.arange(len(counts)), counts)
+    offset = np.arange(len(piece)) - begin[piece]
+    earlier = earlier_windows(doc[piece], start[piece], offset, docs, starts)
+    border = np.zeros(len(piece) + 1, bool)
+    border[begin] = True
+    lo, hi = _runs(earlier, border)
+    return piece[lo], offset[lo], offset[hi - 1] if len(hi) else hi
+
+
+def latest_places(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the latest of its windows' earliest places, moved back to its run's start, which is ``ahead``
+    words before the piece; NO_ID where a window was not found."""
+    begin = np.cumsum(counts) - counts
+    piece = np.repeat(np.arange(len(counts)), counts)
+    docs = np.where(starts < 0, NO_ID, docs)
+    moved = starts - (np.arange(len(piece)) - begin[piece]) - ahead[piece]
+    last = np.maximum.reduceat(docs, begin)
+    return last, np.maximum.reduceat(np.where(docs == last[piece], moved, np.iinfo(np.int32).min), begin)
 
 
 def _taken(placed: DataFrame) -> DataFrame:
-    """The intervals of pieces at their places and, for each piece's run, the latest of the earliest places of its
-    windows, moved back to the run's start (none if a window was not found)."""
+    """The intervals of pieces at their places and, for runs, the latest places of their pieces."""
+    names = [x.split()[0] for x in TAKEN_SQL.split(", ")]
 
     def take(batches):
-        for batch in batches:
-            rows = []
-            docs, starts = batch.column(5), batch.column(6)
-            for i, (doc, text, start, run, run_start) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
-                d, s = docs[i].values.to_numpy(), starts[i].values.to_numpy()
-                lo, hi = _runs(earlier_windows(doc, start, d, s))
-                rows += [(doc, text, start + x, start + y + WINDOW - 1, None, None, None) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                if (s < 0).any():
-                    rows.append((None, None, None, None, run, NO_ID, 0))
-                    continue
-                last = d == d.max()
-                moved = s - np.arange(len(s)) - (start - run_start)
-                rows.append((None, None, None, None, run, int(d.max()), int(moved[last].max())))
-            names = [x.split()[0] for x in TAKEN_SQL.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for batch in gathered(batches):
+            doc, text, start = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy().astype(np.int64)
+            counts = np.diff(batch.column(5).offsets.to_numpy()).astype(np.int64)
+            docs, starts = batch.column(5).flatten().to_numpy(), batch.column(6).flatten().to_numpy().astype(np.int64)
+            piece, lo, hi = take_intervals(doc, start, docs, starts, counts)
+            at = pa.array(piece)
+            none = lambda kind, n: pa.nulls(n, kind)
+            ends = [pa.array((start[piece] + lo).astype(np.int32)), pa.array((start[piece] + hi + WINDOW).astype(np.int32))]
+            n = len(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), text.take(at), *ends, none(pa.binary(), n), none(pa.int64(), n), none(pa.int32(), n)], names)
+            last, moved = latest_places(docs, starts, counts, start - batch.column(4).to_numpy())
+            n = len(counts)
+            yield pa.RecordBatch.from_arrays([*(none(k, n) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), batch.column(3), pa.array(last), pa.array(moved.astype(np.int32))], names)
 
     return placed.select("doc_id", "text_key", "start", "run", "run_start", "docs", "starts").mapInArrow(take, TAKEN_SQL)
 
