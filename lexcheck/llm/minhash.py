@@ -4,31 +4,36 @@ A document's set: its distinct five-word shingles (lower case A-Z), or the whole
 documents with the same set form a class; everything below works on classes, so a group of copies costs
 one class however large it is.
 
-1.  A class keeps the ``SKETCH`` smallest hash values of its set. The ``KEYS`` smallest are posted in
+1.  A class keeps the ``sketch`` smallest hash values of its set. The ``keys`` smallest are posted in
     inverted lists; two sets with Jaccard 0.75 miss each other in all of the first 12 with odds of 0.25**12.
-2.  Lists of at most ``HOT`` classes are read whole: the union sketch of each pair estimates its Jaccard
-    similarity, and a spanning forest of the pairs above ``LEAST_ESTIMATE`` (five deviations under the
+2.  Lists of at most ``hot`` classes are read whole: the union sketch of each pair estimates its Jaccard
+    similarity, and a spanning forest of the pairs above ``least_estimate`` (five deviations under the
     threshold) is passed on, not all pairs.
-3.  Longer lists come from passages that many documents share. A class with less than three eighths hot keys
-    leaves them: what it shares with a similar set cannot be hot alone. The others (groups of very many
-    near copies) are compared in blocks with their full sets, each block pair emitting a forest of
-    verified links. Nothing is capped: more members make more blocks.
+3.  Longer lists come from passages that many documents share. A class with less than ``hot_share`` of its keys
+    in them leaves them: what it shares with a similar set cannot be hot alone. The others (groups of very many
+    near copies) are compared in blocks, bounded in rows and bytes, with their full sets, each block pair emitting
+    a forest of verified links: first in the list of each class's smallest hot key, then, in all other lists
+    that still hold several components. Nothing is capped: more members make more blocks.
 4.  Forest pairs are verified on full sets, read again from the texts of the classes involved. Components
     are formed; then lists that still hold several components pass on every estimated pair across them,
     which are verified too. After that no pair that passes the estimate is unchecked or unconnected.
 
-Defined cases: texts without words are empty sets, linked with nothing; null texts likewise; rows without
-an id get a null component and are kept; rows that repeat an id are one document of that id; extra columns
-are ignored; empty tables give no rows.
+All numbers are in ``Search``. ``EXACT`` leaves no odds: the smallest quarter of every set (and one value more)
+is posted, of which two sets of Jaccard 0.75 must share one, nobody leaves a list and no pair is estimated away.
+
+Defined cases: texts without words are empty sets, linked with nothing; null texts likewise; rows without an id
+get a null component and are all kept; a row is judged by its own text, also where other rows have its id;
+extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty
@@ -37,9 +42,26 @@ from lexcheck.llm.words import WordArrays, gram_hashes
 
 WORDS = 5
 THRESHOLD = 75  # per cent
-SKETCH, KEYS, COLD_KEYS, HOT_KEYS = 64, 32, 12, 10
-HOT, BLOCK = 200, 1_024
-LEAST_ESTIMATE = 0.48
+
+
+@dataclass(frozen=True)
+class Search:
+    """``keys``: posted values (None: the smallest quarter and one more); ``cold_keys`` and ``hot_keys``: how many of
+    them are read in short and long lists (None: all); ``block_bytes``: full sets of a block."""
+
+    sketch: int = 64
+    keys: int | None = 32
+    cold_keys: int | None = 12
+    hot_keys: int | None = 10
+    hot_share: float = 0.375
+    hot: int = 200
+    block: int = 1_024
+    block_bytes: int = 32 << 20
+    least_estimate: float = 0.48
+
+
+DEFAULT = Search()
+EXACT = Search(keys=None, cold_keys=None, hot_keys=None, hot_share=0.0, least_estimate=0.0)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -67,10 +89,11 @@ def _fits(x: np.ndarray) -> list[int]:
     return x.astype(np.int64).tolist()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig (of the full set), keys (the smallest values), sketch, one row per input row."""
+def sketches(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
+    """doc_id, text_key (``xxhash64`` of the text), n, sig (of the full set), keys (the smallest values), sketch,
+    one row per input row."""
     small_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -78,13 +101,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             for s in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(_fits(s[:KEYS]))
-                low.append(s[:SKETCH].tobytes())
-            made = [batch.column(0)] + [pa.array(c, k) for c, k in zip((n, sig, keys, low), kinds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n", "sig", "keys", "sketch"])
+                keys.append(_fits(s[: len(s) // 4 + 1 if search.keys is None else search.keys]))
+                low.append(s[: search.sketch].tobytes())
+            made = [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip((n, sig, keys, low), kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "text_key", "n", "sig", "keys", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sig binary, keys array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sig binary, keys array<long>, sketch binary")
 
 
 def estimates(sizes: np.ndarray, low: list[np.ndarray]) -> np.ndarray:
@@ -145,7 +168,7 @@ def _grouped(batches, key: int):
         yield held
 
 
-def cold_pairs(lists: DataFrame) -> DataFrame:
+def cold_pairs(lists: DataFrame, least_estimate: float = DEFAULT.least_estimate) -> DataFrame:
     """(a, b) from ``lists(v, class_id, n, sketch, component)``.
 
     While components are null: a spanning forest of the pairs above the estimate. Afterwards: all such
@@ -166,7 +189,7 @@ def cold_pairs(lists: DataFrame) -> DataFrame:
             cells = rows.column("sketch").chunk(0)
             low = [_unpack(c) for c in cells]
             guess = np.triu(estimates(rows.column("n").to_numpy(), low), 1)
-            i, j = np.nonzero(guess >= LEAST_ESTIMATE)
+            i, j = np.nonzero((guess >= least_estimate) & (guess > 0))
             if again:
                 keep = comp[i] != comp[j]
                 i, j = i[keep], j[keep]
@@ -208,14 +231,15 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     return out
 
 
-def hot_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Verified (a, b) among ``members(v, class_id, sig, df)``: classes of lists longer than HOT, in pairs of
-    blocks. A list of m members is ceil(m / BLOCK) blocks; a member goes to the pairs its block is part of."""
-    sets = full_sets(docs, members.select("class_id", "sig").distinct())
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+def hot_links(docs: DataFrame, lists: DataFrame, search: Search = DEFAULT) -> DataFrame:
+    """Verified (a, b) among ``lists(v, class_id, doc_id, sig, n)``, in pairs of blocks. A list is cut into blocks by
+    its members and the bytes of their sets; a member goes to the pairs its block is part of."""
+    sizes = lists.groupBy("v").agg(F.greatest(F.ceil(F.count(F.lit(1)) / search.block), F.ceil(F.sum("n") * 8 / search.block_bytes)).cast("int").alias("blocks"))
+    sets = full_sets(docs, lists.select("class_id", "doc_id", "sig").distinct())
     mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     dealt = (
-        members.select("v", "class_id", blocks.alias("blocks"))
+        lists.select("v", "class_id")
+        .join(sizes, "v")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("class_id", F.xxhash64("v", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
@@ -235,7 +259,8 @@ def hot_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class_id, set (packed sorted hashes) for ``classes(class_id, sig)``, read again from the texts."""
+    """class_id, set (packed sorted hashes) for ``classes(class_id, doc_id, sig)``, read again from the texts of
+    their documents; rows that repeat an id with another text do not fit the signature."""
 
     def run(batches):
         for batch in batches:
@@ -247,15 +272,15 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     made.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], ["class_id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), text_or_empty().alias("text"))
-    found = texts.join(classes.select("class_id", "sig"), "class_id").select("class_id", "text", "sig").mapInArrow(run, "class_id long, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    found = texts.join(classes.select("class_id", "doc_id", "sig"), "doc_id").select("class_id", "text", "sig").mapInArrow(run, "class_id long, set binary")
     return found.dropDuplicates(["class_id"])
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    sets = materialise(full_sets(docs, classes.select("class_id", "sig").join(ends, "class_id")))
+    sets = materialise(full_sets(docs, classes.select("class_id", "doc_id", "sig").join(ends, "class_id")))
 
     def run(batches):
         for batch in batches:
@@ -273,67 +298,92 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs(doc_id, text)``."""
+def _first(entries, most: int | None):
+    return entries if most is None else F.slice(entries, 1, most)
+
+
+def judged(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    rows = materialise(sketches(docs))
+    rows = materialise(sketches(docs, search))
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = materialise(
-        usable.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
-    )
-    posted = classes.select("class_id", "sig", F.posexplode("keys").alias("at", "v"))
+    by_set = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    # a class is numbered when it is written: its smallest doc_id may stand on rows of other texts as well
+    classes = materialise(by_set.withColumn("class_id", F.monotonically_increasing_id()))
+    posted = classes.select("class_id", F.posexplode("keys").alias("at", "v"))
     counts = posted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     entry = F.struct("at", "v", "df")
-    by_class = posted.join(counts, "v").groupBy("class_id", "sig").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # KEYS at most
-    cold = F.slice(F.filter("entries", lambda e: e["df"] <= HOT), 1, COLD_KEYS)
-    hot = F.filter("entries", lambda e: e["df"] > HOT)
+    by_class = posted.join(counts, "v").groupBy("class_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # the posted values at most
+    cold = _first(F.filter("entries", lambda e: e["df"] <= search.hot), search.cold_keys)
+    hot = F.filter("entries", lambda e: e["df"] > search.hot)
+    posted_keys = F.col("n") if search.keys is None else F.least("n", F.lit(search.keys))
     chosen = materialise(
-        by_class.join(classes.select("class_id", "sig", "n", "sketch"), ["class_id", "sig"]).select(
-            "class_id",
-            "sig",
-            "n",
-            "sketch",
+        by_class.join(classes.select("class_id", "doc_id", "sig", "n", "sketch"), "class_id").select(
+            "class_id", "doc_id", "sig", "n", "sketch",
             cold["v"].alias("cold"),
-            F.when(F.size(hot) * 8 >= 3 * F.least("n", F.lit(KEYS)), F.slice(hot, 1, HOT_KEYS)).otherwise(F.slice(hot, 1, 0)).alias("hot"),
+            F.when(F.size(hot) >= search.hot_share * posted_keys, _first(hot, search.hot_keys)["v"]).otherwise(F.array().cast("array<bigint>")).alias("hot"),
         )
-    )
-    cold_lists = chosen.select(F.explode("cold").alias("v"), "class_id", "n", "sketch")
-    sizes = chosen.select(F.explode("hot.v").alias("v"), "class_id", "sig")
-    hot_counts = sizes.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    members = sizes.join(hot_counts, "v")
+    )
     nothing = F.lit(None).cast("long").alias("component")
-    first = materialise(cold_pairs(cold_lists.select("*", nothing)))
+    first = materialise(cold_pairs(chosen.select(F.explode("cold").alias("v"), "class_id", "n", "sketch", nothing), search.least_estimate))
     links = verify(docs, first, classes)
-    links = materialise(links.unionByName(hot_links(docs, members)))
+    some_hot = chosen.filter(F.size("hot") > 0).select("class_id", "doc_id", "sig", "n", "hot")
     found = components(links)
+    if not some_hot.isEmpty():
+        links = materialise(links.unionByName(hot_links(docs, some_hot.withColumn("v", F.get("hot", F.lit(0))).drop("hot"), search)))
+        found = components(links)
+        # the other lists, where they still hold several components
+        rest = some_hot.withColumn("v", F.explode("hot")).drop("hot").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+        rest = materialise(rest.withColumn("component", F.coalesce("component", "class_id")))
+        mixed = rest.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("v")
+        more = materialise(hot_links(docs, rest.join(mixed, "v").drop("component"), search))
+        if not more.isEmpty():
+            links = materialise(links.unionByName(more))
+            found = components(links)
+        discard(rest, more)
     named = chosen.select("class_id", "n", "sketch", F.explode("cold").alias("v")).join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    second = materialise(cold_pairs(named.withColumn("component", F.coalesce("component", "class_id"))))
+    second = materialise(cold_pairs(named.withColumn("component", F.coalesce("component", "class_id")), search.least_estimate))
     if not second.isEmpty():
         more = verify(docs, second, classes)
         if not more.isEmpty():
             found = components(links.unionByName(more))
         discard(more)
     discard(first, second, links, chosen)
-    of_class = classes.select("sig", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component"))
+    linked = classes.select("sig", "doc_id", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = linked.select("sig", "component").join(least, "component").select("sig", "component_id")
     return (
-        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+        rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
         .join(of_class, "sig", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
+        .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are first of their group; a row repeated with its id and
-    text stays once."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+def near_duplicates(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs(doc_id, text)``."""
+    return judged(docs, search).drop("text_key")
+
+
+def without_duplicates(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
+    """The rows of ``docs``, all columns, that are first of their group. Rows without an id all stay. Of rows that
+    repeat both id and text one stays, the least by its other columns' values; only such rows are grouped,
+    no other text is moved for them."""
+    small_batches(docs.sparkSession)
+    found = materialise(judged(docs, search).filter("doc_id is not null"))
+    ids = found.groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    of = ids.filter("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__key"))
+    gone = docs.join(of.select("__id", "__key"), same, "left_anti")
+    again = of.filter("__kept")
+    if again.isEmpty():
+        return gone
+    repeated = docs.join(again, same)
+    order = Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    one = repeated.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    return gone.unionByName(one)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

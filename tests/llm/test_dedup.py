@@ -51,24 +51,39 @@ def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("hot", [200, 3])
-def test_near_duplicates_equal_brute_force(docs, clashing, hot, monkeypatch):
-    monkeypatch.setattr(minhash, "HOT", hot)  # 3 sends the groups through the blocks of long lists
-    monkeypatch.setattr(minhash, "BLOCK", 5)
+@pytest.mark.parametrize(
+    "search",
+    [
+        minhash.DEFAULT,
+        minhash.Search(hot=3, block=5),  # sends the groups through the blocks of long lists
+        minhash.Search(hot=3, block_bytes=4_000),
+        minhash.EXACT,
+    ],
+    ids=["default", "hot", "bytes", "exact"],
+)
+def test_near_duplicates_equal_brute_force(docs, clashing, search):
     want = near_brute(pairs(docs))
-    got = minhash.near_duplicates(clashing).collect()
+    got = minhash.near_duplicates(clashing, search).collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
 def test_near_duplicates_edges(spark, nothing):
-    assert minhash.near_duplicates(nothing).isEmpty()
+    assert minhash.near_duplicates(nothing).isEmpty() and minhash.without_duplicates(nothing).isEmpty()
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (5, None), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash.near_duplicates(rows).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (4, 2, 4, True), (5, 0, 5, True), (None, 0, None, True)], key=str)
 
 
+def test_an_id_on_rows_of_different_texts(spark):
+    """Classes of one smallest id stay apart: each is verified with its own set."""
+    word = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, word("a", 60)), (1, word("b", 60)), (2, word("a", 59)), (3, word("b", 59)), (4, word("c", 60)), (3, word("c", 60))]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 3, False)]
+
+
 def test_duplicates_stage_keeps_one_of_each(docs, clashing):
     want = near_brute(pairs(docs))
     kept = minhash.without_duplicates(clashing)
@@ -76,6 +91,13 @@ def test_duplicates_stage_keeps_one_of_each(docs, clashing):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_duplicates_stage_keeps_what_is_no_copy(spark):
+    rows = [(None, "same text", "x"), (None, "same text", "x"), (7, "one text", "z"), (7, "one text", "y"), (7, "one text", "y"), (8, "one text", "w"), (7, "other words", "v"), (9, None, None), (9, None, "u")]
+    kept = minhash.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "same text", "x"), (None, "same text", "x"), (7, "one text", "y"), (7, "other words", "v"), (9, None, "u")], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (200, 150)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -176,12 +198,12 @@ def test_nothing_is_removed_without_an_answer_of_the_search(monkeypatch):
     words, doc, start = [one, one[5:28], rng.integers(0, 2**60, 20).astype(np.uint64)], np.array([4, 2, 3]), np.array([0, 7, 0])
     docs, starts, counts = substrings.search_shard(words, doc, start)
     assert counts.tolist() == [11, 4, 1]
-    first = substrings.earlier_windows(4, 0, docs[:11], starts[:11])
+    first = substrings.earlier_windows(4, 0, np.arange(11), docs[:11], starts[:11])
     assert first.tolist() == [False] * 5 + [True] * 4 + [False] * 2
-    assert substrings.earlier_windows(9, 0, docs[:11], starts[:11]).all()
+    assert substrings.earlier_windows(9, 0, np.arange(11), docs[:11], starts[:11]).all()
     monkeypatch.setattr(fm_index.FMIndex, "stream", lambda self, w, n: (np.zeros(len(w), np.int32), np.full(len(w), self.NOWHERE)))
     docs, starts, _ = substrings.search_shard(words, doc, start)
-    assert (starts == -1).all() and not substrings.earlier_windows(9, 50, docs[:11], starts[:11]).any()
+    assert (starts == -1).all() and not substrings.earlier_windows(9, 50, np.arange(11), docs[:11], starts[:11]).any()
 
 
 def test_wavelet_matrix():
