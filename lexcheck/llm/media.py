@@ -6,7 +6,9 @@ numpy array: strips or tiles, uncompressed, PackBits, LZW or deflate, horizontal
 per page. ``write_tiff`` makes the files the query reads back.
 
 Defined cases: null media gives one row with page -1 and an error; so does a file that is no TIFF or is
-damaged (its intact leading pages are still returned); a directory offset seen before ends the walk.
+damaged (its intact leading pages are still returned), has an image of no size, or claims a page larger than
+its stored bytes can hold or than ``MOST_PAGE_BYTES``; nothing is decoded past what a page needs. A directory
+offset seen before ends the walk.
 """
 
 from __future__ import annotations
@@ -31,14 +33,18 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 LZW_CLEAR, LZW_END, LZW_FIRST, LZW_MOST_BITS = 256, 257, 258, 12
 
+#: The most bytes that one stored byte can stand for.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2_732, DEFLATE: 1_032, OLD_DEFLATE: 1_032}
+MOST_PAGE_BYTES = 1 << 30
+
 UNIT = 192
 ROW_SAMPLES = 64  # of 3 bytes: one image row is one unit of the payload
 ROWS_PER_PAGE = 1 << 16
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, want: int | None = None) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (want is None or len(out) < want):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -51,9 +57,9 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, want: int | None = None) -> bytes:
     """MSB-first variable-width codes; the width grows one code early, as TIFF writers do."""
-    out, entries, width, last = [], [], 9, b""
+    out, entries, width, last, size = [], [], 9, b"", 0
     value = held = 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     entries = base[:]
@@ -79,7 +85,9 @@ def unpack_lzw(data: bytes) -> bytes:
             piece = entries[code] if code < len(entries) else last + last[:1]
             entries.append(last + piece[:1])
         out.append(piece)
-        last = piece
+        last, size = piece, size + len(piece)
+        if want is not None and size >= want:
+            break
         if len(entries) + 1 >= (1 << width) and width < LZW_MOST_BITS:
             width += 1
     return b"".join(out)
@@ -89,11 +97,11 @@ def _decode(data: bytes, scheme: int, want: int) -> bytes:
     if scheme == NONE:
         raw = data
     elif scheme == PACKBITS:
-        raw = unpack_bits(data)
+        raw = unpack_bits(data, want)
     elif scheme == LZW:
-        raw = unpack_lzw(data)
+        raw = unpack_lzw(data, want)
     elif scheme in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(data)
+        raw = zlib.decompressobj().decompress(data, want)
     else:
         raise ValueError(f"compression {scheme} is not supported")
     if len(raw) < want:
@@ -106,7 +114,7 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     tags: dict[int, tuple] = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        if kind not in TYPES:
+        if kind not in TYPES or not count:
             continue
         code = f"{order}{count}{TYPES[kind]}"
         size, place = struct.calcsize(code), at + 2 + 12 * k + 8
@@ -116,12 +124,19 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def rows_bytes(wide: int, tall: int, deep: int, itemsize: int, count: int, tiled: bool) -> int:
+    """Bytes of all tiles, whose edges may lie outside the image; strips end with it."""
+    return wide * tall * deep * itemsize * count if tiled else 0
+
+
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, length, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
     bits, scheme, predictor, planar = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits or predictor {predictor} is not supported")
+    if bits not in (8, 16) or predictor not in (1, 2) or planar not in (1, 2) or scheme not in GROWTH:
+        raise ValueError(f"{bits} bits, predictor {predictor}, planar {planar} or compression {scheme} is not supported")
+    if not all(isinstance(x, int) and x > 0 for x in (width, length, samples)):
+        raise ValueError("an image without size")
     kind = np.dtype(f"{order}u{bits // 8}")
     deep = samples if planar == 1 else 1
     if TILE_OFFSETS in tags:
@@ -129,7 +144,14 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     else:
         wide, tall = width, min(one(ROWS_PER_STRIP, length), length)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if not all(isinstance(x, int) and x > 0 for x in (wide, tall)) or not all(isinstance(x, int) and x >= 0 for x in (*offsets, *counts)):
+        raise ValueError("strips or tiles without size")
     across, down = -(-width // wide), -(-length // tall)
+    if len(offsets) != across * down * (samples if planar == 2 else 1):
+        raise ValueError("the number of strips or tiles does not fit the image")
+    size = width * length * samples * kind.itemsize
+    if size > MOST_PAGE_BYTES or max(size, rows_bytes(wide, tall, deep, kind.itemsize, len(offsets), TILE_OFFSETS in tags)) > GROWTH[scheme] * (sum(counts) + len(counts)):
+        raise ValueError("the page is larger than its stored bytes can hold")
     image = np.zeros((length, width, samples), kind.newbyteorder("="))
     for k, (place, count) in enumerate(zip(offsets, counts, strict=True)):
         plane, cell = divmod(k, across * down)
@@ -224,8 +246,8 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
             n += 1
         if not n:
             raise ValueError("no page")
-    except (ValueError, KeyError, TypeError, struct.error, zlib.error, ZeroDivisionError) as e:
-        yield -1, None, None, None, None, None, str(e)
+    except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+        yield -1, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -238,13 +260,12 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     def decode(batches):
         for batch in batches:
             files = batch.column(batch.schema.get_field_index(media))
-            for i in range(batch.num_rows):  # a file at a time: memory holds one file's pages
-                rows = list(pages_of(files[i].as_py()))
-                kept = [pa.array([batch.column(batch.schema.get_field_index(c))[i].as_py()] * len(rows), batch.schema.field(c).type) for c in names]
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.string()]
-                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(kept + made, names + [x.split()[0] for x in PAGE_SCHEMA.split(", ")])
+            for i in range(batch.num_rows):
+                kept = [batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in names]
+                for page in pages_of(files[i].as_py()):  # a page at a time: memory holds one
+                    kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.string()]
+                    made = [pa.array([x], k) for x, k in zip(page, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(kept + made, names + [x.split()[0] for x in PAGE_SCHEMA.split(", ")])
 
     return df.mapInArrow(decode, schema)
 
