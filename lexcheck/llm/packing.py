@@ -1,14 +1,17 @@
 """Best-fit packing of tokenised documents into sequences of a fixed size by a grouping genetic algorithm.
 
 Encoding. Words between ASCII blanks are encoded one by one and memoised; the tokeniser's own rules split
-there too, so the ids are those of the whole text (tested). The end id is appended; only a document longer
+there too, and its special tokens hold no blank, so the ids are those of the whole text (tested), special
+tokens written in a text included. The end id is appended; only a document longer
 than a sequence is cut, into full pieces and a rest, and full pieces are sequences of their own.
 
 Packing. The other pieces are dealt by hash to blocks of bounded size. A block's individuals are whole
 packings; each (block, island) evolves a small population: crossover injects well-filled bins of one
 parent into the other, drops the bins that now hold a document twice, and best-fits the displaced
-documents, largest first. After every epoch each island sends its best packing to the next island of its
-block (a shuffle of packings). The best packing of a block wins; bins left poorly filled are dissolved
+documents, largest first. One island starts from best-fit decreasing, the others from packings around random
+halves. An epoch ends when the volume bound is reached, after ``STALL`` generations without a better packing, or
+after ``GENERATIONS``; then each island sends its best packing to the next island of its block (a shuffle of
+packings). At the bound no packing can be better, so a block that starts there evolves nothing. The best packing of a block wins; bins left poorly filled are dissolved
 and their pieces packed again in blocks of blocks, so that blocks cost no more sequences than one.
 
 Defined cases: null or empty texts are the end id alone; null ids are kept; equal rows are pieces of their
@@ -35,7 +38,7 @@ from lexcheck.llm.common import materialise, small_batches, table, text_or_empty
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 4_096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, STALL = 3, 2, 8, 40, 6
 WELL_FILLED = 0.98  # bins under this share of the capacity are dissolved after the block's turn
 MEMO_WORDS = 1_000_000  # about 200 bytes each; a worker's memo is emptied when full
 
@@ -57,7 +60,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.merge, self.ids = self._merger(json.load(f))
 
@@ -159,14 +161,14 @@ def best_fit(items: list[int], sizes: list[int], bins: list[list[int]], room: li
 
 
 def fresh_packing(sizes: list[int], rng: random.Random | None) -> list[list[int]]:
-    """Best-fit decreasing; with a generator, on sizes that are jittered for diversity."""
+    """Best-fit decreasing; with a generator, around a random half of the pieces packed in random order."""
     bins: list[list[int]] = []
     room: list[int] = []
     if rng is None:
         best_fit(list(range(len(sizes))), sizes, bins, room)
         return bins
-    head = rng.sample(range(len(sizes)), len(sizes) // 4)
-    for i in head:  # a quarter first-fits at random, the rest is best-fitted around it
+    head = rng.sample(range(len(sizes)), len(sizes) // 2)
+    for i in head:
         if bins and room[-1] >= sizes[i]:
             bins[-1].append(i)
             room[-1] -= sizes[i]
@@ -178,41 +180,72 @@ def fresh_packing(sizes: list[int], rng: random.Random | None) -> list[list[int]
     return bins
 
 
+def filling(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    at = sizes.__getitem__
+    return [sum(map(at, b)) for b in bins]
+
+
 def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, float]:
     """Fewer bins, then fuller ones (squares reward uneven filling, which frees whole bins)."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / CAPACITY) ** 2 for b in bins)
+    return -len(bins), sum(f * f for f in filling(bins, sizes)) / CAPACITY**2
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
-    """A child of ``a`` that takes over whole well-filled bins of ``b``."""
-    filled = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    take = [x for x in filled[: max(1, len(filled) // 2)] if rng.random() < 0.5]
+    """A child of ``a`` that takes over whole well-filled bins of ``b``: a random part of the better half. Bins of
+    ``a`` that hold a piece of them go, as do its two emptiest, and their other pieces are best-fitted."""
+    full = filling(b, sizes)
+    order = sorted(range(len(b)), key=full.__getitem__, reverse=True)
+    share = rng.uniform(0.05, 0.6)
+    take = [b[k] for k in order[: max(1, len(b) // 2)] if rng.random() < share]
     inside = {i for x in take for i in x}
-    kept = [x for x in a if inside.isdisjoint(x)]
-    displaced = [i for x in a if not inside.isdisjoint(x) for i in x if i not in inside]
-    # the worst bin is dissolved as well: a step toward one bin fewer
-    if kept:
-        worst = min(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))
-        displaced += kept.pop(worst)
+    kept, displaced = [], []
+    for x in a:
+        if inside.isdisjoint(x):
+            kept.append(x)
+        else:
+            displaced += [i for i in x if i not in inside]
+    fill = filling(kept, sizes)
+    for k in sorted(sorted(range(len(kept)), key=fill.__getitem__)[:2], reverse=True):
+        displaced += kept.pop(k)
     bins = [list(x) for x in take] + [list(x) for x in kept]
-    room = [CAPACITY - sum(sizes[i] for i in x) for x in bins]
+    room = [CAPACITY - f for f in filling(bins, sizes)]
     best_fit(displaced, sizes, bins, room)
     return bins
 
 
-def evolve(sizes: list[int], elite: list[list[list[int]]], rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+def evolve(sizes: list[int], elite: list[list[list[int]]], rng: random.Random, island: int = 0, generations: int = GENERATIONS, population: int = POPULATION, stall: int = STALL) -> list[list[int]]:
+    """The best packing found from ``elite`` (packings of the epoch before) or, in the first epoch, from the
+    island's own start."""
     least = -(-sum(sizes) // CAPACITY)
-    group = list(elite) or [fresh_packing(sizes, None)]
-    while len(group) < population and max(fitness(x, sizes) for x in group)[0] < -least:
-        group.append(fresh_packing(sizes, rng))
-    group.sort(key=lambda x: fitness(x, sizes), reverse=True)
+    best = fresh_packing(sizes, None)
+    if not elite and len(best) <= least:
+        return best
+    score = lambda x: fitness(x, sizes)
+    group = [(score(x), x) for x in elite]
+    if not group and island == 0:
+        group = [(score(best), best)]
+    if any(-s[0] <= least for s, _ in group):
+        return max(group, key=lambda x: x[0])[1]
+    while len(group) < population:
+        made = fresh_packing(sizes, rng)
+        group.append((score(made), made))
+    group.sort(key=lambda x: x[0], reverse=True)
+    still = 0
     for _ in range(generations):
-        if len(group[0]) <= least or len(group) < 2:
+        if -group[0][0][0] <= least or still >= stall:
             break
-        parents = group[:2] + [rng.choice(group)]
-        children = [crossover(x, y, sizes, rng) for x, y in ((parents[0], parents[1]), (parents[1], parents[0]), (parents[0], parents[2]))]
-        group = sorted(group + children, key=lambda x: fitness(x, sizes), reverse=True)[:population]
-    return group[0]
+        before = group[0][0][0]
+        children = []
+        for _ in range(population // 2):  # two tournaments of two choose the parents
+            x, y = (min(rng.sample(range(len(group)), 2)) for _ in range(2))
+            made = crossover(group[x][1], group[y if y != x else (x + 1) % len(group)][1], sizes, rng)
+            children.append((score(made), made))
+        # equal scores are one packing in effect: keeping one of them keeps the group diverse
+        ranked = sorted(group + children, key=lambda x: x[0], reverse=True)
+        distinct = [x for k, x in enumerate(ranked) if not k or x[0] != ranked[k - 1][0]]
+        group = (distinct + [x for k, x in enumerate(ranked) if k and x[0] == ranked[k - 1][0]])[:population]
+        still = 0 if group[0][0][0] > before else still + 1
+    return group[0][1]
 
 
 def _to_array(bins: list[list[int]], n: int) -> np.ndarray:
@@ -248,7 +281,7 @@ def pack_blocks(pieces: DataFrame, blocks: int, level: int, well_filled: float)
             for b, island, sizes, elite in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rng = random.Random(f"{level}/{b}/{island}/{len(elite or [])}")
                 group = [_to_bins(np.frombuffer(e, "<i4")) for e in elite or []]
-                made.append((b, island, sizes, [_to_array(evolve(sizes, group, rng), len(sizes)).tobytes()]))
+                made.append((b, island, sizes, [_to_array(evolve(sizes, group, rng, island), len(sizes)).tobytes()]))
             cols = list(zip(*made, strict=True)) if made else [()] * 4
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "island", "sizes", "elite"])
