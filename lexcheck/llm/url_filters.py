@@ -6,7 +6,10 @@ spread of the children's rates (method of moments); a page is blocked when the l
 of its host's bad rate exceeds a threshold. Everything is DataFrame expressions.
 
 Defined cases: null url or no ``://`` gives empty host and path, no rule fits and the root posterior
-decides; unlabelled hosts take their parent's posterior; repeated rows are judged alike.
+decides; unlabelled hosts take their parent's posterior; repeated rows are judged alike and, where they have
+outcomes, counted each; outcomes without a page number or a value, and those of no page, count for nothing;
+without outcomes every bound is that of the root's one good and one bad page; extra columns are ignored; an
+empty table of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.llm.common import only, table
+from lexcheck.llm.common import discard, materialise, only, table
 
 #: Fixed values of the query's contract: (verdict, host, path).
 RULES = (
@@ -26,7 +29,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Suffixes of two labels; any other suffix is the last label.
+#: Suffixes of two labels, unless others are given (a longer list is an argument of ``judge_urls``); any other
+#: suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz")
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
@@ -43,14 +47,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*two_label), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -89,24 +93,28 @@ def _shrunk(level: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     )
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """``pages(page_id, url)`` and ``outcomes(page_id, bad)`` to posteriors (alpha, beta) by level."""
+def host_reputation(pages: DataFrame, outcomes: DataFrame, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> dict[str, DataFrame]:
+    """``pages(page_id, url)`` and ``outcomes(page_id, bad)`` to posteriors (alpha, beta) by level. Each level is
+    written once: the next one and the judgement both read it. They have a row per host at most."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"))
     counts = (
         urls.join(outcomes, "page_id")
         .groupBy("host")
         .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-        .select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+        .select("host", domain_of(F.col("host"), two_label).alias("domain"), suffix_of(F.col("host"), two_label).alias("suffix"), "n", "bad")
     )
+    counts = materialise(counts)
     add = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     # one labelled-free virtual bad and good page keep the root rate inside (0, 1)
     root = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("_n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("_b")).select(
         ((F.col("_b") + 1) / (F.col("_n") + 2)).alias("mean"), (F.col("_b") + 1).alias("alpha"), (F.col("_n") - F.col("_b") + 1).alias("beta")
     )
+    root = materialise(root)
     mean = (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean")
-    suffixes = _shrunk(counts.groupBy("suffix").agg(*add), F.broadcast(root.select("mean")), "suffix", None)
-    domains = _shrunk(counts.groupBy("domain", "suffix").agg(*add), suffixes.select("suffix", mean), "domain", "suffix")
-    hosts = _shrunk(counts, domains.select("domain", mean), "host", "domain")
+    suffixes = materialise(_shrunk(counts.groupBy("suffix").agg(*add), F.broadcast(root.select("mean")), "suffix", None))
+    domains = materialise(_shrunk(counts.groupBy("domain", "suffix").agg(*add), suffixes.select("suffix", mean), "domain", "suffix"))
+    hosts = materialise(_shrunk(counts, domains.select("domain", mean), "host", "domain"))
+    discard(counts)
     return {"root": root.select("alpha", "beta"), "suffix": suffixes, "domain": domains, "host": hosts}
 
 
@@ -122,19 +130,21 @@ def judge_urls(
     rules: Sequence[tuple[str, str, str]] = RULES,
     threshold: float = 0.25,
     z: float = 1.645,
+    two_label: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_rate_bound for every row of ``pages``.
+    """page_id, host, path, rule, verdict, bad_rate_bound (the posterior's lower bound of the host's bad rate, also
+    where a rule decides) for every row of ``pages``.
 
     The reputation is joined by host after the pages were reduced to their distinct hosts, so a host
     with a third of all pages is one row in every reputation join; the join back to the pages is an
     equi-join whose small side is unique per host."""
     pages = only(pages, "page_id", "url")
     outcomes = only(outcomes, "page_id", "bad").filter("page_id is not null and bad is not null")
-    levels = host_reputation(pages, outcomes)
+    levels = host_reputation(pages, outcomes, two_label)
     hosts = (
         pages.select(host_of(F.col("url")).alias("host"))
         .distinct()
-        .select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+        .select("host", domain_of(F.col("host"), two_label).alias("domain"), suffix_of(F.col("host"), two_label).alias("suffix"))
     )
     for level in ("host", "domain", "suffix"):
         hosts = hosts.join(levels[level].select(level, F.struct("alpha", "beta").alias(f"_{level}")), level, "left")
@@ -153,6 +163,7 @@ def judge_urls(
             "path",
             F.col("_rule.rule").alias("rule"),
             F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_rate_bound") > threshold, "block").otherwise("allow")).alias("verdict"),
+            "bad_rate_bound",
         )
     )
 
@@ -161,7 +172,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the labelled quality of the page with the document's number (bad = quality 0)."""
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), outcomes)
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes).withColumn("bad_rate_bound", F.round("bad_rate_bound", 6))
 
 
 OP7_SQL = r"""
@@ -207,7 +218,7 @@ fit AS (
          max_by(verdict, length(rule_host || rule_path)) AS verdict
   FROM u LEFT JOIN r ON (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id, u.host, path)
-SELECT fit.page_id, fit.host, fit.path, fit.rule,
+SELECT fit.page_id, fit.host, fit.path, fit.rule, round(a/(a+b) - 1.645 * sqrt(a*b/((a+b)*(a+b)*(a+b+1))), 6) AS bad_rate_bound,
   coalesce(fit.verdict, CASE WHEN a/(a+b) - 1.645 * sqrt(a*b/((a+b)*(a+b)*(a+b+1))) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit JOIN j ON j.host = fit.host
 """
