@@ -1,13 +1,14 @@
 """Token counts attributed to sections by offset mapping.
 
-A document is encoded once, whole. Each token is a byte span of the text; sections are byte spans too
-(here: lines with their line feed, or given fields joined in order). Both lists are sorted, so the
-interval join is a merge by binary search. A token inside one section counts there; one that crosses a
-boundary is allocated by a rule:
+A document is encoded once, whole. Each token is mapped to a span of characters: from the character of its
+first byte to behind the character of its last byte, so a character that several tokens share belongs to the
+span of each. Sections are character spans too (here: lines with their line feed, or given fields joined in
+order) and never cut a character. Both lists are sorted, so the interval join is a merge by binary search. A
+token inside one section counts there; one that crosses a boundary is allocated by a rule:
 
-``most``   the section holding most of its bytes, the earlier one on ties (default);
-``first``  the section of its first byte;
-``split``  each section gets the share of the token's bytes it holds.
+``most``   the section holding most of its characters, the earlier one on ties (default);
+``first``  the section of its first character;
+``split``  each section gets the share of the token's characters it holds.
 
 Counts are whole numbers under ``most`` and ``first``; under every rule they sum to the document's tokens.
 
@@ -48,31 +49,44 @@ class OffsetMapper:
         return made
 
     def token_ends(self, text: str) -> np.ndarray:
+        """Byte ends of the tokens."""
         memo = self.memo
         packed = b"".join([memo.get(p) or self._lengths(p) for p in self.codec.split(text)])
         return np.cumsum(np.frombuffer(packed, "<u4"), dtype=np.int64)
 
+    def token_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Character starts and ends of the tokens."""
+        ends = self.token_ends(text)
+        raw = text.encode()
+        if len(raw) == len(text):  # a byte a character
+            return np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)], ends
+        behind = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
+        first = np.concatenate(([0], ends[:-1]))[: len(ends)]
+        return behind[first] - 1, behind[ends - 1]
+
 
 def _mapper(path: str, pattern: str) -> OffsetMapper:
     return worker_memo(f"offsets {path} {pattern}", lambda: OffsetMapper(path, pattern))
 
 
-def line_ends(raw: bytes) -> np.ndarray:
-    """Byte ends of the lines, each with its line feed; an empty text is one empty line."""
-    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10).astype(np.int64) + 1
-    return ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
+def line_ends(text: str) -> np.ndarray:
+    """Character ends of the lines, each with its line feed; an empty text is one empty line."""
+    sizes = [len(line) + 1 for line in text.split("\n")]
+    sizes[-1] -= 1
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return ends[:-1] if len(ends) > 1 and ends[-1] == ends[-2] else ends
 
 
-def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "most") -> tuple[np.ndarray, int]:
-    """(tokens of each section, number of tokens that cross a boundary). Both lists tile the text."""
+def attribute(spans: tuple[np.ndarray, np.ndarray], section_ends: np.ndarray, rule: str = "most") -> tuple[np.ndarray, int]:
+    """(tokens of each section, number of tokens that cross a boundary). The sections tile the text."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    starts, ends = spans
     counts = np.zeros(len(section_ends), np.float64)
-    if not len(token_ends):
+    if not len(ends):
         return counts, 0
-    starts = np.concatenate(([0], token_ends[:-1]))
     first = np.searchsorted(section_ends, starts, "right")
-    last = np.searchsorted(section_ends, token_ends, "left")
+    last = np.searchsorted(section_ends, ends, "left")
     inside = first == last
     counts += np.bincount(first[inside], minlength=len(counts))
     crossing = np.flatnonzero(~inside)
@@ -82,7 +96,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "mos
     for t in crossing.tolist():
         sections = np.arange(first[t], last[t] + 1)
         lo = np.maximum(starts[t], np.where(sections, section_ends[sections - 1], 0))
-        share = np.maximum(np.minimum(token_ends[t], section_ends[sections]) - lo, 0)
+        share = np.maximum(np.minimum(ends[t], section_ends[sections]) - lo, 0)
         if rule == "most":
             counts[sections[share.argmax()]] += 1
         else:
@@ -101,9 +115,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "most") -
         for batch in batches:
             total, sections, counts, crossed = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ends = mapper.token_ends(text)
-                made, n = attribute(ends, line_ends(text.encode()), rule)
-                total.append(len(ends))
+                spans = mapper.token_spans(text)
+                made, n = attribute(spans, line_ends(text), rule)
+                total.append(len(spans[0]))
                 sections.append(len(made))
                 counts.append(made)
                 crossed.append(n)
@@ -131,10 +145,10 @@ def count_field_tokens(rows: DataFrame, key: str, fields: list[str], path: str,
             texts = [batch.column(1 + i).to_pylist() for i in range(len(fields))]
             made = []
             for parts in zip(*texts, strict=True):
-                ends = mapper.token_ends("\n".join(parts))
-                sizes = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+                spans = mapper.token_spans("\n".join(parts))
+                sizes = np.array([len(p) + 1 for p in parts], np.int64)
                 sizes[-1] -= 1
-                made.append((len(ends), *attribute(ends, np.cumsum(sizes), rule)[0].tolist()))
+                made.append((len(spans[0]), *attribute(spans, np.cumsum(sizes), rule)[0].tolist()))
             cols = list(zip(*made, strict=True)) if made else [()] * (1 + len(fields))
             kinds = [pa.int64()] + [pa.float64()] * len(fields)
             yield pa.RecordBatch.from_arrays(
