@@ -4,15 +4,16 @@ Kernel. A word (lower case, edge punctuation off, ``^`` and ``$`` added) maps to
 characters within ``SPAN`` characters, each weighted ``DECAY ** span`` and summed over its places; the
 kernel is the normalised inner product. Gapped and inserted characters only lower a match's weight.
 
-Training. Labelled sentences give bags of words; a toxic text needs one toxic word, so the machine is
-fitted with witnesses (multiple-instance learning): start from the words whose subsequences are most over-
-represented in toxic texts, fit, choose the witnesses again, add the clean words that score highest, repeat.
-Words are compared with ``landmarks`` only; the Nystroem map turns that into a linear problem (squared
-hinge). A logistic fit makes a probability of a text's three highest word scores.
+Training. Instances are sentences; a label says that some sentence of the text is toxic (multiple-instance
+learning), and a sentence is as toxic as its highest words. Start from the mean log-odds of the subsequences in
+toxic against clean texts, choose each toxic text's witness sentence and its best words, fit, choose the
+witnesses again, add the clean sentences' words that score highest, repeat. Words are compared with
+``landmarks`` only; the Nystroem map turns that into a linear problem (squared hinge). A logistic fit makes a
+probability of a sentence's three highest word scores; a text's score is that of its highest sentence.
 
 Scoring. Landmark expansions are linear in the subsequence features, so the fitted machine folds into one
 weight per subsequence: the kernel expansion is evaluated exactly, at a cost that does not depend on the
-number of landmarks. Runs of single characters between blanks are also read as one word.
+number of landmarks. Runs of single characters between blanks are also read as one word, a sentence of its own.
 
 The model is fitted on a bounded sample (``most_texts`` per class, of longer texts whole sentences of at most
 ``most_chars``, both parameters); scoring covers every row and the whole text and shuffles nothing.
@@ -47,14 +48,28 @@ TOP = 3
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Labels can be wrong on either side. A word can witness toxicity if toxic texts use it this many times as often
+#: as clean ones, and in more than this many of them once a clean text has it.
+TIMES_AS_OFTEN, MORE_THAN = 5, 2
+#: A toxic text whose best word reaches this share of the median text's best is believed at once; a third of it
+#: is enough for a first witness.
+BELIEVED = 0.4
+#: Half the margin: later rounds take every word over it as a witness.
+SURE_SCORE = 0.5
+
+
+def sentences_of(text: str) -> list[set[str]]:
+    """The words of each sentence that has any, and of each word spelled out in single characters."""
+    text = text.lower()
+    found = [{w.strip(EDGE) for w in part.split()} for part in SENTENCE.split(text)]
+    found += [{"".join(m.group().split())} for m in SPACED.finditer(text)]
+    for words in found:
+        words.discard("")
+    return [words for words in found if words]
 
 
 def words_of(text: str) -> set[str]:
-    text = text.lower()
-    words = {w.strip(EDGE) for w in text.split()}
-    words.update("".join(m.group().split()) for m in SPACED.finditer(text))
-    words.discard("")
-    return words
+    return set().union(*sentences_of(text))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +130,7 @@ class Model:
 
 
 def highest(scores) -> list[float]:
-    """The TOP highest word scores of a text, padded with NO_WORD."""
+    """The TOP highest word scores of a sentence, padded with NO_WORD."""
     return (heapq.nlargest(TOP, scores) + [NO_WORD] * TOP)[:TOP]
 
 
@@ -128,15 +143,20 @@ class Scorer:
         self.memo: dict[str, float] = {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        bags = [words_of(t) for t in texts]
-        fresh = list(set().union(*bags) - self.memo.keys()) if bags else []
+        found = [sentences_of(t) for t in texts]
+        every = set().union(*(words for sentences in found for words in sentences))
+        fresh = list(every - self.memo.keys())
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo.clear()
-            fresh = list(set().union(*bags))
+            fresh = list(every)
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             self.memo.update(zip(part, self.model.raw(part, self.weights).tolist(), strict=True))
-        return self.model.probability(np.array([highest(map(self.memo.__getitem__, b)) for b in bags]).reshape(-1, TOP))
+        get = self.memo.__getitem__
+        top = [highest(map(get, words)) for sentences in found for words in sentences or [()]]
+        begin = np.cumsum([0] + [max(1, len(sentences)) for sentences in found])[:-1]
+        score = self.model.probability(np.array(top).reshape(-1, TOP))
+        return np.maximum.reduceat(score, begin) if len(found) else score
 
 
 def _dense(words: list[str], columns: np.ndarray) -> np.ndarray:
@@ -181,11 +201,19 @@ def _logistic(top: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w)) * 0.1
     ridge[-1, -1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + w @ ridge @ w / 2)
+
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ w)
-        w = w + np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
+        before, size = loss(w), 1.0
+        while loss(w + size * step) > before and size > 1e-6:  # as far as it helps
+            size /= 2
+        w = w + size * step
+        if size * abs(step).max() < 1e-6:
             break
     return np.maximum(w[:-1], 0), float(w[-1])
 
@@ -214,11 +242,11 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 2)  # nothing known: not toxic
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, np.zeros(TOP), float(np.log(rate / (1 - rate))))
-    # bags are the texts' sentences pooled: a label says that some sentence holds a witness
-    bags = [sorted(set().union(*map(words_of, SENTENCE.split(t)), words_of(t))) for t in texts]
-    vocabulary = sorted(set().union(*bags))
+    found = [sentences_of(t) for t in texts]
+    vocabulary = sorted(set().union(*(words for sentences in found for words in sentences)))
     index = {w: i for i, w in enumerate(vocabulary)}
-    rows = [np.array([index[w] for w in b], np.int64) for b in bags]
+    instances = [[np.array(sorted(index[w] for w in words), np.int64) for words in sentences] for sentences in found]
+    rows = [np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64) for parts in instances]
     clean = np.zeros(len(vocabulary), np.int64)
     toxic = np.zeros(len(vocabulary), np.int64)
     single = distinct_bags(rows)
@@ -228,39 +256,41 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
     owner, feature, value = _compact(vocabulary)
     every = ALPHABET**3
 
-    parts = [slice(k, k + 500_000) for k in range(0, len(owner), 500_000)]  # bounds what sums need at a time
+    cuts = [slice(k, k + 500_000) for k in range(0, len(owner), 500_000)]  # bounds what sums need at a time
 
     def scored(weights: np.ndarray, power: int = 1) -> np.ndarray:
-        return sum(np.bincount(owner[x], weights[feature[x]] * value[x] ** power, minlength=len(vocabulary)) for x in parts)
+        return sum(np.bincount(owner[x], weights[feature[x]] * value[x] ** power, minlength=len(vocabulary)) for x in cuts)
 
     def seen_in(counts: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(feature[x], value[x] * counts[owner[x]], minlength=every) for x in parts)
+        return sum(np.bincount(feature[x], value[x] * counts[owner[x]], minlength=every) for x in cuts)
 
     # start: mean log-odds of a word's subsequences by the texts they are seen in, one text of either kind added
     ratio = (single & (y == 1)).sum() / max(1, (single & (y == 0)).sum())
-    score = scored(np.log((seen_in(toxic) + 1) / (seen_in(clean) * ratio + 1)), 2) + np.log((toxic + 1) / (ratio * clean + 1))
-    # words that toxic texts use several times as often; the rest, seen in clean texts, are the negatives.
-    # A few wrong labels on either side change neither set much.
-    eligible = toxic > 5 * ratio * clean + 2 * (clean > 0)
+    score = scored(np.log((seen_in(toxic) + 1) / (seen_in(clean) * ratio + 1)), 2)
+    eligible = toxic > TIMES_AS_OFTEN * ratio * clean + MORE_THAN * (clean > 0)
     never = np.flatnonzero((clean > 0) & ~eligible)
-    own = [r[eligible[r]] for r, label in zip(rows, y, strict=True) if label]
-    own = [r for r in own if len(r)]
-    best = [score[r].max() for r in own]
+    # toxic texts as their sentences' words that can be witnesses
+    own = [[r for r in (part[eligible[part]] for part in parts) if len(r)] for parts, label in zip(instances, y, strict=True) if label]
+    own = [parts for parts in own if parts]
+    witness_of = lambda parts: max(parts, key=lambda r: score[r].max())  # noqa: E731  the highest sentence
+    best = [score[witness_of(parts)].max() for parts in own]
     # texts in which no word stands out are doubted: they give no witness and do not calibrate
-    least = 0.4 * float(np.median(best)) if own else 0.0
+    least = BELIEVED * float(np.median(best)) if own else 0.0
     sure = np.zeros(len(vocabulary), bool)
-    for r in own:
+    for parts in own:
+        r = witness_of(parts)
         sure[r[score[r] >= least]] = True
     hard = np.zeros(0, np.int64)
     weights, bias = np.zeros(every), 0.0
     for turn in range(rounds):
         witness = set(np.flatnonzero(sure).tolist())
-        for r in own:  # texts without a sure word put their best forward, if it stands out a little
-            if not sure[r].any() and (score[r].max() >= least / 3 if turn == 0 else score[r].max() >= 0):
+        for parts in own:
+            r = witness_of(parts)
+            if turn:
+                witness.update(r[score[r] >= SURE_SCORE].tolist())
+            # texts without a sure word put their best forward, if it stands out a little
+            if not any(sure[x].any() for x in parts) and score[r].max() >= (0 if turn else least / 3):
                 witness.add(int(r[score[r].argmax()]))
-        if turn:
-            for r in own:
-                witness.update(r[score[r] >= 0.5].tolist())
         chosen = np.array(sorted(witness), np.int64)
         if len(chosen) > most_words:
             chosen = rng.choice(chosen, most_words, replace=False)
@@ -287,8 +317,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
         score = scored(weights) + bias
         hard = never[np.argsort(-score[never], kind="stable")[: most_words // 2]]
     used = np.flatnonzero(weights)
-    top = np.array([highest(score[r].tolist()) for r in rows])
-    certain = (y == 0) | np.array([bool(len(r)) and bool(sure[r].any() or score[r].max() >= 0.5) for r in rows])
+    top = np.array([max((highest(score[r].tolist()) for r in parts), default=[NO_WORD] * TOP) for parts in instances])
+    certain = (y == 0) | np.array([bool(len(r)) and bool(sure[r].any() or score[r].max() >= SURE_SCORE) for r in rows])
     slopes, shift = _logistic(top[certain], y[certain])
     return Model(used, weights[used], bias, slopes, shift)
 
