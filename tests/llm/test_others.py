@@ -146,6 +146,33 @@ def test_tiff_pages(spark):
     assert media.tiff_pages(rows.limit(0)).isEmpty()
 
 
+def test_damaged_files_are_errors_not_failures():
+    """20,000 randomly changed files: pages and an error, never an exception; and claims no file can hold."""
+    rng = np.random.default_rng(11)
+    image = (rng.integers(0, 9, (9, 11, 3)) * 7).astype(np.uint8)
+    whole = [media.write_tiff([image, image[:4]]), *(tiff(image, o, scheme, 2, tile, rows) for o in "<>" for scheme in (1, 5, 8, 32773) for tile, rows in ((None, 4), (16, None)))]
+    errors = 0
+    for k in range(20_000):
+        data = bytearray(whole[k % len(whole)])
+        for _ in range(int(rng.integers(1, 5))):
+            data[int(rng.integers(0, len(data)))] = int(rng.choice([0, 1, 255, int(rng.integers(0, 256))]))
+        if k % 5 == 0:
+            data = data[: int(rng.integers(0, len(data)))]
+        pages = list(media.pages_of(bytes(data)))
+        assert pages and all(p[0] >= 0 for p in pages[:-1])
+        errors += pages[-1][0] < 0
+    assert errors > 2_000
+    huge = bytearray(tiff(image, "<", 8, 1, None, 4))
+    for tag in (256, 257):
+        at = huge.index(struct.pack("<HHI", tag, 4, 1))
+        huge[at + 8 : at + 12] = struct.pack("<I", 4_000_000)
+    assert [p[0] for p in media.pages_of(bytes(huge))] == [-1]
+    bomb = zlib.compress(bytes(50_000_000))
+    assert media._decode(bomb, 8, 100) == bytes(100) and media.unpack_lzw(pack_lzw(b"a" * 9_000), 10)[:10] == b"a" * 10 and len(media.unpack_bits(pack_bits(b"a" * 9_000), 10)) <= 138
+    with pytest.raises(ValueError, match="without size"):
+        next(media.read_tiff(tiff(image, "<", 1, 1, None, 9).replace(struct.pack("<HHII", 256, 4, 1, 11), struct.pack("<HHII", 256, 4, 1, 0))))
+
+
 def test_media_round_trip(docs, clashing, nothing):
     for r in docs.collect():
         payload, n = media.payload_of(r["text"])
@@ -198,11 +225,22 @@ def test_bad_hosts_are_blocked_and_shrunk(spark):
     pages = [(k, f"http://{'bad' if k % 2 else 'good'}.site{k % 3}.xyz/p{k}") for k in range(600)] + [(700, "http://new.site0.xyz/"), (701, "http://bad2.site1.xyz/")]
     outcomes = [(k, k % 2) for k in range(600)] + [(701, 1)]
     made = url_filters.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), threshold=0.7)
-    got = {r["page_id"]: r["verdict"] for r in made.collect()}
+    rows = made.collect()
+    assert all(-1 < r["bad_rate_bound"] < 1 for r in rows) and min(r["bad_rate_bound"] for r in rows if r["host"].startswith("bad.")) > 0.7 > 0.3 > max(r["bad_rate_bound"] for r in rows if r["host"].startswith("good."))
+    got = {r["page_id"]: r["verdict"] for r in rows}
     assert all(got[k] == ("block" if k % 2 else "allow") for k in range(600))
     assert got[700] == "allow" and got[701] == "allow"  # one bad page of a host is not enough
 
 
+def test_suffixes_are_an_argument(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k % 4}.shop.city.zz/") for k in range(80)] + [(90, "http://new.other.city.zz/"), (91, "http://new.shop.city.zz/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, 1) for k in range(80)], "page_id long, bad int")
+    bound = lambda **given: {r["page_id"]: r["bad_rate_bound"] for r in url_filters.judge_urls(pages, outcomes, **given).collect()}
+    plain, split = bound(), bound(two_label=("city.zz",))
+    assert plain[90] == plain[91]  # one registered domain, city.zz
+    assert split[90] < split[91]  # other.city.zz has no outcomes of its own
+
+
 # Nearest neighbours.
 
 
@@ -234,6 +272,36 @@ def test_exact_search(spark, shard_rows, monkeypatch):
     assert got == want
 
 
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(240)] + [(500, [1.0])]
+    got: dict = {}
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, shard_rows=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"])))
+    want = {}
+    for d in (3, 5):
+        part = [(i, np.array(v)) for i, v in rows if len(v) == d]
+        want |= brute([i for i, _ in part], [v for _, v in part], 4, 20)
+    assert got == want
+
+
+def test_the_triangle_inequality_prunes():
+    """Exact search of clustered vectors scores a part of all pairs; a larger factor less, at high recall."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 4
+    plain = np.concatenate([c + rng.normal(size=(100, 16)) for c in centres])
+    points = ann.augment(plain, np.linalg.norm(plain, axis=1).max())
+    queries = np.concatenate([points[::50, :-1], np.zeros((80, 1))], 1)
+    tree = ann.VantageTree(points)
+    exact, _, most = tree.search(queries, 10)
+    scores = -(queries @ points.T)
+    assert all(set(exact[q]) == set(np.argsort(scores[q], kind="stable")[:10]) for q in range(80))
+    relaxed, _, less = tree.search(queries, 10, 1.5)
+    recall = np.mean([len(set(exact[q]) & set(relaxed[q])) / 10 for q in range(80)])
+    share = np.array([most, less]) / (len(queries) * len(points))
+    assert share[1] < share[0] < 1 and share[1] < 0.7 and recall >= 0.9, (share, recall)
+
+
 def test_few_and_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     got = [tuple(r) for r in ann.nearest_neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], kind)).collect()]
@@ -260,7 +328,28 @@ def test_eleven_queries():
     assert set(queries.oracle_sql()) <= set(names)
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA) or importlib.util.find_spec("corpus_pipeline") is None, reason="no test tables or no pipeline here")
+def test_toxicity_query(spark, tmp_path):
+    """Every row is scored, held out by the crc rule, and no held-out label reaches the fit."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list(x)) for x in ("bcdfglmnprst", "aeiou", "bcdlmnrst", "aeiou", "nrst")) for _ in range(4_000)]
+    texts = [" ".join(rng.choice(words, 12)) + (" grublout" if k % 4 == 0 else "") + "." for k in range(300)]
+    held = [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(300)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(300, None, "en", "s", 0), (None, "river", "en", "s", 5)]
+    # the labels of held-out rows are turned round: they must not matter
+    marks = [(k, 1, int((k % 4 == 0) != held[k])) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.queries()["op9_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] < 300:
+            assert r["held_out"] == held[r["doc_id"]] and r["predicted"] == (r["doc_id"] % 4 == 0)
+
+
+HAS_PIPELINE = importlib.util.find_spec("corpus_pipeline") is not None
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA) or not HAS_PIPELINE, reason="no test tables or no pipeline here")
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -271,3 +360,41 @@ def test_pipeline(spark):
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter(f"n > {2048}").isEmpty()
     assert 0 < rows.select("doc_id").distinct().count() < docs.count()
+
+
+@pytest.mark.skipif(not HAS_PIPELINE, reason="no pipeline here")
+def test_pipeline_equals_brute_force(spark, docs, clashing, nothing, tmp_path):
+    """Nulls, repeats, empty tables and clashing columns through all stages; no text is toxic here."""
+    import corpus_pipeline
+    import public_tokenizers
+    from test_dedup import near_brute, repeats_brute
+    from tokenizers import Tokenizer
+
+    clashing.unionByName(spark.createDataFrame([(None, "an unnamed text", None, None, 1)] * 2, docs.schema), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    assert len(got.pop(None)) == 2  # rows without an id are no copies of each other
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {i: t for i, t in rows.items() if near_brute(rows.items())[i][1] == i}
+    seen, tokenizer = {}, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i in sorted(kept):
+        words = (kept[i] or "").encode().split()
+        for k in range(len(words) - 19):
+            seen.setdefault(tuple(words[k : k + 20]), (i, k))
+    removed = repeats_brute(kept.items())
+    want = {}
+    for i, t in kept.items():
+        words = (t or "").encode().split()
+        gone = {x for k in range(len(words) - 19) if seen[tuple(words[k : k + 20])] < (i, k) for x in range(k, k + 20)}
+        assert removed[i][1] == len(gone)
+        left = b" ".join(w for k, w in enumerate(words) if k not in gone).decode() if gone else t or ""
+        ids = [*tokenizer.encode(left, add_special_tokens=False).ids, 0]
+        want[i] = [(k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert got == want
+    empty = tmp_path / "empty"
+    nothing.write.parquet(f"{empty}/documents.parquet")
+    labels.write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).isEmpty()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -55,7 +56,8 @@ def test_attribution_by_brute_force(rule):
         n = rng.randint(1, 40)
         tokens = np.array(sorted({*rng.sample(range(1, n + 1), rng.randint(1, n)), n}))
         sections = np.array(sorted({*rng.sample(range(1, n + 1), rng.randint(1, min(6, n))), n}))
-        counts, crossed = token_counts.attribute(tokens, sections, rule)
+        spans = np.concatenate(([0], tokens[:-1])), tokens
+        counts, crossed = token_counts.attribute(spans, sections, rule)
         want, crossing, begin = np.zeros(len(sections)), 0, 0
         for end in tokens:
             held = [len([b for b in range(begin, end) if (sections[k - 1] if k else 0) <= b < sections[k]]) for k in range(len(sections))]
@@ -75,7 +77,32 @@ def test_token_counts_operator(docs, clashing, nothing):
         assert r["n_tokens"] == want[r["doc_id"]] == sum(r["section_tokens"]) and r["n_sections"] == len(r["section_tokens"]) >= 1
     assert token_counts.count_tokens(nothing, RANKS, public_tokenizers.PATTERN).isEmpty()
     with pytest.raises(ValueError):
-        token_counts.attribute(np.array([1]), np.array([1]), "other")
+        token_counts.attribute((np.array([0]), np.array([1])), np.array([1]), "other")
+
+
+def test_sections_by_brute_force(spark):
+    """Characters, tokens and lines counted one by one, also where a character is several tokens."""
+    own = bpe.Codec(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    some = ["", "\n", "a\n\n\nb", "日本語のテキスト\n\n  😀😀é\n\n\n x", "one two\n three\n", *texts(150)]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for rule in token_counts.RULES:
+        for r in token_counts.count_tokens(df, RANKS, public_tokenizers.PATTERN, rule).collect():
+            text = some[r["doc_id"]]
+            char_of = [k for k, c in enumerate(text) for _ in c.encode()]  # of each byte
+            line_of = [text[:k].count("\n") for k in range(len(text))]
+            lines = max(1, text.count("\n") + (not text.endswith("\n")))
+            want, crossed, at = [0.0] * lines, 0, 0
+            for token in own.encode(text):
+                size = len(own.back[token])
+                held = [line_of[c] for c in range(char_of[at], char_of[at + size - 1] + 1)]
+                at += size
+                crossed += len(set(held)) > 1
+                if rule == "split":
+                    for line in held:
+                        want[line] += 1 / len(held)
+                else:
+                    want[held[0] if rule == "first" else max(sorted(set(held)), key=held.count)] += 1
+            assert r["n_sections"] == lines and r["boundary_tokens"] == crossed and np.allclose(r["section_tokens"], want), (rule, ascii(text))
 
 
 def test_field_tokens(spark):
@@ -89,10 +116,10 @@ def test_field_tokens(spark):
 
 
 def test_word_ids_equal_the_tokeniser():
-    tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(WORDS)  # as it is
     own = packing.WordEncoder(WORDS)
     some = [t for t in texts() if len(t) < 100] + ["The Quick brown-fox, it's naïve; ÆTHER straße"]
+    some += ["a<|endoftext|>b", "<|startoftext|> <|endoftext|>", "<|ENDOFTEXT|> x", "word <|endoftext|>\n<|endoftext|>s", "<|endoftext|", "é<|startoftext|>é"]
     for t, packed in zip(some, own.encode(some), strict=True):
         assert np.frombuffer(packed, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
@@ -136,6 +163,30 @@ def test_many_blocks_waste_no_sequences(spark, monkeypatch):
     assert len(rows) == 900 and len(check_packing(rows)) <= 1.02 * sum(sizes) / packing.CAPACITY + 1
 
 
+def test_pieces_carry_the_librarys_ids(spark):
+    tokenizer = Tokenizer.from_file(WORDS)
+    some = [t for t in texts() if len(t) < 100] + ["a <|endoftext|> b", "wörd " * 3_000]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in packing.cut_pieces(df, WORDS).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    want = []
+    for i, t in enumerate(some):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i, k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert got == want
+
+
+@pytest.mark.parametrize(("low", "high", "gain"), [(500, 1_100, 5), (300, 900, 1)])
+def test_evolution_beats_best_fit_decreasing(low, high, gain):
+    """On sizes that best-fit decreasing wastes, islands with migration save whole sequences."""
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(800)]
+    start = packing.fresh_packing(sizes, None)
+    elite = [packing.evolve(sizes, [], random.Random(k), k) for k in range(packing.ISLANDS)]
+    best = min((packing.evolve(sizes, [elite[k], elite[k - 1]], random.Random(10 + k), k) for k in range(packing.ISLANDS)), key=len)
+    assert sorted(i for b in best for i in b) == list(range(800)) and all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in best)
+    assert len(start) - len(best) >= gain, (len(start), [len(x) for x in elite], len(best))
+
+
 def test_crossover_keeps_every_piece():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1_500) for _ in range(200)]
@@ -254,6 +305,16 @@ def test_long_toxic_texts_are_learnt_from(spark, docs):
     assert 0 < len(toxicity.excerpt("x" * 500, 100)) <= 100
 
 
+def test_sentences_are_the_instances():
+    assert toxicity.sentences_of("One two. Three!\nfour  i d i o t") == [{"one", "two"}, {"three"}, {"four", "i", "d", "o", "t"}, {"idiot"}]
+    made, marks = labelled(300)
+    model = toxicity.fit(made, marks)
+    score = toxicity.Scorer(model)
+    one = score(made)
+    # a text is as toxic as its highest sentence, however many clean ones surround it
+    assert np.allclose(score([" ".join([t] + [made[marks.index(0)]] * 3) for t in made]), np.maximum(one, one[marks.index(0)]))
+
+
 def test_copies_are_no_evidence():
     rows = [np.arange(30), np.arange(30), np.arange(28), np.arange(100, 130)]
     assert toxicity.distinct_bags(rows).tolist() == [True, False, False, True]
