@@ -2,8 +2,11 @@
 are removed, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and, but for the last,
-returns the columns of ``documents``. Stages are written as tables in the shared folder and read again, so
-a lost executor repeats no earlier stage.
+returns the columns of ``documents`` (extra ones too). Stages are written as tables in the shared folder and
+read again, so a lost executor repeats no earlier stage.
+
+Defined cases, for all stages: null texts are empty, are kept and pack as the end id alone; rows without an id are
+no copies of other rows and come last in the order of passages; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ from lexcheck.llm.toxicity import drop_toxic, train_on
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold; the model is fitted on a bounded sample of labelled rows."""
+    """Documents under the toxicity threshold; the model is fitted on a bounded sample of labelled rows. Without
+    labels, or with labels of one class, nothing is known and everything stays."""
     return drop_toxic(docs, train_on(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group; of rows that repeat id and text one stays."""
     return without_duplicates(docs)
 
 
@@ -33,6 +38,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its sequence and place; pieces of over a sequence's length are cut."""
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -94,39 +94,67 @@ def fit_model(examples: dict[str, list[str]]) -> Model:
 
 
 @lru_cache
-def default_model(size: int = 400, seed: int = 11) -> Model:
-    """Fitted on made-up strings: keys are uniform over a character set; the others join pronounceable words
-    and short numbers, as identifiers do."""
+def default_model(size: int = 600, seed: int = 11) -> Model:
+    """Fitted on strings made by a rule per class. Words of letters and short numbers take turns in what is no key:
+    identifiers, constants, paths. Keys are draws from a character set: codes of a letter pair, a digit and a
+    letter pair in capitals, short and long codes in lower case, digests and group-wise identifiers in hex, long
+    base-64 strings. Lengths vary widely, as those of found strings do."""
     rng = random.Random(seed)
     hexa, low, up = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    both = low + up[:26] + "+/-_"
+    both = low + up[:26]
 
-    def word() -> str:
-        return "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "st"]) for _ in range(rng.randint(1, 3)))
+    def length(mean: float, spread: float, least: int, most: int = LONGEST) -> int:
+        return min(most, max(least, round(rng.gauss(0, 1) * spread + mean)))
 
-    def number() -> str:
-        return str(rng.randint(0, 10 ** rng.choice([1, 1, 1, 2, 3]) - 1))
+    def word(mean: float = 4.5, spread: float = 2.2) -> str:
+        """Consonants and vowels in turn, some vowels left out, as in abbreviations."""
+        n = length(mean, spread, 1)
+        return "".join(rng.choice("bcdfglmnprst" if (k % 2 == 0 or rng.random() < 0.45) else "aeiou") for k in range(n))
 
-    def key(letters: str, tail: str = "") -> str:
-        return "".join(rng.choice(letters) for _ in range(rng.choice([8, 12, 16, 20, 24, 32, 40, 64]))) + tail
+    def number() -> str:
+        return str(rng.randint(0, 10 ** rng.choice([1, 1, 1, 2, 2, 2, 3]) - 1))
 
     def name() -> str:
-        """Words and numbers in turn, mostly a word first."""
-        parts = [f() for f in ((word, number) if rng.random() < 0.8 else (number, word)) * 3]
-        return "".join(parts[: rng.randint(2, 6)])
-
-    def hex_word() -> str:
-        return "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 2)))
+        """Words and numbers in turn, a word first and mostly last."""
+        out = word() + number() + word()
+        while rng.random() < 0.3:
+            out += number() + word()
+        return out + (number() if rng.random() < 0.5 else "")
+
+    def path() -> str:
+        """Names with separators and letter case of their own, or short words in camel case around a number."""
+        if rng.random() < 0.45:
+            parts = [word(3.2, 1.5).title() for _ in range(length(3, 1.5, 2, 7))]
+            parts.insert(rng.randint(1, len(parts) - 1), number())
+            return "".join(parts)
+        parts = [rng.choice([str.title, str.title, str, str, str.upper])(rng.choice([word, word, word, name])()) for _ in range(length(3.5, 2.5, 1, 12))]
+        parts.insert(rng.randint(0, len(parts)), name())
+        return rng.choice("_-/-_+").join(parts)
+
+    def drawn(letters: str, n: int) -> str:
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def code() -> str:
+        pair = lambda: drawn(up[:26], length(2.5, 1.2, 1, 14))
+        return pair() + str(rng.randint(0, 9)) + pair()
+
+    def digest() -> str:
+        n = rng.choice([8, 12, 16, 24, 32, 32, 40, 40, 64])
+        text = drawn(hexa.upper() if rng.random() < 0.2 else hexa, n)
+        return "-".join((text[:8], text[8:12], text[12:16], text[16:20], text[20:])) if n == 32 and rng.random() < 0.4 else text
+
+    def secret() -> str:
+        return "".join(drawn(both, length(24, 16, 2)) + rng.choice("+/-_") for _ in range(rng.choice([1, 1, 2, 3])))[:-1] + rng.choice(["", "", "", "", "=", "=="])
 
     examples = {
         "not_key_lower36": [name() for _ in range(size)],
-        "not_key_base64": [rng.choice([str.title, str])(name() + rng.choice(["_", "-", "/", ""]) + rng.choice([word(), name()])) for _ in range(size)],
-        "not_key_hex": [hex_word() + str(rng.randint(0, 9)) + rng.choice(["", hex_word()]) for _ in range(size)],
-        "not_key_upper36": [name().upper() for _ in range(size)],
-        "key_base64": [key(both, rng.choice(["", "", "=", "=="])) for _ in range(size)],
-        "key_hex": [key(hexa) for _ in range(size)],
-        "key_lower36": [key(low) for _ in range(size)],
-        "key_upper36": [key(up) for _ in range(size)],
+        "not_key_base64": [path() for _ in range(size)],
+        "not_key_hex": [drawn("abcdef", length(5.5, 2, 3)) + rng.choice(["", "-" + number(), number()]) for _ in range(size)],
+        "not_key_upper36": [(word(4.7, 1.8) + str(rng.randint(0, 9)) + word(4.7, 1.8)).upper() for _ in range(size)],
+        "key_base64": [secret() for _ in range(size)],
+        "key_hex": [digest() for _ in range(size)],
+        "key_lower36": [drawn(low + low[26:] * 2, length(rng.choice([10, 12, 16, 24, 32]), 6, 7)) for _ in range(size)],
+        "key_upper36": [code() for _ in range(size)],
     }
     kinds = {name: name.removeprefix("not_").removeprefix("key_") for name in examples}
     return fit_model({name: [s for s in strings if character_set_of(s) == kinds[name]] or strings for name, strings in examples.items()})

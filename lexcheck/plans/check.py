@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck.functions import keys
+from lexcheck.functions.patterns import OWN_NAME
 from lexcheck.operators import check, correct
 from lexcheck.operators.languages import addable_of, languages_of
 from lexcheck.operators.lines import explode_lines, line_offsets
@@ -41,11 +42,12 @@ class Check:
         return check.summary(self.files, self.errors, "path")
 
 
-def build(texts: DataFrame, config: settings.Settings, words: DataFrame, model: keys.Model | None = None, offsets: bool = False) -> Check:
-    """``texts(path, content)`` and ``words(name, word)`` to a check."""
+def build(texts: DataFrame, config: settings.Settings, words: DataFrame, model: keys.Model | None = None, offsets: bool = False, markers: str = OWN_NAME) -> Check:
+    """``texts(path, content)`` and ``words(name, word)`` to a check; ``markers`` is the name (a pattern) in front of
+    ``:disable``, ``:enable`` and ``:disable-line``."""
     found = texts.withColumn("first_line", files.first_line(F.col("content")))
     known = languages_of(found, list(config.languages))
-    tokens = normalised(tokenize(known, "path", "content", config, model, offsets))
+    tokens = normalised(tokenize(known, "path", "content", config, model, offsets, markers))
     errors = check.unknown_by_language(tokens, known, words, "path")
     return Check(known, tokens, errors, words)
 
@@ -56,7 +58,7 @@ def _show(errors: DataFrame, made: Check, out, note: str = "") -> None:
         print(r["shown"] + note, file=out)
 
 
-def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mode: str = "default", folder: str = ".", bundled: str | None = None, project: str | None = None, suppress_file_rules: bool = False, model: keys.Model | None = None, out=sys.stdout, err=sys.stderr, output: str | None = None, decisions: str | None = None) -> int:
+def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mode: str = "default", folder: str = ".", bundled: str | None = None, project: str | None = None, suppress_file_rules: bool = False, model: keys.Model | None = None, out=sys.stdout, err=sys.stderr, output: str | None = None, decisions: str | None = None, markers: str = OWN_NAME) -> int:
     """Runs a check and prints its report; 0 if clean, else 1 (also when everything was corrected).
 
     ``output`` is the folder that corrected texts are written to; ``decisions`` the file of a decided check."""
@@ -66,7 +68,7 @@ def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mod
         print(f"no word list found in {bundled or 'the package'} or {project or 'the project'}: give their folder with --words", file=err)
         return 1
     words = wordlists.of_languages(spark, languages, bundled, project)
-    made = build(texts, config, words, model, offsets=mode not in ("wordlist", "quiet"))
+    made = build(texts, config, words, model, offsets=mode not in ("wordlist", "quiet"), markers=markers)
     if mode == "quiet":
         return int(check.any_error(made.errors))
     if mode == "wordlist":
@@ -144,6 +146,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--words", help="folder of word lists: <language>.txt and <language>/<locale>.txt")
     parser.add_argument("--output", help="folder for corrected files")
     parser.add_argument("--project-words", default=".lexcheck_wordlists")
+    parser.add_argument("--markers", default=OWN_NAME, help="name of the markers in files; several as a pattern: one|other")
     parser.add_argument("--key-model", help="YAML file of the key classifier")
     parser.add_argument("files", nargs="*")
     args = parser.parse_args(argv)
@@ -159,7 +162,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     model = keys.load_model(args.key_model) if args.key_model else None
     mode = "decisions" if args.decisions else args.mode or "default"
-    return run(spark, args.files, config, mode, ".", args.words, args.project_words, args.suppress_file_rules, model, output=args.output, decisions=args.decisions)
+    return run(spark, args.files, config, mode, ".", args.words, args.project_words, args.suppress_file_rules, model, output=args.output, decisions=args.decisions, markers=args.markers)
 
 
 if __name__ == "__main__":

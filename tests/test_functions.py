@@ -52,7 +52,7 @@ def test_features_as_columns(spark):
 
 def test_classifier_and_gates():
     model = keys.default_model()
-    for s in ("deadbeef12ab34", "h1h2h3", "abc1def2===", "abc123def"):
+    for s in ("deadbeef12ab34", "h1h2h3", "abc1def2===", "abc123def", "AKIA4XQZ9"):
         assert keys.classify(s, model), s
     for s in ("utf8mb4_unicode", "ipv4address", "base64encode", "x86_64-linux", "test1test2", "foo1bar2baz3"):
         assert not keys.classify(s, model), s
