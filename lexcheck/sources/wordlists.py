@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcheck.functions.text import normalise
+from lexcheck.functions.text import normalise, normalise_text
 from lexcheck.sources.settings import Language
 from lexcheck.storage import children, exists, file_system, hadoop_path, join
 
@@ -58,6 +59,45 @@ def of_languages(spark: SparkSession, languages: list[Language], bundled: str |
     return parse(out)
 
 
+@dataclass
+class Wordlist:
+    """A handle on one list: its words are read when they are first asked for and kept until cleared."""
+
+    spark: SparkSession
+    folder: str
+    name: str
+    _words: DataFrame | None = None
+
+    def exists(self) -> bool:
+        return exists(self.spark, join(self.folder, f"{self.name}.txt"))
+
+    def words(self) -> DataFrame:
+        """The distinct words; none of a list that does not exist."""
+        if self._words is None:
+            self._words = read(self.spark, self.folder, self.name).persist()
+        return self._words
+
+    def contains(self, term: str) -> bool:
+        return not self.words().filter(F.col("word") == normalise_text(term)).isEmpty()
+
+    def count(self) -> int:
+        return self.words().count()
+
+    def is_empty(self) -> bool:
+        return self.words().isEmpty()
+
+    def add(self, term: str) -> None:
+        """Writes the list with the normalised word, sorted."""
+        added = push(self.words(), self.spark.createDataFrame([(self.name, term)], SCHEMA))
+        store(added, self.folder, self.name)
+        self.clear_cache()
+
+    def clear_cache(self) -> None:
+        if self._words is not None:
+            self._words.unpersist()
+            self._words = None
+
+
 def merge(*lists: DataFrame) -> DataFrame:
     out = lists[0].select("name", "word")
     for other in lists[1:]:

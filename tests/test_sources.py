@@ -146,6 +146,17 @@ def test_wordlists(spark, tree):
     assert [r["word"] for r in wordlists.contains(words, terms).collect()] == ["HELLO"]
 
 
+def test_wordlist_handle(spark, tree):
+    found = wordlists.Wordlist(spark, str(tree / "words"), "english")
+    assert found.exists() and found.count() == 3 and not found.is_empty() and found.contains(" HELLO") and not found.contains("wurld")
+    found.add("Wurld")
+    assert found.contains("wurld") and (tree / "words" / "english.txt").read_text() == "hello\nthere\nworld\nwurld\n"
+    none = wordlists.Wordlist(spark, str(tree / "words"), "rust")
+    assert not none.exists() and none.is_empty()
+    none.add("crate")
+    assert none.exists() and none.count() == 1
+
+
 def test_decisions_add_words(spark, tree):
     words = wordlists.read(spark, str(tree / "words"), "english")
     decided = spark.createDataFrame([("add", "english", "Wurld"), ("skip", None, "Helo")], "action string, name string, value string")
