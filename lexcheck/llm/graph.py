@@ -21,10 +21,11 @@ SALTS = 16
 
 
 def _with_least(edges: DataFrame, node: str, other: str, least: DataFrame) -> DataFrame:
-    """``edges`` joined with ``least(node, m)``, a node's edges dealt over parts; least rows go to every part."""
+    """``edges`` joined with ``least(node, m)``, a node's edges dealt over parts; least rows go to every part, by a
+    shuffle: they grow with the edges, so no driver collects them for a broadcast."""
     salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
     spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("_salt", salt).join(spread, [node, "_salt"]).drop("_salt")
+    return edges.withColumn("_salt", salt).join(spread.hint("merge"), [node, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:

@@ -330,10 +330,11 @@ def judged(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
     first = materialise(cold_pairs(chosen.select(F.explode("cold").alias("v"), "class_id", "n", "sketch", nothing), search.least_estimate))
     links = verify(docs, first, classes)
     some_hot = chosen.filter(F.size("hot") > 0).select("class_id", "doc_id", "sig", "n", "hot")
-    found = components(links)
-    if not some_hot.isEmpty():
+    any_hot = not some_hot.isEmpty()
+    if any_hot:
         links = materialise(links.unionByName(hot_links(docs, some_hot.withColumn("v", F.get("hot", F.lit(0))).drop("hot"), search)))
-        found = components(links)
+    found = components(links)
+    if any_hot:
         # the other lists, where they still hold several components
         rest = some_hot.withColumn("v", F.explode("hot")).drop("hot").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
         rest = materialise(rest.withColumn("component", F.coalesce("component", "class_id")))
