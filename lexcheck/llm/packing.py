@@ -24,6 +24,7 @@ import bisect
 import json
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -91,12 +92,13 @@ class WordIds(dict):
                 return None, None  # a token is made in two ways: ranks alone would not tell them apart
             ids[512 + k] = model["vocab"][left + right]
         loop = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        return loop._core_bpe.encode_single_piece, ids
+        return loop._core_bpe.encode_single_piece, ids.tolist()
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.merge and text.isalpha() and max(text) <= self.LAST_LATIN:
-            made = self.ids[self.merge(text.lower().encode() + b"\xff")].tobytes()
+        if self.merge and text.isalpha() and (text.isascii() or max(text) <= self.LAST_LATIN):
+            ranks = self.merge(text.lower().encode() + b"\xff")
+            made = struct.pack(f"<{len(ranks)}I", *map(self.ids.__getitem__, ranks))
         else:
             made = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= MEMO_WORDS:
