@@ -26,6 +26,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 import re
 import zlib
@@ -152,11 +153,22 @@ class Scorer:
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             self.memo.update(zip(part, self.model.raw(part, self.weights).tolist(), strict=True))
-        get = self.memo.__getitem__
-        top = [highest(map(get, words)) for sentences in found for words in sentences or [()]]
-        begin = np.cumsum([0] + [max(1, len(sentences)) for sentences in found])[:-1]
-        score = self.model.probability(np.array(top).reshape(-1, TOP))
-        return np.maximum.reduceat(score, begin) if len(found) else score
+        return self.model.probability(np.array([self._highest(sentences) for sentences in found]).reshape(-1, TOP))
+
+    def _highest(self, sentences: list[set[str]]) -> list[float]:
+        """The highest word scores of the text's highest sentence. No sentence is higher than one whose words all
+        have its best word's score, so few are looked at more closely."""
+        get, slopes = self.memo.__getitem__, self.model.slopes.tolist()
+        most, best, bound = sum(slopes), [NO_WORD] * TOP, -math.inf
+        ranked = sorted(((max(map(get, words)), k) for k, words in enumerate(sentences)), reverse=True)
+        for first, k in ranked:
+            if first * most <= bound:
+                break
+            top = highest(map(get, sentences[k]))
+            value = sum(x * slope for x, slope in zip(top, slopes, strict=True))
+            if value > bound:
+                best, bound = top, value
+        return best
 
 
 def _dense(words: list[str], columns: np.ndarray) -> np.ndarray:
