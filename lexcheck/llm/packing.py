@@ -53,6 +53,7 @@ class WordIds(dict):
     their bytes by tiktoken's merge loop (byte 0xFF, never part of UTF-8, stands for the end of the word).
     All other words go through the tokeniser itself. Tests hold both ways equal."""
 
+    MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # no apostrophe, which can belong to a word, and none of "<|>"
     LAST_LATIN = "\u012f"  # up to here lower-casing and composition go letter by letter
 
     def __init__(self, path: str) -> None:
@@ -94,13 +95,28 @@ class WordIds(dict):
         loop = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         return loop._core_bpe.encode_single_piece, ids.tolist()
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.merge and text.isalpha() and (text.isascii() or max(text) <= self.LAST_LATIN):
-            ranks = self.merge(text.lower().encode() + b"\xff")
-            made = struct.pack(f"<{len(ranks)}I", *map(self.ids.__getitem__, ranks))
+    def _merged(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters; None for others."""
+        if word.isalpha():  # of bytes: ASCII letters
+            low = word.lower()
         else:
-            made = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            text = word.decode()
+            if not text.isalpha() or max(text) > self.LAST_LATIN:
+                return None
+            low = text.lower().encode()
+        ranks = self.merge(low + b"\xff")
+        return struct.pack(f"<{len(ranks)}I", *map(self.ids.__getitem__, ranks))
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self._merged(word) if self.merge else None
+        if made is None and self.merge:
+            # the tokeniser parts letters from what is none: marks around them are units of their own
+            core = word.strip(self.MARKS)
+            if core and len(core) < len(word) and (made := self._merged(core)) is not None:
+                at = word.index(core)
+                made = (self[word[:at]] if at else b"") + made + (self[word[at + len(core) :]] if at + len(core) < len(word) else b"")
+        if made is None:
+            made = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= MEMO_WORDS:
             self.clear()
         self[word] = made

@@ -120,6 +120,9 @@ def test_word_ids_equal_the_tokeniser():
     own = packing.WordEncoder(WORDS)
     some = [t for t in texts() if len(t) < 100] + ["The Quick brown-fox, it's naïve; ÆTHER straße"]
     some += ["a<|endoftext|>b", "<|startoftext|> <|endoftext|>", "<|ENDOFTEXT|> x", "word <|endoftext|>\n<|endoftext|>s", "<|endoftext|", "é<|startoftext|>é"]
+    marks = [*packing.WordIds.MARKS.decode(), "'", "<", "|", ">", "\u0338", "ﬁ", "1"]
+    rng = random.Random(2)
+    some += [" ".join("".join(rng.choice(marks) for _ in range(rng.randint(0, 3))) + rng.choice(["word", "Élan", "a", "x1", "'s"]) + "".join(rng.choice(marks) for _ in range(rng.randint(0, 3))) for _ in range(20)) for _ in range(300)]
     for t, packed in zip(some, own.encode(some), strict=True):
         assert np.frombuffer(packed, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
