@@ -20,7 +20,7 @@ def _print(edges: DataFrame) -> tuple:
 SALTS = 16
 
 
-def _with_least(edges: DataFrame, node: str, other: str, least: DataFrame) -> DataFrame:
+def with_least(edges: DataFrame, node: str, other: str, least: DataFrame) -> DataFrame:
     """``edges`` joined with ``least(node, m)``, a node's edges dealt over parts; least rows go to every part, by a
     shuffle: they grow with the edges, so no driver collects them for a broadcast."""
     salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
@@ -39,9 +39,9 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = _with_least(both, "u", "v", least).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))  # doubles go below
+        large = with_least(both, "u", "v", least).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))  # doubles go below
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        hung = _with_least(large, "hi", "lo", root)
+        hung = with_least(large, "hi", "lo", root)
         small = hung.select("hi", F.col("m").alias("lo")).unionByName(hung.filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         after = materialise(small.distinct())
         mark = _print(after)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexcheck.llm.common import discard, materialise, small_batches, table, text_or_empty
-from lexcheck.llm.graph import components
+from lexcheck.llm.graph import components, with_least
 from lexcheck.llm.words import WordArrays, gram_hashes
 
 WORDS = 5
@@ -352,9 +352,12 @@ def judged(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
             found = components(links.unionByName(more))
         discard(more)
     discard(first, second, links, chosen)
-    linked = classes.select("sig", "doc_id", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = linked.select("sig", "component").join(least, "component").select("sig", "component_id")
+    centre = F.col("component")  # a star's centre has no row of its own
+    found = found.unionByName(found.select(centre.alias("node"), "component").distinct())
+    linked = found.join(classes.select(F.col("class_id").alias("node"), "doc_id"), "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = with_least(linked, "component", "node", least).select(F.col("node").alias("class_id"), "least")
+    of_class = classes.select("sig", "doc_id", "class_id").join(named, "class_id", "left").select("sig", F.coalesce("least", "doc_id").alias("component_id"))
     return (
         rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
         .join(of_class, "sig", "left")
