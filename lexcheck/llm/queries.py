@@ -19,6 +19,9 @@ _PLACES = {
     "op8_token_counts": ("token_counts", None),
     "op9_toxicity": ("toxicity", None),
     "op10_nearest_neighbours": ("ann", None),
+    "op11_spelling_variants": ("variants", "OP11_SQL"),
+    "op12_online_packing": ("online_packing", None),
+    "op13_merkle_manifest": ("merkle", "OP13_SQL"),
 }
 
 
