@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,37 +137,38 @@ def reduce_trees(nodes: DataFrame, fanout: int, levels: int, carried: list[str])
             return roots, turns
 
 
-def push_down(turns: list[DataFrame], tops: DataFrame, fanout: int, levels: int, carried: list[str]) -> DataFrame:
+def push_down(turns: list[DataFrame], tops: DataFrame, fanout: int, levels: int, carried: list[str], finish: Check | None = None) -> DataFrame:
     """``tops(tree, steps, subroot, root)``, what stands above each tree, to tree, place, leaf, steps, subroot, root and the carried
-    columns for every node of the first turn."""
+    columns for every node of the first turn, or to what ``finish`` makes of them."""
     span = fanout**levels
     proofs: DataFrame | None = None
     for turn in reversed(turns):
-        also = carried if turn is turns[0] else []
+        also, last = (carried, finish) if turn is turns[0] else ([], None)
         above = turn.filter("n = 1").join(tops, "tree")
         if proofs is not None:
             above = above.unionByName(turn.filter("n > 1").join(proofs.drop("leaf"), ["tree", "place"]))
         kinds = [f"`{c}` {turn.schema[c].dataType.elementType.simpleString()}" for c in also]
 
-        def spread(frames: Iterator[pd.DataFrame], also: list[str] = also) -> Iterator[pd.DataFrame]:
+        def spread(frames: Iterator[pd.DataFrame], also: list[str] = also, last: Check | None = last) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for tree, bucket, size, packed, upper, subroot, root, *lists in frame.itertuples(index=False, name=None):
                     nodes = [packed[i : i + 32] for i in range(0, len(packed), 32)]
                     made = pyramid([d.hex() for d in nodes], fanout, levels if size > span else None)
                     steps = [steps_of(made, i, fanout) + upper for i in range(len(nodes))]
                     places = range(bucket * span, bucket * span + len(nodes))
-                    yield pd.DataFrame({"tree": [tree] * len(nodes), "place": places, "leaf": nodes, "steps": steps, "subroot": subroot, "root": root} | dict(zip(also, map(list, lists), strict=True)))
+                    made = pd.DataFrame({"tree": [tree] * len(nodes), "place": places, "leaf": nodes, "steps": steps, "subroot": subroot, "root": root} | dict(zip(also, map(list, lists), strict=True)))
+                    yield last(made) if last else made
 
-        schema = ", ".join(["tree binary, place long, leaf binary, steps binary, subroot string, root string", *kinds])
+        schema = last.schema if last else ", ".join(["tree binary, place long, leaf binary, steps binary, subroot string, root string", *kinds])
         proofs = above.select("tree", "place", "size", "digests", "steps", "subroot", "root", *also).mapInPandas(spread, schema)
         if turn is not turns[0]:
             proofs = materialise(proofs)
     return proofs
 
 
-def prove(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def prove(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS, finish: Check | None = None) -> DataFrame:
     """``leaves(tree binary, key long, leaf binary)`` and carried string or binary columns to key, leaf, steps, subroot, root and the
-    carried columns. Trees are ordered by their bytes, leaves by key, then digest."""
+    carried columns, or to what ``finish`` makes of them. Trees are ordered by their bytes, leaves by key, then digest."""
     small_batches(leaves.sparkSession)
     carried = [c for c in leaves.columns if c not in ("tree", "key", "leaf")]
     rows = materialise(leaves.withColumn("row", F.monotonically_increasing_id()))
@@ -180,28 +180,26 @@ def prove(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Data
     summit = top.select("tree", F.lit(b"").alias("steps"), F.lit("").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
     tops = push_down(head_turns, summit, fanout, levels, ["name"])
     tops = materialise(tops.select(F.col("name").alias("tree"), "steps", F.lower(F.hex("leaf")).alias("subroot"), "root"))
-    proved = push_down(turns, tops, fanout, levels, ["key", *carried])
-    return proved.select(F.col("key").cast("long").alias("key"), "leaf", "steps", "subroot", "root", *carried)
+    proved = push_down(turns, tops, fanout, levels, ["key", *carried], finish)
+    return proved.drop("tree", "place").withColumn("key", F.col("key").cast("long"))
 
 
-def check_proofs(proved: DataFrame, claimed: str) -> DataFrame:
-    """key, leaf, subroot, root, proof_sha256, folded_root, verified: each row's ``claimed`` leaf (its own where null) is folded
-    through its proof."""
-    names = ["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+class Check:
+    """What ``prove`` may do with each bucket's frame before it leaves the task: each row's ``claimed`` leaf (its own where null) is
+    folded through its proof. Returns key, leaf, subroot, root, proof_sha256, folded_root, verified."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaves, steps, claims = (batch.column(i).to_pylist() for i in (1, 2, 5))
-            proofs = [digest("".join(a + b for a, b in siblings(s))) for s in steps]
-            folded = [fold_proof((c or x).hex(), s) for x, s, c in zip(leaves, steps, claims, strict=True)]
-            same = [f == r for f, r in zip(folded, batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.hex() for x in leaves], pa.string()), batch.column(3), batch.column(4), pa.array(proofs, pa.string()), pa.array(folded, pa.string()), pa.array(same, pa.bool_())],
-                names,
-            )
+    schema = "key string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
-    schema = "key long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return proved.select("key", "leaf", "steps", "subroot", "root", claimed).mapInArrow(run, schema)
+    def __init__(self, claimed: str) -> None:
+        self.claimed = claimed
+
+    def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
+        proofs = [digest("".join(a + b for a, b in siblings(s))) for s in frame["steps"]]
+        folded = [fold_proof((c or x).hex(), s) for x, s, c in zip(frame["leaf"], frame["steps"], frame[self.claimed], strict=True)]
+        made = frame[["key", "leaf", "subroot", "root"]].assign(proof_sha256=proofs, folded_root=folded)
+        made["leaf"] = [x.hex() for x in made["leaf"]]
+        made["verified"] = made["folded_root"] == made["root"]
+        return made
 
 
 def tree_key(group: Column) -> Column:
@@ -209,13 +207,14 @@ def tree_key(group: Column) -> Column:
     return F.when(group.isNull(), F.lit(b"")).otherwise(F.concat(F.lit(b"\x01"), F.encode(group.cast("string"), "UTF-8")))
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", carried: dict[str, Column] | None = None, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """The proved leaves of ``docs``: key, leaf, steps, subroot, root and the carried (string or binary) columns."""
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", carried: dict[str, Column] | None = None, fanout: int = FANOUT, levels: int = LEVELS, finish: Check | None = None) -> DataFrame:
+    """The proved leaves of ``docs``: key, leaf, steps, subroot, root and the carried (string or binary) columns, or what ``finish``
+    makes of them."""
     docs = only(docs, *dict.fromkeys([*fields, group, key]))
     leaves = docs.select(
         tree_key(F.col(f"`{group}`")).alias("tree"), F.col(f"`{key}`").cast("long").alias("key"), leaf([F.col(f"`{f}`") for f in fields]).alias("leaf"), *[c.alias(n) for n, c in (carried or {}).items()]
     )
-    return prove(leaves, fanout, levels)
+    return prove(leaves, fanout, levels, finish)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +222,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.col("doc_id").cast("string")) % TAMPER_EVERY == 0,
         leaf([F.col("n_chars").cast("long") + 1 if f == "n_chars" else F.col(f) for f in FIELDS]),
     )
-    proved = manifest(table(spark, sf_dir, "documents"), carried={"claimed": tampered})
-    return check_proofs(proved, "claimed").withColumnRenamed("key", "doc_id")
+    proved = manifest(table(spark, sf_dir, "documents"), carried={"claimed": tampered}, finish=Check("claimed"))
+    return proved.withColumnRenamed("key", "doc_id")
 
 
 def _sql() -> str:

@@ -60,8 +60,8 @@ SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
 def test_manifest_matches_brute_force(spark, fanout, levels):
     docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({"tree": F.lit("x"), "place": F.lit(1), "key": F.lit(2)}).repartition(3)
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf([F.col("n_chars") + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
-    proved = merkle.manifest(docs, carried={"claimed": tampered}, fanout=fanout, levels=levels)
-    found = [tuple(r) for r in merkle.check_proofs(proved, "claimed").collect()]
+    checked = merkle.manifest(docs, carried={"claimed": tampered}, fanout=fanout, levels=levels, finish=merkle.Check("claimed"))
+    found = [tuple(r) for r in checked.collect()]
     assert sorted(found, key=str) == expected(ROWS, fanout)
 
 
@@ -77,7 +77,8 @@ def test_query_over_a_table_without_rows_and_one_row(spark, tmp_path):
 def test_many_groups_and_equal_rows(spark):
     rows = [(i % 4, "s", f"g{i:03}", 1, "t") for i in range(70)] + [(1, "s", "hot", 1, "same")] * 60
     docs = spark.createDataFrame(rows, SCHEMA)
-    found = [tuple(r) for r in merkle.check_proofs(merkle.manifest(docs, carried={"claimed": F.lit(None).cast("binary")}, levels=3), "claimed").collect()]
-    assert all(r[6] for r in found)
+    found = merkle.manifest(docs, levels=3).collect()
+    assert all(merkle.fold_proof(r.leaf.hex(), r.steps) == r.root for r in found)
+    proofs = [h(*(x for pair in merkle.siblings(r.steps) for x in pair)) for r in found]
     want = [r[:5] for r in expected(rows)]
-    assert sorted([r[:5] for r in found], key=str) == sorted(want, key=str)
+    assert sorted([(r.key, r.leaf.hex(), r.subroot, r.root, p) for r, p in zip(found, proofs, strict=True)], key=str) == sorted(want, key=str)
