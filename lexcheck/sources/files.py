@@ -1,8 +1,8 @@
-"""Files as a DataFrame (path, content): Spark lists and reads them; rules are filters on the file's path,
-which Spark applies to its listing, so files that are left out are never opened."""
+"""Files as a DataFrame (path, content), by a walk that never enters what is left out, and texts written back as files."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck import storage
+from lexcheck.shipping import ship
 from lexcheck.sources import ignore
-from lexcheck.sources.globs import any_of, exclude_globs, glob_regex
 from lexcheck.sources.settings import Settings
+from lexcheck.sources.tree import FORMAT, TreeSource
 
 
 def absolute(folder: str) -> str:
@@ -31,42 +32,34 @@ def distinct_roots(roots: list[str], folder: str) -> list[str]:
     return [r for r in full if not any(r != other and r.startswith(other.rstrip("/") + "/") for other in full)]
 
 
-def relative(path: Column, folder: str) -> Column:
-    scheme = r"^[a-z0-9]+:/*(?=/)"
-    full = re.sub(scheme, "", absolute(folder)).rstrip("/") + "/"
-    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), scheme, "")
-    return F.when(plain.startswith(full), F.substr(plain, F.lit(len(full) + 1))).otherwise(plain)
-
-
-def keep_path(rel: Column, settings: Settings, globs: list[str], suppress_file_rules: bool, rules: list[ignore.Rule]) -> Column:
-    """Hidden files never; excludes and ignore rules unless suppressed; given globs select; the settings'
-    own ``includes`` select if there are any."""
-    keep = ~rel.rlike(r"(^|/)\.(?!\.?(/|$))")
-    if not suppress_file_rules:
-        keep &= ~rel.rlike(any_of([g for p in settings.excludes for g in exclude_globs(p)]))
-        if rules:
-            keep &= ~ignore.ignored(rel, rules)
-    for selection in (globs, list(settings.includes)):
-        if selection:
-            keep &= rel.rlike("|".join(glob_regex(g) for p in selection for g in (p, f"**/{p}")))
-    return keep
+def tree(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False, content: bool = False, **options: int) -> DataFrame:
+    """path (relative), length, content (if asked for) and problem of all files of a check, and of the folders and files that
+    could not be opened. Hidden files never; excludes and ignore rules unless suppressed; given globs select; the
+    settings' own ``includes`` select if there are any."""
+    ship(spark)
+    spark.dataSource.register(TreeSource)
+    roots, globs = split_patterns(spark, patterns, folder)
+    walk = {
+        "folder": absolute(folder),
+        "roots": distinct_roots(roots, folder),
+        "excludes": list(settings.excludes),
+        "selections": [globs, list(settings.includes)],
+        "suppress": suppress_file_rules,
+        "first": [] if suppress_file_rules else [(r.pattern, r.ignores) for r in ignore.first_rules(spark, absolute(folder))],
+        "content": content,
+    }
+    return spark.read.format(FORMAT).options(walk=json.dumps(walk), **options).load()
 
 
 def file_list(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False) -> DataFrame:
-    """path (relative), length and content, which is read only where a query asks for it. Files that cannot be
-    read are left out; so are empty ones, which Spark does not list (they hold no words)."""
-    roots, globs = split_patterns(spark, patterns, folder)
-    options = {"recursiveFileLookup": True, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
-    scan = spark.read.format("binaryFile").options(**options).load(distinct_roots(roots, folder))
-    rules = [] if suppress_file_rules else ignore.rules_of(spark, absolute(folder))
-    rel = relative(F.col("_metadata.file_path"), folder)
-    return scan.filter(keep_path(rel, settings, globs, suppress_file_rules, rules)).select(rel.alias("path"), "length", "content")
+    """path, length of the files of a check; none is opened."""
+    return tree(spark, patterns, settings, folder, suppress_file_rules).filter("problem is null").select("path", "length")
 
 
 def read_files(spark: SparkSession, patterns: list[str], settings: Settings, folder: str = ".", suppress_file_rules: bool = False) -> DataFrame:
     """path, content. A line that is no UTF-8 is blanked, character by character, so that what follows it
-    keeps its place."""
-    found = file_list(spark, patterns, settings, folder, suppress_file_rules)
+    keeps its place. Files that cannot be read are left out; ``tree`` names them."""
+    found = tree(spark, patterns, settings, folder, suppress_file_rules, content=True).filter("problem is null")
     raw = F.col("content").cast("string")
     blanked = F.transform(F.split(F.make_valid_utf8(raw), "\n", -1), lambda line: F.when(line.contains("\ufffd"), F.regexp_replace(line, ".", " ")).otherwise(line))
     return found.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(F.array_join(blanked, "\n")).alias("content"))

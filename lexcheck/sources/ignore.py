@@ -1,4 +1,4 @@
-"""Ignore rules of a folder tree: all its ignore files, with negations, as one column expression.
+"""Ignore rules of a folder tree, with negations.
 
 Later rules win over earlier ones, deeper files over shallower ones, ``.ignore`` over ``.gitignore``; the
 repository's own exclude file and the user's global one come first. What lies in an ignored folder stays
@@ -11,11 +11,10 @@ import os
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from lexcheck.sources.globs import python_regex
-from lexcheck.storage import children, exists, join, read_small_file
+from lexcheck.storage import exists, join, read_small_file
 
 NAMES = (".gitignore", ".ignore")
 
@@ -88,38 +87,7 @@ def global_rules() -> list[Rule]:
         return parse(f.read())
 
 
-def rules_of(spark: SparkSession, folder: str) -> list[Rule]:
-    """All rules of the tree, weakest first. Folders are listed by the driver; ignored ones are not entered."""
-    first = global_rules()
+def first_rules(spark: SparkSession, folder: str) -> list[Rule]:
+    """The weakest rules of a tree: the user's global ones, then the repository's own exclude file."""
     own = join(folder, ".git/info/exclude")
-    if exists(spark, own):
-        first = first + parse(read_small_file(spark, own))
-    found: dict[str, list[Rule]] = {name: [] for name in NAMES}
-    todo = [""]
-    while todo:  # breadth first: deeper files come later
-        below = []
-        for at in todo:
-            listed = list(children(spark, join(folder, at) if at else folder))
-            for name in NAMES:
-                if (name, False) in listed:
-                    found[name] += parse(read_small_file(spark, join(folder, at + name)), at)
-            known = first + found[NAMES[0]] + found[NAMES[1]]
-            below += [f"{at}{n}/" for n, is_folder in sorted(listed) if is_folder and n[0] != "." and not fits(known, f"{at}{n}/")]
-        todo = below
-    return first + found[NAMES[0]] + found[NAMES[1]]
-
-
-def ignored(path: Column, rules: list[Rule]) -> Column:
-    """Whether the file at ``path`` or a folder above it is ignored."""
-
-    def said(p: Column) -> Column:
-        out = F.lit(False)
-        for r in rules:
-            out = F.when(p.rlike(r.pattern), F.lit(r.ignores)).otherwise(out)
-        return out
-
-    if not rules:
-        return F.lit(False)
-    parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n < F.size(parts), "/").otherwise("")))
-    return F.exists(above, said)
+    return global_rules() + (parse(read_small_file(spark, own)) if exists(spark, own) else [])
