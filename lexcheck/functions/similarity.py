@@ -1,7 +1,9 @@
-"""Jaro-Winkler similarity, and the letter-overlap bound that prunes its similarity join."""
+"""Jaro-Winkler similarity, and the signature index that prunes its similarity join."""
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GATE, PREFIX_WEIGHT, PREFIX_MOST = 0.7, 0.1, 4
+LAST = chr(0x10FFFF)
 
 
 def jaro(a: str, b: str) -> float:
@@ -59,48 +62,85 @@ def threshold(length: int) -> float:
 
 def letter_counts(words: list[str]) -> np.ndarray:
     """a-z and one bucket for the rest."""
-    out = np.zeros((len(words), 27), np.int16)
+    out = np.zeros((len(words), 27), np.int32)
     for k, w in enumerate(words):
         for c in w:
             out[k, ord(c) - 97 if "a" <= c <= "z" else 26] += 1
     return out
 
 
+def least_jaro(limit: float, prefix: int) -> float:
+    """The least Jaro similarity that leads to ``limit`` with so many equal leading characters; the bonus starts over 0.7."""
+    return max(GATE, (limit - PREFIX_WEIGHT * prefix) / (1 - PREFIX_WEIGHT * prefix)) if prefix else limit
+
+
 class Words:
-    """Words of a block, ready to be scored against blocks of terms: the pairs and scores of ``jaro_winkler``."""
+    """Words of a block, indexed by their signatures, ready to be scored against blocks of terms: the pairs and scores of
+    ``jaro_winkler``.
+
+    A word's signature is its multiset of letters as bits: one for each letter and each number of times it occurs at least.
+    The bits that two signatures share are the letters in common. Words are sorted, so those that share a
+    term's first one to four characters are ranges, and each range has the bound its bonus allows."""
 
     MOST = 63  # characters in a machine word; pairs with longer ones are scored one by one
     TERMS, PAIRS = 64, 200_000  # bounds of what is held at a time: terms against all words, scored pairs
 
     def __init__(self, words: list[str]) -> None:
-        self.words, self.size = words, len(words)
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        self.first = np.array([ord(w[0]) for w in words])
-        counts = letter_counts(words)
+        self.words = sorted(words)
+        self.size = len(words)
+        self.scored = 0
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        counts = letter_counts(self.words)
         #: letters by how often: (c, k) says that a word has the letter c at least k times
         self.least = [(c, k) for c in range(counts.shape[1]) for k in range(1, int(counts[:, c].max(initial=0)) + 1)]
-        self.unary = self._unary(counts)
-        letters = sorted({c for w in words for c in w})
+        self.signatures = self._signatures(counts)
+        self.bounds: dict[int, list[np.ndarray]] = {}
+        #: of numbers of letters; bounds over the greatest possible number are cut to one that none reaches
+        self.kind = np.dtype(np.uint16 if len(self.least) < 2**16 - 1 else np.int32)
+        letters = sorted({c for w in self.words for c in w})
         self.code = {c: i for i, c in enumerate(letters, 1)}
         self.codes = np.zeros((min(self.MOST, int(self.lengths.max(initial=0))), self.size), np.int32)
-        for k, w in enumerate(words):
+        for k, w in enumerate(self.words):
             if len(w) <= self.MOST:
                 self.codes[: len(w), k] = [self.code[c] for c in w]
 
-    def _unary(self, counts: np.ndarray) -> np.ndarray:
-        if not self.least:
-            return np.zeros((len(counts), 0), np.float32)
-        return np.stack([counts[:, c] >= k for c, k in self.least], 1).astype(np.float32)
+    def _signatures(self, counts: np.ndarray) -> list[np.ndarray]:
+        """64 bits each, as many as there are."""
+        out = []
+        for lo in range(0, len(self.least), 64):
+            made = np.zeros(len(counts), np.uint64)
+            for bit, (c, k) in enumerate(self.least[lo : lo + 64]):
+                made |= (counts[:, c] >= k).astype(np.uint64) << np.uint64(bit)
+            out.append(made)
+        return out
+
+    def _bounds(self, length: int) -> list[np.ndarray]:
+        """For a term of this length and 0 to 4 equal leading characters, how many letters each word has to have in common
+        with it: with J the least Jaro similarity, (3 J - 1) |a| |b| / (|a| + |b|)."""
+        if length not in self.bounds:
+            limit = threshold(length)
+            need = [np.ceil((3 * least_jaro(limit, p) - 1) * self.lengths * length / (self.lengths + length) - 1e-9) for p in range(PREFIX_MOST + 1)]
+            self.bounds[length] = [np.minimum(n, len(self.least) + 1).astype(self.kind) for n in need]
+        return self.bounds[length]
 
     def candidates(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(term, word) of the pairs that can reach the term's threshold: with J the least Jaro similarity that
-        leads there, the letters in common number at least (3 J - 1) |a| |b| / (|a| + |b|). Letters in
-        common are a product of the unary counts."""
-        n = np.array([len(t) for t in terms], np.float64)[:, None]
-        limit = np.where(n > 4, threshold(5), threshold(4))
-        need = np.where(np.array([ord(t[0]) for t in terms])[:, None] == self.first, (limit - 0.4) / 0.6, limit)
-        least = np.ceil((3 * need - 1) * self.lengths * n / (self.lengths + n) - 1e-9)
-        return np.nonzero(self._unary(letter_counts(terms)) @ self.unary.T >= least)
+        """(term, word) of the pairs that can reach the term's threshold by their letters in common."""
+        mine = self._signatures(letter_counts(terms))
+        common = np.zeros((len(terms), self.size), self.kind)
+        for theirs, own in zip(self.signatures, mine, strict=True):
+            common += np.bitwise_count(own[:, None] & theirs[None, :])
+        hits = np.zeros(common.shape, bool)
+        for k, term in enumerate(terms):
+            bounds = self._bounds(len(term))
+            np.greater_equal(common[k], bounds[0], out=hits[k])
+            lo, hi = 0, self.size
+            for p in range(1, min(PREFIX_MOST, len(term)) + 1):
+                lo = bisect.bisect_left(self.words, term[:p], lo, hi)
+                hi = bisect.bisect_left(self.words, term[:p] + LAST, lo, hi)
+                if lo == hi:
+                    break
+                np.greater_equal(common[k, lo:hi], bounds[p][lo:hi], out=hits[k, lo:hi])
+        return np.nonzero(hits)
 
     def matches(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(term, word, score) of all pairs at or over the term's threshold."""
@@ -108,6 +148,7 @@ class Words:
         for k in range(0, len(terms), self.TERMS):
             part = terms[k : k + self.TERMS]
             t, w = self.candidates(part)
+            self.scored += len(t)
             limit = np.array([threshold(len(x)) for x in part])
             for lo in range(0, len(t), self.PAIRS):
                 mine, theirs = t[lo : lo + self.PAIRS], w[lo : lo + self.PAIRS]

@@ -1,8 +1,8 @@
 """Suggestions: a pruned similarity join of distinct unknown words with the dictionary, tiers, top k.
 
-Both sides are packed into blocks of bounded size; each pair of blocks is one row of work, scored in Python
-after the letter-overlap bound has discarded nearly all pairs without loss. Nothing is broadcast and no
-pair is emitted that does not reach the threshold.
+Both sides are packed into blocks of bounded size. A block of words is an index of signatures (``similarity.Words``), which
+names the few words that a term's letters and first characters allow, without loss; only those are scored. Nothing is
+broadcast and no pair is emitted that does not reach the threshold.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from lexcheck.functions.text import apply_case, case_style
 from lexcheck.shipping import ship
 from lexcheck.storage import materialise, small_batches
 
-TERM_BLOCK, WORD_BLOCK = 2_000, 20_000
+TERM_BLOCK, WORD_BLOCK, MOST_TASKS = 2_000, 20_000, 10_000
 TIERS = ("mistype", "misspell", "wild")
 
 
@@ -30,26 +30,29 @@ def _blocks(df: DataFrame, column: str, size: int, name: str) -> tuple[DataFrame
 
 def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
     """term, word, jw for all pairs at or over the term's threshold; ``terms(term)`` and ``words(word)``
-    are made distinct and written once, since both are counted and then read."""
+    are made distinct and written once, since both are counted and then read. A task goes through its pairs by
+    block of words, so it builds each index once."""
     ship(terms.sparkSession)
     small_batches(terms.sparkSession)
-    terms, _ = _blocks(materialise(terms.select("term").distinct()), "term", TERM_BLOCK, "_term_block")
+    terms, m = _blocks(materialise(terms.select("term").distinct()), "term", TERM_BLOCK, "_term_block")
     words, n = _blocks(materialise(words.select("word").distinct()), "word", WORD_BLOCK, "_word_block")
     pairs = terms.withColumn("_word_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(words, "_word_block")
 
     def run(batches):
         last, index = None, None
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if right != last:
-                    last, index = right, similarity.Words([w for w in right if w])
+            for block, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != last:
+                    last, index = block, similarity.Words([w for w in right.as_py() if w])
                 terms = [t for t in left if t]
                 t, w, score = index.matches(terms)
                 # rounded: ties are ties, whatever the last bit
                 columns = [pa.array(terms, pa.string()).take(pa.array(t)), pa.array(index.words, pa.string()).take(pa.array(w)), pa.array(np.round(score, 12))]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "word", "jw"])
 
-    return pairs.select("term", "word").repartition("term").mapInArrow(run, "term string, word string, jw double")
+    # a number of tasks that Spark does not join again: their rows are few, their work is not
+    dealt = pairs.repartition(min(m * n, MOST_TASKS), "_word_block", "_term_block").sortWithinPartitions("_word_block")
+    return dealt.select("_word_block", "term", "word").mapInArrow(run, "term string, word string, jw double")
 
 
 def tiers(pairs: DataFrame) -> DataFrame:

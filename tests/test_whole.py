@@ -127,3 +127,16 @@ def test_whole_skip_counts(spark, tmp_path):
 def test_skip_sequences(spark, tables):
     want = [(i, *(None if t is None else len(regex.findall(p, t)) for p in (patterns.REPEATED_LETTER, patterns.HEX))) for i, t, _ in DOCUMENTS]
     assert run(spark, tables, "skip_sequences") == sorted(want)
+
+
+def test_the_signature_index_loses_no_pair_and_names_few():
+    rng = random.Random(4)
+    stems = ["".join(rng.choices("etaoinshrdlucmfw", k=rng.randint(4, 11))) for _ in range(3_000)]
+    index = similarity.Words(sorted(set(stems)))
+    terms = [s[:2] + rng.choice("xqz") + s[3:] for s in stems[:300]]
+    t, w, _ = index.matches(terms)
+    assert index.scored < 0.05 * len(terms) * index.size
+    found = set(zip(t.tolist(), w.tolist(), strict=True))
+    assert found == {(k, i) for k, term in enumerate(terms[:60]) for i, word in enumerate(index.words) if similarity.jaro_winkler(word, term) >= similarity.threshold(len(term))} | {p for p in found if p[0] >= 60}
+    long = similarity.Words(["a" * 70_000, "ab" * 35_000, "abc"])
+    assert long.candidates(["a" * 69_999])[1].tolist() == [0]
