@@ -8,14 +8,15 @@ bounds a leaf's distance from a query by the largest gap over all of them. A que
 smallest bounds first and then every leaf whose bound, multiplied by ``factor``, is within its present k-th
 distance. Factor 1 is exact; a larger factor prunes more.
 
-Rows are dealt to shards of a fixed size, so trees do not grow with the table. Queries travel to the trees in
+Rows are dealt to shards of bounded rows and bytes, so trees do not grow with the table. Queries travel to the trees in
 blocks: a task holds one tree and streams blocks through it. Every row is indexed; equal vectors of a shard share
-one entry that keeps their ``k + 1`` smallest ids, which is all that the ``k`` nearest other rows can use. Scores are
+one entry that keeps their ``k + 1`` smallest distinct ids, which is all that the ``k`` nearest other rows can use. Scores are
 recomputed in double precision on the original vectors; ties go to the smaller id.
 
 Defined cases: null vectors, zero vectors, vectors with null or non-finite components and rows without an id take
-no part; vectors of different lengths are searched each among their own; rows that repeat an id are candidates
-each; fewer candidates than ``k`` give them all; extra columns are ignored; empty tables give no rows.
+no part; vectors of different lengths are searched each among their own; neighbours are
+distinct ids, never the query's own: rows that repeat id and vector count once, and an id on several vectors asks with all of them and
+is found by its best; fewer candidates than ``k`` give them all; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from lexcheck.llm.common import materialise, small_batches, table
 
 LEAF = 64
 FIRST_LEAVES = 4
-SHARD_ROWS = 16_384
+SHARD_ROWS, SHARD_BYTES = 16_384, 16 << 20  # whichever is reached first
 QUERY_BLOCK = 256
 BLOCKS_A_TASK = 64
 
@@ -149,18 +150,26 @@ class Shard:
         by_id = np.argsort(first)  # rows in the order of their smallest ids
         self.vectors, group = distinct[by_id], np.argsort(by_id)[group.reshape(-1)]
         by = np.argsort(group, kind="stable")
-        self.ids = [x[:keep] for x in np.split(ids[by], np.cumsum(np.bincount(group))[:-1])]
+        owners = [np.unique(x) for x in np.split(ids[by], np.cumsum(np.bincount(group))[:-1])]
+        self.ids = [x[:keep] for x in owners]
+        #: entries that one id may fill
+        self.repeats = int(np.unique(np.concatenate(owners), return_counts=True)[1].max())
         self.tree = VantageTree(augment(self.vectors, most))
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[list, list, list]:
         queries = np.concatenate([vectors, np.zeros((len(vectors), 1))], 1)
-        # one entry more: the query's own may be among them
-        found, _, self.scored = self.tree.search(queries, min(k + 1, max(1, len(self.vectors))), factor)
+        # k other ids are among so many entries, the query's own included
+        found, _, self.scored = self.tree.search(queries, min(k * self.repeats + self.repeats, max(1, len(self.vectors))), factor)
         out: tuple[list, list, list] = ([], [], [])
         for q, rows, vector in zip(ids.tolist(), found, vectors, strict=True):
             rows = rows[rows >= 0]
             scores = (self.vectors[rows] * vector).sum(1)
-            made = sorted((-s, i) for s, r in zip(scores.tolist(), rows.tolist(), strict=True) for i in self.ids[r].tolist() if i != q)[:k]
+            best: dict[int, float] = {}
+            for s, r in zip(scores.tolist(), rows.tolist(), strict=True):
+                for i in self.ids[r].tolist():
+                    if i != q and s > best.get(i, -np.inf):
+                        best[i] = s
+            made = sorted((-s, i) for i, s in best.items())[:k]
             out[0].extend([q] * len(made))
             out[1].extend(i for _, i in made)
             out[2].extend(-s for s, _ in made)
@@ -185,6 +194,7 @@ def nearest_neighbours(
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_every``, its ``k``
     nearest other rows by inner product."""
     found = searched(vectors, k, query_every, factor, key, column, shard_rows).filter("vec_id is not null")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # of ids with several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -197,7 +207,8 @@ def searched(vectors: DataFrame, k: int, query_every: int, factor: float, key: s
     rows = clean_vectors(vectors, key, column).withColumn("d", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     stats = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"))
-    stats = materialise(stats.select("d", "most", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / (query_every * QUERY_BLOCK)).cast("int").alias("blocks")))
+    fitting = F.greatest(F.lit(LEAF), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("d")))))
+    stats = materialise(stats.select("d", "most", F.ceil(F.col("n") / fitting).cast("int").alias("shards"), F.ceil(F.col("n") / (query_every * QUERY_BLOCK)).cast("int").alias("blocks")))
     deal = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
     dealt = rows.join(stats, "d")
 
@@ -209,7 +220,10 @@ def searched(vectors: DataFrame, k: int, query_every: int, factor: float, key: s
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        cells = [key[0].as_py()], [key[1].as_py()], [t.column("shards")[0].as_py()], [t.column("id").to_numpy().tobytes()], [_matrix(t.column("v").chunk(0)).tobytes()]
+        ids, matrix = t.column("id").to_numpy(), _matrix(t.column("v").chunk(0))
+        # a block has all rows of its ids: those that repeat id and vector ask once
+        once = np.unique(np.concatenate([ids.astype(np.int64).view(np.float64)[:, None], matrix], 1).view(np.int64), axis=0, return_index=True)[1]
+        cells = [key[0].as_py()], [key[1].as_py()], [t.column("shards")[0].as_py()], [ids[once].tobytes()], [np.ascontiguousarray(matrix[once]).tobytes()]
         kinds = pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
         return pa.table([pa.array(c, kind) for c, kind in zip(cells, kinds, strict=True)], ["d", "block", "shards", "ids", "data"])
 

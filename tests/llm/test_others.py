@@ -272,6 +272,27 @@ def test_exact_search(spark, shard_rows, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 25])
+def test_repeated_ids(spark, shard_rows, monkeypatch):
+    """Exact repeats, 30 rows of one id, one id on two vectors (as a query and as a neighbour): neighbours are distinct ids."""
+    monkeypatch.setattr(ann, "LEAF", 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(1, 61)]
+    rows = [(i, v if any(v) else [1.0] * 4) for i, v in rows]
+    rows += [rows[19]] + [(20, rows[20][1])] * 30 + [(21, rows[20][1])] * 3 + [(40, [3.0, 3.0, 3.0, 3.0]), (7, [3.0, 3.0, 3.0, 2.0]), (7, [3.0, 3.0, 2.0, 2.0])]
+    want = {}
+    for q in (20, 40, 60):
+        best: dict = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max([best.get(i, -np.inf)] + [float(np.dot(a, v)) for j, a in rows if j == q])
+        want[q] = sorted(((i, s) for i, s in best.items()), key=lambda x: (-x[1], x[0]))[:20]
+    got: dict = {}
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want
+
+
 def test_lengths_are_searched_apart(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(240)] + [(500, [1.0])]
