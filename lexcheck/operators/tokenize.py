@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from lexcheck.functions import keys, patterns
 from lexcheck.functions.text import normalise_word
-from lexcheck.operators.lines import split_lines
+from lexcheck.operators.lines import KEY, split_lines
 from lexcheck.shipping import ship
 from lexcheck.sources.settings import Settings
 
-TOKENS = ["line_number", "pos", "value", "char_offset", "byte_offset"]
-KEY = "__key"
+TOKENS = ["line_number", "pos", "value", "char_offset", "byte_offset", "start"]
 #: Blanks no pattern crosses.
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
@@ -78,20 +77,21 @@ class Scanner:
                 pos += 1
         return out, disabled
 
-    def text(self, content: str) -> Iterator[tuple[int, int, str, int, int]]:
-        """line_number, pos (of the word in its line), value, char_offset, byte_offset."""
-        disabled = False
+    def text(self, content: str) -> Iterator[tuple[int, int, str, int, int, int]]:
+        """line_number, pos (of the word in its line), value, char_offset, byte_offset (both in the line), start (in the text)."""
+        disabled, after = False, 0
         lines = content.split("\n")
         if lines and lines[-1] == "":
             lines.pop()
         for number, line in enumerate(lines, 1):
+            begin, after = after, after + len(line) + 1
             if self.line_off(line):
                 continue
             found, disabled = self.line(line, disabled)
             chars = size = 0
             for k, (at, word) in enumerate(found):
                 size, chars = size + len(line[chars:at].encode()), at
-                yield number, k, word, at, size
+                yield number, k, word, at, size, begin + at
 
 
 def _scanned(rows: DataFrame, settings: Settings, model: keys.Model, name: str) -> DataFrame:
@@ -105,22 +105,27 @@ def _scanned(rows: DataFrame, settings: Settings, model: keys.Model, name: str)
             for i in range(batch.num_rows):  # a text at a time: memory holds one text's words
                 found = list(scanner.text(batch.column(1)[i].as_py()))
                 if found:
-                    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+                    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
                     made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                     key = batch.column(0).take(pa.array([i] * len(found), pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, *made], [KEY, *TOKENS])
 
-    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int")
+    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int, start long")
 
 
 def _placed(lines: DataFrame, least: int) -> DataFrame:
     """The words of ``lines(KEY, line_number, line)`` with their offsets: running sums over the tiles' lengths,
-    taken over whole Arrow columns, a line's sums starting from its first tile."""
+    taken over whole Arrow columns, a line's sums starting from its first tile, a text's from its first line. What a
+    text has before a batch is carried over; its lines come together and in order."""
     ship(lines.sparkSession)
     kind = lines.schema[KEY].dataType.simpleString()
 
     def run(batches):
+        carried = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            begun = np.maximum.accumulate(np.where(batch.column(1).to_numpy() == 1, np.arange(batch.num_rows), -1))
             tiles, words = batch.column(3), batch.column(2).flatten()
             sizes = pc.list_value_length(tiles).to_numpy(zero_copy_only=False)
             flat = tiles.flatten()
@@ -131,14 +136,19 @@ def _placed(lines: DataFrame, least: int) -> DataFrame:
                 ahead = np.concatenate(([0], np.cumsum(length.to_numpy(zero_copy_only=False), dtype=np.int64)))
                 first = ahead[np.cumsum(sizes) - sizes]
                 offsets.append(pa.array((ahead[:-1] - first[row])[keep], pa.int32()))
+                if len(offsets) == 1:  # in characters: a line is its tiles and a line feed
+                    starts = first + np.arange(len(sizes))
+                    base = np.where(begun >= 0, starts[begun], -carried)
+                    offsets_in_text = pa.array((ahead[:-1] + (np.arange(len(sizes)) - base)[row])[keep], pa.int64())
+                    carried = int(ahead[-1] + len(sizes) - base[-1])
             row = row[keep]
             pos = np.arange(len(row)) - np.searchsorted(row, row, "left")
             picked = pa.array(row)
-            columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), words.filter(pa.array(keep)), *offsets]
+            columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), words.filter(pa.array(keep)), *offsets, offsets_in_text]
             yield pa.RecordBatch.from_arrays(columns, [KEY, *TOKENS])
 
     rows = lines.select(KEY, "line_number", F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2)).alias("words"), F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(0)).alias("tiles"))
-    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int")
+    return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int, start long")
 
 
 def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +159,7 @@ def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, offsets: bool = False, name: str = patterns.OWN_NAME) -> DataFrame:
-    """key, line_number, pos, value and, with ``offsets``, char_offset and byte_offset in the line.
+    """key, line_number, pos, value and, with ``offsets``, char_offset and byte_offset in the line and start in the text.
 
     ``pos`` numbers the words of a line from 0. Nothing is shuffled. Null and empty texts have no words; rows
     that repeat a key give their words each; the key may have any name but those of the result's columns."""

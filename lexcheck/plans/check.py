@@ -20,7 +20,7 @@ from lexcheck.functions import keys
 from lexcheck.functions.patterns import OWN_NAME
 from lexcheck.operators import check, correct
 from lexcheck.operators.languages import addable_of, languages_of
-from lexcheck.operators.lines import explode_lines, line_offsets
+from lexcheck.operators.lines import explode_lines
 from lexcheck.operators.tokenize import normalised, tokenize
 from lexcheck.sources import files, settings, wordlists
 from lexcheck.storage import materialise
@@ -110,10 +110,8 @@ def _decided(spark: SparkSession, made: Check, config: settings.Settings, path:
     for r in rows.filter("action = 'add'").select("name").distinct().collect():  # a handful of languages
         wordlists.store(add_words(made.words, rows).filter(F.col("name") == r["name"]), project or ".", r["name"])
     if output:
-        base = line_offsets(explode_lines(made.files, "path", "content"), "path").select("path", "line_number", "line_char_offset")
-        placed = rows.filter("action = 'replace'").join(base, ["path", "line_number"])
-        edit = F.struct((F.col("line_char_offset") + F.col("char_offset")).cast("int").alias("start"), F.char_length("value").alias("length"), "replacement")
-        edits = placed.groupBy("path").agg(F.collect_list(edit).alias("_edits"))
+        edit = F.struct(F.col("start").cast("int").alias("start"), F.char_length("value").alias("length"), "replacement")
+        edits = rows.filter("action = 'replace'").groupBy("path").agg(F.collect_list(edit).alias("_edits"))
         files.write_files(correct.splice(made.files.select("path", "content").join(edits, "path"), "content", "_edits"), output)
     counts = correct.action_counts(rows).first()
     print(f"{counts['skip']} skipped, {counts['replace']} replaced, {counts['add']} added, {counts['report']} left", file=err)
@@ -122,9 +120,7 @@ def _decided(spark: SparkSession, made: Check, config: settings.Settings, path:
 
 def corrected(made: Check) -> DataFrame:
     """path, content, fixed, unfixed for every file, to be written to a new place."""
-    base = line_offsets(explode_lines(made.files, "path", "content"), "path").select("path", "line_number", "line_char_offset")
-    placed = made.errors.join(base, ["path", "line_number"]).withColumn("start", F.col("line_char_offset") + F.col("char_offset"))
-    return correct.autocorrect(made.files, placed, made.words, "path", "content")
+    return correct.autocorrect(made.files, made.errors, made.words, "path", "content")
 
 
 def add_words(words: DataFrame, decided: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ SELECT doc_id, line_number::INT AS line_number,
   coalesce(sum(length(line) + 1) OVER w, 0)::BIGINT AS line_char_offset, coalesce(sum(strlen(line) + 1) OVER w, 0)::BIGINT AS line_byte_offset
 FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_offsets(explode_lines(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id").drop("line")
+    return line_offsets(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("line")
 
 
 @query(f"{TOKENS_SQL} SELECT doc_id, line_number, (row_number() OVER (PARTITION BY line_id ORDER BY char_offset) - 1)::INT AS pos, value, char_offset, byte_offset FROM t")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(_table(spark, sf_dir, "documents"), "doc_id", "text", CONFIG, offsets=True)
+    return tokenize(_table(spark, sf_dir, "documents"), "doc_id", "text", CONFIG, offsets=True).drop("start")
 
 
 # Words.
@@ -312,29 +312,28 @@ def _mark(line: Column, number: Column) -> Column:
     return F.when(number % 7 == 3, "lexcheck:disable").when(number % 7 == 5, "lexcheck:enable").otherwise(F.concat(line, end))
 
 
-def _marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = explode_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return lines.withColumn("line", _mark(F.col("line"), F.col("line_number")))
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(split_lines(F.coalesce("text", F.lit(""))), lambda line, i: _mark(line, i + 1))
+    text = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
 @query(f"WITH {MARKED_SQL} SELECT * FROM marked WHERE NOT regexp_matches(line, 'lexcheck:disable[-:]line')")
 def line_disable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_disabled_lines(_marked_lines(spark, sf_dir))
+    return without_disabled_lines(explode_lines(_marked(spark, sf_dir), "doc_id", "text"))
 
 
 @query(f"""WITH {MARKED_SQL}, u AS (SELECT *, nullif(regexp_extract(line, 'lexcheck:(disable|enable)', 1), '') AS m FROM marked WHERE NOT regexp_matches(line, 'lexcheck:disable[-:]line')),
 s AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM u)
 SELECT doc_id, line_number, line FROM s WHERE coalesce(state, 'enable') = 'enable' AND m IS NULL""")
 def region_disable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active_lines(_marked_lines(spark, sf_dir), "doc_id")
+    return active_lines(_marked(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"{TOKENS_SQL} SELECT doc_id, count(*)::BIGINT AS tokens FROM t WHERE line_number % 7 NOT IN (3, 4, 5) AND line_number % 11 <> 0 GROUP BY doc_id")
 def marked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside disabled regions and lines."""
-    lines = F.transform(split_lines(F.coalesce("text", F.lit(""))), lambda line, i: _mark(line, i + 1))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
-    return tokenize(docs, "doc_id", "text", CONFIG).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+    return tokenize(_marked(spark, sf_dir), "doc_id", "text", CONFIG).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
 # Skipped text.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexcheck.functions import keys
-from lexcheck.operators.lines import active_lines, explode_lines, line_offsets
+from lexcheck.operators.lines import active_lines, line_offsets
 from lexcheck.operators.tokenize import Scanner, distinct_terms, normalised, token_counts, tokenize
 from lexcheck.sources import settings
 
@@ -66,10 +66,11 @@ def test_both_paths_agree(spark):
     parts = ["Hello", "WORLD", "don't", " ", "_", "-", "/", "#", "%2F", "0x1f", "http://a.bc/d?e=f", "\\n", "aaaa", "abc", "é", "日本", "1", "22", "'s", "’", "\n", "x@y.zz", ".", "Ids", "IOs"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG, offsets=True).select("id", "line_number", "pos", "char_offset", "byte_offset", "value").collect())
+    got = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG, offsets=True).select("id", "line_number", "pos", "char_offset", "byte_offset", "value", "start").collect())
     scanner = Scanner(CONFIG, keys.default_model())
-    want = sorted((i, n, k, c, b, v) for i, t in enumerate(texts) for n, k, v, c, b in scanner.text(t))
-    assert got == want
+    full = sorted((i, n, k, c, b, v, s) for i, t in enumerate(texts) for n, k, v, c, b, s in scanner.text(t))
+    assert got == full
+    want = [r[:6] for r in full]
     plain = sorted(tuple(r) for r in tokenize(df, "id", "text", CONFIG).select("id", "line_number", "pos", "value").collect())
     assert plain == sorted((i, n, k, v) for i, n, k, _, _, v in want)
     counts = token_counts(df.withColumn("half", F.col("id") % 2), ["half"], "text", CONFIG)
@@ -101,14 +102,14 @@ def test_region_state_carries_over_lines(spark):
     text = "alpha\nlexcheck:disable\nbeta\ngamma lexcheck:disable-line lexcheck:enable\ndelta\nlexcheck:enable\nepsilon\nother:disable x"
     df = spark.createDataFrame([(1, text)], "id long, text string")
     assert sorted(r["value"] for r in tokenize(df, "id", "text", CONFIG).collect()) == ["alpha", "disable", "epsilon", "other"]
-    assert sorted(r["line"] for r in active_lines(explode_lines(df, "id", "text"), "id").collect()) == ["alpha", "epsilon", "other:disable x"]
+    assert sorted(r["line"] for r in active_lines(df, "id", "text").collect()) == ["alpha", "epsilon", "other:disable x"]
     named = tokenize(df, "id", "text", CONFIG, name="lexcheck|other")
     assert sorted(r["value"] for r in named.collect()) == ["alpha", "epsilon"]
 
 
 def test_line_offsets_and_terms(spark):
     df = spark.createDataFrame([(1, "ab é\r\ncd\n"), (2, ""), (3, None)], "id long, text string")
-    rows = sorted(tuple(r) for r in line_offsets(explode_lines(df, "id", "text"), "id").collect())
+    rows = sorted(tuple(r) for r in line_offsets(df, "id", "text").collect())
     assert rows == [(1, 1, "ab é\r", 0, 0), (1, 2, "cd", 6, 7)]
     terms = distinct_terms(tokenize(spark.createDataFrame([(1, "Beta alpha BETA")], "id long, text string"), "id", "text", CONFIG), "id")
     assert terms.first()["terms"] == ["alpha", "beta"]
@@ -130,3 +131,36 @@ def test_minimum_length(spark, word, least):
     df = spark.createDataFrame([(1, f"{word}x zebra")], "id long, text string")
     values = {r["value"] for r in tokenize(df, "id", "text", config).collect()}
     assert ("zebra" in values) and ((word + "x") in values) == (len(word) + 1 >= least)
+
+
+def test_scans_over_lines_need_no_shuffle_and_carry_over_batches(spark):
+    """Texts of more lines than an Arrow batch holds, odd ones between them; starts, offsets and regions by brute force."""
+    rng = random.Random(2)
+    made = lambda n: "\n".join(rng.choice(["héllo wörld", "", "lexcheck:disable", "x lexcheck:enable", "abc123def tail", "plain text", "skip lexcheck:disable-line"]) for _ in range(n))
+    texts = [(0, made(700)), (1, ""), (2, None), (3, made(3)), (4, made(900) + "\n\n"), (5, "one"), (6, "lexcheck:disable"), (7, "still\non")] + [(8 + i, made(rng.randint(0, 9))) for i in range(60)]
+    easy = [(100 + i, t.replace("lexcheck:", "").replace("abc123def", "é") if t else t) for i, t in texts]
+    df = spark.createDataFrame(texts + easy, "id long, text string").coalesce(1)
+    lines = {i: (t or "").split("\n")[: -1 if (t or "").endswith("\n") or not t else None] for i, t in texts + easy}
+    want, kept = [], []
+    for i, found in lines.items():
+        chars = size = 0
+        on = True
+        for n, line in enumerate(found, 1):
+            want.append((i, n, line, chars, size))
+            chars, size = chars + len(line) + 1, size + len(line.encode()) + 1
+            if "lexcheck:disable-line" in line:
+                continue
+            if "lexcheck:" in line:
+                on = "enable" in line
+            elif on:
+                kept.append((i, n, line))
+    placed, active = line_offsets(df, "id", "text"), active_lines(df, "id", "text")
+    assert sorted(tuple(r) for r in placed.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in active.collect()) == sorted(kept)
+    tokens = tokenize(df, "id", "text", CONFIG, offsets=True)
+    whole = dict(texts + easy)
+    rows = tokens.collect()
+    assert rows and all(whole[r["id"]][r["start"] : r["start"] + len(r["value"])] == r["value"] for r in rows)
+    for frame in (placed, active, tokens):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan

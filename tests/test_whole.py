@@ -42,7 +42,7 @@ def tables(spark, tmp_path_factory):
 
 def words(rows):
     scanner = Scanner(queries.CONFIG, keys.default_model())
-    return [(r[0], w) for r in rows if r[1] is not None for _, _, w, _, _ in scanner.text(r[1])]
+    return [(r[0], w) for r in rows if r[1] is not None for _, _, w, *_ in scanner.text(r[1])]
 
 
 def run(spark, tables, name):
