@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +45,73 @@ def splice(rows: DataFrame, content: str, edits: str) -> DataFrame:
 
 def planned(errors: DataFrame, words: DataFrame) -> DataFrame:
     """Errors with ``suggestion``, their best one, re-cased, or null."""
-    best = suggestions(errors.select(F.col("norm").alias("term")), words, 1).select(F.col("term").alias("norm"), "word")
+    return suggested(errors, best_words(errors.select(F.col("norm").alias("term")), words))
+
+
+def best_words(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """norm, word: the best suggestion of each term that has one."""
+    return suggestions(terms, words, 1).select(F.col("term").alias("norm"), "word")
+
+
+def suggested(errors: DataFrame, best: DataFrame) -> DataFrame:
+    """``errors`` with the words of ``best(norm, word)`` in the errors' case, or null."""
     return recased(errors.join(best, "norm", "left"))
 
 
 def autocorrect(texts: DataFrame, errors: DataFrame, words: DataFrame, key: str, content: str) -> DataFrame:
-    """key, content, fixed, unfixed. ``errors`` need absolute char offsets (``start``). Each error is counted and
-    replaced once; a suggestion is a dictionary word, so a second pass would find nothing to replace."""
-    rows = planned(errors, words)
+    """key, content, fixed, unfixed after one pass. ``errors`` need absolute char offsets (``start``). Each error is counted and
+    replaced once. A suggestion of several words may bring errors of its own: ``fixpoint`` passes until there are none."""
+    return applied(texts, planned(errors, words), key, content)
+
+
+def applied(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, content, fixed, unfixed and ``mark``, a hash of the texts' replaced words in order, from errors with suggestions."""
     edit = F.struct(F.col("start").cast("int").alias("start"), F.char_length("value").alias("length"), F.col("suggestion").alias("replacement"))
+    replaced = F.when(F.col("suggestion").isNotNull(), F.struct("start", "norm"))
     edits = rows.groupBy(key).agg(
         F.collect_list(F.when(F.col("suggestion").isNotNull(), edit)).alias("_edits"),
+        F.xxhash64(F.transform(F.array_sort(F.collect_list(replaced)), lambda r: r["norm"])).alias("mark"),
         F.count_if(F.col("suggestion").isNotNull()).alias("fixed"),
         F.count_if(F.col("suggestion").isNull()).alias("unfixed"),
     )
     joined = texts.select(key, content).join(edits, key, "left")
-    rows = joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), F.col("_edits"))
-    return splice(materialise(rows), content, "_edits")
+    made = joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), "mark", F.col("_edits"))
+    return splice(materialise(made), content, "_edits")
+
+
+def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], words: DataFrame, key: str, content: str) -> DataFrame:
+    """key, content, fixed, unfixed, rounds, ended: texts corrected until nothing changes.
+
+    ``errors_of(texts)`` gives a frame of texts' errors with ``start``. A round corrects all errors that have a suggestion. Only
+    texts that it changed are scanned again, and only words not met before are looked up, so the work falls from
+    round to round. A text whose round would replace the same words in the same order as an earlier one (a list's ``e-mail`` read
+    as ``mail``, and ``mail`` corrected to ``e-mail``) would go on for ever: it ends there, as ``cycle``, its content left as the
+    rounds before made it; what that round would have replaced counts as unfixed. Other texts end ``stable``.
+    ``fixed`` sums over rounds, ``unfixed`` is what is left. Rounds are written as tables, so none is computed twice."""
+    now = texts.select(key, content).withColumns({"rounds": F.lit(0), "sum": F.lit(0).cast("long"), "seen": F.array().cast("array<bigint>")})
+    best: DataFrame | None = None
+    tried: DataFrame | None = None
+    done: DataFrame | None = None
+    while True:
+        errors = materialise(errors_of(now.select(key, content)))
+        terms = errors.select(F.col("norm").alias("term")).distinct()
+        terms = materialise(terms if tried is None else terms.join(tried, "term", "left_anti"))
+        found = materialise(best_words(terms, words))
+        best, tried = (found, terms) if best is None else (best.unionByName(found), tried.unionByName(terms))
+        made = applied(now, suggested(errors, best), key, content).withColumnRenamed(content, "_made")
+        rows = now.join(made, key)
+        again = F.coalesce(F.array_contains("seen", F.col("mark")), F.lit(False))
+        rows = materialise(rows.withColumn("ended", F.when(F.col("fixed") == 0, "stable").when(again, "cycle")))
+        over = rows.filter("ended is not null").select(
+            key, content, F.col("sum").alias("fixed"), F.when(F.col("ended") == "cycle", F.col("fixed") + F.col("unfixed")).otherwise(F.col("unfixed")).alias("unfixed"), "rounds", "ended"
+        )
+        done = over if done is None else done.unionByName(over)
+        going = rows.filter("ended is null")
+        if going.isEmpty():
+            return done
+        now = going.select(
+            key, F.col("_made").alias(content), (F.col("rounds") + 1).alias("rounds"), (F.col("sum") + F.col("fixed")).alias("sum"), F.concat("seen", F.array("mark")).alias("seen")
+        )
 
 
 def decide(errors: DataFrame, decisions: DataFrame, key: str) -> DataFrame:

@@ -79,10 +79,9 @@ def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mod
             n += 1
         return int(n > 0)
     if mode == "autocorrect":
-        made.errors = materialise(made.errors)
-        hopeless = correct.planned(made.errors, made.words).filter("suggestion is null").select(made.errors.columns)
-        _show(hopeless, made, err, " (no suggestion)")
-        fixed = materialise(corrected(made))
+        fixed = materialise(settled(texts, config, words, model, markers))
+        rest = build(fixed.filter("unfixed > 0").select("path", "content"), config, words, model, offsets=True, markers=markers)
+        _show(rest.errors, rest, err, " (no suggestion)")
         totals = fixed.agg(F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"), F.coalesce(F.sum("unfixed"), F.lit(0)).alias("unfixed")).first()
         print(f"{totals['fixed']} fixed, {totals['unfixed']} unfixed", file=err)
         if output:
@@ -119,8 +118,14 @@ def _decided(spark: SparkSession, made: Check, config: settings.Settings, path:
 
 
 def corrected(made: Check) -> DataFrame:
-    """path, content, fixed, unfixed for every file, to be written to a new place."""
-    return correct.autocorrect(made.files, made.errors, made.words, "path", "content")
+    """path, content, fixed, unfixed for every file after one pass, to be written to a new place."""
+    return correct.autocorrect(made.files, made.errors, made.words, "path", "content").drop("mark")
+
+
+def settled(texts: DataFrame, config: settings.Settings, words: DataFrame, model: keys.Model | None = None, markers: str = OWN_NAME) -> DataFrame:
+    """path, content, fixed, unfixed, rounds, ended for every file: corrected until nothing changes."""
+    errors = lambda rows: build(rows, config, words, model, offsets=True, markers=markers).errors
+    return correct.fixpoint(texts, errors, words, "path", "content")
 
 
 def add_words(words: DataFrame, decided: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from lexcheck.operators import check, correct, suggest
 from lexcheck.operators.languages import addable_of, languages_of
 from lexcheck.operators.lines import active_lines, explode_lines, line_offsets, split_lines, without_disabled_lines
 from lexcheck.operators.tokenize import distinct_terms, normalised, token_counts, tokenize
-from lexcheck.plans.check import build, corrected
+from lexcheck.plans.check import build, corrected, settled
 from lexcheck.sources import files, settings, wordlists
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +492,16 @@ def autocorrect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected(build(texts, CONFIG, _dictionary(spark, sf_dir).withColumn("name", F.lit("english")), offsets=True))
 
 
+@query()
+def autocorrect_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document corrected until nothing changes, and how many rounds it took. A third of the dictionary's words stand
+    in it as two joined by a hyphen, which the scanner reads apart."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    word = F.col("word")
+    words = _dictionary(spark, sf_dir).select(F.lit("english").alias("name"), F.when(F.char_length(word) % 3 == 0, F.concat(F.left(word, F.lit(2)), F.lit("-"), F.substr(word, F.lit(3)))).otherwise(word).alias("word"))
+    return settled(texts, CONFIG, words).select(F.col("path").cast("long").alias("doc_id"), "content", "fixed", "unfixed", "rounds", "ended")
+
+
 # Decisions, made by rules on the lengths of the unknown words themselves.
 
 DECIDED_SQL = f"""{ERRORS_SQL}, decided AS (SELECT doc_id, norm, value, CASE WHEN doc_id % 2 = 0 AND length(norm) % 5 = 0 THEN 'skip' WHEN length(norm) % 7 = 0 THEN 'add' WHEN length(value) % 11 = 0 THEN 'replace' ELSE 'report' END AS action,
