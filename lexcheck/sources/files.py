@@ -6,13 +6,14 @@ import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexcheck import storage
 from lexcheck.shipping import ship
-from lexcheck.sources import ignore
+from lexcheck.sources import ignore, sink
 from lexcheck.sources.settings import Settings
+from lexcheck.sources.sink import FileSink
 from lexcheck.sources.tree import FORMAT, TreeSource
 
 
@@ -72,32 +73,13 @@ def first_line(content: Column) -> Column:
 
 
 def write_files(texts: DataFrame, folder: str, key: str = "path", content: str = "content") -> int:
-    """One file per row of ``texts`` at its relative path under ``folder`` (on a cluster a shared one); returns
-    how many. A file appears under its name when it is whole, so a task that runs again does no harm. Paths
-    that lead out of the folder are refused."""
-    target = absolute(folder)
-
-    def run(batches):
-        import uuid
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
-        for batch in batches:
-            n = 0
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path.startswith("/") or ".." in path.split("/"):
-                    raise ValueError(f"{path} is not inside the folder")
-                whole = f"{root}/{path}"
-                system.create_dir(whole.rsplit("/", 1)[0], recursive=True)
-                part = f"{whole}.{uuid.uuid4().hex}.part"
-                with system.open_output_stream(part) as out:
-                    out.write(text.encode())
-                system.move(part, whole)
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    storage.small_batches(texts.sparkSession)
-    written = texts.select(F.col(key).cast("string"), F.coalesce(F.col(content), F.lit(""))).mapInArrow(run, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """One file per row of ``texts`` at its relative path under ``folder`` (on a cluster a shared one), all of them or none;
+    returns how many. Files there of other names stay. Paths that lead out of the folder are refused."""
+    spark = texts.sparkSession
+    ship(spark)
+    spark.dataSource.register(FileSink)
+    storage.small_batches(spark)
+    written = Observation()
+    rows = texts.select(F.col(key).cast("string").alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.format(sink.FORMAT).mode("append").option("folder", absolute(folder)).save()
+    return written.get["n"]

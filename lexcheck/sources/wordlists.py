@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexcheck.functions.text import normalise, normalise_text
 from lexcheck.sources.settings import Language
-from lexcheck.storage import children, exists, file_system, hadoop_path, join
+from lexcheck.storage import children, exists, file_system, hadoop_path, join, replace_file
 
 SCHEMA = "name string, word string"
 
@@ -117,15 +117,17 @@ def contains(words: DataFrame, terms: DataFrame, column: str = "word") -> DataFr
 
 
 def store(words: DataFrame, folder: str, name: str) -> None:
-    """The words as ``<folder>/<name>.txt``: written beside it, then moved to its place."""
+    """The words as ``<folder>/<name>.txt``: written beside it, then put in its place in one step, so the list is at every
+    moment the old or the new one."""
     spark = words.sparkSession
-    beside, target = join(folder, f"{name}.{uuid.uuid4().hex}"), hadoop_path(spark, join(folder, f"{name}.txt"))
-    write(words, beside)
-    system = file_system(spark, target)
-    part = next(n for n, _ in children(spark, beside) if n.startswith("part-"))
-    system.delete(target, False)
-    system.rename(hadoop_path(spark, f"{beside}/{part}"), target)
-    system.delete(hadoop_path(spark, beside), True)
+    beside, target = join(folder, f"{name}.{uuid.uuid4().hex}"), join(folder, f"{name}.txt")
+    where = hadoop_path(spark, beside)
+    try:
+        write(words, beside)
+        part = next(n for n, _ in children(spark, beside) if n.startswith("part-"))
+        replace_file(spark, f"{beside}/{part}", target)
+    finally:
+        file_system(spark, where).delete(where, True)
 
 
 def write(words: DataFrame, folder: str) -> None:

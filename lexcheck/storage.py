@@ -82,16 +82,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def children(spark: SparkSession, path: str) -> Iterator[tuple[str, bool]]:
-    """(name, is a folder) of what is in a folder; nothing if it cannot be listed."""
+    """(name, is a folder) of what is in a folder."""
     where = hadoop_path(spark, path)
-    try:
-        listed = file_system(spark, where).listStatus(where)
-    except Exception:  # noqa: BLE001 - any file system's error means: nothing to see here
-        return
-    for status in listed:
+    for status in file_system(spark, where).listStatus(where):
         yield status.getPath().getName(), status.isDirectory()
 
 
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another, which is replaced in one step where the file system can."""
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    here, there = (file_system(spark, p).makeQualified(p) for p in (hadoop_path(spark, source), hadoop_path(spark, target)))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), spark._jsc.hadoopConfiguration()).rename(here, there, options)
+
+
 def read_small_file(spark: SparkSession, path: str) -> str:
     """The text of a small file (settings, rules), read by the driver."""
     where = hadoop_path(spark, path)
