@@ -21,13 +21,23 @@ def known(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(words.select(F.col("word").alias("norm")).distinct(), "norm", "left_semi")
 
 
-def unknown_by_language(tokens: DataFrame, files: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """``files(key, languages)``, ``words(name, word)``: a token is known if any list of its file's languages
-    has it. Files share few sets of languages, so tokens are first reduced to distinct (set, word)."""
-    rows = (tokens if "norm" in tokens.columns else normalised(tokens)).join(files.select(key, "languages"), key)
-    pairs = rows.select("languages", "norm").distinct()
-    hits = pairs.select("languages", "norm", F.explode("languages").alias("name")).join(words.select("name", F.col("word").alias("norm")), ["name", "norm"], "left_semi")
-    return rows.join(hits.select("languages", "norm").distinct(), ["languages", "norm"], "left_anti")
+SET = "language_set"
+
+
+def language_set(languages: Column) -> Column:
+    """A file's languages as one short string, carried by its tokens."""
+    return F.array_join(languages, ",").alias(SET)
+
+
+def unknown_by_language(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``tokens`` with their file's ``language_set``, ``words(name, word)``: a token is known if any list of its file's languages
+    has it. Files share few sets of languages, so tokens are first reduced to distinct (set, word). Adds ``languages``."""
+    rows = tokens if "norm" in tokens.columns else normalised(tokens)
+    names = F.filter(F.split(SET, ","), lambda n: n != "")
+    pairs = rows.select(SET, "norm").distinct()
+    hits = pairs.select(SET, "norm", F.explode(names).alias("name")).join(words.select("name", F.col("word").alias("norm")), ["name", "norm"], "left_semi")
+    left = rows.join(hits.select(SET, "norm").distinct(), [SET, "norm"], "left_anti")
+    return left.withColumn("languages", names).drop(SET)
 
 
 def word_report(errors: DataFrame) -> DataFrame:

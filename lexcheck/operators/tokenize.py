@@ -1,12 +1,13 @@
 """Words of texts with their positions.
 
-Most texts take the built-in path: one regular expression tiles each line, its second group being the
-words. Texts that hold a possible key or a region marker anywhere go, whole, through a scanner in Python
-(Arrow batches), because a rejected key resumes inside itself and markers carry state from line to line.
-Both paths give the same rows (``pos`` numbers the words of a line), and neither shuffles; where offsets are
-asked for, the lengths of the built-in path's tiles are summed over Arrow columns. The two are
+Most lines take the built-in path: one regular expression tiles each line, its second group being the
+words. A rejected key resumes inside itself, so lines that hold a possible key go through a scanner in Python (Arrow batches);
+no pattern looks past a blank, so it reads their blank-separated pieces, each distinct piece once, and puts
+the words back by the pieces' places. Only texts with a region marker, which carries state from line to line, are
+scanned whole. All paths give the same rows (``pos`` numbers the words of a line), and none shuffles; where offsets are
+asked for, the lengths of the built-in path's tiles are summed over Arrow columns. The paths are
 branches of a union over the same scan; the test that tells them apart is a literal or digit search, cheap
-beside the tiling, so the text column is read twice and tiled once.
+beside the tiling, so the text column is read more than once and tiled once.
 
 Counting needs less: outside marked texts no pattern looks past a blank, so words can be counted from the
 distinct blank-separated pieces (``token_counts``), which are far fewer than the pieces.
@@ -14,6 +15,7 @@ distinct blank-separated pieces (``token_counts``), which are far fewer than the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,19 @@ from lexcheck.sources.settings import Settings
 TOKENS = ["line_number", "pos", "value", "char_offset", "byte_offset", "start"]
 #: Blanks no pattern crosses.
 BLANKS = r"[ \t\n\x0B\f\r]+"
+PIECE = re.compile(r"[^ \t\n\x0B\f\r]+")
+MEMO_PIECES, MEMO_CHARS = 100_000, 200  # what a task's scanner remembers: so many pieces, none longer
+
+
+def _bytes_before(line: str, found: list[tuple[int, str]]) -> list[int]:
+    """The byte offsets of words at these characters."""
+    if line.isascii():
+        return [at for at, _ in found]
+    out, chars, size = [], 0, 0
+    for at, _ in found:
+        size, chars = size + len(line[chars:at].encode()), at
+        out.append(size)
+    return out
 
 
 class Scanner:
@@ -48,6 +63,8 @@ class Scanner:
         self.enable, self.disable = compiled(patterns.marker("enable", name)), compiled(patterns.marker("disable", name))
         self.line_off = regex.compile(patterns.line_marker(name)).search
         self.settings, self.model = settings, model
+        self.memo: dict[str, list[tuple[int, str]]] = {}
+        self.scanned = 0
 
     def _is_key(self, found: str) -> bool:
         s = self.settings
@@ -77,6 +94,22 @@ class Scanner:
                 pos += 1
         return out, disabled
 
+    def pieces(self, line: str) -> list[tuple[int, str]]:
+        """(offset, word) of a line without region markers, by its blank-separated pieces; what a piece holds is remembered."""
+        out: list[tuple[int, str]] = []
+        for m in PIECE.finditer(line):
+            piece, at = m.group(), m.start()
+            found = self.memo.get(piece)
+            if found is None:
+                found = self.line(piece)[0]
+                if len(piece) <= MEMO_CHARS:
+                    if len(self.memo) >= MEMO_PIECES:
+                        self.memo.clear()
+                    self.memo[piece] = found
+                self.scanned += 1
+            out += [(at + o, w) for o, w in found]
+        return out
+
     def text(self, content: str) -> Iterator[tuple[int, int, str, int, int, int]]:
         """line_number, pos (of the word in its line), value, char_offset, byte_offset (both in the line), start (in the text)."""
         disabled, after = False, 0
@@ -88,9 +121,7 @@ class Scanner:
             if self.line_off(line):
                 continue
             found, disabled = self.line(line, disabled)
-            chars = size = 0
-            for k, (at, word) in enumerate(found):
-                size, chars = size + len(line[chars:at].encode()), at
+            for k, ((at, word), size) in enumerate(zip(found, _bytes_before(line, found), strict=True)):
                 yield number, k, word, at, size, begin + at
 
 
@@ -113,14 +144,47 @@ def _scanned(rows: DataFrame, settings: Settings, model: keys.Model, name: str)
     return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int, start long")
 
 
-def _placed(lines: DataFrame, least: int) -> DataFrame:
-    """The words of ``lines(KEY, line_number, line)`` with their offsets: running sums over the tiles' lengths,
+def _pieced(lines: DataFrame, settings: Settings, model: keys.Model) -> DataFrame:
+    """KEY, line_number, pos, value of ``lines(KEY, line_number, line)`` that hold possible keys."""
+    ship(lines.sparkSession)
+    kind = lines.schema[KEY].dataType.simpleString()
+
+    def run(batches):
+        scanner = Scanner(settings, model)
+        for batch in batches:
+            found = [scanner.pieces(x) for x in batch.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            pos = pa.array([k for f in found for k in range(len(f))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pos, pa.array([w for f in found for _, w in f], pa.string())], [KEY, *TOKENS[:3]])
+
+    return lines.select(KEY, "line_number", "line").mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string")
+
+
+def _placed(lines: DataFrame, settings: Settings, model: keys.Model) -> DataFrame:
+    """The words of ``lines(KEY, line_number, line, hard)`` with their offsets: running sums over the tiles' lengths,
     taken over whole Arrow columns, a line's sums starting from its first tile, a text's from its first line. What a
-    text has before a batch is carried over; its lines come together and in order."""
+    text has before a batch is carried over; its lines come together and in order. A hard line is one tile, and its words
+    come from the scanner of pieces."""
     ship(lines.sparkSession)
     kind = lines.schema[KEY].dataType.simpleString()
+    least = max(1, settings.word_minimum_length)
+
+    def of_pieces(scanner: Scanner, batch: pa.RecordBatch, before: np.ndarray) -> pa.RecordBatch | None:
+        """The words of the batch's hard lines, given what stands in the text before each line."""
+        columns: list[list] = [[] for _ in range(6)]
+        for i in np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            line = batch.column(4)[i].as_py()
+            found = scanner.pieces(line)
+            for k, ((at, word), size) in enumerate(zip(found, _bytes_before(line, found), strict=True)):
+                for column, value in zip(columns, (i, k, word, at, size, int(before[i]) + at), strict=True):
+                    column.append(value)
+        row = pa.array(columns[0], pa.int64())
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        made = [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *made], [KEY, *TOKENS])
 
     def run(batches):
+        scanner = Scanner(settings, model)
         carried = 0
         for batch in batches:
             if not batch.num_rows:
@@ -135,29 +199,26 @@ def _placed(lines: DataFrame, least: int) -> DataFrame:
             for length in (pc.utf8_length(flat), pc.binary_length(flat)):
                 ahead = np.concatenate(([0], np.cumsum(length.to_numpy(zero_copy_only=False), dtype=np.int64)))
                 first = ahead[np.cumsum(sizes) - sizes]
-                offsets.append(pa.array((ahead[:-1] - first[row])[keep], pa.int32()))
+                offsets.append((ahead[:-1] - first[row])[keep])
                 if len(offsets) == 1:  # in characters: a line is its tiles and a line feed
                     starts = first + np.arange(len(sizes))
                     base = np.where(begun >= 0, starts[begun], -carried)
-                    offsets_in_text = pa.array((ahead[:-1] + (np.arange(len(sizes)) - base)[row])[keep], pa.int64())
+                    before = starts - base
                     carried = int(ahead[-1] + len(sizes) - base[-1])
             row = row[keep]
             pos = np.arange(len(row)) - np.searchsorted(row, row, "left")
             picked = pa.array(row)
-            columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), words.filter(pa.array(keep)), *offsets, offsets_in_text]
+            placed = [pa.array(o, pa.int32()) for o in offsets] + [pa.array(before[row] + offsets[0], pa.int64())]
+            columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), words.filter(pa.array(keep)), *placed]
             yield pa.RecordBatch.from_arrays(columns, [KEY, *TOKENS])
+            if batch.column(4).null_count < batch.num_rows:
+                yield of_pieces(scanner, batch, before)
 
-    rows = lines.select(KEY, "line_number", F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2)).alias("words"), F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(0)).alias("tiles"))
+    whole = lambda group: F.when(F.col("hard"), F.array(F.lit("") if group == 2 else F.col("line"))).otherwise(F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(group)))
+    rows = lines.select(KEY, "line_number", whole(2).alias("words"), whole(0).alias("tiles"), F.when(F.col("hard"), F.col("line")).alias("line"))
     return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int, start long")
 
 
-def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """``rows(KEY, content)`` without and with a possible key or a region marker."""
-    text = F.col("content")
-    hard = (text.rlike(patterns.MAYBE_KEY) & text.rlike(patterns.POSSIBLE_KEY)) | text.rlike(patterns.any_marker(name))
-    return rows.filter(~hard), rows.filter(hard)
-
-
 def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, offsets: bool = False, name: str = patterns.OWN_NAME) -> DataFrame:
     """key, line_number, pos, value and, with ``offsets``, char_offset and byte_offset in the line and start in the text.
 
@@ -166,16 +227,19 @@ def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: k
     if key in TOKENS:
         raise ValueError(f"a key column cannot be called {key}: the result has a column of that name")
     rows = df.select(F.col(f"`{key}`").alias(KEY), F.col(f"`{content}`").alias("content")).filter("content is not null")
-    easy, hard = _split(rows, name)
+    marked = F.col("content").rlike(patterns.any_marker(name))
+    model = model or keys.default_model()
     least = max(1, settings.word_minimum_length)
     # outer generators: for plain ones Spark adds a size filter below, which would tile every line once more
-    lines = easy.select(KEY, F.posexplode_outer(split_lines(F.col("content"))).alias("at", "line")).filter("line is not null").select(KEY, (F.col("at") + 1).alias("line_number"), "line")
+    lines = rows.filter(~marked).select(KEY, F.posexplode_outer(split_lines(F.col("content"))).alias("at", "line")).filter("line is not null").select(KEY, (F.col("at") + 1).alias("line_number"), "line")
+    hard = F.col("line").rlike(patterns.MAYBE_KEY) & F.col("line").rlike(patterns.POSSIBLE_KEY)
     if offsets:
-        made = _placed(lines, least)
+        made = _placed(lines.withColumn("hard", hard), settings, model)
     else:
         words = F.filter(F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(2)), lambda w: F.char_length(w) >= least)
-        made = lines.select(KEY, "line_number", F.posexplode_outer(words).alias("pos", "value")).filter("pos is not null")
-    scanned = _scanned(hard, settings, model or keys.default_model(), name)
+        made = lines.filter(~hard).select(KEY, "line_number", F.posexplode_outer(words).alias("pos", "value")).filter("pos is not null")
+        made = made.unionByName(_pieced(lines.filter(hard), settings, model))
+    scanned = _scanned(rows.filter(marked), settings, model, name)
     return made.unionByName(scanned.select(made.columns)).withColumnRenamed(KEY, key)
 
 
@@ -183,7 +247,9 @@ def token_counts(df: DataFrame, groups: list[str], content: str, settings: Setti
     """``groups``, value, n: how often each word stands in the texts of each group.
 
     Texts without a region marker are split at blanks and the pieces counted by group (partial sums before
-    the shuffle); only distinct pieces are scanned. Marked texts are scanned whole."""
+    the shuffle); only distinct pieces are scanned. Marked texts are scanned whole. No group may be called ``value`` or ``n``."""
+    if {"value", "n"} & set(groups):
+        raise ValueError("a group cannot be called value or n: the result has columns of these names")
     rows = df.select(F.struct(*[F.col(f"`{g}`") for g in groups] or [F.lit(0).alias("all")]).alias("group"), F.col(f"`{content}`").alias("content")).filter("content is not null")
     marked = F.col("content").rlike(patterns.any_marker(name))
     pieces = rows.filter(~marked).select("group", F.explode_outer(F.split("content", BLANKS)).alias("piece")).filter("piece != ''")

@@ -47,8 +47,10 @@ def build(texts: DataFrame, config: settings.Settings, words: DataFrame, model:
     ``:disable``, ``:enable`` and ``:disable-line``."""
     found = texts.withColumn("first_line", files.first_line(F.col("content")))
     known = languages_of(found, list(config.languages))
-    tokens = normalised(tokenize(known, "path", "content", config, model, offsets, markers))
-    errors = check.unknown_by_language(tokens, known, words, "path")
+    keyed = known.select(F.struct("path", check.language_set(F.col("languages"))).alias("of"), "content")
+    tokens = normalised(tokenize(keyed, "of", "content", config, model, offsets, markers))
+    tokens = tokens.select("of.path", f"of.{check.SET}", *[c for c in tokens.columns if c != "of"])
+    errors = check.unknown_by_language(tokens, words)
     return Check(known, tokens, errors, words)
 
 
@@ -89,8 +91,9 @@ def run(spark: SparkSession, patterns: list[str], config: settings.Settings, mod
         return int(totals["fixed"] + totals["unfixed"] > 0)
     if mode == "decisions":
         return _decided(spark, made, config, decisions, project, output, err)
+    made.errors = materialise(made.errors)  # the listing and the counts are of one pass
     _show(made.errors, made, err)
-    report = made.summary()
+    report = materialise(made.summary())
     row = check.summary_lines(report).first()
     print("\n" + " checked\n".join(row["lines"]) + " found", file=err)
     return report.first()["exit_code"]

@@ -164,3 +164,20 @@ def test_scans_over_lines_need_no_shuffle_and_carry_over_batches(spark):
     for frame in (placed, active, tokens):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_pieces_equal_lines_and_are_scanned_once(spark):
+    """Lines are read by their distinct pieces, and only lines with a possible key are; Python sees no other text."""
+    rng = random.Random(7)
+    parts = ["abc123def", "Hello", "x-1", "be64439e3e49cf46b2d7c90f3602a3d0b907ff", "don't", "http://a.bc/d?e=f1", "é日本", "a" * 300 + "9z", "tail"]
+    lines = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))).replace(" ", rng.choice([" ", "\t", "  "])) for _ in range(400)]
+    whole, pieces = Scanner(CONFIG, keys.default_model()), Scanner(CONFIG, keys.default_model())
+    assert all(pieces.pieces(line) == whole.line(line)[0] for line in lines)
+    seen = sum(line.split().count(parts[7]) for line in lines)  # over the memo's length
+    assert pieces.scanned == seen + len({p for line in lines for p in line.split()} - {parts[7]})
+    df = spark.createDataFrame([(1, "plain words\nkey abc123def4 here\nmore")], "id long, text string")
+    plan = tokenize(df, "id", "text", CONFIG)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Exchange" not in plan
+    for name in ("value", "n"):
+        with pytest.raises(ValueError, match="cannot be called"):
+            token_counts(df.withColumn(name, F.lit(1)), [name], "text", CONFIG)
