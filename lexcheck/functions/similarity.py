@@ -86,21 +86,21 @@ class Words:
     TERMS, PAIRS = 64, 200_000  # bounds of what is held at a time: terms against all words, scored pairs
 
     def __init__(self, words: list[str]) -> None:
-        self.words = sorted(words)
-        self.size = len(words)
-        self.scored = 0
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        counts = letter_counts(self.words)
+        self.words, self.size, self.scored = words, len(words), 0
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        self.sorted, self.sorted_lengths = [words[i] for i in self.order], self.lengths[self.order]
+        counts = letter_counts(self.sorted)
         #: letters by how often: (c, k) says that a word has the letter c at least k times
         self.least = [(c, k) for c in range(counts.shape[1]) for k in range(1, int(counts[:, c].max(initial=0)) + 1)]
         self.signatures = self._signatures(counts)
         self.bounds: dict[int, list[np.ndarray]] = {}
         #: of numbers of letters; bounds over the greatest possible number are cut to one that none reaches
         self.kind = np.dtype(np.uint16 if len(self.least) < 2**16 - 1 else np.int32)
-        letters = sorted({c for w in self.words for c in w})
+        letters = sorted({c for w in words for c in w})
         self.code = {c: i for i, c in enumerate(letters, 1)}
         self.codes = np.zeros((min(self.MOST, int(self.lengths.max(initial=0))), self.size), np.int32)
-        for k, w in enumerate(self.words):
+        for k, w in enumerate(words):
             if len(w) <= self.MOST:
                 self.codes[: len(w), k] = [self.code[c] for c in w]
 
@@ -115,11 +115,11 @@ class Words:
         return out
 
     def _bounds(self, length: int) -> list[np.ndarray]:
-        """For a term of this length and 0 to 4 equal leading characters, how many letters each word has to have in common
+        """For a term of this length and 0 to 4 equal leading characters, how many letters each word (in sorted order) has to have in common
         with it: with J the least Jaro similarity, (3 J - 1) |a| |b| / (|a| + |b|)."""
         if length not in self.bounds:
             limit = threshold(length)
-            need = [np.ceil((3 * least_jaro(limit, p) - 1) * self.lengths * length / (self.lengths + length) - 1e-9) for p in range(PREFIX_MOST + 1)]
+            need = [np.ceil((3 * least_jaro(limit, p) - 1) * self.sorted_lengths * length / (self.sorted_lengths + length) - 1e-9) for p in range(PREFIX_MOST + 1)]
             self.bounds[length] = [np.minimum(n, len(self.least) + 1).astype(self.kind) for n in need]
         return self.bounds[length]
 
@@ -135,12 +135,13 @@ class Words:
             np.greater_equal(common[k], bounds[0], out=hits[k])
             lo, hi = 0, self.size
             for p in range(1, min(PREFIX_MOST, len(term)) + 1):
-                lo = bisect.bisect_left(self.words, term[:p], lo, hi)
-                hi = bisect.bisect_left(self.words, term[:p] + LAST, lo, hi)
+                lo = bisect.bisect_left(self.sorted, term[:p], lo, hi)
+                hi = bisect.bisect_left(self.sorted, term[:p] + LAST, lo, hi)
                 if lo == hi:
                     break
                 np.greater_equal(common[k, lo:hi], bounds[p][lo:hi], out=hits[k, lo:hi])
-        return np.nonzero(hits)
+        t, w = np.nonzero(hits)
+        return t, self.order[w]
 
     def matches(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(term, word, score) of all pairs at or over the term's threshold."""
