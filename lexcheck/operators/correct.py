@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.operators.suggest import recased, suggestions
-from lexcheck.storage import materialise, small_batches
+from lexcheck.storage import discard, materialise, small_batches
 
 
 EDIT = "struct<start:int,length:int,replacement:string>"
@@ -65,7 +65,12 @@ def autocorrect(texts: DataFrame, errors: DataFrame, words: DataFrame, key: str,
 
 
 def applied(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFrame:
-    """key, content, fixed, unfixed and ``mark``, a hash of the texts' replaced words in order, from errors with suggestions."""
+    """key, content, fixed, unfixed, mark after the corrections of ``rows``, errors with suggestions."""
+    return splice(materialise(with_edits(texts, rows, key, content)), content, "_edits")
+
+
+def with_edits(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, content, fixed, unfixed, ``mark`` (a hash of the text's replaced words in order) and ``_edits`` for ``splice``."""
     edit = F.struct(F.col("start").cast("int").alias("start"), F.char_length("value").alias("length"), F.col("suggestion").alias("replacement"))
     replaced = F.when(F.col("suggestion").isNotNull(), F.struct("start", "norm"))
     edits = rows.groupBy(key).agg(
@@ -75,8 +80,7 @@ def applied(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFr
         F.count_if(F.col("suggestion").isNull()).alias("unfixed"),
     )
     joined = texts.select(key, content).join(edits, key, "left")
-    made = joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), "mark", F.col("_edits"))
-    return splice(materialise(made), content, "_edits")
+    return joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), "mark", F.col("_edits"))
 
 
 def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], words: DataFrame, key: str, content: str) -> DataFrame:
@@ -92,22 +96,28 @@ def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], word
     best: DataFrame | None = None
     tried: DataFrame | None = None
     done: DataFrame | None = None
+    before: list[DataFrame] = []
     while True:
         errors = materialise(errors_of(now.select(key, content)))
         terms = errors.select(F.col("norm").alias("term")).distinct()
         terms = materialise(terms if tried is None else terms.join(tried, "term", "left_anti"))
         found = materialise(best_words(terms, words))
         best, tried = (found, terms) if best is None else (best.unionByName(found), tried.unionByName(terms))
-        made = applied(now, suggested(errors, best), key, content).withColumnRenamed(content, "_made")
+        edits = materialise(with_edits(now, suggested(errors, best), key, content))
+        made = splice(edits, content, "_edits").withColumnRenamed(content, "_made")
         rows = now.join(made, key)
         again = F.coalesce(F.array_contains("seen", F.col("mark")), F.lit(False))
         rows = materialise(rows.withColumn("ended", F.when(F.col("fixed") == 0, "stable").when(again, "cycle")))
         over = rows.filter("ended is not null").select(
             key, content, F.col("sum").alias("fixed"), F.when(F.col("ended") == "cycle", F.col("fixed") + F.col("unfixed")).otherwise(F.col("unfixed")).alias("unfixed"), "rounds", "ended"
         )
+        over = materialise(over)
         done = over if done is None else done.unionByName(over)
         going = rows.filter("ended is null")
+        discard(errors, edits, *before)  # what nothing reads any more: at any time two rounds' texts are kept
+        before = [rows]
         if going.isEmpty():
+            discard(rows)
             return done
         now = going.select(
             key, F.col("_made").alias(content), (F.col("rounds") + 1).alias("rounds"), (F.col("sum") + F.col("fixed")).alias("sum"), F.concat("seen", F.array("mark")).alias("seen")
