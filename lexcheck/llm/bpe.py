@@ -9,7 +9,7 @@ Pieces repeat, so each Python worker memoises them in a table of bounded size; t
 is encoded whole, every match of the split pattern by itself.
 
 Defined cases: null text is empty and gives no tokens; lone surrogates cannot occur in UTF-8 columns;
-repeated rows give equal rows.
+repeated rows give equal rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

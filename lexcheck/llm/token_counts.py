@@ -12,8 +12,8 @@ token inside one section counts there; one that crosses a boundary is allocated
 
 Counts are whole numbers under ``most`` and ``first``; under every rule they sum to the document's tokens.
 
-Defined cases: null or empty text has one empty section with no tokens; repeated rows are counted each;
-extra columns are ignored.
+Defined cases: null or empty text has one empty section with no tokens; repeated rows are counted each; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
