@@ -7,8 +7,10 @@ per page. ``write_tiff`` makes the files the query reads back.
 
 Defined cases: null media gives one row with page -1 and an error; so does a file that is no TIFF or is
 damaged (its intact leading pages are still returned), has an image of no size, or claims a page larger than
-its stored bytes can hold or than ``MOST_PAGE_BYTES``; nothing is decoded past what a page needs. A directory
-offset seen before ends the walk.
+its stored bytes can hold or than ``most_bytes`` (a parameter; None: no bound); nothing is decoded past what a page
+needs, and of a directory only the known tags are read, lists only where they have an entry for each strip or tile.
+A directory offset seen before ends the walk. An empty table gives an empty one. Extra columns are kept; one that has a
+result's name (in any case) gets underscores behind it until its name is free.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 27
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 LZW_CLEAR, LZW_END, LZW_FIRST, LZW_MOST_BITS = 256, 257, 258, 12
+SINGLE = {WIDTH, LENGTH, BITS, COMPRESSION, SAMPLES, ROWS_PER_STRIP, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH}
+LISTS = {STRIP_OFFSETS, STRIP_COUNTS, TILE_OFFSETS, TILE_COUNTS}
 
 #: The most bytes that one stored byte can stand for.
 GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2_732, DEFLATE: 1_032, OLD_DEFLATE: 1_032}
@@ -83,7 +87,8 @@ def unpack_lzw(data: bytes, want: int | None = None) -> bytes:
             if code > len(entries):
                 raise ValueError("bad LZW stream")
             piece = entries[code] if code < len(entries) else last + last[:1]
-            entries.append(last + piece[:1])
+            if len(entries) < 1 << LZW_MOST_BITS:  # a full table waits for the next clear code
+                entries.append(last + piece[:1])
         out.append(piece)
         last, size = piece, size + len(piece)
         if want is not None and size >= want:
@@ -110,26 +115,38 @@ def _decode(data: bytes, scheme: int, want: int) -> bytes:
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
+    """The known tags and the next directory's place. A single tag has its first value, a list its type, length and place:
+    what a file claims is unpacked once it is known to be needed."""
     (n,) = struct.unpack_from(order + "H", data, at)
     tags: dict[int, tuple] = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        if kind not in TYPES or not count:
+        if kind not in TYPES or not count or tag not in SINGLE | LISTS:
             continue
-        code = f"{order}{count}{TYPES[kind]}"
-        size, place = struct.calcsize(code), at + 2 + 12 * k + 8
-        if size > 4:
+        code, place = order + TYPES[kind], at + 2 + 12 * k + 8
+        if count * struct.calcsize(code) > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(code, data, place)
+        tags[tag] = (code, count, place) if tag in LISTS else struct.unpack_from(code, data, place)
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _list(data: bytes, tag: tuple[str, int, int], want: int) -> np.ndarray:
+    """A list of places or sizes, one for each of ``want`` strips or tiles."""
+    code, count, place = tag
+    if count != want:
+        raise ValueError("the number of strips or tiles does not fit the image")
+    values = np.frombuffer(data, code, count, place)
+    if values.dtype.kind not in "iu" or values.min() < 0:
+        raise ValueError("strips or tiles without size")
+    return values.astype(np.int64)
+
+
 def rows_bytes(wide: int, tall: int, deep: int, itemsize: int, count: int, tiled: bool) -> int:
     """Bytes of all tiles, whose edges may lie outside the image; strips end with it."""
     return wide * tall * deep * itemsize * count if tiled else 0
 
 
-def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
+def _page(data: bytes, tags: dict[int, tuple], order: str, most_bytes: int | None = MOST_PAGE_BYTES) -> np.ndarray:
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, length, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
     bits, scheme, predictor, planar = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
@@ -140,20 +157,23 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     kind = np.dtype(f"{order}u{bits // 8}")
     deep = samples if planar == 1 else 1
     if TILE_OFFSETS in tags:
-        wide, tall, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        wide, tall, lists = one(TILE_WIDTH), one(TILE_LENGTH), (TILE_OFFSETS, TILE_COUNTS)
     else:
-        wide, tall = width, min(one(ROWS_PER_STRIP, length), length)
-        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-    if not all(isinstance(x, int) and x > 0 for x in (wide, tall)) or not all(isinstance(x, int) and x >= 0 for x in (*offsets, *counts)):
+        rows = one(ROWS_PER_STRIP, length)
+        wide, tall, lists = width, min(rows, length) if isinstance(rows, int) else None, (STRIP_OFFSETS, STRIP_COUNTS)
+    if not all(isinstance(x, int) and x > 0 for x in (wide, tall)):
         raise ValueError("strips or tiles without size")
     across, down = -(-width // wide), -(-length // tall)
-    if len(offsets) != across * down * (samples if planar == 2 else 1):
-        raise ValueError("the number of strips or tiles does not fit the image")
+    offsets, counts = (_list(data, tags[t], across * down * (samples if planar == 2 else 1)) for t in lists)
     size = width * length * samples * kind.itemsize
-    if size > MOST_PAGE_BYTES or max(size, rows_bytes(wide, tall, deep, kind.itemsize, len(offsets), TILE_OFFSETS in tags)) > GROWTH[scheme] * (sum(counts) + len(counts)):
+    stored = GROWTH[scheme] * (int(counts.sum()) + len(counts))
+    if max(size, rows_bytes(wide, tall, deep, kind.itemsize, len(offsets), TILE_OFFSETS in tags)) > stored:
         raise ValueError("the page is larger than its stored bytes can hold")
+    if most_bytes is not None and size > most_bytes:
+        raise ValueError(f"the page has {size} bytes, over the bound of {most_bytes}")
     image = np.zeros((length, width, samples), kind.newbyteorder("="))
-    for k, (place, count) in enumerate(zip(offsets, counts, strict=True)):
+    for k in range(len(offsets)):
+        place, count = int(offsets[k]), int(counts[k])
         plane, cell = divmod(k, across * down)
         top, left = cell // across * tall, cell % across * wide
         rows = tall if TILE_OFFSETS in tags else min(tall, length - top)
@@ -171,7 +191,7 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     return image
 
 
-def read_tiff(data: bytes) -> Iterator[np.ndarray]:
+def read_tiff(data: bytes, most_bytes: int | None = MOST_PAGE_BYTES) -> Iterator[np.ndarray]:
     """The pages, each as rows x columns x samples."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -181,7 +201,7 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
     while at and at not in seen:
         seen.add(at)
         tags, at = _directory(data, at, order)
-        yield _page(data, tags, order)
+        yield _page(data, tags, order, most_bytes)
 
 
 def write_tiff(pages: list[np.ndarray], rows_per_strip: int = 256) -> bytes:
@@ -236,12 +256,12 @@ def page_feature(image: np.ndarray) -> str:
     return f"mean={flat.mean(dtype=np.float64):.4f};std={flat.std(dtype=np.float64):.4f};hist={shares}"
 
 
-def pages_of(data: bytes | None) -> Iterator[tuple]:
+def pages_of(data: bytes | None, most_bytes: int | None = MOST_PAGE_BYTES) -> Iterator[tuple]:
     n = 0
     try:
         if data is None:
             raise ValueError("no data")
-        for image in read_tiff(data):
+        for image in read_tiff(data, most_bytes):
             yield n, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), page_feature(image), None
             n += 1
         if not n:
@@ -250,24 +270,34 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
         yield -1, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """All columns of ``df`` but the media, then one row per page of each file."""
-    keep = [f for f in df.schema.fields if f.name != media]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [PAGE_SCHEMA])
-    names = [f.name for f in keep]
+def tiff_pages(df: DataFrame, media: str = "media", most_bytes: int | None = MOST_PAGE_BYTES) -> DataFrame:
+    """All columns of ``df`` but the media, then one row per page of each file; a page of over ``most_bytes`` is an error row."""
+    made = [x.split() for x in PAGE_SCHEMA.split(", ")]
+    at = df.columns.index(media)
+    keep = [k for k in range(len(df.columns)) if k != at]
+    names, taken = [], {n for n, _ in made} | {df.columns[k].lower() for k in keep}
+    for k in keep:
+        name = df.columns[k]
+        if name.lower() in {n for n, _ in made}:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        names.append(name)
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    schema = ", ".join([f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(quoted, keep, strict=True)] + [PAGE_SCHEMA])
     small_batches(df.sparkSession)
 
     def decode(batches):
         for batch in batches:
-            files = batch.column(batch.schema.get_field_index(media))
             for i in range(batch.num_rows):
-                kept = [batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in names]
-                for page in pages_of(files[i].as_py()):  # a page at a time: memory holds one
+                kept = [batch.column(k).slice(i, 1) for k in keep]
+                for page in pages_of(batch.column(at)[i].as_py(), most_bytes):  # a page at a time: memory holds one
                     kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.string()]
-                    made = [pa.array([x], k) for x, k in zip(page, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(kept + made, names + [x.split()[0] for x in PAGE_SCHEMA.split(", ")])
+                    columns = [pa.array([x], k) for x, k in zip(page, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(kept + columns, names + [n for n, _ in made])
 
-    return df.mapInArrow(decode, schema)
+    # by place: names with dots or backticks cannot be handed over
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(decode, schema)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

@@ -4,6 +4,7 @@ import hashlib
 import importlib.util
 import os
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -419,3 +420,48 @@ def test_pipeline_equals_brute_force(spark, docs, clashing, nothing, tmp_path):
     nothing.write.parquet(f"{empty}/documents.parquet")
     labels.write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, str(empty)).isEmpty()
+
+
+def test_crafted_directories_cost_little(spark):
+    """Sixty unknown tags that share one megabyte, lists of other lengths than the image has strips, a full LZW table."""
+    body = bytearray(struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", 61) + struct.pack("<HHII", 256, 4, 1, 11))
+    for k in range(60):
+        body += struct.pack("<HHII", 40_000 + k, 4, 250_000, 1_000)
+    body = bytes(body + b"\0" * 4).ljust(1_001_000, b"\1")
+    tracemalloc.start()
+    assert [p[0] for p in media.pages_of(body)] == [-1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50_000_000
+    image = np.arange(9 * 11 * 3, dtype=np.uint8).reshape(9, 11, 3)
+    good = tiff(image, "<", 1, 1, None, 4)
+    for tag in (273, 279):
+        at = good.index(struct.pack("<HHI", tag, 4, 3))
+        for count in (2, 4, 200_000):
+            assert [p[0] for p in media.pages_of(good[: at + 4] + struct.pack("<I", count) + good[at + 8 :])] == [-1]
+    assert [p[0] for p in media.pages_of(good, 9 * 11 * 3)] == [0] and [p[0] for p in media.pages_of(good, 9 * 11 * 3 - 1)] == [-1]
+    assert [p[0] for p in media.pages_of(good, None)] == [0]
+
+
+def test_lzw_table_stays_bounded():
+    """Codes after the table is full add no entry: 12-bit codes only, 4,096 entries at most."""
+    codes = [256] + [0] * 6_000
+    bits, width, entries = "", 9, 258
+    for k, code in enumerate(codes):
+        bits += format(code, f"0{width}b")
+        if k > 1:
+            entries = min(entries + 1, 4_096)
+        width = min(12, max(9, (entries + 1).bit_length()))
+    bits = bits.ljust(-(-len(bits) // 8) * 8, "0")
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert media.unpack_lzw(data, 6_000) == bytes(6_000)
+
+
+def test_pages_keep_clashing_columns(spark):
+    file = media.write_tiff([np.zeros((2, 3, 3), np.uint8)])
+    rows = spark.createDataFrame([(1, 2, 3, 4, "p", "f", "e", "P", "q", file)], "page int, width int, height int, samples int, pixels string, feature string, error string, page_ string, `a``b` string, media binary")
+    out = media.tiff_pages(rows)
+    assert out.columns == ["page__", "width_", "height_", "samples_", "pixels_", "feature_", "error_", "page_", "a`b", "page", "width", "height", "samples", "pixels", "feature", "error"]
+    (r,) = out.collect()
+    assert (r["page__"], r["width_"], r["error_"], r["page_"], r["a`b"], r["page"], r["width"], r["height"], r["samples"], r["error"]) == (1, 2, "e", "P", "q", 0, 3, 2, 3, None)
+    assert out.select("page", "feature").count() == 1 and media.tiff_pages(rows.limit(0)).isEmpty()
