@@ -5,18 +5,22 @@ characters within ``SPAN`` characters, each weighted ``DECAY ** span`` and summe
 kernel is the normalised inner product. Gapped and inserted characters only lower a match's weight.
 
 Training. Instances are sentences; a label says that some sentence of the text is toxic (multiple-instance
-learning), and a sentence is as toxic as its highest words. Start from the mean log-odds of the subsequences in
+learning), and a sentence is as toxic as its highest words: the machine is fitted on these words, each with damaged
+copies (a character inserted or left out), so that what damage leaves of an insult still counts. Start from the mean log-odds of the subsequences in
 toxic against clean texts, choose each toxic text's witness sentence and its best words, fit, choose the
 witnesses again, add the clean sentences' words that score highest, repeat. Words are compared with
 ``landmarks`` only; the Nystroem map turns that into a linear problem (squared hinge). A logistic fit makes a
-probability of a sentence's three highest word scores; a text's score is that of its highest sentence.
+probability of a sentence's three highest word scores, of each text as it is and with its highest word damaged; a text's
+score is that of its highest sentence. Labels are doubted on both sides, see ``fit``.
 
 Scoring. Landmark expansions are linear in the subsequence features, so the fitted machine folds into one
 weight per subsequence: the kernel expansion is evaluated exactly, at a cost that does not depend on the
-number of landmarks. Runs of single characters between blanks are also read as one word, a sentence of its own.
+number of landmarks. Runs of single characters between blanks are also read as one word, a sentence of its own;
+a word with marks inside is also read without them.
 
 The model is fitted on a bounded sample (``most_texts`` per class, of longer texts whole sentences of at most
-``most_chars``, both parameters); scoring covers every row and the whole text and shuffles nothing.
+``most_chars``, both parameters; a round trains on at most ``most_words`` witness words and one and a half times as
+many others, a random choice of more); scoring covers every row and the whole text and shuffles nothing.
 
 Defined cases: null and empty texts have no word and count as words of value ``NO_WORD``; with one class
 only, every score is the class's smoothed rate; null labels are ignored; equal texts get equal scores;
@@ -49,6 +53,9 @@ TOP = 3
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+MARKS = re.compile(r"[\W_]+")
+#: Damaged copies of every training word, of witnesses and of others, and the marks that damage inserts beside letters.
+WITNESS_COPIES, OTHER_COPIES, INSERTED = 3, 1, ".*-_"
 #: Labels can be wrong on either side. A word can witness toxicity if toxic texts use it this many times as often
 #: as clean ones, and in more than this many of them once a clean text has it.
 TIMES_AS_OFTEN, MORE_THAN = 5, 2
@@ -65,6 +72,7 @@ def sentences_of(text: str) -> list[set[str]]:
     found = [{w.strip(EDGE) for w in part.split()} for part in SENTENCE.split(text)]
     found += [{"".join(m.group().split())} for m in SPACED.finditer(text)]
     for words in found:
+        words.update([MARKS.sub("", w) for w in words if not w.isalnum()])
         words.discard("")
     return [words for words in found if words]
 
@@ -73,6 +81,18 @@ def words_of(text: str) -> set[str]:
     return set().union(*sentences_of(text))
 
 
+def damaged(words: list[str], copies: int, rng: np.random.Generator) -> list[str]:
+    """``copies`` of each word in turn, each with one character inserted inside (a letter of these words or a mark) or, one in
+    four, left out."""
+    letters = sorted(set().union(*words) | set(INSERTED)) if words else []
+    out = []
+    for word in words:
+        for kind, place, letter in zip(rng.integers(0, 4, copies), rng.random(copies), rng.integers(0, max(1, len(letters)), copies), strict=True):
+            k = 1 + int(place * max(1, len(word) - 1))
+            out.append(word[: k - 1] + word[k:] if kind == 0 and len(word) > 4 else word[:k] + letters[letter] + word[k:])
+    return out
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all words, padded and separated, as small numbers, and the word of each character."""
     gap = "\x7f" * SPAN
@@ -156,13 +176,13 @@ class Scorer:
         return self.model.probability(np.array([self._highest(sentences) for sentences in found]).reshape(-1, TOP))
 
     def _highest(self, sentences: list[set[str]]) -> list[float]:
-        """The highest word scores of the text's highest sentence. No sentence is higher than one whose words all
-        have its best word's score, so few are looked at more closely."""
+        """The highest word scores of the text's highest sentence. No sentence is higher than one whose other words all
+        have its best word's score (or what stands for no word, if that is higher), so few are looked at more closely."""
         get, slopes = self.memo.__getitem__, self.model.slopes.tolist()
-        most, best, bound = sum(slopes), [NO_WORD] * TOP, -math.inf
+        others, best, bound = sum(slopes[1:]), [NO_WORD] * TOP, -math.inf
         ranked = sorted(((max(map(get, words)), k) for k, words in enumerate(sentences)), reverse=True)
         for first, k in ranked:
-            if first * most <= bound:
+            if first * slopes[0] + max(first, NO_WORD) * others <= bound:
                 break
             top = highest(map(get, sentences[k]))
             value = sum(x * slope for x, slope in zip(top, slopes, strict=True))
@@ -317,11 +337,15 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
         values, vectors = np.linalg.eigh(m @ m.T)
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        train = np.concatenate([chosen, negative])
-        slabs = [_dense([vocabulary[i] for i in train[k : k + 1_000]], columns) @ m.T for k in range(0, len(train), 1_000)]
+        sides = []
+        for numbers, copies in ((chosen, WITNESS_COPIES), (negative, OTHER_COPIES)):
+            plain = [vocabulary[i] for i in numbers]
+            sides.append(plain + damaged(plain, copies, rng))
+        train = sides[0] + sides[1]
+        slabs = [_dense(train[k : k + 1_000], columns) @ m.T for k in range(0, len(train), 1_000)]
         phi = np.concatenate(slabs) @ root
-        sign = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
-        balance = np.concatenate([np.full(len(chosen), 0.5 / len(chosen)), np.full(len(negative), 0.5 / len(negative))]) * len(train)
+        sign = np.repeat([1.0, -1.0], [len(x) for x in sides])
+        balance = np.concatenate([np.full(len(x), 0.5 / len(x)) for x in sides]) * len(train)
         w, bias = _svm(phi, sign, balance, c)
         folded = m.T @ (root @ w)
         weights = np.zeros(every)
@@ -330,8 +354,19 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, most_words: i
         hard = never[np.argsort(-score[never], kind="stable")[: most_words // 2]]
     used = np.flatnonzero(weights)
     top = np.array([max((highest(score[r].tolist()) for r in parts), default=[NO_WORD] * TOP) for parts in instances])
-    certain = (y == 0) | np.array([bool(len(r)) and bool(sure[r].any() or score[r].max() >= SURE_SCORE) for r in rows])
-    slopes, shift = _logistic(top[certain], y[certain])
+    # labels are doubted on both sides: of toxic texts without a word that stands out, and of clean texts with a word as high as
+    # half of the toxic texts' best
+    held = np.array([bool(sure[r].any()) for r in rows])
+    peak = np.array([score[r].max() if len(r) else NO_WORD for r in rows])
+    typical = float(np.median(peak[held & (y == 1)])) if (held & (y == 1)).any() else math.inf
+    certain = np.where(y == 0, peak < typical, held | (peak >= SURE_SCORE))
+    # every text that calibrates does so twice: as it is, and with its highest word damaged
+    highest_words = [vocabulary[r[score[r].argmax()]] if len(r) else "" for r in rows]
+    machine = Model(used, weights[used], bias, np.zeros(TOP), 0.0)
+    worse = top.copy()
+    worse[:, 0] = np.where([bool(w) for w in highest_words], machine.raw(damaged(highest_words, 1, rng)), NO_WORD)
+    worse = -np.sort(-worse, axis=1)
+    slopes, shift = _logistic(np.concatenate([top[certain], worse[certain]]), np.concatenate([y[certain]] * 2))
     return Model(used, weights[used], bias, slopes, shift)
 
 

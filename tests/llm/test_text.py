@@ -259,6 +259,36 @@ def test_toxicity_holds_out():
     assert odd[:4].min() > odd[4:].max()
 
 
+def test_damaged_insults_are_caught():
+    """A character or mark inserted, marks between all letters: nine in ten stay over 0.5, calm words stay under it."""
+    made, marks = labelled()
+    score = toxicity.Scorer(toxicity.fit(made, marks))
+    rng = random.Random(5)
+    calm = sorted(set().union(*(toxicity.words_of(t) for t, y in zip(made, marks, strict=True) if not y)))
+    calm = [w for w in calm if len(w) > 3]
+
+    def inserted(word, letters):
+        k = rng.randint(1, len(word) - 1)
+        return word[:k] + rng.choice(letters) + word[k:]
+
+    for harm in (lambda w: inserted(w, "abcdefghijklmnopqrstuvwxyz"), lambda w: inserted(w, ".-*_"), ".".join, " ".join):
+        for words, share in ((("blorkface", "grublout", "snivelwit"), (0.9, 1)), (calm, (0, 0.02))):
+            texts = [f"river {harm(rng.choice(words))} stone paper" for _ in range(200)]
+            assert share[0] <= (score(texts) >= 0.5).mean() <= share[1]
+
+
+def test_padding_does_not_hide_a_higher_sentence():
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, np.array([1.0, 0.5, 0.25]), 0.0)
+    scorer = toxicity.Scorer(model)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        scorer.memo = {str(k): float(x) for k, x in enumerate(rng.normal(-3, 1.5, 12))}
+        sentences = [{str(k) for k in rng.choice(12, rng.integers(1, 5), replace=False)} for _ in range(5)]
+        value = lambda top: float(np.dot(top, model.slopes))
+        want = max(value(toxicity.highest([scorer.memo[w] for w in s])) for s in sentences)
+        assert value(scorer._highest(sentences)) == pytest.approx(want)
+
+
 def test_kernel_matches_brute_force():
     words = ["abc", "abcabc", "a-b-c", "xyz", "é"]
     owner, feature, value = toxicity.features(words)
