@@ -16,7 +16,7 @@ import random
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.functions.patterns import min_alpha
@@ -235,6 +235,16 @@ def features(s: Column) -> dict[str, Column]:
     return {f: out[f] for f in FEATURES}
 
 
+def fit_table(strings: DataFrame, kind: str, text: str) -> Model:
+    """``fit_model`` of a table of labelled strings: mean and population variance are partial aggregates that Spark merges, so only
+    one row a class is shuffled and returned. Rows without class or text are left out; an empty table gives an empty model."""
+    rows = strings.select(F.col(f"`{kind}`").alias("kind"), F.col(f"`{text}`").alias("text")).filter("kind is not null and text is not null")
+    row = F.struct(*[value.cast("double").alias(f"f{k}") for k, value in enumerate(features(F.col("text")).values())])
+    moments = [m(f"row.f{k}").alias(f"{name}{k}") for k in range(len(FEATURES)) for name, m in (("mean", F.avg), ("variance", F.var_pop))]
+    found = rows.select("kind", row.alias("row")).groupBy("kind").agg(*moments).collect()
+    return {r["kind"]: {f: (r[f"mean{k}"], r[f"variance{k}"]) for k, f in enumerate(FEATURES)} for r in found}
+
+
 def class_score(row: dict[str, Column], stats: dict[str, tuple[float, float]], classes: int) -> Column:
     product = F.lit(1.0)
     for f in FEATURES:

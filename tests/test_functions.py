@@ -125,3 +125,14 @@ def test_words_are_composed_in_the_jvm(spark):
         assert r["norm"] == unicodedata.normalize("NFC", r["low"]).replace("\u2018", "'").replace("\u2019", "'")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_model_of_a_table_equals_the_loop(spark):
+    examples = {"key_hex": ["deadbeef01", "0123456789abcdef", "a0-b1"], "not_key_lower36": ["item12name", "x1", "x1", "abc"], "key_base64": ["aB3+/x==", "Zz9_k-Q"]}
+    table = spark.createDataFrame([*((k, s, 0) for k, texts in examples.items() for s in texts), (None, "a1", 0), ("key_hex", None, 0)], "of string, text string, kind int").repartition(5)
+    got, want = keys.fit_table(table, "of", "text"), keys.fit_model(examples)
+    assert got.keys() == want.keys()
+    for name, stats in want.items():
+        for f, pair in stats.items():
+            assert got[name][f] == pytest.approx(pair, abs=1e-9), (name, f)
+    assert keys.fit_table(table.limit(0), "of", "text") == {}
