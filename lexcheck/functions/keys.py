@@ -14,12 +14,16 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.functions.patterns import min_alpha
+from lexcheck.shipping import ship
+from lexcheck.storage import small_batches
 
 # The tracked characters, the counted alphabet, the character sets and their sizes.
 TRACKED = "+-_/AzZqQXx"
@@ -191,6 +195,64 @@ def classify(s: str, model: Model, weight: int = 5) -> bool:
     return score[f"key_{kind}"] * 10.0**weight >= score[f"not_key_{kind}"]
 
 
+# Runs of key characters, features and classes of many strings, in Arrow batches. The same features as column expressions (below) are
+# some thousand calls per string and compile for longer than small tables take.
+
+RUN = re.compile(r"[A-Za-z0-9+/\-_=]*")
+RUN_LETTERS = frozenset(ALPHABET)
+DIGIT_THEN_LETTER = re.compile(r"[0-9][\-_/+]*[A-Za-z]")
+
+
+def runs_of(text: str) -> Iterator[str]:
+    """The maximal runs of key characters that hold a digit, perhaps separators, and a letter in this order. Digits are
+    searched for, so prose is passed over at the speed of a search."""
+    at = 0
+    while m := DIGIT_THEN_LETTER.search(text, at):
+        begin = m.start()
+        while begin > at and text[begin - 1] in RUN_LETTERS:
+            begin -= 1
+        at = RUN.match(text, m.end()).end()
+        yield text[begin:at]
+
+
+def runs(texts: DataFrame) -> DataFrame:
+    """s: the runs of ``texts(text)``, each once a batch."""
+    ship(texts.sparkSession)
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = {s for text in batch.column(0) if text.is_valid for s in runs_of(text.as_py())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["s"])
+
+    return texts.select("text").mapInArrow(run, "s string")
+
+
+def featured(strings: DataFrame, names: dict[str, str]) -> DataFrame:
+    """s, kind and the features under their ``names`` of ``strings(s)``."""
+    ship(strings.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            rows = [features_of(s) for s in found]
+            kinds = pa.array([character_set_of(s) for s in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), kinds, *[pa.array([r[f] for r in rows], pa.float64()) for f in names]], ["s", "kind", *names.values()])
+
+    return strings.select("s").mapInArrow(run, "s string, kind string, " + ", ".join(f"{n} double" for n in names.values()))
+
+
+def classified(strings: DataFrame, model: Model, weight: int = 5) -> DataFrame:
+    """s, is_key of ``strings(s)``: the classifier without the gates."""
+    ship(strings.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([classify(s, model, weight) for s in batch.column(0).to_pylist()], pa.bool_())], ["s", "is_key"])
+
+    return strings.select("s").mapInArrow(run, "s string, is_key boolean")
+
+
 # The same as columns.
 
 

@@ -376,10 +376,11 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = texts[0]
     for other in texts[1:]:
         every = every.unionByName(other)
-    runs = every.select(F.explode(F.split("text", r"[^A-Za-z0-9+/\-_=]+")).alias("s")).filter(F.col("s").rlike(patterns.MAYBE_KEY)).distinct()
     # a rejected key resumes inside itself, so a candidate may begin at any place of a run
-    begun = runs.select("s", F.explode(F.sequence(F.lit(1), F.char_length("s"))).alias("i"))
-    return begun.select(F.regexp_extract(F.substr("s", F.col("i")), rf"\A({scan_sql.CANDIDATE})(?![A-Za-z0-9])", 1).alias("s")).filter("s != ''").distinct()
+    begun = keys.runs(every).distinct().select("s", F.explode(F.sequence(F.lit(1), F.char_length("s"))).alias("i"))
+    found = begun.select(F.regexp_extract(F.substr("s", F.col("i")), rf"\A({scan_sql.CANDIDATE})(?![A-Za-z0-9])", 1).alias("s")).filter("s != ''")
+    # a number of tasks that Spark does not join again: their rows are few, the work on them is not
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").distinct()
 
 
 CANDIDATES_SQL = (
@@ -395,20 +396,14 @@ def key_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("s", keys.character_set(F.col("s")).alias("kind"))
 
 
-def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir)
-    return rows.select("s", keys.character_set(F.col("s")).alias("kind"), *[c.alias(NAMED[f]) for f, c in keys.features(F.col("s")).items()])
-
-
 @query(f"{FEATURES_SQL} SELECT s, kind, {', '.join(f'round({n}, 6) AS {n}' for n in NAMED.values())} FROM f")
 def key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _featured(spark, sf_dir).select("s", "kind", *[F.round(n, 6).alias(n) for n in NAMED.values()])
+    return keys.featured(_candidates(spark, sf_dir), NAMED).select("s", "kind", *[F.round(n, 6).alias(n) for n in NAMED.values()])
 
 
 @query(f"{FEATURES_SQL} SELECT s, {scan_sql.classified()} AS is_key FROM f")
 def key_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = {f: F.col(n) for f, n in NAMED.items()}
-    return _featured(spark, sf_dir).select("s", keys.is_key_column(F.col("kind"), row, keys.default_model()).alias("is_key"))
+    return keys.classified(_candidates(spark, sf_dir), keys.default_model())
 
 
 @query("SELECT p_partkey, " + ", ".join(f"(length(p_name) - length(replace(p_name, '{c}', '')))::INT AS {c}" for c in "aeioust") + " FROM part")

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexcheck import queries
 from lexcheck.functions import keys, patterns, similarity, text
 from lexcheck.operators import correct, suggest
 
@@ -144,3 +147,29 @@ def test_model_of_a_table_equals_the_loop(spark):
         for f, pair in stats.items():
             assert got[name][f] == pytest.approx(pair, abs=1e-9), (name, f)
     assert keys.fit_table(table.limit(0), "of", "text") == {}
+
+
+def test_runs_of_key_characters():
+    text = "plain a1b2 é--9_x/é 77 7- =abc-12= x1y\n0" + "-" * 50 + "_z " + "no" * 2_000 + "\t1é2a"
+    split = [r for r in re.split(r"[^A-Za-z0-9+/\-_=]+", text) if re.search(patterns.MAYBE_KEY.replace(r"\p{Nd}", "[0-9]"), r)]
+    assert list(keys.runs_of(text)) == split and len(split) == 5
+    assert list(keys.runs_of("")) == list(keys.runs_of("12 34-")) == []
+
+
+def test_features_and_classes_in_batches_equal_columns(spark):
+    strings = ["a1b2c3", "deadbeef01", "ABC1DEF", "fooBar12baz_", "x/y-9+Q==", "be64439e3e49cf46b2d7c90f3602a3d0b907ff", "a" * 90 + "1b"]
+    df, names = spark.createDataFrame([(s,) for s in strings], "s string"), {f: f"f{i}" for i, f in enumerate(keys.FEATURES)}
+    columns = df.select("s", keys.character_set(F.col("s")).alias("kind"), *[c.alias(names[f]) for f, c in keys.features(F.col("s")).items()])
+    want, got = ({r["s"]: r for r in rows.collect()} for rows in (columns, keys.featured(df, names)))
+    assert set(got) == set(want)
+    for s, r in got.items():
+        assert r["kind"] == want[s]["kind"] and [r[n] for n in names.values()] == pytest.approx([want[s][n] for n in names.values()], abs=1e-9)
+    model = keys.default_model()
+    flags = columns.select("s", keys.is_key_column(F.col("kind"), {f: F.col(n) for f, n in names.items()}, model).alias("is_key"))
+    assert sorted(keys.classified(df, model).collect()) == sorted(flags.collect())
+
+
+def test_work_on_candidates_is_dealt(spark):
+    """Candidates are few bytes but much work: Spark must not join their partitions."""
+    rows = queries.QUERIES["key_features"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p"))
+    assert 1 < rows.distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
