@@ -219,6 +219,66 @@ def _placed(lines: DataFrame, settings: Settings, model: keys.Model) -> DataFram
     return rows.mapInArrow(run, f"`{KEY}` {kind}, line_number int, pos int, value string, char_offset int, byte_offset int, start long")
 
 
+def line_words(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, name: str = patterns.OWN_NAME) -> DataFrame:
+    """key, line_number, line, words (array of value, char_offset): lines that hold words, with them, so that nothing is joined
+    to show a word in its line. The words are those of ``tokenize``."""
+    ship(df.sparkSession)
+    model = model or keys.default_model()
+    rows = df.select(F.col(f"`{key}`").alias(KEY), F.col(f"`{content}`").alias("content")).filter("content is not null")
+    kind = rows.schema[KEY].dataType.simpleString()
+    marked = F.col("content").rlike(patterns.any_marker(name))
+    schema = f"`{KEY}` {kind}, line_number int, line string, words array<struct<value:string,char_offset:int>>"
+    least = max(1, settings.word_minimum_length)
+
+    def nested(before: list[pa.Array], row: np.ndarray, values: pa.Array, chars: pa.Array) -> pa.RecordBatch:
+        """The lines with words among ``before``, given each word's row in ascending order."""
+        sizes = np.bincount(row, minlength=len(before[0]))
+        some = pa.array(np.flatnonzero(sizes))
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes[sizes > 0]))), pa.int32())
+        words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([values, chars], ["value", "char_offset"]))
+        return pa.RecordBatch.from_arrays([*[c.take(some) for c in before], words], [KEY, "line_number", "line", "words"])
+
+    def listed(before: list[pa.Array], found: list[list[tuple[int, str]]]) -> pa.RecordBatch:
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        return nested(before, row, pa.array([w for f in found for _, w in f], pa.string()), pa.array([at for f in found for at, _ in f], pa.int32()))
+
+    def tiled(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tiles, words = batch.column(4), batch.column(3).flatten()
+            sizes = pc.list_value_length(tiles).to_numpy(zero_copy_only=False)
+            keep = pc.utf8_length(words).to_numpy(zero_copy_only=False) >= least
+            ahead = np.concatenate(([0], np.cumsum(pc.utf8_length(tiles.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            chars = (ahead[:-1] - ahead[np.cumsum(sizes) - sizes][row])[keep]
+            yield nested(list(batch.columns[:3]), row[keep], words.filter(pa.array(keep)), pa.array(chars, pa.int32()))
+
+    def pieced(batches):
+        scanner = Scanner(settings, model)
+        for batch in batches:
+            yield listed(list(batch.columns), [scanner.pieces(x) for x in batch.column(2).to_pylist()])
+
+    def whole(batches):
+        scanner = Scanner(settings, model, name=name)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                lines = text.split("\n")
+                found: list[list[tuple[int, str]]] = [[] for _ in lines]
+                for number, _, word, at, _, _ in scanner.text(text):
+                    found[number - 1].append((at, word))
+                key = batch.column(0).take(pa.array([i] * len(lines), pa.int64()))
+                yield listed([key, pa.array(range(1, len(lines) + 1), pa.int32()), pa.array(lines, pa.string())], found)
+
+    lines = rows.filter(~marked).select(KEY, F.posexplode_outer(split_lines(F.col("content"))).alias("at", "line")).filter("line is not null").select(KEY, (F.col("at") + 1).alias("line_number"), "line")
+    hard = F.col("line").rlike(patterns.MAYBE_KEY) & F.col("line").rlike(patterns.POSSIBLE_KEY)
+    group = lambda g: F.regexp_extract_all("line", F.lit(patterns.tiles()), F.lit(g))
+    made = lines.filter(~hard).select(KEY, "line_number", "line", group(2).alias("words"), group(0).alias("tiles")).mapInArrow(tiled, schema)
+    made = made.unionByName(lines.filter(hard).mapInArrow(pieced, schema)).unionByName(rows.filter(marked).mapInArrow(whole, schema))
+    return made.withColumnRenamed(KEY, key)
+
+
 def tokenize(df: DataFrame, key: str, content: str, settings: Settings, model: keys.Model | None = None, offsets: bool = False, name: str = patterns.OWN_NAME) -> DataFrame:
     """key, line_number, pos, value and, with ``offsets``, char_offset and byte_offset in the line and start in the text.
 

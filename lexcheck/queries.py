@@ -17,9 +17,10 @@ from lexcheck.functions.text import apply_case, case_style, normalise
 from lexcheck.operators import check, correct, suggest
 from lexcheck.operators.languages import addable_of, languages_of
 from lexcheck.operators.lines import active_lines, explode_lines, line_offsets, split_lines, without_disabled_lines
-from lexcheck.operators.tokenize import distinct_terms, normalised, token_counts, tokenize
+from lexcheck.operators.tokenize import distinct_terms, line_words, normalised, token_counts, tokenize
 from lexcheck.plans.check import build, corrected, settled
 from lexcheck.sources import files, settings, wordlists
+from lexcheck.storage import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,8 +47,9 @@ def _tokens(spark: SparkSession, sf_dir: str, name: str = "documents", key: str
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once, so that its size is known when joins are planned: tokens are not shuffled to meet a small dictionary."""
     found = token_counts(_table(spark, sf_dir, "benchmark"), [], "text", CONFIG)
-    return normalised(found).select(F.lit("benchmark").alias("name"), F.col("norm").alias("word")).distinct()
+    return materialise(normalised(found).select(F.lit("benchmark").alias("name"), F.col("norm").alias("word")).distinct())
 
 
 NORM = "regexp_replace(nfc_normalize(lower(value)), '[\u2018\u2019]', chr(39), 'g')"
@@ -206,8 +208,9 @@ def known_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM e JOIN t_tiles USING (line_id, doc_id)""")
 def error_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    tokens = normalised(tokenize(docs, "doc_id", "text", CONFIG, offsets=True))
-    return check.error_lines(check.unknown(tokens, _dictionary(spark, sf_dir)), explode_lines(docs, "doc_id", "text"), "doc_id")
+    found = line_words(docs, "doc_id", "text", CONFIG).select("doc_id", "line_number", "line", F.explode("words").alias("word"))
+    tokens = normalised(found.select("doc_id", "line_number", "line", "word.char_offset", "word.value"))
+    return check.shown_lines(check.unknown(tokens, _dictionary(spark, sf_dir)), "doc_id")
 
 
 # Dictionaries.

@@ -171,5 +171,5 @@ def test_features_and_classes_in_batches_equal_columns(spark):
 
 def test_work_on_candidates_is_dealt(spark):
     """Candidates are few bytes but much work: Spark must not join their partitions."""
-    rows = queries.QUERIES["key_features"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p"))
+    rows = queries.QUERIES["key_features"](spark, "/root/testdata/sf0.01").select(F.spark_partition_id().alias("p"))
     assert 1 < rows.distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))

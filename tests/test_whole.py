@@ -11,7 +11,9 @@ import regex
 from lexcheck import queries
 from lexcheck.functions import keys, patterns, similarity
 from lexcheck.functions.text import normalise_text
-from lexcheck.operators.tokenize import Scanner
+from lexcheck.operators import correct
+from lexcheck.operators.tokenize import Scanner, line_words, tokenize
+from lexcheck.storage import tasks_for
 
 DOCUMENTS = [
     (1, "lonely wordx 1", "en"),
@@ -86,6 +88,34 @@ def test_whole_errors(spark, tables):
     assert sorted((r[0], normalise_text(r[3])) for r in run(spark, tables, "error_listing")) == sorted(errors)
 
 
+def test_listing_joins_no_lines_and_shuffles_no_words(spark, tables):
+    plan = queries.QUERIES["error_listing"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+def test_words_in_their_lines(spark, tables):
+    docs = spark.createDataFrame([*DOCUMENTS, (8, "one1two3 tail\n\n\n" + "wörd abc1def2 " * 300 + "\nlast\n", "de")], "doc_id long, text string, lang string")
+    rows = line_words(docs, "doc_id", "text", queries.CONFIG).collect()
+    lines = {(i, k): line for i, t, _ in docs.collect() for k, line in enumerate((t or "").split("\n"), 1)}
+    assert len({(r["doc_id"], r["line_number"]) for r in rows}) == len(rows) and all(r["line"] == lines[r["doc_id"], r["line_number"]] and r["words"] for r in rows)
+    want = sorted((r["doc_id"], r["line_number"], r["char_offset"], r["value"]) for r in tokenize(docs, "doc_id", "text", queries.CONFIG, offsets=True).collect())
+    assert sorted((r["doc_id"], r["line_number"], w["char_offset"], w["value"]) for r in rows for w in r["words"]) == want
+
+
+def test_decisions_scan_once_and_are_dealt(spark, tables):
+    """Errors come from one written table, each document's once; joins have as many partitions as the input asks for."""
+    decided = queries._decided(spark, tables)
+    assert not any("documents.parquet" in f for f in decided.inputFiles())
+    rows = decided.collect()
+    assert len({(r["doc_id"], r["value"]) for r in rows}) == len(rows) and sum(r["n"] for r in rows) == sum(r["errors"] for r in queries.QUERIES["errors_per_doc"](spark, tables).collect())
+    errors = spark.createDataFrame([(1, "a", "A"), (2, "a", "a"), (2, "b", "B")], "doc_id long, norm string, value string")
+    given = spark.createDataFrame([("skip", 1, "a", None, None, None), ("replace", None, None, "B", "x", None)], "action string, doc_id long, norm string, value string, replacement string, name string")
+    out = correct.decide(errors, given, "doc_id", 37)
+    assert sorted((r["doc_id"], r["value"], r["action"]) for r in out.collect()) == [(1, "A", "skip"), (2, "B", "replace"), (2, "a", "report")]
+    assert "hashpartitioning(value" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 37)" in plan
+    assert tasks_for(queries._table(spark, tables, "documents"), 64) > 4
+
+
 def test_whole_suggestions(spark, tables):
     known = {normalise_text(w) for _, w in words(BENCHMARK)}
     terms = {normalise_text(w) for _, w in [*words(DOCUMENTS), *words([((i, k), t) for i, k, t in CONVERSATIONS])]} - known
