@@ -124,13 +124,17 @@ def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], word
         )
 
 
-def decide(errors: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+def decide(errors: DataFrame, decisions: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Errors with an ``action``: skip (this text's word), replace (this exact value everywhere), add (to a list),
-    else report. ``decisions(action, <key>, norm, value, replacement, name)``: unused fields are null."""
-    skip = decisions.filter("action = 'skip'").select(F.col(key).alias("_key"), F.col("norm").alias("_norm"), F.lit(True).alias("_skip")).distinct()
-    add = decisions.filter("action = 'add'").groupBy(F.col("norm").alias("_added")).agg(F.min("name").alias("_name"))
-    swap = decisions.filter("action = 'replace'").groupBy(F.col("value").alias("_value")).agg(F.min("replacement").alias("_replacement"))
-    rows = errors.join(skip, (errors[key] == F.col("_key")) & (errors["norm"] == F.col("_norm")), "left").join(add, errors["norm"] == F.col("_added"), "left").join(swap, errors["value"] == F.col("_value"), "left")
+    else report. ``decisions(action, <key>, norm, value, replacement, name)``: unused fields are null. ``parts``: into how many
+    partitions errors are dealt for each join (``storage.tasks_for``); without it, as many as the session has."""
+    dealt = lambda rows, *by: rows.repartition(parts, *by) if parts else rows  # noqa: E731 - both sides, else Spark deals them as the session says
+    skip = dealt(decisions.filter("action = 'skip'").select(F.col(key).alias("_key"), F.col("norm").alias("_norm"), F.lit(True).alias("_skip")).distinct(), "_key", "_norm")
+    add = dealt(decisions.filter("action = 'add'").groupBy(F.col("norm").alias("_added")).agg(F.min("name").alias("_name")), "_added")
+    swap = dealt(decisions.filter("action = 'replace'").groupBy(F.col("value").alias("_value")).agg(F.min("replacement").alias("_replacement")), "_value")
+    rows = dealt(errors, key, "norm").join(skip, (F.col(key) == F.col("_key")) & (F.col("norm") == F.col("_norm")), "left")
+    rows = dealt(rows, "norm").join(add, F.col("norm") == F.col("_added"), "left")
+    rows = dealt(rows, "value").join(swap, F.col("value") == F.col("_value"), "left")
     action = F.when(F.col("_skip"), "skip").when(F.col("_name").isNotNull(), "add").when(F.col("_replacement").isNotNull(), "replace").otherwise("report")
     return rows.select(*errors.columns, action.alias("action"), F.col("_replacement").alias("replacement"), F.col("_name").alias("name"))
 
@@ -152,5 +156,7 @@ def with_lists(decisions: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return rows.select(action.alias("action"), *kept, name.alias("name"))
 
 
-def action_counts(decided: DataFrame) -> DataFrame:
-    return decided.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("skip", "replace", "add", "report")])
+def action_counts(decided: DataFrame, n: Column | None = None) -> DataFrame:
+    """How many errors each action has; ``n``: how many a row stands for."""
+    n = F.lit(1).cast("long") if n is None else n
+    return decided.agg(*[F.coalesce(F.sum(F.when(F.col("action") == a, n)), F.lit(0).cast("long")).alias(a) for a in ("skip", "replace", "add", "report")])

@@ -20,7 +20,7 @@ from lexcheck.operators.lines import active_lines, explode_lines, line_offsets,
 from lexcheck.operators.tokenize import distinct_terms, line_words, normalised, token_counts, tokenize
 from lexcheck.plans.check import build, corrected, settled
 from lexcheck.sources import files, settings, wordlists
-from lexcheck.storage import materialise
+from lexcheck.storage import materialise, tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,7 +507,11 @@ DECIDED_SQL = f"""{ERRORS_SQL}, decided AS (SELECT doc_id, norm, value, CASE WHE
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = _errors(spark, sf_dir).select("doc_id", "norm", "value")
+    """Each document's errors once, with their number of places ``n``, and what is decided on them. The texts are scanned
+    once: decisions and errors are read from one written table."""
+    parts = tasks_for(_table(spark, sf_dir, "documents"))
+    counted = _errors(spark, sf_dir).select("doc_id", "value").repartition(parts, "doc_id").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    errors = normalised(materialise(counted)).select("doc_id", "norm", "value", "n")
     none = F.lit(None).cast("string")
     one = lambda rows, action, **given: rows.distinct().select(
         F.lit(action).alias("action"), *[given.get(c, none.cast("long") if c == "doc_id" else none).alias(c) for c in ("doc_id", "norm", "value", "replacement", "name")]
@@ -515,14 +519,14 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     skip = one(errors.filter("doc_id % 2 = 0 and length(norm) % 5 = 0").select("doc_id", "norm"), "skip", doc_id=F.col("doc_id"), norm=F.col("norm"))
     add = one(errors.filter("length(norm) % 7 = 0").select("norm"), "add", norm=F.col("norm"), name=F.lit("english"))
     swap = one(errors.filter("length(value) % 11 = 0").select("value"), "replace", value=F.col("value"), replacement=F.concat(F.lit("x"), "value"))
-    return correct.decide(errors, skip.unionByName(add).unionByName(swap), "doc_id")
+    return correct.decide(errors, skip.unionByName(add).unionByName(swap), "doc_id", parts)
 
 
 @query(f"{DECIDED_SQL} SELECT doc_id, value, action, replacement, name, count(*)::BIGINT AS n FROM decided GROUP BY ALL")
 def decisions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).groupBy("doc_id", "value", "action", "replacement", "name").agg(F.count(F.lit(1)).alias("n"))
+    return _decided(spark, sf_dir).select("doc_id", "value", "action", "replacement", "name", "n")
 
 
 @query(f"{DECIDED_SQL} SELECT count(*) FILTER (action = 'skip')::BIGINT AS skip, count(*) FILTER (action = 'replace')::BIGINT AS replace, count(*) FILTER (action = 'add')::BIGINT AS add, count(*) FILTER (action = 'report')::BIGINT AS report FROM decided")
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correct.action_counts(_decided(spark, sf_dir))
+    return correct.action_counts(_decided(spark, sf_dir), F.col("n"))

@@ -45,6 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 4 << 20) -> int:
+    """A number of shuffle partitions that grows with the files behind ``df``, so that a task's share does not; never under the session's."""
+    spark = df.sparkSession
+    total = 0
+    for f in df.inputFiles():
+        where = hadoop_path(spark, f)
+        total += file_system(spark, where).getFileStatus(where).getLen()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by ``materialise`` that nothing reads any more."""
     for df in frames:
