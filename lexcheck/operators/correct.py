@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcheck.operators.suggest import recased, suggestions
-from lexcheck.storage import discard, materialise, small_batches
+from lexcheck.storage import discard, materialise, small_batches, tasks_for
 
 
 EDIT = "struct<start:int,length:int,replacement:string>"
@@ -69,8 +69,8 @@ def applied(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFr
     return splice(materialise(with_edits(texts, rows, key, content)), content, "_edits")
 
 
-def with_edits(texts: DataFrame, rows: DataFrame, key: str, content: str) -> DataFrame:
-    """key, content, fixed, unfixed, ``mark`` (a hash of the text's replaced words in order) and ``_edits`` for ``splice``."""
+def with_edits(texts: DataFrame, rows: DataFrame, key: str, content: str, *kept: str) -> DataFrame:
+    """key, content, the texts' ``kept`` columns, fixed, unfixed, ``mark`` (a hash of the text's replaced words in order) and ``_edits`` for ``splice``."""
     edit = F.struct(F.col("start").cast("int").alias("start"), F.char_length("value").alias("length"), F.col("suggestion").alias("replacement"))
     replaced = F.when(F.col("suggestion").isNotNull(), F.struct("start", "norm"))
     edits = rows.groupBy(key).agg(
@@ -79,8 +79,8 @@ def with_edits(texts: DataFrame, rows: DataFrame, key: str, content: str) -> Dat
         F.count_if(F.col("suggestion").isNotNull()).alias("fixed"),
         F.count_if(F.col("suggestion").isNull()).alias("unfixed"),
     )
-    joined = texts.select(key, content).join(edits, key, "left")
-    return joined.select(key, content, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), "mark", F.col("_edits"))
+    joined = texts.select(key, content, *kept).join(edits, key, "left")
+    return joined.select(key, content, *kept, F.coalesce("fixed", F.lit(0)).alias("fixed"), F.coalesce("unfixed", F.lit(0)).alias("unfixed"), "mark", F.col("_edits"))
 
 
 def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], words: DataFrame, key: str, content: str) -> DataFrame:
@@ -92,22 +92,30 @@ def fixpoint(texts: DataFrame, errors_of: Callable[[DataFrame], DataFrame], word
     as ``mail``, and ``mail`` corrected to ``e-mail``) would go on for ever: it ends there, as ``cycle``, its content left as the
     rounds before made it; what that round would have replaced counts as unfixed. Other texts end ``stable``.
     ``fixed`` sums over rounds, ``unfixed`` is what is left. Rounds are written as tables, so none is computed twice."""
-    now = texts.select(key, content).withColumns({"rounds": F.lit(0), "sum": F.lit(0).cast("long"), "seen": F.array().cast("array<bigint>")})
+    dealt = materialise(texts.select(key, content).repartition(tasks_for(texts), key))  # a file of one row group is one task, for every round
+    now = dealt.withColumns({"rounds": F.lit(0), "sum": F.lit(0).cast("long"), "seen": F.array().cast("array<bigint>")})
     best: DataFrame | None = None
     tried: DataFrame | None = None
     done: DataFrame | None = None
-    before: list[DataFrame] = []
+    before = [dealt]
     while True:
-        errors = materialise(errors_of(now.select(key, content)))
+        errors = materialise(errors_of(now.select(key, content)).select(key, "norm", "value", "start"))
         terms = errors.select(F.col("norm").alias("term")).distinct()
         terms = materialise(terms if tried is None else terms.join(tried, "term", "left_anti"))
-        found = materialise(best_words(terms, words))
-        best, tried = (found, terms) if best is None else (best.unionByName(found), tried.unionByName(terms))
-        edits = materialise(with_edits(now, suggested(errors, best), key, content))
-        made = splice(edits, content, "_edits").withColumnRenamed(content, "_made")
-        rows = now.join(made, key)
+        if best is None:
+            best, tried = materialise(best_words(terms, words)), terms
+        elif not terms.isEmpty():  # later rounds mostly meet no new word: nothing is looked up
+            best, tried = best.unionByName(materialise(best_words(terms, words))), tried.unionByName(terms)
+        else:
+            discard(terms)
+        edits = with_edits(now, suggested(errors, best), key, content, "rounds", "sum", "seen").withColumn("_made", F.col(content))
         again = F.coalesce(F.array_contains("seen", F.col("mark")), F.lit(False))
-        rows = materialise(rows.withColumn("ended", F.when(F.col("fixed") == 0, "stable").when(again, "cycle")))
+        ended = F.when(F.col("fixed") == 0, "stable").when(again, "cycle")
+        # a text that ends keeps its content: what it would become is neither made nor written
+        edits = edits.withColumn("ended", ended).withColumn("_edits", F.when(F.col("ended").isNull(), F.col("_edits"))).withColumn("_made", F.when(F.col("ended").isNull(), F.col("_made")))
+        edits = edits.withColumn(content, F.when(F.col("ended").isNotNull(), F.col(content)))
+        edits = materialise(edits)
+        rows = materialise(splice(edits, "_made", "_edits"))
         over = rows.filter("ended is not null").select(
             key, content, F.col("sum").alias("fixed"), F.when(F.col("ended") == "cycle", F.col("fixed") + F.col("unfixed")).otherwise(F.col("unfixed")).alias("unfixed"), "rounds", "ended"
         )

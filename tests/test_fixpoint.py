@@ -72,6 +72,25 @@ def test_corrected_until_stable(spark):
     assert plan.settled(texts.limit(0), CONFIG, words).isEmpty()
 
 
+def test_words_are_looked_up_once_and_texts_dealt(spark, tmp_path, monkeypatch):
+    """Later rounds that meet no new word start no look-up, and texts of one row group are scanned by more than one task."""
+    from lexcheck.operators import correct
+
+    looked, tasks = [], []
+    plain = correct.best_words
+    monkeypatch.setattr(correct, "best_words", lambda terms, words: looked.append(terms.count()) or plain(terms, words))
+    spark.createDataFrame([(f"{k}-{i}", t) for k in range(4) for i, t in enumerate(TEXTS)], "path string, content string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    words = spark.createDataFrame([("english", w) for w in LIST], "name string, word string")
+
+    def errors(rows):
+        tasks.append(len(rows.inputFiles()))
+        return plan.build(rows, CONFIG, words, offsets=True).errors
+
+    out = correct.fixpoint(spark.read.parquet(f"{tmp_path}/t"), errors, words, "path", "content")
+    assert max(r["rounds"] for r in out.collect()) >= 2 and len(tasks) > len(looked)
+    assert tasks[0] > 1 and all(looked)
+
+
 def test_rounds_over_a_table_leave_nothing_to_correct(spark):
     rows = queries.QUERIES["autocorrect_rounds"](spark, "/root/testdata/sf0.001")
     kinds = {r["ended"]: r["n"] for r in rows.groupBy("ended").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
