@@ -162,8 +162,14 @@ def customer_name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Unknown words and reports.
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in tasks of a bounded share: a file of one row group, however large, is else one task."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartition(tasks_for(docs), "doc_id")
+
+
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.unknown(normalised(_tokens(spark, sf_dir)), _dictionary(spark, sf_dir))
+    return check.unknown(normalised(tokenize(_dealt(spark, sf_dir), "doc_id", "text", CONFIG)), _dictionary(spark, sf_dir))
 
 
 def _error_counts(spark: SparkSession, sf_dir: str, groups: list[str]) -> DataFrame:
@@ -207,8 +213,7 @@ def known_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
   doc_id || ':' || e.line_number || ':' || char_offset || ' ' || left(line, char_offset) || chr(27) || '[31m' || value || chr(27) || '[0m' || rtrim(substr(line, char_offset + length(value) + 1)) AS shown
 FROM e JOIN t_tiles USING (line_id, doc_id)""")
 def error_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    found = line_words(docs, "doc_id", "text", CONFIG).select("doc_id", "line_number", "line", F.explode("words").alias("word"))
+    found = line_words(_dealt(spark, sf_dir), "doc_id", "text", CONFIG).select("doc_id", "line_number", "line", F.explode("words").alias("word"))
     tokens = normalised(found.select("doc_id", "line_number", "line", "word.char_offset", "word.value"))
     return check.shown_lines(check.unknown(tokens, _dictionary(spark, sf_dir)), "doc_id")
 
