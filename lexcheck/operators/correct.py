@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexcheck.operators.suggest import recased, suggestions
+from lexcheck.operators.suggest import nearest, recased
 from lexcheck.storage import discard, materialise, small_batches, tasks_for
 
 
@@ -50,7 +50,7 @@ def planned(errors: DataFrame, words: DataFrame) -> DataFrame:
 
 def best_words(terms: DataFrame, words: DataFrame) -> DataFrame:
     """norm, word: the best suggestion of each term that has one."""
-    return suggestions(terms, words, 1).select(F.col("term").alias("norm"), "word")
+    return nearest(terms, words).select(F.col("term").alias("norm"), "word")
 
 
 def suggested(errors: DataFrame, best: DataFrame) -> DataFrame:

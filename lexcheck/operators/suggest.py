@@ -28,10 +28,13 @@ def _blocks(df: DataFrame, column: str, size: int, name: str) -> tuple[DataFrame
     return packed, n
 
 
-def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
+NEAR = "array<struct<word:string,jw:double>>"
+
+
+def similar(terms: DataFrame, words: DataFrame, listed: bool = False) -> DataFrame:
     """term, word, jw for all pairs at or over the term's threshold; ``terms(term)`` and ``words(word)``
     are made distinct and written once, since both are counted and then read. A task goes through its pairs by
-    block of words, so it builds each index once."""
+    block of words, so it builds each index once. ``listed``: term, near (``NEAR``) instead, one row for each block with such words."""
     ship(terms.sparkSession)
     small_batches(terms.sparkSession)
     terms, m = _blocks(materialise(terms.select("term").distinct()), "term", TERM_BLOCK, "_term_block")
@@ -47,12 +50,19 @@ def similar(terms: DataFrame, words: DataFrame) -> DataFrame:
                 terms = [t for t in left if t]
                 t, w, score = index.matches(terms)
                 # rounded: ties are ties, whatever the last bit
-                columns = [pa.array(terms, pa.string()).take(pa.array(t)), pa.array(index.words, pa.string()).take(pa.array(w)), pa.array(np.round(score, 12))]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "word", "jw"])
+                score = np.round(score, 12)
+                names, near = pa.array(terms, pa.string()), pa.array(index.words, pa.string()).take(pa.array(w))
+                if listed:  # terms come in order
+                    some, first = np.unique(t, return_index=True)
+                    ends = pa.array(np.concatenate((first, [len(t)])), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([near, pa.array(score)], ["word", "jw"]))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), lists], ["term", "near"])
+                else:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(t)), near, pa.array(score)], ["term", "word", "jw"])
 
     # a number of tasks that Spark does not join again: their rows are few, their work is not
     dealt = pairs.repartition(min(m * n, MOST_TASKS), "_word_block", "_term_block").sortWithinPartitions("_word_block")
-    return dealt.select("_word_block", "term", "word").mapInArrow(run, "term string, word string, jw double")
+    return dealt.select("_word_block", "term", "word").mapInArrow(run, f"term string, near {NEAR}" if listed else "term string, word string, jw double")
 
 
 def tiers(pairs: DataFrame) -> DataFrame:
@@ -77,6 +87,16 @@ def suggestions(terms: DataFrame, words: DataFrame, k: int = 1) -> DataFrame:
     return top(tiers(similar(terms, words)), k).select("term", "rank", "word", "jw", "lev", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"))
 
 
+def nearest(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """term, word: what ``suggestions`` gives with k = 1, without a sort. The first of a term's pairs by tier, similarity and word needs no
+    bound of the third tier, which its most similar word always meets."""
+    n = F.char_length("term")
+    pairs = F.transform("near", lambda x: F.struct(F.levenshtein(x["word"], F.col("term")).alias("lev"), x["jw"].alias("jw"), x["word"].alias("word")))
+    tier = lambda lev: F.when(lev <= F.floor((n - 1) * 0.25), 0).when(lev < F.greatest(n - 1, F.lit(0)), 1).otherwise(2)
+    first = F.array_min(F.transform(pairs, lambda x: F.struct(tier(x["lev"]).alias("tier"), (-x["jw"]).alias("far"), x["word"].alias("word"))))
+    return similar(terms, words, listed=True).select("term", first.alias("first")).groupBy("term").agg(F.min("first").alias("first")).select("term", "first.word")
+
+
 def recased(rows: DataFrame, value: str = "value", word: str = "word") -> DataFrame:
     """Adds ``suggestion``: the word in the case style of the token."""
     return rows.withColumn("suggestion", apply_case(case_style(F.col(value)), F.col(word)))

@@ -18,7 +18,7 @@ from lexcheck.operators import check, correct, suggest
 from lexcheck.operators.languages import addable_of, languages_of
 from lexcheck.operators.lines import active_lines, explode_lines, line_offsets, split_lines, without_disabled_lines
 from lexcheck.operators.tokenize import distinct_terms, line_words, normalised, token_counts, tokenize
-from lexcheck.plans.check import build, corrected, settled
+from lexcheck.plans.check import build, corrected_once, settled
 from lexcheck.sources import files, settings, wordlists
 from lexcheck.storage import materialise, tasks_for
 
@@ -492,7 +492,7 @@ SELECT doc_id::VARCHAR AS path, CASE WHEN head IS NULL THEN text ELSE head || su
 def autocorrect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its unknown words replaced by their best suggestions."""
     texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return corrected(build(texts, CONFIG, _dictionary(spark, sf_dir).withColumn("name", F.lit("english")), offsets=True))
+    return corrected_once(texts, CONFIG, _dictionary(spark, sf_dir).withColumn("name", F.lit("english")))
 
 
 @query()
