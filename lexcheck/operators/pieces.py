@@ -15,7 +15,7 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from operator import itemgetter
 
@@ -40,6 +40,7 @@ SET = check.SET
 SHARE_CHARS = 4 << 20  # of texts that are put together at a time
 ROUNDS = 12  # that pieces are followed for
 BLANKS = re.compile(r"([ \t\n\x0B\f\r]+)")
+ODD_BLANKS = re.compile(r"[\t\x0B\f\r]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: One word between marks that no other pattern begins with.
 SIMPLE = r"([^\p{L}\p{Nd}/%#@\\]*+)(\p{Lu}?\p{Ll}+|\p{Lu}+)[^\p{L}\p{Nd}/%#@\\]*+"
@@ -241,9 +242,9 @@ class Known:
     how many are not, and how many are not in a piece that stays as it is."""
 
     def __init__(self) -> None:
-        self.made: dict[str, str] = {"": ""}
-        self.counts: dict[str, int] = {"": 0}
-        self.norms: dict[str, str] = {"": ""}
+        self.made: dict[str, str] = {"": "", "\n": "\n"}
+        self.counts: dict[str, int] = {"": 0, "\n": 0}
+        self.norms: dict[str, str] = {"": "", "\n": ""}
         self.orbits: dict[str, Orbit] = {}
 
     def add(self, piece: str, made: str | None, fixed: int | None, unfixed: int | None) -> None:
@@ -255,33 +256,44 @@ class Known:
         return n & mask, (n >> WIDE) & mask, n >> 2 * WIDE
 
 
+def cut(text: str) -> tuple[list[str], Callable[[Iterable[str]], str]]:
+    """The pieces of a text, line feeds and empty ones among them, and what joins others in their places."""
+    if ODD_BLANKS.search(text):
+        parts = BLANKS.split(text)
+
+        def joined(pieces: Iterable[str]) -> str:
+            parts[::2] = pieces
+            return "".join(parts)
+
+        return parts[::2], joined
+    # every line feed between two blanks more, which go again
+    return text.replace("\n", " \n ").split(" "), lambda made: " ".join(made).replace(" \n ", "\n")
+
+
 def one_round(text: str, known: Known) -> tuple[str, int, int]:
     """(content, fixed, unfixed) after one round."""
-    parts = BLANKS.split(text)
-    pieces = parts[::2]
+    pieces, joined = cut(text)
     fixed, unfixed, _ = known.counted(pieces)
     if not fixed:
         return text, 0, unfixed
-    parts[::2] = map(known.made.__getitem__, pieces)
-    return "".join(parts), fixed, unfixed
+    return joined(map(known.made.__getitem__, pieces)), fixed, unfixed
 
 
 def all_rounds(text: str, known: Known, changed: Callable[[str], bool]) -> tuple[str, int, int, int, str] | None:
     """(content, fixed, unfixed, rounds, ended) of a text; None if it is not known. ``changed(content)``: the text is no longer the sum
     of its pieces. A round that would replace the same words in the same order as an earlier one ends the text as it is."""
-    parts = BLANKS.split(text)
-    pieces = parts[::2]
+    pieces, joined = cut(text)
     total, unfixed, still = known.counted(pieces)
     if not total:
         return text, 0, unfixed, 0, "stable"
     digest = lambda norms: hashlib.blake2b("".join(norms).encode(), digest_size=16).digest()
     seen = {digest(map(known.norms.__getitem__, pieces))}
-    parts[::2] = map(known.made.__getitem__, pieces)
-    content = "".join(parts)
+    now = list(map(known.made.__getitem__, pieces))
+    content = joined(now)
     if changed(content):
         return None
     orbit = known.orbits.get
-    moving = [(2 * k, o) for k, p in enumerate(pieces) if (o := orbit(p))]
+    moving = [(k, o) for k, p in enumerate(pieces) if (o := orbit(p))]
     r = 1
     while True:
         steps = [o.steps[o.at(r)] for _, o in moving]
@@ -297,12 +309,12 @@ def all_rounds(text: str, known: Known, changed: Callable[[str], bool]) -> tuple
             at = o.at(r)
             if at == len(o.steps):
                 return None
-            parts[place] = o.states[at]
+            now[place] = o.states[at]
             if o.over(at):
                 still += o.steps[at][1]
             else:
                 on.append((place, o))
-        moving, content = on, "".join(parts)
+        moving, content = on, joined(now)
         if changed(content):
             return None
 
@@ -315,12 +327,14 @@ def _put_together(dealt: DataFrame, pieces: DataFrame, key: str, content: str, n
         import regex
 
         marker = regex.compile(patterns.any_marker(name)).search
+        counts = {"fixed", "unfixed"}
+        values = lambda c: (told.column(c).fill_null(0) if c in counts else told.column(c)).to_numpy().tolist()  # noqa: E731 - faster than to_pylist
         known: dict[str, Known] = {group: Known() for group in pc.unique(texts.column(SET)).to_pylist()}
-        for group, piece, made, fixed, unfixed in zip(*(told.column(c).to_pylist() for c in (SET, "piece", "made", "fixed", "unfixed")), strict=True):
+        for group, piece, made, fixed, unfixed in zip(*map(values, (SET, "piece", "made", "fixed", "unfixed")), strict=True):
             known[group].add(piece, made, fixed, unfixed)
         if not once:
             orbits: dict[str, Orbit] = {}
-            for group, piece, made, norms, tail in zip(*(told.column(c).to_pylist() for c in (SET, "piece", "made", "norms", "tail")), strict=True):
+            for group, piece, made, norms, tail in zip(*map(values, (SET, "piece", "made", "norms", "tail")), strict=True):
                 known[group].norms[piece] = norms or ""
                 if tail is not None:
                     o = orbits.get(tail)
